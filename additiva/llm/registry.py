@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from additiva.llm import quality
+from additiva.llm import quality, sharding, simhash
 
-MODULES = (quality,)
+MODULES = (sharding, simhash, quality)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
