@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from additiva.llm import bpe, quality, sharding, simhash
+from additiva.llm import bpe, quality, secrets, sharding, simhash
 
-MODULES = (bpe, sharding, simhash, quality)
+MODULES = (secrets, bpe, sharding, simhash, quality)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
