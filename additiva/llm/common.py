@@ -45,3 +45,12 @@ def unused(name: str, *frames: DataFrame) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+#: Rows up to which a table of a few narrow columns is broadcast; beyond it the join is an ordinary shuffle join.
+BROADCAST_ROWS = 400_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it is counted to have at most ``rows`` rows. Meant for materialised tables."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
