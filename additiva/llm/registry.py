@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from additiva.llm import bpe, decontaminate, quality, secrets, sharding, simhash
+from additiva.llm import bpe, decontaminate, quality, secrets, sharding, simhash, toxicity
 
-MODULES = (secrets, bpe, decontaminate, sharding, simhash, quality)
+MODULES = (secrets, bpe, decontaminate, sharding, simhash, quality, toxicity)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
