@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from additiva.llm import bpe, decontaminate, lm, quality, secrets, sharding, simhash, toxicity
+from additiva.llm import bpe, decontaminate, langid, lm, quality, secrets, sharding, simhash, toxicity
 
-MODULES = (secrets, bpe, decontaminate, lm, sharding, simhash, quality, toxicity)
+MODULES = (secrets, bpe, decontaminate, lm, sharding, simhash, langid, quality, toxicity)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
