@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from additiva.llm.common import UPPER, LOWER, checkpointed, table
+from additiva.llm.common import LOWER, UPPER, broadcast_if_small, checkpointed, table, unused
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -60,15 +60,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Identifier and ``fp`` (the fingerprint as a signed long), one row per row of ``docs``."""
+    """Identifier, ``same`` (a hash of the text) and ``fp`` (the fingerprint as a signed long), one row per row of ``docs``."""
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps)], names=["id", "same", "fp"])
 
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(of_batches, f"id {narrow.schema['id'].dataType.simpleString()}, fp long")
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("same"))
+    return narrow.mapInArrow(of_batches, f"id {narrow.schema['id'].dataType.simpleString()}, same long, fp long")
 
 
 def _flips(value, bits: int = 32):
@@ -122,15 +122,36 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fingerprint, component_id), one row per row of ``docs``."""
+def labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
+    """(id, same, fp, component), one row per row of ``docs``."""
     rows = checkpointed(with_fingerprints(docs, id_col, text_col, shingle))
     nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
     found = components(links(nodes.select("fp")))
     rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(label, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    return rows.join(rooted.join(least, "root").select("fp", "component"), "fp").select("id", "same", "fp", "component")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """(id, fingerprint, component_id), one row per row of ``docs``."""
+    return labelled(docs, id_col, text_col, shingle).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """One row of ``docs`` for each component, with all columns: that of the smallest identifier.
+
+    Rows to drop are found as (identifier, text hash); only repeated rows of a kept identifier are shuffled for a choice.
+    """
+    key, same = unused("__id", docs), unused("__same", docs)
+    rows = checkpointed(labelled(docs, id_col, text_col, shingle))
+    drop = rows.where(~F.col("id").eqNullSafe(F.col("component"))).select("id", "same").distinct().toDF(key, same)
+    again = rows.where(F.col("id").eqNullSafe(F.col("component"))).groupBy("id", "same", "component").count().groupBy("id").agg(F.sum("count").alias("n"), F.count("*").alias("texts"))
+    again = checkpointed(again.where("n > 1").select(F.col("id").alias(key)))
+    kept = docs.join(broadcast_if_small(checkpointed(drop)), F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text_col) == F.col(same)), "left_anti")
+    if again.isEmpty():
+        return kept
+    by_id, small = F.col(id_col).eqNullSafe(F.col(key)), broadcast_if_small(again)
+    return kept.join(small, by_id, "left_anti").unionByName(kept.join(small, by_id, "left_semi").dropDuplicates([id_col]))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
