@@ -1 +1 @@
-"""Spark-native additive scoring over large genotype cohorts."""
+"""Spark-native scoring of many sparse additive scores over large genotype cohorts."""

@@ -1 +1 @@
-"""Spark-native additive scoring over large genotype cohorts."""
+"""Column expressions."""
