@@ -44,7 +44,7 @@ def normalise(rows: DataFrame) -> DataFrame:
         skip = is_missing(F.col("_obs_text")) | (F.col("_obs") == 0)
         bad = F.col("_obs").isNull() | (F.col("_obs") < 0) | F.col("_value").isNull()
         share = (F.col("_obs") - F.col("_value")) if c == "REF_CT" else F.col("_value")
-        mean = scale * share / F.col("_obs")
+        mean = F.try_divide(scale * share, F.col("_obs"))
     else:
         skip, bad, mean = is_missing(F.coalesce(F.col("_text"), F.col("_raw"))), F.col("_value").isNull(), scale * F.col("_value")
     used = df.where(~F.coalesce(skip, F.lit(False)))
