@@ -123,5 +123,23 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: All item-sized windows that share a shingle with an item, compared exactly, without fingerprints. Items have five words at least there.
+OP3_SQL = rf"""
+WITH b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+bs AS (SELECT item_id, len(w) AS m, i - 1 AS q, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM b WHERE len(w) >= 5)),
+ds AS (SELECT doc_id, len(w) AS n, i - 1 AS p, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+hits AS (SELECT DISTINCT doc_id, m, greatest(0, least(p - q, n - m)) AS start FROM ds JOIN (SELECT DISTINCT m, q, s FROM bs) USING (s)),
+win AS (SELECT hits.*, d.w[start + 1:start + m] AS ww FROM hits JOIN d USING (doc_id)),
+wg AS (SELECT doc_id, m, start, array_to_string(ww[i:i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(ww) - 3)) AS i FROM win)),
+wc AS (SELECT doc_id, m, start, s, count(*) AS c FROM wg GROUP BY ALL),
+bc AS (SELECT item_id, m, s, count(*) AS c FROM bs GROUP BY ALL),
+wt AS (SELECT doc_id, m, start, sum(length(s) * c) AS t FROM wc GROUP BY ALL),
+bt AS (SELECT item_id, m, sum(length(s) * c) AS t FROM bc GROUP BY ALL),
+both_ AS (SELECT doc_id, m, start, item_id, sum(length(s) * least(wc.c, bc.c)) AS x FROM wc JOIN bc USING (m, s) GROUP BY ALL),
+sim AS (SELECT doc_id, item_id, m, start, x / (wt.t + bt.t - x) AS similarity FROM both_ JOIN wt USING (doc_id, m, start) JOIN bt USING (item_id, m))
+SELECT doc_id, item_id, CAST(arg_max(start, (similarity, -start)) AS BIGINT) AS start_word, CAST(max(m) AS BIGINT) AS n_words, round(max(similarity), 6) AS similarity
+FROM sim WHERE similarity >= {SIMILARITY} GROUP BY doc_id, item_id
+"""
 QUERIES = {"op3_decontamination": op3_decontamination}
-SQL: dict[str, str] = {}
+SQL = {"op3_decontamination": OP3_SQL}

@@ -126,5 +126,29 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def _sql() -> str:
+    """The same rules for DuckDB. Runs of the added kind are matched whole and then tested, as its expressions know no lookaround."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    kinds = [*((k, kind, p, g) for k, (kind, p, g) in enumerate(KINDS)), (len(KINDS), ADDED[0], "([A-Za-z0-9+/_=-]{20,})", 1)]
+    found = " UNION ALL ".join(f"SELECT doc_id, owner, {k} AS r, '{kind}' AS kind, regexp_extract_all(t, {quoted(p)}, 0) AS m, regexp_extract_all(t, {quoted(p)}, {g}) AS v, string_split_regex(t, {quoted(p)}) AS gap FROM d" for k, kind, p, g in kinds)
+    count = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind, _, _ in KINDS)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+e AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f WHERE len(m) > 0),
+p AS (SELECT doc_id, owner, r, kind, v[i] AS v, length(m[i]) AS n,
+  CAST(list_sum(list_transform(gap[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM e),
+q AS (SELECT *, a + n AS z FROM p WHERE CASE r WHEN 0 THEN length(v) >= {LEAST_VALUE} WHEN {len(KINDS)} THEN
+  regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND len(list_distinct(string_split(v, ''))) >= {LEAST_DISTINCT} ELSE true END),
+c AS (SELECT * FROM q WHERE r < {len(KINDS)} UNION ALL SELECT * FROM q x WHERE r = {len(KINDS)} AND NOT EXISTS (SELECT 1 FROM q y WHERE y.r < {len(KINDS)} AND y.doc_id = x.doc_id AND y.a < x.z AND x.a < y.z)),
+o AS (SELECT v, count(DISTINCT owner) AS owners FROM c GROUP BY v),
+s AS (SELECT c.*, owners < {EXAMPLE_OWNERS} AS live, kind || ':' || a || ':' || z AS span FROM c JOIN o USING (v) WHERE r < {len(KINDS)} OR owners < {EXAMPLE_OWNERS}),
+g AS (SELECT doc_id, {count}, string_agg(span, ',' ORDER BY a, r) FILTER (r < {len(KINDS)}) AS base, string_agg(span, ',' ORDER BY a, r) AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM s GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"CAST(coalesce(n_{kind}, 0) AS BIGINT) AS n_{kind}" for kind, _, _ in KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  CAST(coalesce(n_live, 0) AS BIGINT) AS n_live, CAST(coalesce(n_example, 0) AS BIGINT) AS n_example
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
 QUERIES = {"op1_secret_scans": op1_secret_scans}
-SQL: dict[str, str] = {}
+SQL = {"op1_secret_scans": _sql()}

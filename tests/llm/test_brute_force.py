@@ -29,11 +29,13 @@ def ws(t):
     return re.findall(r"[^\x20\x09-\x0D]+", t)
 
 
-def test_quality_sql(spark):
+@pytest.mark.parametrize(("query", "sql"), [(quality.op9_quality_rules, quality.OP9_SQL), (secrets.op1_secret_scans, secrets.SQL["op1_secret_scans"]), (decontaminate.op3_decontamination, decontaminate.OP3_SQL)])
+def test_sql(spark, query, sql):
     c = duckdb.connect()
-    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{DIR}/documents.parquet'")
-    want = c.sql(quality.OP9_SQL)
-    found = quality.op9_quality_rules(spark, DIR)
+    for t in ("documents", "benchmark"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
+    want = c.sql(sql)
+    found = query(spark, DIR)
     assert sorted(map(tuple, found.select(*want.columns).collect())) == sorted(want.fetchall())
 
 
