@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from additiva.functions.values import fraction, tile_of
@@ -292,7 +292,8 @@ def _frequency_rows(d: Domain, columns: dict) -> DataFrame:
     return rows.select("ID", "REF", "ALT", *(e.alias(c) for c, e in columns.items()))
 
 
-_SIZE = F.col("p_size")
+def _size() -> Column:
+    return F.col("p_size")
 
 
 def _frequency_sql(mean: str, where: str = "true") -> str:
@@ -301,25 +302,25 @@ def _frequency_sql(mean: str, where: str = "true") -> str:
 
 @query(_frequency_sql("p_size / 32.0", "p_size % 10 <> 3"))
 def frequency_normalise_mean(d: Domain) -> DataFrame:
-    return frequency.normalise(_frequency_rows(d, {"ALT_DOSAGE_MEAN": F.when(_SIZE % 10 == 3, F.lit("NaN")).otherwise((_SIZE / 32.0).cast("string"))}))
+    return frequency.normalise(_frequency_rows(d, {"ALT_DOSAGE_MEAN": F.when(_size() % 10 == 3, F.lit("NaN")).otherwise((_size() / 32.0).cast("string"))}))
 
 
 @query(_frequency_sql("p_size / 32.0", "p_size % 10 <> 3"))
 def frequency_normalise_freq(d: Domain) -> DataFrame:
-    value = (_SIZE / 64.0).cast("string")
-    named = F.when(_SIZE % 2 == 0, F.concat(F.col("ALT"), F.lit("="), value)).otherwise(value)
-    rows = _frequency_rows(d, {"p_size": _SIZE})
-    return frequency.normalise(rows.withColumn("ALT_FREQS", F.when(_SIZE % 10 == 3, F.lit(".")).otherwise(named)).drop("p_size"))
+    value = (_size() / 64.0).cast("string")
+    named = F.when(_size() % 2 == 0, F.concat(F.col("ALT"), F.lit("="), value)).otherwise(value)
+    rows = _frequency_rows(d, {"p_size": _size()})
+    return frequency.normalise(rows.withColumn("ALT_FREQS", F.when(_size() % 10 == 3, F.lit(".")).otherwise(named)).drop("p_size"))
 
 
 @query(_frequency_sql("2 * p_size / 64.0", "p_size % 10 <> 3"))
 def frequency_normalise_alt_ct(d: Domain) -> DataFrame:
-    return frequency.normalise(_frequency_rows(d, {"ALT_CTS": _SIZE.cast("string"), "OBS_CT": F.when(_SIZE % 10 == 3, F.lit("0")).otherwise(F.lit("64"))}))
+    return frequency.normalise(_frequency_rows(d, {"ALT_CTS": _size().cast("string"), "OBS_CT": F.when(_size() % 10 == 3, F.lit("0")).otherwise(F.lit("64"))}))
 
 
 @query(_frequency_sql("2 * (64 - p_size) / 64.0", "p_size % 10 <> 3"))
 def frequency_normalise_ref_ct(d: Domain) -> DataFrame:
-    return frequency.normalise(_frequency_rows(d, {"REF_CT": _SIZE.cast("string"), "OBS_CT": F.when(_SIZE % 10 == 3, F.lit("na")).otherwise(F.lit("64"))}))
+    return frequency.normalise(_frequency_rows(d, {"REF_CT": _size().cast("string"), "OBS_CT": F.when(_size() % 10 == 3, F.lit("na")).otherwise(F.lit("64"))}))
 
 
 @query("SELECT ordinal AS pgen_variant_idx, '1' AS chrom, target_id AS id, ref, alt FROM variants WHERE p_size <> 7 AND ordinal IN (SELECT ordinal FROM weights WHERE weight <> 0)")
@@ -354,4 +355,3 @@ def score_baselines(d: Domain) -> DataFrame:
     return e.groupBy("score_idx").agg(F.sum("intercept").alias("base"), fraction(F.count("*"), F.lit(2000)).alias("density"))
 
 
-
