@@ -14,8 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from additiva.operators.checks import InputError, broadcast_if_small, require_empty
+from additiva.operators.checks import InputError, require_empty
 
+#: Scores up to which their baselines are broadcast to the samples.
+MOST_SCORES = 100_000
 POLICIES = ("cohort", "error", "omit")
 
 
@@ -63,10 +65,14 @@ def evaluate(edges: DataFrame, calls: DataFrame, samples: DataFrame, scores: Dat
     With ``tile`` (an expression over ``key``) both sides are dealt out by tile, so a tile's weights and calls meet in
     one partition and the sums of a tile are combined before the second shuffle.
     """
-    e = combined(edges, key)
-    e = e.join(common, key, "left").withColumn("common", F.coalesce("common", F.lit(0.0))) if common is not None else e.withColumn("common", F.lit(0.0))
-    base = e.groupBy("score_idx").agg(F.sum(F.col("intercept") + F.col("beta") * F.col("common")).alias("base"))
+    def with_common(df: DataFrame) -> DataFrame:
+        return df.join(common, key, "left").withColumn("common", F.coalesce("common", F.lit(0.0))) if common is not None else df.withColumn("common", F.lit(0.0))
+
+    # The baseline needs no grouping by variant: its sums by score are combined map-side right after the edges are made.
+    base = with_common(edges).groupBy("score_idx").agg(F.sum(F.col("intercept") + F.col("beta") * F.col("common")).alias("base"))
     base = scores.select("score_idx").join(base, "score_idx", "left").select("score_idx", F.coalesce("base", F.lit(0.0)).alias("base"))
+    few = scores.limit(MOST_SCORES + 1).count() <= MOST_SCORES
+    e = with_common(combined(edges, key))
     c = calls.select(key, "sample_idx", "dosage")
     on = [key]
     if tile is not None:
@@ -75,7 +81,7 @@ def evaluate(edges: DataFrame, calls: DataFrame, samples: DataFrame, scores: Dat
     x = F.coalesce("dosage", "mean") - F.col("common")
     updates = c.join(e.select(*on, "score_idx", "beta", "mean", "common"), on).groupBy("score_idx", "sample_idx").agg(F.sum(F.col("beta") * x).alias("upd"))
     # Every score meets every sample: that is the result's size. The side of scores is broadcast if counted small.
-    grid = samples.select("sample_idx").crossJoin(broadcast_if_small(base, 100_000))
+    grid = samples.select("sample_idx").crossJoin(F.broadcast(base) if few else base)
     return grid.join(updates, ["score_idx", "sample_idx"], "left").select("score_idx", "sample_idx", (F.col("base") + F.coalesce("upd", F.lit(0.0))).alias("score"))
 
 
