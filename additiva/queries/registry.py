@@ -191,7 +191,7 @@ def variant_aliases(d: Domain) -> DataFrame:
     return d.aliases
 
 
-@query("SELECT score_idx, count(*) AS n_rows, count(DISTINCT ordinal) AS n_variants, count_if(v.ordinal IS NULL) AS n_unknown FROM weights w LEFT JOIN variants v USING (ordinal) GROUP BY score_idx")
+@query("SELECT score_idx, count(*) AS n_rows, count(DISTINCT ordinal) AS n_variants, CAST(count_if(v.ordinal IS NULL) AS BIGINT) AS n_unknown FROM weights w LEFT JOIN variants v USING (ordinal) GROUP BY score_idx")
 def variant_alias_lookup(d: Domain) -> DataFrame:
     met = d.weights.join(d.aliases, F.col("snp") == F.col("alias"), "left")
     return met.groupBy("score_idx").agg(F.count("*").alias("n_rows"), F.count_distinct("ordinal").alias("n_variants"), F.count_if(F.col("ordinal").isNull()).alias("n_unknown"))
