@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from additiva.llm.common import table
 
 #: Words whose tokens are remembered by a worker, and the longest such word; bounds its memory.
-CACHE_WORDS, CACHE_CHARS = 1 << 18, 64
+CACHE_WORDS, CACHE_CHARS = 1 << 16, 64
 
 #: Tokens handed on at once.
 BLOCK = 1 << 13
@@ -203,6 +203,10 @@ class Transducer:
         parts[-1] += self.suffix
         return tuple(map(self.ids.__getitem__, self.merge(parts)))
 
+    def forget(self) -> None:
+        """Gives back the memory of remembered words: a worker goes on to other tasks."""
+        self.young, self.old = {}, {}
+
     def _missed(self, w: str | int) -> tuple[int, ...]:
         """Ids of a word that is not among the young ones; two generations keep frequent words and bound the memory."""
         ids = self.old.get(w)
@@ -277,6 +281,7 @@ def round_trip(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str
                 id_sums.append(id_sum.hexdigest())
                 text_sums.append(text_sum.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(id_sums, pa.string()), pa.array(text_sums, pa.string())], names=["id", "n", "a", "b"])
+        t.forget()
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = narrow.mapInArrow(of_batches, f"id {narrow.schema['id'].dataType.simpleString()}, n long, a string, b string")

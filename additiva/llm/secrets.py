@@ -29,6 +29,8 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 KINDS = (("assign", ASSIGN, 2), ("access", r"(AKIA[A-Z0-9]{16,})", 1), ("hex", r"([0-9a-f]{24,})", 1))
 ADDED = ("token", r"(?<![A-Za-z0-9+/_=-])((?=[A-Za-z+/_=-]*[0-9])(?=[a-z0-9+/_=-]*[A-Z])(?=[A-Z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]{20,})", 1)
 LEAST_VALUE, LEAST_DISTINCT, EXAMPLE_OWNERS = 6, 10, 3
+#: Spans and rows with spans up to which they are broadcast to the texts.
+BROADCAST_SPANS = 500_000
 NONE = "array<struct<start:int,rank:int,kind:string,end:int,hash:bigint>>"
 
 
@@ -103,13 +105,14 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
     """All rows and columns of ``docs`` with every reported span replaced by ``[SECRET]`` (live-looking) or ``[EXAMPLE]``.
 
-    Only rows with candidates are shuffled; the others pass straight through.
+    The texts are searched once. Rows with spans are broadcast if their spans are counted to be few, so that texts
+    stay where they are; beyond that the join is by shuffle.
     """
-    base, added, spans, same, key = (unused(c, docs) for c in ("__base", "__added", "__spans", "__same", "__key"))
-    marked = with_candidates(docs, text_col, base, added)
-    none = (F.size(base) == 0) & (F.size(added) == 0)
-    known = classified(scan(docs, id_col, text_col, owner_col)).toDF(key, same, spans)
-    hit = marked.where(~none).join(known, F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text_col) == F.col(same)), "left")
+    spans, same, key = (unused(c, docs) for c in ("__spans", "__same", "__key"))
+    known = checkpointed(classified(scan(docs, id_col, text_col, owner_col)).toDF(key, same, spans))
+    total = known.agg(F.count("*") + F.coalesce(F.sum(F.size(spans)), F.lit(0))).first()[0]
+    side = F.broadcast(known) if total <= BROADCAST_SPANS else known
+    hit = docs.join(side, F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text_col) == F.col(same)), "left")
     text = F.col(text_col)
 
     def step(acc, s):
@@ -118,8 +121,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
         return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), put.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
 
     done = F.aggregate(F.col(spans), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    changed = hit.withColumn(text_col, F.when(F.size(spans) > 0, done).otherwise(text))
-    return marked.where(none).select(*docs.columns).unionByName(changed.select(*docs.columns))
+    return hit.withColumn(text_col, F.when(F.size(spans) > 0, done).otherwise(text)).select(*docs.columns)
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
