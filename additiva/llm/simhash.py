@@ -31,6 +31,7 @@ result. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
         return 0
     shingles = map(b" ".join, zip(*(ws[k:] for k in range(shingle)), strict=False)) if len(ws) >= shingle else iter([b" ".join(ws)])
     digest, n, counts = xxhash.xxh64_intdigest, 0, np.zeros(64, np.int64)
-    while len(hashes := np.fromiter((digest(s, seed) for s, _ in zip(shingles, range(_CHUNK), strict=False)), np.uint64)):
+    while len(hashes := np.fromiter((digest(s, seed) for s in islice(shingles, _CHUNK)), np.uint64)):
         n += len(hashes)
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])

@@ -193,6 +193,14 @@ def test_fingerprints(texts):
         assert simhash.fingerprint(t) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_fingerprint_of_a_long_text():
+    # Two shingles of equal number tie in the first chunk; the one after it decides.
+    n = simhash._CHUNK + 1
+    h = [xxhash.xxh64_intdigest(x, 42) for x in (b"a b a", b"b a b")] * (n // 2 + 1)
+    want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h[:n]) > n)
+    assert simhash.fingerprint("a b " * (n // 2 + 1) + "a") == want
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64) * np.uint64(2)
