@@ -124,13 +124,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
-    """(id, same, fp, component), one row per row of ``docs``."""
+    """(id, same, fp, component, chosen), one row per row of ``docs``; ``chosen`` is the text hash of the component's least row."""
     rows = checkpointed(with_fingerprints(docs, id_col, text_col, shingle))
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    nodes = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "same")).alias("least"))
     found = components(links(nodes.select("fp")))
     rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    return rows.join(rooted.join(least, "root").select("fp", "component"), "fp").select("id", "same", "fp", "component")
+    least = rooted.groupBy("root").agg(F.min("least").alias("first")).select("root", F.col("first.id").alias("component"), F.col("first.same").alias("chosen"))
+    return rows.join(rooted.join(least, "root").select("fp", "component", "chosen"), "fp").select("id", "same", "fp", "component", "chosen")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -139,20 +139,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One row of ``docs`` for each component, with all columns: that of the smallest identifier.
+    """One row of ``docs`` for each component, with all columns: that of the smallest identifier, then text hash.
 
-    Rows to drop are found as (identifier, text hash); only repeated rows of a kept identifier are shuffled for a choice.
+    Equal texts share a component, so (identifier, text hash) names one component: rows compete only inside it.
+    Rows to drop are found as such pairs; only repeated rows of a kept pair are shuffled for a choice.
     """
     key, same = unused("__id", docs), unused("__same", docs)
     rows = checkpointed(labelled(docs, id_col, text_col, shingle))
-    drop = rows.where(~F.col("id").eqNullSafe(F.col("component"))).select("id", "same").distinct().toDF(key, same)
-    again = rows.where(F.col("id").eqNullSafe(F.col("component"))).groupBy("id", "same", "component").count().groupBy("id").agg(F.sum("count").alias("n"), F.count("*").alias("texts"))
-    again = checkpointed(again.where("n > 1").select(F.col("id").alias(key)))
-    kept = docs.join(broadcast_if_small(checkpointed(drop)), F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text_col) == F.col(same)), "left_anti")
+    least = F.col("id").eqNullSafe(F.col("component")) & (F.col("same") == F.col("chosen"))
+    drop = rows.where(~least).select("id", "same").distinct().toDF(key, same)
+    again = rows.where(least).groupBy("id", "same").count().where("count > 1").select("id", "same").toDF(key, same)
+    again = checkpointed(again)
+    by_pair = F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text_col) == F.col(same))
+    kept = docs.join(broadcast_if_small(checkpointed(drop)), by_pair, "left_anti")
     if again.isEmpty():
         return kept
-    by_id, small = F.col(id_col).eqNullSafe(F.col(key)), broadcast_if_small(again)
-    return kept.join(small, by_id, "left_anti").unionByName(kept.join(small, by_id, "left_semi").dropDuplicates([id_col]))
+    small = broadcast_if_small(again)
+    once = kept.join(small, by_pair, "left_semi").withColumn(same, F.xxhash64(text_col)).dropDuplicates([id_col, same]).drop(same)
+    return kept.join(small, by_pair, "left_anti").unionByName(once)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

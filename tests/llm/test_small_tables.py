@@ -81,6 +81,13 @@ def test_filters(docs, empty, labels, benchmark):
     assert clean.columns == wide.columns and toxicity.keep_clean(empty, None).count() == 0
 
 
+def test_unrelated_rows_of_one_identifier_stay(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(40)) for c in "abcde"]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (1, texts[3]), (1, texts[4]), (1, texts[4]), (2, texts[4])]
+    out = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(out.collect(), key=lambda r: r["text"]) == [(None, texts[0]), (None, texts[1]), (None, texts[2]), (1, texts[3]), (1, texts[4])]
+
+
 def test_defined_values(docs):
     q = {r["doc_id"]: r for r in quality.judge(docs).collect()}
     assert q[2]["n_words"] == 0 and q[2]["base_failed"] and not q[2]["kept"] and q[5]["n_words"] == 60_000 and q[5]["n_repeat_words"] == 60_000
