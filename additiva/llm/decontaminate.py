@@ -1,12 +1,10 @@
-"""Benchmark decontamination with SimHash windows and multi-index Hamming blocks.
+"""Benchmark decontamination with item-sized windows, verified exactly.
 
-Every benchmark item is compared with windows of its own number of words. A window can reach the similarity only if
-it shares a shingle with some item, so windows are placed where a document's shingle meets one of the benchmark, at the
-offset that lines both up; others have similarity zero. The distinct windows get a 64-bit SimHash of their words;
-cutting fingerprints into ``RADIUS + 1`` blocks makes any two within ``RADIUS`` bits agree on a block (pigeonhole), so
-an equi-join on (words, block, value) finds all of them. Candidates are verified by Hamming distance and then by the
-exact weighted similarity: sum of the smaller over sum of the larger multiplicities of five-word shingles, a shingle
-weighing its characters. ``RADIUS`` is 19 because in trials pairs of similarity 0.8 differed in 17 bits at most.
+Every benchmark item is compared with windows of its own number of words, by the exact weighted similarity: sum of the
+smaller over sum of the larger multiplicities of five-word shingles, a shingle weighing its characters. A window can
+reach the similarity only if the places where it has one of the item's shingles weigh that share of the item. All
+windows for which they do are compared, wherever they start; no other can reach it. A 64-bit SimHash of the words only
+gives the distance reported: as a filter, any radius loses some pairs.
 
 Everything is DataFrame functions. Document shingles stream through the scan's own stage into the (broadcast if
 counted small) benchmark shingles; only hits are shuffled, and equal windows of many documents are verified once.
@@ -25,7 +23,7 @@ from pyspark.sql import functions as F
 
 from additiva.llm.common import ascii_lower, broadcast_if_small, checkpointed, table, unused, words
 
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 19
+SHINGLE, SIMILARITY = 5, 0.8
 #: Four 16-bit counters in a long.
 _LANES = 0x0001000100010001
 
@@ -54,13 +52,6 @@ def simhash(ws: Column) -> Column:
     return bits
 
 
-def blocks(fp: Column, radius: int = RADIUS) -> Column:
-    """The fingerprint's blocks; two fingerprints within ``radius`` bits share one at least."""
-    n = radius + 1
-    ends = [64 * k // n for k in range(n + 1)]
-    return F.array(*(F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(ends, ends[1:], strict=False)))
-
-
 def similarity(a: Column, b: Column) -> Column:
     """Weighted similarity of two multisets of shingles."""
     count = lambda xs, s: F.size(F.filter(xs, lambda x: x == s))
@@ -74,36 +65,49 @@ def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "tex
     return checkpointed(items.distinct().withColumn("m", F.size("iw")))
 
 
-def windows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
-    """Distinct (id, same, m, start, window): where a document's shingle meets one of the benchmark."""
+def windows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """(id, same, key, m, start, window): every window of an item's size whose shared shingles weigh enough for ``least``.
+
+    ``items`` are (key, iw, m), one row for each text. A window's shared weight is at most that of its places whose
+    shingle the item has, and similarity ``least`` needs ``least`` of the item's weight, so no window is missed.
+    """
     def placed(ws: Column, g: int) -> Column:
-        """Hash and place of every run of ``g`` words."""
+        """Hash, place and weight of every run of ``g`` words."""
         run = lambda i: F.xxhash64(*(F.get(ws, i + j) for j in range(g)))
-        struct = lambda i: F.struct(F.lit(g).alias("g"), i.alias("p"), run(i).alias("h"))
-        return F.when(F.size(ws) >= g, F.transform(F.sequence(F.lit(0), F.size(ws) - g), struct)).otherwise(F.array().cast("array<struct<g:int,p:int,h:bigint>>"))
+        weight = lambda i: sum((F.length(F.get(ws, i + j)) for j in range(g)), F.lit(g - 1))
+        struct = lambda i: F.struct(F.lit(g).alias("g"), i.alias("p"), run(i).alias("h"), weight(i).alias("c"))
+        return F.when(F.size(ws) >= g, F.transform(F.sequence(F.lit(0), F.size(ws) - g), struct)).otherwise(F.array().cast("array<struct<g:int,p:int,h:bigint,c:int>>"))
 
     own = F.coalesce(*(F.when(F.least("m", F.lit(shingle)) == g, placed(F.col("iw"), g)) for g in range(1, shingle + 1)))
-    met = items.select("m", F.explode(own).alias("x")).select("m", "x.g", F.col("x.p").alias("q"), "x.h").distinct()
+    total = F.aggregate("own", F.lit(0), lambda t, x: t + x["c"])
+    met = items.select("key", "m", own.alias("own")).select("key", "m", (total * least - 1e-6).alias("need"), F.explode("own").alias("x")).select("key", "m", "need", "x.g", "x.h").distinct()
     met = broadcast_if_small(checkpointed(met))
     sizes = sorted(r[0] for r in met.select("g").distinct().collect()) or [shingle]  # at most ``shingle`` values
     narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("same"), words(ascii_lower(F.col(text_col))).alias("w"))
-    each = narrow.select("id", "same", "w", F.explode(F.concat(*(placed(F.col("w"), g) for g in sizes))).alias("x")).select("id", "same", "w", "x.*")
-    hits = each.join(met, ["g", "h"]).withColumn("start", F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.size("w") - F.col("m"))))
-    hits = hits.select("id", "same", "m", "start", F.array_join(F.slice("w", F.col("start") + 1, "m"), " ").alias("window"))
-    return hits.groupBy("id", "same", "m", "start").agg(F.first("window").alias("window"))
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    each = narrow.select("id", "same", F.size("w").alias("n"), F.explode(F.concat(*(placed(F.col("w"), g) for g in sizes))).alias("x")).select("id", "same", "n", "x.*")
+    hits = each.join(met, ["g", "h"])
+    # A group is what one document shares with one item. Starts are sought for each place as the leftmost hit of a window.
+    by_item = hits.groupBy("id", "same", "key", "m", "n", "g", "need").agg(F.array_sort(F.collect_set(F.struct("p", "c"))).alias("hits"))
+    by_item = by_item.where(F.aggregate("hits", F.lit(0), lambda t, x: t + x["c"]) >= F.col("need")).withColumn("span", F.col("m") - F.col("g"))
+    near = by_item.select("id", "same", "key", "m", "n", "need", "span", "hits", F.posexplode("hits").alias("k", "x"))
+    before = F.coalesce(F.when(F.col("k") > 0, F.get("hits", F.col("k") - 1)["p"]), F.lit(-1))
+    near = near.select("id", "same", "key", "m", "need", "span", F.slice("hits", F.col("k") + 1, F.col("span") + 1).alias("hits"), F.greatest(before + 1, F.col("x.p") - F.col("span")).alias("first"), F.least(F.col("x.p"), F.greatest(F.lit(0), F.col("n") - F.col("m"))).alias("last"))
+    near = near.where("first <= last").select("*", F.explode(F.sequence("first", "last")).alias("start"))
+    shared = F.aggregate("hits", F.lit(0), lambda t, x: t + F.when(x["p"] <= F.col("start") + F.col("span"), x["c"]).otherwise(0))
+    starts = checkpointed(near.where(shared >= F.col("need")).select(F.col("id").alias("i"), F.col("same").alias("t"), "key", "m", "start"))
+    met_again = narrow.join(broadcast_if_small(starts), F.col("id").eqNullSafe(F.col("i")) & (F.col("same") == F.col("t")))
+    return met_again.select("id", "same", "key", "m", "start", F.array_join(F.slice("w", F.col("start") + 1, "m"), " ").alias("window"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """(id, same, item, start, m, distance, similarity): the best window of each document for each item it contains."""
-    items = items_of(benchmark)
-    found = checkpointed(windows(docs, items, id_col, text_col))
-    prints = items.select("item", "m", "iw", simhash(F.col("iw")).alias("ifp"))
-    keyed = prints.select("item", "m", "iw", "ifp", F.posexplode(blocks(F.col("ifp"), radius)).alias("k", "v"))
-    distinct = found.select("m", "window").distinct().withColumn("ww", F.split("window", " ")).withColumn("fp", simhash(F.col("ww")))
-    near = distinct.select("m", "window", "fp", F.posexplode(blocks(F.col("fp"), radius)).alias("k", "v")).join(broadcast_if_small(keyed), ["m", "k", "v"])
-    near = near.withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp")))).where(F.col("distance") <= radius).select("m", "window", "item", "iw", "distance").dropDuplicates(["m", "window", "item"])
-    exact = near.withColumn("similarity", similarity(_shingles(F.split("window", " "), SHINGLE), _shingles(F.col("iw"), SHINGLE))).where(F.col("similarity") >= least)
-    pairs = found.join(exact.select("m", "window", "item", "distance", "similarity"), ["m", "window"])
+    named = items_of(benchmark).withColumn("key", F.xxhash64(F.array_join("iw", " ")))
+    items = checkpointed(named.select("key", "iw", "m").dropDuplicates(["key"]))
+    found = checkpointed(windows(docs, items, id_col, text_col, SHINGLE, least))
+    distinct = found.select("key", "window").distinct().join(broadcast_if_small(items.select("key", "iw")), "key").withColumn("ww", F.split("window", " "))
+    exact = distinct.withColumn("similarity", similarity(_shingles(F.col("ww"), SHINGLE), _shingles(F.col("iw"), SHINGLE))).where(F.col("similarity") >= least)
+    exact = exact.select("key", "window", "similarity", F.bit_count(simhash(F.col("ww")).bitwiseXOR(simhash(F.col("iw")))).alias("distance"))
+    pairs = found.join(exact, ["key", "window"]).join(broadcast_if_small(named.select("key", "item")), "key")
     best = F.max(F.struct("similarity", (-F.col("start")).alias("before"), "m", (-F.col("distance")).alias("close"))).alias("b")
     return pairs.groupBy("id", "same", "item").agg(best).select("id", "same", "item", (-F.col("b.before")).alias("start"), F.col("b.m").alias("m"), (-F.col("b.close")).alias("distance"), F.col("b.similarity").alias("similarity"))
 

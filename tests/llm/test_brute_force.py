@@ -137,6 +137,29 @@ def test_decontamination(spark, texts):
     assert found == pytest.approx(want) and (-1, item) in found and (-2, item) not in found
 
 
+def best_windows(text, item):
+    """The largest similarity of any item-sized window, by plain sliding."""
+    grams = lambda w: Counter(" ".join(w[k : k + 5]) for k in range(len(w) - 4))
+    w, target = ws(text), grams(ws(item))
+    windows = (grams(w[s : s + len(ws(item))]) for s in range(max(1, len(w) - len(ws(item)) + 1)))
+    return max(sum(len(x) * c for x, c in (g & target).items()) / sum(len(x) * c for x, c in (g | target).items()) for g in windows)
+
+
+def test_decontamination_between_alignments(spark):
+    # Words put in near the middle: neither alignment reaches 0.8, a window between them does.
+    items, docs = [], []
+    for seed in [116, 333, 343, 464, 774, 842]:
+        rng = np.random.default_rng(seed)
+        item = [f"{'x' * int(n)}{k}" for k, n in enumerate(rng.choice([1, 1, 1, 12, 25], 60))]
+        at, n = int(rng.integers(15, 45)), int(rng.integers(2, 4))
+        docs.append((seed, " ".join(["before"] * 5 + item[:at] + [f"new{j}" for j in range(n)] + item[at:] + ["after"] * 5)))
+        items.append((seed, " ".join(item)))
+    want = {(i, i): best_windows(text, item) for (i, text), (_, item) in zip(docs, items, strict=True)}
+    assert min(want.values()) >= 0.8
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["id"], r["item"]): r["similarity"] for r in found} == pytest.approx(want)
+
+
 def test_lm(spark, texts):
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts.index}
     c = Counter()
