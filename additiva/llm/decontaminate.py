@@ -71,16 +71,16 @@ def windows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, shing
     ``items`` are (key, iw, m), one row for each text. A window's shared weight is at most that of its places whose
     shingle the item has, and similarity ``least`` needs ``least`` of the item's weight, so no window is missed.
     """
-    def placed(ws: Column, g: int) -> Column:
-        """Hash, place and weight of every run of ``g`` words."""
+    def placed(ws: Column, g: int, weighed: bool = False) -> Column:
+        """Hash, place and, if asked for, weight of every run of ``g`` words."""
         run = lambda i: F.xxhash64(*(F.get(ws, i + j) for j in range(g)))
         weight = lambda i: sum((F.length(F.get(ws, i + j)) for j in range(g)), F.lit(g - 1))
-        struct = lambda i: F.struct(F.lit(g).alias("g"), i.alias("p"), run(i).alias("h"), weight(i).alias("c"))
-        return F.when(F.size(ws) >= g, F.transform(F.sequence(F.lit(0), F.size(ws) - g), struct)).otherwise(F.array().cast("array<struct<g:int,p:int,h:bigint,c:int>>"))
+        struct = lambda i: F.struct(F.lit(g).alias("g"), i.alias("p"), run(i).alias("h"), *([weight(i).alias("c")] if weighed else []))
+        return F.when(F.size(ws) >= g, F.transform(F.sequence(F.lit(0), F.size(ws) - g), struct)).otherwise(F.array().cast(f"array<struct<g:int,p:int,h:bigint{',c:int' if weighed else ''}>>"))
 
-    own = F.coalesce(*(F.when(F.least("m", F.lit(shingle)) == g, placed(F.col("iw"), g)) for g in range(1, shingle + 1)))
+    own = F.coalesce(*(F.when(F.least("m", F.lit(shingle)) == g, placed(F.col("iw"), g, True)) for g in range(1, shingle + 1)))
     total = F.aggregate("own", F.lit(0), lambda t, x: t + x["c"])
-    met = items.select("key", "m", own.alias("own")).select("key", "m", (total * least - 1e-6).alias("need"), F.explode("own").alias("x")).select("key", "m", "need", "x.g", "x.h").distinct()
+    met = items.select("key", "m", own.alias("own")).select("key", "m", (total * least - 1e-6).alias("need"), F.explode("own").alias("x")).select("key", "m", "need", "x.g", "x.h", "x.c").distinct()
     met = broadcast_if_small(checkpointed(met))
     sizes = sorted(r[0] for r in met.select("g").distinct().collect()) or [shingle]  # at most ``shingle`` values
     narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("same"), words(ascii_lower(F.col(text_col))).alias("w"))
@@ -95,7 +95,9 @@ def windows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, shing
     near = near.where("first <= last").select("*", F.explode(F.sequence("first", "last")).alias("start"))
     shared = F.aggregate("hits", F.lit(0), lambda t, x: t + F.when(x["p"] <= F.col("start") + F.col("span"), x["c"]).otherwise(0))
     starts = checkpointed(near.where(shared >= F.col("need")).select(F.col("id").alias("i"), F.col("same").alias("t"), "key", "m", "start"))
-    met_again = narrow.join(broadcast_if_small(starts), F.col("id").eqNullSafe(F.col("i")) & (F.col("same") == F.col("t")))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("same"), F.col(text_col).alias("text"))
+    met_again = texts.join(broadcast_if_small(starts), F.col("id").eqNullSafe(F.col("i")) & (F.col("same") == F.col("t")))
+    met_again = met_again.select("*", words(ascii_lower(F.col("text"))).alias("w"))
     return met_again.select("id", "same", "key", "m", "start", F.array_join(F.slice("w", F.col("start") + 1, "m"), " ").alias("window"))
 
 

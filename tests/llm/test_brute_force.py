@@ -160,6 +160,21 @@ def test_decontamination_between_alignments(spark):
     assert {(r["id"], r["item"]): r["similarity"] for r in found} == pytest.approx(want)
 
 
+def test_decontamination_beyond_any_radius(spark):
+    # Two words that occur equally often tie in many bits, which three other words at the edge turn.
+    rng = np.random.default_rng(5)
+    rows, items = [], []
+    for k in range(300):
+        item = [f"t{k}{x}" for x in rng.permutation(["p", "q"] * 20)]
+        items.append((k, " ".join(item)))
+        rows.append((k, " ".join(["other"] * 3 + item[3:])))
+    want = {(i, i): b for i, t in rows if (b := best_windows(t, items[i][1])) >= 0.8}
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contaminated(docs, bench).collect()
+    assert {(r["id"], r["item"]): r["similarity"] for r in found} == pytest.approx(want)
+    assert max(r["distance"] for r in found) > 19
+
+
 def test_lm(spark, texts):
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts.index}
     c = Counter()
