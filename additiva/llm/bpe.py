@@ -1,8 +1,7 @@
 """BPE encoding and decoding as a streaming transducer with bounded lookahead.
 
 ``sufficient_lookahead`` derives from the merge list how far a later symbol can still change an earlier token; the
-encoder holds that many symbols, emits the tokens before them and continues from the last boundary, so its memory is
-constant however long a text or a run of letters is.
+encoder holds a few times that many symbols, emits the tokens before them and continues from the last boundary.
 
 Why the bound holds. Apply the merges in the order of their ranks to a prefix and to the prefix with more text. Both
 agree up to a boundary, at first the end of the prefix. Merge (u, v) moves that boundary left only if u ends at it
@@ -12,13 +11,17 @@ the heaviest chain of merges with rising ranks, each one's right part beginning
 weighted by the length of left parts. One pass over the list finds it.
 
 Text passes the tokenizer file's own steps (NFC, white space, lower case, split pattern, bytes as characters), with
-special tokens cut out first as the file says. Decoding is incremental too: without a decoder in the file token
-strings are joined by a space; a byte-level decoder goes through ``ByteText``, a UTF-8 state machine that carries an
-unfinished character from token to token and puts U+FFFD for what is no UTF-8.
+special tokens cut out first as the file says. Texts are taken in pieces of at most ``PIECE`` characters, cut before a
+character that composes with nothing before it; a run of letters or symbols that crosses pieces goes on symbol by
+symbol. So besides the text itself, as Arrow holds it, working memory is constant: one piece, the window and a bounded
+memory of words met before. Decoding is incremental too: without a decoder in the file token strings are joined by a
+space; a byte-level decoder goes through ``ByteText``, a UTF-8 state machine that carries an unfinished character from
+piece to piece and puts U+FFFD for what is no UTF-8.
+
+Letters, numbers and white space are those of the tokenizer library's Unicode version (16), lower case of version 17.
 
 Defined cases: a null text is empty and gives no tokens; an empty table gives an empty result; repeated rows are
-encoded row by row; other columns are not read. Letters are those of the regular expression library's Unicode tables,
-which know some hundred more (assigned of late, in scripts hardly used) than the tokenizer library's. Results hold for every text length: nothing is cut.
+encoded row by row; other columns are not read. Results hold for every text length: nothing is cut.
 """
 
 from __future__ import annotations
@@ -26,13 +29,14 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import islice
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +45,72 @@ from additiva.llm.common import table
 #: Words whose tokens are remembered by a worker, and the longest such word; bounds its memory.
 CACHE_WORDS, CACHE_CHARS = 1 << 16, 64
 
-#: Tokens handed on at once.
-BLOCK = 1 << 13
+#: Characters of a text that are looked at in one piece, and tokens of a long run that are handed on at once.
+PIECE, BLOCK = 1 << 16, 1 << 13
+
+#: White space of the Unicode standard, and the letters and numbers that its version 16.0 added to 15.1.
+WHITE_SPACE = "9-D 20 85 A0 1680 2000-200A 2028-2029 202F 205F 3000"
+LETTERS_16 = "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E 11390-113B5 113B7 113D1 113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0"
+NUMBERS_16 = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+#: Lower case of letters of versions 16 and 17: first and last capital, first small letter.
+LOWER_17 = "1C89-1C89:1C8A A7CB-A7CB:264 A7CC-A7CC:A7CD A7CE-A7CE:A7CF A7D2-A7D2:A7D3 A7D4-A7D4:A7D5 A7DA-A7DA:A7DB A7DC-A7DC:19B 10D50-10D65:10D70 16EA0-16EB8:16EBB"
+
+
+def _points(ranges: str) -> list[int]:
+    ends = [(r.split("-")[0], r.split("-")[-1]) for r in ranges.split()]
+    return [c for a, b in ends for c in range(int(a, 16), int(b, 16) + 1)]
+
+
+def _as_class(points: Iterable[int]) -> str:
+    """The code points as ranges of a character class."""
+    ranges: list[list[int]] = []
+    for c in sorted(points):
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
+@cache
+def character_classes(last: int) -> dict[str, str]:
+    """Members of the classes that split patterns use, up to code point ``last``."""
+    kinds: dict[str, set[int]] = {r"\p{L}": set(_points(LETTERS_16)), r"\p{N}": set(_points(NUMBERS_16)), r"\s": set(_points(WHITE_SPACE))}
+    for c in range(last + 1):
+        kind = rf"\p{{{unicodedata.category(chr(c))[0]}}}"
+        if kind in kinds:
+            kinds[kind].add(c)
+    return {k: _as_class(c for c in points if c <= last) for k, points in kinds.items()}
+
+
+def compiled(pattern: str, last: int) -> re.Pattern:
+    """A split pattern with its classes spelled out, for texts whose code points go up to ``last``."""
+    classes, parts, inside = character_classes(last), [], False
+    for m in re.finditer(r"\\p\{[LN]\}|\\s|\\.|.", pattern, re.DOTALL):
+        piece = m.group()
+        if piece in classes:
+            parts.append(classes[piece] if inside else f"[{classes[piece]}]")
+        elif re.fullmatch(r"\\[a-zA-Z]", piece):
+            raise ValueError(f"unknown class {piece}")
+        else:
+            inside = piece == "[" or inside and piece != "]"
+            parts.append(piece)
+    return re.compile("".join(parts))
+
+
+_LATE = {a + k: b + k for r in LOWER_17.split() for a, z, b in [[int(x, 16) for x in re.split("[-:]", r)]] for k in range(z - a + 1)}
+_ANY_LATE = re.compile(f"[{_as_class(_LATE)}]")
+
+
+def lower(text: str) -> str:
+    """Each character by itself: no final form of sigma."""
+    text = text.replace("Σ", "σ").lower()
+    return text if text.isascii() or not _ANY_LATE.search(text) else text.translate(_LATE)
+
+
+def _joins(c: str) -> bool:
+    """Whether a character may compose with one before it: marks, and vowels and finals of Hangul syllables and Kirat Rai."""
+    return unicodedata.category(c)[0] == "M" or 0x1160 <= ord(c) <= 0x11FF or 0x16D40 <= ord(c) <= 0x16D6C
 
 
 def byte_characters() -> dict[int, str]:
@@ -76,6 +144,22 @@ class ByteText:
         return self._state.decode(b"", True)
 
 
+class Words(dict):
+    """Words met before: (ids, ids as text, bytes of the decoded text). Two generations keep the frequent ones and bound the memory."""
+
+    def __init__(self, encode) -> None:
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, w: str):
+        found = self.old.get(w) or self.encode(w)
+        if len(w) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[w] = found
+        return found
+
+
 class Transducer:
     """Encoder and decoder of one tokenizer file (its JSON text)."""
 
@@ -94,10 +178,10 @@ class Transducer:
         if any(a["normalized"] or a["lstrip"] or a["rstrip"] or a["single_word"] for a in added.values()):
             raise ValueError("only plain special tokens are supported")
         self.added = {s: a["id"] for s, a in added.items()}
-        self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.strings = {k: s for s, k in self.ids.items()} | {k: s for s, k in self.added.items()}
+        self.split, self.bytes_as_chars = self._splitter(t.get("pre_tokenizer"))
         self.steps = self._normalizers(t.get("normalizer"))
-        self.pattern, self.bytes_as_chars = self._splitter(t.get("pre_tokenizer"))
         kind = (t.get("decoder") or {}).get("type")
         if kind not in (None, "ByteLevel"):
             raise ValueError(f"unknown decoder {kind}")
@@ -107,60 +191,122 @@ class Transducer:
             self.pieces = {k: bytes(values[c] for c in s) if all(c in values for c in s) else s.encode() for k, s in self.strings.items()}
         else:
             self.pieces = {k: b" " + s.encode() for k, s in self.strings.items()}
-        self.young: dict[str | int, tuple[int, ...]] = {}
-        self.old: dict[str | int, tuple[int, ...]] = {}
+        self.known = Words(self.encode_word)
 
-    @staticmethod
-    def _normalizers(n: dict | None) -> list:
+    def _normalizers(self, n: dict | None) -> list:
         steps = []
         for s in (n or {}).get("normalizers", [n] if n else []):
             if s["type"] == "NFC":
                 steps.append(lambda x: unicodedata.normalize("NFC", x))
-            elif s["type"] == "Lowercase":  # each character by itself: no final form of sigma
-                steps.append(lambda x: x.replace("Σ", "σ").lower())
-            elif s["type"] == "Replace":
-                steps.append(lambda x, p=regex.compile(s["pattern"]["Regex"]), c=s["content"]: p.sub(lambda _: c, x))
+            elif s["type"] == "Lowercase":
+                steps.append(lower)
+            elif s["type"] == "Replace" and (s["pattern"].get("Regex"), s["content"]) == (r"\s+", " "):
+                # No word holds white space, so its amount decides nothing.
+                if not self.split or any(self.pattern("").search(chr(c)) for c in _points(WHITE_SPACE)) or " " in self.split:
+                    steps.append(lambda x, p=compiled(r"\s+", 0x10FFFF): p.sub(" ", x))
             else:
                 raise ValueError(f"unknown normalizer {s['type']}")
         return steps
 
     @staticmethod
-    def _splitter(p: dict | None):
+    def _splitter(p: dict | None) -> tuple[str | None, bool]:
         pattern, as_chars = None, False
         for s in (p or {}).get("pretokenizers", [p] if p else []):
             if s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"] or s["type"] == "Split" and s["behavior"] == "Isolated" and not s["invert"]:
-                pattern = regex.compile(s["pattern"]["Regex"])
+                pattern = s["pattern"]["Regex"]
             elif s["type"] == "ByteLevel" and not s.get("use_regex") and not s.get("add_prefix_space"):
                 as_chars = True
             else:
                 raise ValueError(f"unknown pre-tokenizer {s}")
         return pattern, as_chars
 
-    def words(self, text: str) -> Iterator[str | int]:
-        """Words in order; ids for special tokens."""
+    @lru_cache(maxsize=2)  # noqa: B019  the transducer itself is cached
+    def _compiled(self, last: int) -> tuple[re.Pattern, list[re.Pattern]]:
+        """The split pattern, and those of its alternatives that are runs of one class."""
+        return compiled(self.split, last), [compiled(r, last) for r in re.findall(r"\[[^\]]*\]\+", self.split)]
+
+    def pattern(self, text: str) -> re.Pattern:
+        """The split pattern for the text: a smaller one if it has no code point above U+FFFF."""
+        return self._compiled(0xFFFF if text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else 0x10FFFF)[0]
+
+    def _normal(self, text: str) -> str:
+        for step in self.steps:
+            text = step(text)
+        return text
+
+    def _normal_pieces(self, text: str, at: int, end: int) -> Iterator[str]:
+        while end - at > PIECE:
+            cut = max(text.rfind(" ", at + 1, at + PIECE), text.rfind("\n", at + 1, at + PIECE))
+            if cut < 0:
+                cut = at + PIECE
+                while cut < end and _joins(text[cut]):
+                    cut += 1
+            yield self._normal(text[at:cut])
+            at = cut
+        yield self._normal(text[at:end])
+
+    def words(self, text: str) -> Iterator[list[str] | int | Iterator[str]]:
+        """In order: lists of words, ids of special tokens, and parts of a run too long for one piece."""
         at = 0
         for m in self.special.finditer(text) if self.special else ():
-            yield from self._plain(text[at : m.start()])
+            yield from self._plain(text, at, m.start())
             yield self.added[m.group()]
             at = m.end()
-        yield from self._plain(text[at:])
-
-    def _plain(self, text: str) -> Iterable[str]:
-        for step in self.steps:
-            text = step(text)
-        if not self.pattern:
-            return [text] if text else []
-        return self.pattern.findall(text) if len(text) < 1 << 16 else (m.group() for m in self.pattern.finditer(text))
-
-    def symbols(self, word: str) -> Iterator[str]:
-        for c in word:
-            if self.bytes_as_chars:
-                yield from map(self.chars.__getitem__, c.encode())
-            else:
-                yield c
+        yield from self._plain(text, at, len(text))
+
+    def _plain(self, text: str, at: int, end: int) -> Iterator[list[str] | Iterator[str]]:
+        if not self.split:
+            if at < end:
+                yield self._normal_pieces(text, at, end)
+            return
+        if end - at <= PIECE:
+            held = self._normal(text[at:end])
+            yield self.pattern(held).findall(held)
+            return
+        held, pieces = "", self._normal_pieces(text, at, end)
+        for piece in pieces:
+            if not held or piece[:1] in " \n":
+                if held:
+                    yield self.pattern(held).findall(held)
+                held = piece
+                continue
+            found = self.pattern(held).findall(held)
+            last = found.pop() if found and held.endswith(found[-1]) else ""
+            yield found
+            run = next((r for r in self._compiled(0x10FFFF)[1] if len(last) >= PIECE // 2 and r.fullmatch(last)), None)
+            if not run:
+                held = last + piece
+                continue
+            rest: list[str] = [piece]
+
+            def parts(run=run, last=last, rest=rest):
+                yield last
+                while rest[0]:
+                    more = run.match(rest[0])
+                    if not more:
+                        return
+                    yield more.group()
+                    rest[0] = rest[0][more.end() :] or next(pieces, "")
+
+            yield parts()
+            held = rest[0]
+        if held:
+            yield self.pattern(held).findall(held)
+
+    def symbols(self, parts: Iterable[str]) -> Iterator[str]:
+        for part in parts:
+            for c in part:
+                if self.bytes_as_chars:
+                    yield from map(self.chars.__getitem__, c.encode())
+                else:
+                    yield c
 
     def merge(self, parts: list[str]) -> list[str]:
-        """The merges of lowest rank first, leftmost first; ranks of neighbours are kept and mended around each merge."""
+        """The merges of lowest rank first, leftmost first."""
+        return self._merge_few(parts) if len(parts) <= 48 else self._merge_many(parts)
+
+    def _merge_few(self, parts: list[str]) -> list[str]:
+        """Ranks of neighbours are kept and mended around each merge."""
         rank, none = self.ranks.get, len(self.ranks)
         ranks = [rank(p, none) for p in zip(parts, parts[1:], strict=False)]
         while ranks and (best := min(ranks)) < none:
@@ -173,10 +319,38 @@ class Transducer:
                 ranks[k] = rank((parts[k], parts[k + 1]), none)
         return parts
 
+    def _merge_many(self, parts: list[str]) -> list[str]:
+        """A heap of (rank, place) over linked places; entries whose pair has changed are skipped."""
+        rank, n = self.ranks.get, len(parts)
+        ranks = [rank(p, -1) for p in zip(parts, parts[1:], strict=False)] + [-1]
+        heap = [r * n + k for k, r in enumerate(ranks) if r >= 0]
+        heapify(heap)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            r, k = divmod(heappop(heap), n)
+            if ranks[k] != r:
+                continue
+            gone = after[k]
+            parts[k] += parts[gone]
+            ranks[gone], parts[gone] = -1, ""
+            right = after[k] = after[gone]
+            ranks[k] = -1
+            if right < n:
+                before[right] = k
+                ranks[k] = r = rank((parts[k], parts[right]), -1)
+                if r >= 0:
+                    heappush(heap, r * n + k)
+            left = before[k]
+            if left >= 0:
+                ranks[left] = r = rank((parts[left], parts[k]), -1)
+                if r >= 0:
+                    heappush(heap, r * n + left)
+        return [p for p in parts if p]
+
     def stream(self, symbols: Iterator[str]) -> Iterator[str]:
-        """Tokens of one word as soon as they are stable. Holds at most twice the lookahead and one token more."""
+        """Tokens of one word as soon as they are stable. Holds at most eight times the lookahead and one token more."""
         window, ended = [], False
-        room = 2 * self.lookahead + 64
+        room = 8 * self.lookahead + 64
         while not ended:
             more = list(islice(symbols, room + 1 - len(window)))
             window += more
@@ -197,55 +371,46 @@ class Transducer:
                 room *= 2  # cannot happen while a token is shorter than the room beyond the lookahead
             window = window[at:]
 
-    def encode_word(self, word: str) -> tuple[int, ...]:
-        """Ids of a word that is shorter than the lookahead: its end is in sight, so one window holds it."""
-        parts = [self.chars[b] for b in word.encode()] if self.bytes_as_chars else list(word)
-        parts[-1] += self.suffix
-        return tuple(map(self.ids.__getitem__, self.merge(parts)))
+    def _triple(self, ids: tuple[int, ...]) -> tuple[tuple[int, ...], str, bytes]:
+        return ids, " ".join(map(str, ids)), b"".join(map(self.pieces.__getitem__, ids))
+
+    def encode_word(self, word: str) -> tuple[tuple[int, ...], str, bytes]:
+        return self._triple(tuple(map(self.ids.__getitem__, self.stream(self.symbols([word])))))
 
     def forget(self) -> None:
         """Gives back the memory of remembered words: a worker goes on to other tasks."""
-        self.young, self.old = {}, {}
-
-    def _missed(self, w: str | int) -> tuple[int, ...]:
-        """Ids of a word that is not among the young ones; two generations keep frequent words and bound the memory."""
-        ids = self.old.get(w)
-        if ids is None:
-            ids = (w,) if isinstance(w, int) else self.encode_word(w)
-        if len(self.young) >= CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        self.young[w] = ids
-        return ids
+        self.known = Words(self.encode_word)
 
-    def encode(self, text: str | None) -> Iterator[list[int]]:
-        """Ids in blocks."""
-        block: list[int] = []
+    def blocks(self, text: str | None) -> Iterator[list[tuple[tuple[int, ...], str, bytes]]]:
+        """Blocks of (ids, ids as text, bytes of the decoded text)."""
+        known = self.known.__getitem__
         for w in self.words(text or ""):
-            ids = self.young.get(w)
-            if ids is not None:
-                block += ids
-            elif isinstance(w, int) or len(w) <= CACHE_CHARS:
-                block += self._missed(w)
+            if isinstance(w, int):
+                yield [self._triple((w,))]
+            elif isinstance(w, list):
+                if w:
+                    yield list(map(known, w))
             else:
-                for token in self.stream(self.symbols(w)):
-                    block.append(self.ids[token])
-                    if len(block) >= BLOCK:
-                        yield block
-                        block = []
-            if len(block) >= BLOCK:
-                yield block
-                block = []
-        if block:
-            yield block
+                tokens = self.stream(self.symbols(w))
+                while ids := tuple(self.ids[t] for t in islice(tokens, BLOCK)):
+                    yield [self._triple(ids)]
+
+    def encode(self, text: str | None) -> Iterator[list[int]]:
+        """Ids in blocks."""
+        for block in self.blocks(text):
+            yield [i for ids, _, _ in block for i in ids]
 
     def decode(self, blocks: Iterable[list[int]]) -> Iterator[str]:
         """Text in chunks."""
+        return self.text_of(b"".join(map(self.pieces.__getitem__, ids)) for ids in blocks)
+
+    def text_of(self, data: Iterable[bytes]) -> Iterator[str]:
+        """The decoded text of the bytes of tokens, in chunks."""
         state, first = ByteText(), not self.byte_decoder
-        for ids in blocks:
-            data = b"".join(map(self.pieces.__getitem__, ids))
-            if first and data:
-                data, first = data[1:], False
-            yield state.feed(data)
+        for part in data:
+            if first and part:
+                part, first = part[1:], False
+            yield state.feed(part)
         yield state.end()
 
 
@@ -262,20 +427,20 @@ def round_trip(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(spec)
-        numbers = {k: str(k) for k in t.strings}
         for b in batches:
             counts, id_sums, text_sums = [], [], []
             for text in b.column(1).to_pylist():
                 n, id_sum, text_sum = 0, hashlib.sha256(), hashlib.sha256()
 
-                def observed(blocks):
+                def decoded(blocks):
                     nonlocal n
-                    for ids in blocks:
-                        id_sum.update(((" " if n else "") + " ".join(map(numbers.__getitem__, ids))).encode())  # noqa: B023
-                        n += len(ids)
-                        yield ids
+                    for block in blocks:
+                        ids, numbers, data = zip(*block, strict=True)
+                        id_sum.update(((" " if n else "") + " ".join(numbers)).encode())  # noqa: B023
+                        n += sum(map(len, ids))
+                        yield b"".join(data)
 
-                for chunk in t.decode(observed(t.encode(text))):
+                for chunk in t.text_of(decoded(t.blocks(text))):
                     text_sum.update(chunk.encode())
                 counts.append(n)
                 id_sums.append(id_sum.hexdigest())

@@ -74,12 +74,15 @@ def tokenizers_pair():
     return bpe.Transducer(bpe.tokenizer_spec()), theirs
 
 
-def same(pair, text):
+def is_same(pair, text):
     ours, theirs = pair
     ids = theirs.encode(text, add_special_tokens=False).ids
     blocks = list(ours.encode(text))
-    assert [i for b in blocks for i in b] == ids
-    assert "".join(ours.decode(blocks)) == theirs.decode(ids, skip_special_tokens=False)
+    return [i for b in blocks for i in b] == ids and "".join(ours.decode(blocks)) == theirs.decode(ids, skip_special_tokens=False)
+
+
+def same(pair, text):
+    assert is_same(pair, text)
 
 
 def test_bpe_texts(tokenizers_pair, texts):
@@ -95,11 +98,35 @@ def test_bpe_random(tokenizers_pair, text):
     same(tokenizers_pair, text)
 
 
+def test_bpe_all_code_points(tokenizers_pair):
+    around = lambda c: f"a{chr(c)}b {chr(c)}"
+    for at in [*range(0, 0x32000, 512), 0xE0000, 0xF0000, 0x10FE00]:
+        text = " ".join(around(c) for c in range(at, at + 512) if not 0xD800 <= c < 0xE000)
+        assert is_same(tokenizers_pair, text), hex(at)
+
+
+@pytest.mark.parametrize("text", ["x" * 200_000, "中文字" * 50_000, "!'" * 70_000 + "s 's", "é" * 70_000 + "!" * 70_000 + "'s", "e" + "\u0301" * 70_000 + "a", "abc " * 60_000, "ab'" * 60_000, "1" * 150_000, "ᄀ" + "ᅡ" * 70_000, "the<|endoftext|>" * 9_000, "'" * 65_536 + "s", "가" * 90_000 + "ᆨ"])
+def test_bpe_across_pieces(tokenizers_pair, text):
+    same(tokenizers_pair, text)
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.sampled_from("abeinrsthgo"), min_size=900, max_size=4000).map("".join))
+@given(st.lists(st.sampled_from("abeinrsthgo"), min_size=900, max_size=9000).map("".join))
 def test_bpe_streams_long_words(tokenizers_pair, word):
     ours, _ = tokenizers_pair
-    assert tuple(ours.ids[t] for t in ours.stream(ours.symbols(word))) == ours.encode_word(word)
+    whole = list(word)
+    whole[-1] += ours.suffix
+    assert list(ours.stream(ours.symbols([word]))) == ours._merge_many(list(whole))
+    assert ours._merge_few(whole[-300:]) == ours._merge_many(whole[-300:])
+
+
+def test_bpe_word_memory():
+    calls = []
+    words = bpe.Words(lambda w: calls.append(w) or ((1,), "1", b"x"))
+    for k in range(2 * bpe.CACHE_WORDS + 5):
+        assert words[f"w{k}"] and words["often"]
+    assert calls.count("often") == 1 and len(words) + len(words.old) <= 2 * bpe.CACHE_WORDS
+    assert words["long" * 50] and "long" * 50 not in words
 
 
 def test_lookahead_of_a_chain():
