@@ -1,13 +1,20 @@
-"""Benchmark decontamination with item-sized windows, verified exactly.
+"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
-Every benchmark item is compared with windows of its own number of words, by the exact weighted similarity: sum of the
-smaller over sum of the larger multiplicities of five-word shingles, a shingle weighing its characters. A window can
-reach the similarity only if the places where it has one of the item's shingles weigh that share of the item. All
-windows for which they do are compared, wherever they start; no other can reach it. A 64-bit SimHash of the words only
-gives the distance reported: as a filter, any radius loses some pairs.
+Every benchmark item is compared with windows of its own number of words by the weighted similarity: sum of the smaller
+over sum of the larger multiplicities of five-word shingles, a shingle weighing its characters.
+
+1. Windows. A window can reach the similarity only if the places where it has one of the item's shingles weigh that
+   share of the item. Every start for which they do is a window, wherever it lies; no other can reach it.
+2. Fingerprints. Distinct windows and items get a 64-bit SimHash of the same weighted shingles that the similarity uses.
+3. Multi-index blocks. Cut into ``RADIUS + 1`` blocks, two fingerprints within ``RADIUS`` bits agree on one block at
+   least, so an equi-join on (words, block, value) finds all of them. Blocks of 8 bits keep that join selective.
+4. The rest. No radius holds all pairs of similarity 0.8 (they differ in some 10 bits on average, in over 20 at times,
+   and blocks for such a radius would meet nearly every item). So pairs of step 1 beyond the radius are verified as well.
+5. Verification. Shingle counts of windows and items are joined and the similarity is computed exactly, once for each
+   distinct window (shingles are told apart by 64-bit hashes, windows by MD5).
 
 Everything is DataFrame functions. Document shingles stream through the scan's own stage into the (broadcast if
-counted small) benchmark shingles; only hits are shuffled, and equal windows of many documents are verified once.
+counted small) benchmark shingles; only hits are shuffled, without texts, and texts with hits are read again.
 
 Defined cases: a null or blank item or text matches nothing. An item of fewer than five words has one shingle, the
 whole item. A window that would cross an end of its document is moved inside; a shorter document is one window.
@@ -18,100 +25,121 @@ untouched, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from additiva.llm.common import ascii_lower, broadcast_if_small, checkpointed, table, unused, words
 
-SHINGLE, SIMILARITY = 5, 0.8
-#: Four 16-bit counters in a long.
-_LANES = 0x0001000100010001
+SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 7
+
+
+def _run(ws: str, at: Column, g: int) -> tuple[Column, Column]:
+    """Hash and weight (characters, with the blanks between) of ``g`` words."""
+    each = [F.get(F.col(ws), at + j) for j in range(g)]
+    return F.xxhash64(*each), reduce(lambda x, y: x + y, (F.length(w) for w in each), F.lit(g - 1))
+
+
+def runs(df: DataFrame, ws: str, sizes: list[int], keep: list[str], weighed: bool = True) -> DataFrame:
+    """(*keep, g, p, h, c): size, place, hash and weight of every run of ``sizes`` words. Compiled after the explode, not by lambdas."""
+    n = F.size(ws)
+    placed = df.where(n >= min(sizes)).select(*keep, ws, F.explode(F.sequence(F.lit(0), n - min(sizes))).alias("p"))
+    parts = []
+    for g in sizes:
+        h, c = _run(ws, F.col("p"), g)
+        parts.append(F.struct(F.lit(g).alias("g"), h.alias("h"), *([c.alias("c")] if weighed else [])))
+    if len(parts) == 1:
+        return placed.select(*keep, "p", parts[0].alias("x")).select(*keep, "p", "x.*")
+    return placed.where("p >= 0").select(*keep, ws, "p", F.explode(F.array(*parts)).alias("x")).where(F.col("p") + F.col("x.g") <= F.size(ws)).select(*keep, "p", "x.*")
+
+
+def shingle_sizes(items: DataFrame) -> list[int]:
+    """The sizes of shingles that items have, at most ``SHINGLE`` values."""
+    return sorted(r[0] for r in items.select(F.least("m", F.lit(SHINGLE)).alias("g")).distinct().collect()) or [SHINGLE]
 
 
-def _shingles(ws: Column, size: Column | int) -> Column:
-    """Space-joined shingles; a sequence of fewer words is one shingle."""
-    size = F.lit(size) if isinstance(size, int) else size
-    many = F.transform(F.sequence(F.lit(1), F.size(ws) - size + 1), lambda i: F.array_join(F.slice(ws, i, size), " "))
-    return F.when(F.size(ws) == 0, F.array().cast("array<string>")).when(F.size(ws) <= size, F.array(F.array_join(ws, " "))).otherwise(many)
+def shingle_counts(df: DataFrame, key: str, ws: str, sizes: list[int]) -> DataFrame:
+    """(key, h, n, c): the shingles of each text, with multiplicity and weight. A text shorter than a shingle is one."""
+    dealt = runs(df.withColumn("__g", F.least(F.size(ws), F.lit(SHINGLE))), ws, sizes, [key, "__g"]).where("g = __g")
+    return dealt.repartition(key).groupBy(key, "h").agg(F.count("*").alias("n"), F.first("c").alias("c"))
 
 
-def simhash(ws: Column) -> Column:
-    """A bit is set if it is set in over half of the words' hashes. Counts are kept in 16 longs of four lanes (up to 65,535 words)."""
-    hashes = F.transform(ws, lambda w: F.xxhash64(w))
+def fingerprints(counts: DataFrame, key: str) -> DataFrame:
+    """(key, total, fp): a bit is set if the shingles whose hashes have it weigh over half of the text."""
+    w = F.col("n") * F.col("c")
+    sums = [F.sum(F.when(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(1)) == 1, w).otherwise(0)).alias(f"b{k}") for k in range(64)]
+    bit = lambda k: F.when(2 * F.col(f"b{k}") > F.col("total"), F.lit((1 << k) - (1 << 64) if k == 63 else 1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
+    return counts.groupBy(key).agg(F.sum(w).alias("total"), *sums).select(key, "total", reduce(lambda x, y: x.bitwiseOR(y), map(bit, range(64))).alias("fp"))
 
-    def lane(k: int):
-        return lambda a, x: a + F.shiftrightunsigned(x, k).bitwiseAND(F.lit(_LANES))
 
-    sums = [F.aggregate(hashes, F.lit(0).cast("long"), lane(k)) for k in range(16)]
-    bits = F.lit(0).cast("long")
-    for k, s in enumerate(sums):
-        for j in range(4):
-            count = F.shiftrightunsigned(s, 16 * j).bitwiseAND(F.lit(0xFFFF))
-            value = 1 << (k + 16 * j)
-            bits = bits.bitwiseOR(F.when(2 * count > F.size(ws), F.lit(value - (1 << 64) if value >> 63 else value)).otherwise(F.lit(0)).cast("long"))
-    return bits
+def blocks(fp: Column, radius: int = RADIUS) -> Column:
+    """The fingerprint's blocks; two fingerprints within ``radius`` bits share one at least."""
+    ends = [64 * k // (radius + 1) for k in range(radius + 2)]
+    return F.array(*(F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(ends, ends[1:], strict=False)))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Weighted similarity of two multisets of shingles."""
-    count = lambda xs, s: F.size(F.filter(xs, lambda x: x == s))
-    both = F.array_union(a, b)
-    total = lambda pick: F.aggregate(F.transform(both, lambda s: F.length(s) * pick(count(a, s), count(b, s))), F.lit(0), lambda x, y: x + y)
-    return total(F.least) / total(F.greatest)
+def near_pairs(windows: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(wid, key) of windows (wid, m, fp) and items (key, m, fp) of equal size within ``radius`` bits."""
+    keyed = items.select("key", "m", F.col("fp").alias("ifp"), F.posexplode(blocks(F.col("fp"), radius)).alias("k", "v"))
+    met = windows.select("wid", "m", "fp", F.posexplode(blocks(F.col("fp"), radius)).alias("k", "v")).join(broadcast_if_small(keyed), ["m", "k", "v"])
+    return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius).select("wid", "key").distinct()
 
 
 def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item, key, iw, m): words of the items; equal texts have one key."""
     items = benchmark.select(F.col(id_col).alias("item"), words(ascii_lower(F.col(text_col))).alias("iw")).where("size(iw) > 0")
-    return checkpointed(items.distinct().withColumn("m", F.size("iw")))
+    return checkpointed(items.distinct().withColumn("m", F.size("iw")).withColumn("key", F.xxhash64(F.array_join("iw", " "))))
 
 
-def windows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
-    """(id, same, key, m, start, window): every window of an item's size whose shared shingles weigh enough for ``least``.
+def windows(docs: DataFrame, items: DataFrame, counts: DataFrame, sizes: list[int], id_col: str, text_col: str, least: float = SIMILARITY) -> DataFrame:
+    """(id, same, key, m, start, wid, ww): every window of an item's size whose shared shingles weigh enough for ``least``.
 
-    ``items`` are (key, iw, m), one row for each text. A window's shared weight is at most that of its places whose
-    shingle the item has, and similarity ``least`` needs ``least`` of the item's weight, so no window is missed.
+    ``items`` are (key, iw, m), one row for each text, ``counts`` their shingles. A window's shared weight is at most
+    that of its places whose shingle the item has, and similarity ``least`` needs that share of the item's weight.
     """
-    def placed(ws: Column, g: int, weighed: bool = False) -> Column:
-        """Hash, place and, if asked for, weight of every run of ``g`` words."""
-        run = lambda i: F.xxhash64(*(F.get(ws, i + j) for j in range(g)))
-        weight = lambda i: sum((F.length(F.get(ws, i + j)) for j in range(g)), F.lit(g - 1))
-        struct = lambda i: F.struct(F.lit(g).alias("g"), i.alias("p"), run(i).alias("h"), *([weight(i).alias("c")] if weighed else []))
-        return F.when(F.size(ws) >= g, F.transform(F.sequence(F.lit(0), F.size(ws) - g), struct)).otherwise(F.array().cast(f"array<struct<g:int,p:int,h:bigint{',c:int' if weighed else ''}>>"))
-
-    own = F.coalesce(*(F.when(F.least("m", F.lit(shingle)) == g, placed(F.col("iw"), g, True)) for g in range(1, shingle + 1)))
-    total = F.aggregate("own", F.lit(0), lambda t, x: t + x["c"])
-    met = items.select("key", "m", own.alias("own")).select("key", "m", (total * least - 1e-6).alias("need"), F.explode("own").alias("x")).select("key", "m", "need", "x.g", "x.h", "x.c").distinct()
+    need = counts.groupBy("key").agg((F.sum(F.col("n") * F.col("c")) * least - 1e-6).alias("need"))
+    met = counts.select("key", "h", "c").join(need, "key").join(items.select("key", "m"), "key").withColumn("g", F.least("m", F.lit(SHINGLE)))
     met = broadcast_if_small(checkpointed(met))
-    sizes = sorted(r[0] for r in met.select("g").distinct().collect()) or [shingle]  # at most ``shingle`` values
-    narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("same"), words(ascii_lower(F.col(text_col))).alias("w"))
-    each = narrow.select("id", "same", F.size("w").alias("n"), F.explode(F.concat(*(placed(F.col("w"), g) for g in sizes))).alias("x")).select("id", "same", "n", "x.*")
-    hits = each.join(met, ["g", "h"])
+    narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("same"), words(ascii_lower(F.col(text_col))).alias("w")).withColumn("total", F.size("w"))
+    hits = runs(narrow, "w", sizes, ["id", "same", "total"], weighed=False).join(met, ["g", "h"])
     # A group is what one document shares with one item. Starts are sought for each place as the leftmost hit of a window.
-    by_item = hits.groupBy("id", "same", "key", "m", "n", "g", "need").agg(F.array_sort(F.collect_set(F.struct("p", "c"))).alias("hits"))
+    by_item = hits.groupBy("id", "same", "key", "m", "total", "g", "need").agg(F.array_sort(F.collect_set(F.struct("p", "c"))).alias("hits"))
     by_item = by_item.where(F.aggregate("hits", F.lit(0), lambda t, x: t + x["c"]) >= F.col("need")).withColumn("span", F.col("m") - F.col("g"))
-    near = by_item.select("id", "same", "key", "m", "n", "need", "span", "hits", F.posexplode("hits").alias("k", "x"))
+    near = by_item.select("id", "same", "key", "m", "total", "need", "span", "hits", F.posexplode("hits").alias("k", "x"))
     before = F.coalesce(F.when(F.col("k") > 0, F.get("hits", F.col("k") - 1)["p"]), F.lit(-1))
-    near = near.select("id", "same", "key", "m", "need", "span", F.slice("hits", F.col("k") + 1, F.col("span") + 1).alias("hits"), F.greatest(before + 1, F.col("x.p") - F.col("span")).alias("first"), F.least(F.col("x.p"), F.greatest(F.lit(0), F.col("n") - F.col("m"))).alias("last"))
+    near = near.select("id", "same", "key", "m", "need", "span", F.slice("hits", F.col("k") + 1, F.col("span") + 1).alias("hits"), F.greatest(before + 1, F.col("x.p") - F.col("span")).alias("first"), F.least(F.col("x.p"), F.greatest(F.lit(0), F.col("total") - F.col("m"))).alias("last"))
     near = near.where("first <= last").select("*", F.explode(F.sequence("first", "last")).alias("start"))
     shared = F.aggregate("hits", F.lit(0), lambda t, x: t + F.when(x["p"] <= F.col("start") + F.col("span"), x["c"]).otherwise(0))
-    starts = checkpointed(near.where(shared >= F.col("need")).select(F.col("id").alias("i"), F.col("same").alias("t"), "key", "m", "start"))
+    # All starts of a document travel together, so that its words are found once.
+    starts = near.where(shared >= F.col("need")).groupBy("id", "same").agg(F.collect_set(F.struct("key", "m", "start")).alias("starts")).toDF("i", "t", "starts")
+    starts = broadcast_if_small(checkpointed(starts), 50_000)
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("same"), F.col(text_col).alias("text"))
-    met_again = texts.join(broadcast_if_small(starts), F.col("id").eqNullSafe(F.col("i")) & (F.col("same") == F.col("t")))
-    met_again = met_again.select("*", words(ascii_lower(F.col("text"))).alias("w"))
-    return met_again.select("id", "same", "key", "m", "start", F.array_join(F.slice("w", F.col("start") + 1, "m"), " ").alias("window"))
+    again = texts.join(starts, F.col("id").eqNullSafe(F.col("i")) & (F.col("same") == F.col("t")))
+    again = again.dropDuplicates(["id", "same"]).select("id", "same", words(ascii_lower(F.col("text"))).alias("w"), "starts")
+    again = again.select("id", "same", "w", F.explode("starts").alias("x")).select("id", "same", "x.*", F.expr("slice(w, x.start + 1, x.m)").alias("ww"))
+    return again.withColumn("wid", F.md5(F.array_join("ww", " ")))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(id, same, item, start, m, distance, similarity): the best window of each document for each item it contains."""
-    named = items_of(benchmark).withColumn("key", F.xxhash64(F.array_join("iw", " ")))
+    named = items_of(benchmark)
     items = checkpointed(named.select("key", "iw", "m").dropDuplicates(["key"]))
-    found = checkpointed(windows(docs, items, id_col, text_col, SHINGLE, least))
-    distinct = found.select("key", "window").distinct().join(broadcast_if_small(items.select("key", "iw")), "key").withColumn("ww", F.split("window", " "))
-    exact = distinct.withColumn("similarity", similarity(_shingles(F.col("ww"), SHINGLE), _shingles(F.col("iw"), SHINGLE))).where(F.col("similarity") >= least)
-    exact = exact.select("key", "window", "similarity", F.bit_count(simhash(F.col("ww")).bitwiseXOR(simhash(F.col("iw")))).alias("distance"))
-    pairs = found.join(exact, ["key", "window"]).join(broadcast_if_small(named.select("key", "item")), "key")
+    sizes = shingle_sizes(items)
+    own = checkpointed(shingle_counts(items, "key", "iw", sizes))
+    marks = checkpointed(fingerprints(own, "key").join(items.select("key", "m"), "key"))
+    found = checkpointed(windows(docs, items, own, sizes, id_col, text_col, least))
+    distinct = found.select("wid", "m", "ww").dropDuplicates(["wid"])
+    counts = checkpointed(shingle_counts(distinct, "wid", "ww", sizes))
+    prints = checkpointed(fingerprints(counts, "wid").join(found.select("wid", "m").distinct(), "wid"))
+    near = near_pairs(prints, marks, radius)
+    pairs = near.union(found.select("wid", "key").distinct().join(near, ["wid", "key"], "left_anti"))
+    shared = pairs.join(counts, "wid").join(broadcast_if_small(own.select("key", "h", F.col("n").alias("k"))), ["key", "h"]).groupBy("wid", "key").agg(F.sum(F.col("c") * F.least("n", "k")).alias("shared"))
+    sides = shared.join(prints.select("wid", "total", "fp"), "wid").join(broadcast_if_small(marks.select("key", F.col("total").alias("itotal"), F.col("fp").alias("ifp"))), "key")
+    exact = sides.select("wid", "key", (F.col("shared") / (F.col("total") + F.col("itotal") - F.col("shared"))).alias("similarity"), F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))).alias("distance")).where(F.col("similarity") >= least)
+    met = found.select("id", "same", "key", "m", "start", "wid").join(exact, ["wid", "key"]).join(broadcast_if_small(named.select("key", "item")), "key")
     best = F.max(F.struct("similarity", (-F.col("start")).alias("before"), "m", (-F.col("distance")).alias("close"))).alias("b")
-    return pairs.groupBy("id", "same", "item").agg(best).select("id", "same", "item", (-F.col("b.before")).alias("start"), F.col("b.m").alias("m"), (-F.col("b.close")).alias("distance"), F.col("b.similarity").alias("similarity"))
+    return met.groupBy("id", "same", "item").agg(best).select("id", "same", "item", (-F.col("b.before")).alias("start"), F.col("b.m").alias("m"), (-F.col("b.close")).alias("distance"), F.col("b.similarity").alias("similarity"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,13 +157,13 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: All item-sized windows that share a shingle with an item, compared exactly, without fingerprints. Items have five words at least there.
+#: Every item-sized window, at whatever start, that shares a shingle with an item of its size, compared exactly, without fingerprints. Items have five words at least there.
 OP3_SQL = rf"""
 WITH b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
 d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 bs AS (SELECT item_id, len(w) AS m, i - 1 AS q, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM b WHERE len(w) >= 5)),
 ds AS (SELECT doc_id, len(w) AS n, i - 1 AS p, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
-hits AS (SELECT DISTINCT doc_id, m, greatest(0, least(p - q, n - m)) AS start FROM ds JOIN (SELECT DISTINCT m, q, s FROM bs) USING (s)),
+hits AS (SELECT DISTINCT doc_id, m, start FROM (SELECT doc_id, m, unnest(range(greatest(0, p - m + 5), least(p, greatest(0, n - m)) + 1)) AS start FROM ds JOIN (SELECT DISTINCT m, s FROM bs) USING (s))),
 win AS (SELECT hits.*, d.w[start + 1:start + m] AS ww FROM hits JOIN d USING (doc_id)),
 wg AS (SELECT doc_id, m, start, array_to_string(ww[i:i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(ww) - 3)) AS i FROM win)),
 wc AS (SELECT doc_id, m, start, s, count(*) AS c FROM wg GROUP BY ALL),

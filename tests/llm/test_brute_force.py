@@ -199,7 +199,44 @@ def test_decontamination_beyond_any_radius(spark):
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     found = decontaminate.contaminated(docs, bench).collect()
     assert {(r["id"], r["item"]): r["similarity"] for r in found} == pytest.approx(want)
-    assert max(r["distance"] for r in found) > 19
+    assert max(r["distance"] for r in found) > decontaminate.RADIUS
+
+
+def test_decontamination_of_one_heavy_word(spark):
+    item = [f"w{k}" for k in range(30)] + ["y" * 1000] + [f"w{k}" for k in range(30, 40)]
+    text = [f"other{k}" for k in range(9)] + ["v", "u", "t", *item[3:-6], "s", "r", "q", "p", "o", "n"]
+    want = best_windows(" ".join(text), " ".join(item))
+    found = decontaminate.contaminated(spark.createDataFrame([(1, " ".join(text))], "doc_id long, text string"), spark.createDataFrame([(2, " ".join(item))], "item_id long, text string")).collect()
+    assert want >= 0.8 and [(r["id"], r["item"], r["similarity"]) for r in found] == [(1, 2, pytest.approx(want))]
+
+
+def test_hamming_blocks(spark):
+    rng = np.random.default_rng(2)
+    items = rng.integers(-(2**63), 2**63, 40).tolist()
+    near = [x ^ sum(1 << int(b) for b in rng.choice(63, k % 12, replace=False)) for k, x in enumerate(items * 5)]
+    w = spark.createDataFrame([(k, 5 + k % 2, x) for k, x in enumerate(near)], "wid long, m int, fp long")
+    i = spark.createDataFrame([(k, 5 + k % 2, x) for k, x in enumerate(items)], "key long, m int, fp long")
+    want = {(a, b) for a, x in enumerate(near) for b, y in enumerate(items) if a % 2 == b % 2 and ((x ^ y) & (2**64 - 1)).bit_count() <= decontaminate.RADIUS}
+    assert {tuple(r) for r in decontaminate.near_pairs(w, i).collect()} == want and 50 < len(want) < 200
+
+
+def test_weighted_fingerprints(spark):
+    texts = {1: "a b c d e f g h a b c d e", 2: "one two", 3: "a b c d e"}
+    rows = spark.createDataFrame([(k, t.split()) for k, t in texts.items()], "k long, ws array<string>")
+    found = {r["k"]: (r["total"], r["fp"]) for r in decontaminate.fingerprints(decontaminate.shingle_counts(rows, "k", "ws", [2, 5]), "k").collect()}
+    for k, t in texts.items():
+        w = t.split()
+        shingles = [w[j : j + 5] for j in range(max(1, len(w) - 4))]
+
+        def digest(words):  # of several columns: each hash seeds the next
+            h = 42
+            for x in words:
+                h = xxhash.xxh64_intdigest(x, h)
+            return h
+
+        total = sum(len(" ".join(x)) for x in shingles)
+        bits = sum(1 << b for b in range(64) if 2 * sum(len(" ".join(x)) for x in shingles if digest(x) >> b & 1) > total)
+        assert found[k] == (total, bits - (1 << 64) if bits >> 63 else bits)
 
 
 def test_lm(spark, texts):
