@@ -1,45 +1,47 @@
 """Toxicity as cumulative-link ordinal regression on sparse text features.
 
-Grades are ordered: 0 (labelled clean), 1 and 2 (labelled toxic, with fewer or more than the median number of feature
-hits). One weight vector w is shared by all thresholds, P(grade <= k) = sigmoid(t_k - w.x); the output is the expected
-grade. Features are words and word prefixes (3 to 7 letters), as log(1 + count), plus the log of the text's length, so
-that inflected forms share evidence and a chance hit in a long text weighs little.
-
-Fitting uses a bounded sample of labelled rows, ``SAMPLE`` of each label at most in expectation, taken by a hash of the
-identifier. Spark counts the features of the sample; those with a high log-odds ratio (``FEATURES`` at most, the
-model's size) are kept, and the sample's rows on those features are fitted by gradient descent in numpy on the driver.
-A fifth of the sample is held out to choose the threshold of rejection (best F1). Prediction reads all rows whole; the
-model that travels with the tasks has ``FEATURES`` entries, whatever the input.
-
-Defined cases: a null or wordless text has severity of the length feature alone and is never rejected. Labels that are
-null, or of unknown documents, are ignored; a document labelled twice counts as toxic if any label says so. Without
-any toxic or any clean label nothing is rejected. Repeated rows are judged row by row, empty tables give empty
-results, and other columns pass through ``keep_clean`` untouched.
+Grades are the label column's own ordered values, 0 upwards (the given labels have two: 0 and 1). One weight vector w
+is shared by all thresholds, P(grade <= k) = sigmoid(t_k - w.x); the output is the expected grade. Features are words
+and word prefixes (3 to 7 letters), so that inflected forms share evidence. All of them are hashed into ``SPACE``
+places as log(1 + count) times the place's evidence in the sample (by how many standard errors over ``SURE`` its
+log-odds ratio differs from zero) and scaled to length one, so that a chance hit in a long text weighs little.
+
+Fitting uses a bounded sample of labelled rows: ``SAMPLE`` with grade 0 and as many above, in expectation, taken by a
+hash of the identifier. Their sparse features (a row has at most ``SPACE`` entries) come to the driver, where numpy runs stochastic gradient descent. A
+fifth of the sample, by the same hash, is held out to choose the threshold of rejection (best F1). Prediction reads all
+rows whole; the model that travels with the tasks has ``SPACE`` weights, whatever the input.
+
+Defined cases: a null or wordless text has no features and is never rejected. Labels that are null, or of unknown
+documents or null identifiers, are ignored; a document labelled twice counts with its highest label. Without any label
+of 0 or any above nothing is rejected. Repeated rows are judged row by row, empty tables give empty results, and other
+columns pass through ``keep_clean`` untouched.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import log, log1p
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from additiva.llm.common import checkpointed, table
+from additiva.llm.common import broadcast_if_small, checkpointed, table
 
-SAMPLE, FEATURES, GRADES = 4000, 300, 3
+SAMPLE, SPACE, HELD_OUT, SURE = 4000, 1 << 18, 5, 2.0
 PREFIXES = range(3, 8)
 _WORD = regex.compile(r"\p{L}+")
-_CACHE = 1 << 17
+#: Words whose places are remembered by a worker, and words of a text whose features are counted at once.
+_CACHE, _CHUNK = 1 << 17, 1 << 18
 
 
 class Model(NamedTuple):
-    index: dict[str, int]
-    weights: np.ndarray  # of the features, then of the length
+    evidence: np.ndarray  # by place
+    weights: np.ndarray  # by place
     thresholds: np.ndarray
     reject: float
 
@@ -48,112 +50,136 @@ def features_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)]
 
 
-def _words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+class Places(dict):
+    """The places of a word's features, remembered."""
 
+    def __missing__(self, word: str) -> list[int]:
+        if len(self) >= _CACHE:
+            self.clear()
+        found = self[word] = [xxhash.xxh64_intdigest(f) % SPACE for f in features_of(word)]
+        return found
 
-def counted(text: str | None, index: dict[str, int], cache: dict[str, tuple[int, ...]]) -> tuple[dict[int, int], int]:
-    """Count of each known feature, and the number of words."""
-    counts: dict[int, int] = {}
-    ws = _words(text)
-    for w in ws:
-        hits = cache.get(w)
-        if hits is None:
-            if len(cache) >= _CACHE:
-                cache.clear()
-            hits = cache[w] = tuple(index[f] for f in features_of(w) if f in index)
-        for k in hits:
-            counts[k] = counts.get(k, 0) + 1
-    return counts, len(ws)
 
+def sparse(text: str | None, places: Places) -> tuple[np.ndarray, np.ndarray]:
+    """Places in order and values of a text: log(1 + count)."""
+    ws = _WORD.findall((text or "").lower())
+    k, c = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for at in range(0, len(ws), _CHUNK):
+        more, n = np.unique(np.fromiter(chain.from_iterable(map(places.__getitem__, ws[at : at + _CHUNK])), np.int64), return_counts=True)
+        if at:
+            more, back = np.unique(np.concatenate([k, more]), return_inverse=True)
+            n = np.bincount(back, weights=np.concatenate([c, n])).astype(np.int64)
+        k, c = more, n
+    return k, np.log1p(c)
 
-def severity(model: Model, x: np.ndarray) -> np.ndarray:
-    """Expected grade of rows of features."""
-    return (1 / (1 + np.exp(model.thresholds[None, :] - (x @ model.weights)[:, None]))).sum(axis=1)
 
+def weighed(k: np.ndarray, v: np.ndarray, evidence: np.ndarray) -> np.ndarray:
+    x = v * evidence[k]
+    return x / np.sqrt((x * x).sum() or 1.0)
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int = GRADES, steps: int = 1500, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and rising thresholds by Adam on the cumulative-link likelihood."""
-    d, cuts = x.shape[1], grades - 1
-    p = np.concatenate([np.zeros(d), [1.0], np.zeros(cuts - 1)])  # weights, first threshold, logs of the gaps
-    m, v = np.zeros_like(p), np.zeros_like(p)
+
+def evidence_of(rows: list[tuple[np.ndarray, np.ndarray]], above: np.ndarray) -> np.ndarray:
+    """Of each place, from how many rows above grade 0 and how many of grade 0 have it."""
+    a, b = np.ones(SPACE), np.ones(SPACE)
+    for (k, _), y in zip(rows, above, strict=True):
+        (a if y else b)[k] += 1
+    odds = np.log(a / (above.sum() + 2)) - np.log(b / ((~above).sum() + 2))
+    return np.maximum(np.abs(odds) / np.sqrt(1 / a + 1 / b) - SURE, 0)
+
+
+def severity(model: Model, z: np.ndarray) -> np.ndarray:
+    """Expected grade of rows with the linear predictors z."""
+    return (1 / (1 + np.exp(np.clip(model.thresholds[None, :] - z[:, None], -500, 500)))).sum(axis=1)
+
+
+def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, epochs: int = 6, rate: float = 0.1, decay: float = 1e-5, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and rising thresholds by stochastic gradient descent (steps scaled by each place's own gradients) on the cumulative-link likelihood."""
+    cuts, rng = int(y.max()), np.random.default_rng(seed)
+    w, seen = np.zeros(size), np.full(size, 1e-8)
+    # The thresholds are the first one and the logs of the gaps; they start at the grades' shares.
+    t = np.array([np.log(((y <= k).sum() + 0.5) / ((y > k).sum() + 0.5)) for k in range(cuts)])
+    p = np.concatenate([t[:1], np.log(np.maximum(np.diff(t), 0.1))])
+    p_seen = np.full(cuts, 1e-8)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    for step in range(1, steps + 1):
-        gaps = np.exp(p[d + 1 :])
-        t = p[d] + np.concatenate([[0.0], np.cumsum(gaps)])
-        z = x @ p[:d]
-        f = np.concatenate([np.zeros((len(y), 1)), sigmoid(t - z[:, None]), np.ones((len(y), 1))], axis=1)
-        rows = np.arange(len(y))
-        lik = np.maximum(f[rows, y + 1] - f[rows, y], 1e-9)
-        slope = f * (1 - f)
-        dz = (slope[rows, y + 1] - slope[rows, y]) / lik  # of -log(likelihood) by z
-        dt = np.zeros((len(y), cuts + 2))
-        dt[rows, y + 1] -= slope[rows, y + 1] / lik
-        dt[rows, y] += slope[rows, y] / lik
-        dt = dt[:, 1:-1].mean(axis=0)
-        g = np.concatenate([x.T @ dz / len(y) + decay * p[:d], [dt.sum()], [dt[k + 1 :].sum() * gaps[k] for k in range(cuts - 1)]])
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        p = p - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return p[:d], p[d] + np.concatenate([[0.0], np.cumsum(np.exp(p[d + 1 :]))])
+    for epoch in range(epochs):
+        step = rate * (1 - epoch / epochs)
+        for i in rng.permutation(len(rows)):
+            k, v = rows[i]
+            gaps = np.exp(p[1:])
+            t = p[0] + np.concatenate([[0.0], np.cumsum(gaps)])
+            z = v @ w[k]
+            below = sigmoid(t[y[i] - 1] - z) if y[i] else 0.0
+            upto = sigmoid(t[y[i]] - z) if y[i] < cuts else 1.0
+            lik, slope_b, slope_u = max(upto - below, 1e-9), below * (1 - below), upto * (1 - upto)
+            dz = (slope_u - slope_b) / lik  # of -log(likelihood) by z
+            g = dz * v + decay * w[k]
+            seen[k] += g * g
+            w[k] -= step * g / np.sqrt(seen[k])
+            dt = np.zeros(cuts)
+            if y[i] < cuts:
+                dt[y[i]] -= slope_u / lik
+            if y[i]:
+                dt[y[i] - 1] += slope_b / lik
+            dp = np.concatenate([[dt.sum()], [dt[j + 1 :].sum() * gaps[j] for j in range(cuts - 1)]])
+            p_seen += dp * dp
+            p -= step * dp / np.sqrt(p_seen)
+    return w, p[0] + np.concatenate([[0.0], np.cumsum(np.exp(p[1:]))])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model | None:
-    """The model, or None if one of the labels is missing."""
-    marked = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).groupBy("id").agg(F.max("y").alias("y"))
+    """The model, or None if there is no label of 0 or none above."""
+    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).groupBy("id").agg(F.max("y").alias("y"))
     total = {r[0]: r[1] for r in marked.groupBy((F.col("y") > 0).cast("int")).count().collect()}
     if not total.get(0) or not total.get(1):
         return None
     draw = F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1_000_000))
     share = F.when(F.col("y") > 0, F.lit(1e6 * sample / total[1])).otherwise(F.lit(1e6 * sample / total[0]))
-    chosen = marked.where(draw < share)
+    chosen = checkpointed(marked.where(draw < share).select("id", "y", F.pmod(F.xxhash64("id", F.lit("held out")), F.lit(HELD_OUT)).alias("fold")))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    rows = checkpointed(texts.join(F.broadcast(chosen), "id").select("id", F.col("y") > 0, "text").toDF("id", "toxic", "text"))
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = Places()
         for b in batches:
-            found = [(f, t) for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for t in [toxic] for f in {f for w in set(_words(text)) for f in features_of(w)}]
-            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([t for _, t in found], pa.bool_())], names=["f", "t"])
-
-    sizes = rows.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
-    toxic, clean = float(sizes[0]), float(sizes[1])
-    if not toxic or not clean:
+            found = [sparse(text, places) for text in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).cast(pa.string()), b.column(1), b.column(2), pa.array([k.astype(np.int32) for k, _ in found], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in found], pa.list_(pa.float32()))],
+                names=["id", "y", "fold", "k", "v"],
+            )
+
+    # ``chosen`` has twice ``sample`` rows in expectation; documents that share an identifier are taken with one of their rows.
+    rows = texts.join(broadcast_if_small(chosen, 8 * sample), "id").groupBy("id", "y", "fold").agg(F.min("text").alias("text"))
+    data = rows.mapInArrow(of_batches, "id string, y int, fold long, k array<int>, v array<float>").toPandas().sort_values("id", kind="stable")
+    y = np.unique(data["y"], return_inverse=True)[1] if len(data) else np.zeros(0, int)
+    if not len(y) or data["y"].min() > 0 or not y.max():
         return None
-    df = rows.select("toxic", "text").mapInArrow(each, "f string, t boolean").groupBy("f").agg(F.count_if("t").alias("a"), F.count_if(~F.col("t")).alias("b"))
-    odds = F.log((F.col("a") + 0.5) / (toxic - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (clean - F.col("b") + 0.5))
-    sure = odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    top = df.where(F.col("a") >= max(4.0, 0.01 * toxic)).where(odds > 2.5).orderBy(sure.desc(), "f").limit(FEATURES)
-    names = [r[0] for r in top.select("f").collect()]
-    index = {f: k for k, f in enumerate(names)}
-
-    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, tuple[int, ...]] = {}
-        for b in batches:
-            found = [counted(text, index, cache) for text in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(c) for c, _ in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c, _ in found], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.int64())], names=["id", "toxic", "k", "c", "n"])
-
-    data = rows.mapInArrow(sparse, f"id {rows.schema['id'].dataType.simpleString()}, toxic boolean, k array<int>, c array<int>, n long").orderBy("id", "n").collect()
-    x = np.array([_row(dict(zip(r["k"], r["c"], strict=True)), r["n"], len(index)) for r in data])
-    y = np.array([r["toxic"] for r in data])
-    hits = x[:, :-1].sum(axis=1)
-    grade = np.where(y, np.where(hits > np.median(hits[y]), 2, 1), 0)
-    held = np.array([(r["id"] or 0) % 5 == 0 if isinstance(r["id"], int) else False for r in data])
-    if held.all() or not held.any():
+    fitted = [(np.asarray(k, np.int64), np.asarray(v, np.float64)) for k, v in zip(data["k"], data["v"], strict=True)]
+    held = (data["fold"] == 0).to_numpy()
+    if not (held & (y > 0)).any() or not (held & (y == 0)).any() or len(np.unique(y[~held])) <= y.max():
         held = np.zeros(len(y), bool)
-    weights, thresholds = fit_ordinal(x[~held], grade[~held])
-    model = Model(index, weights, thresholds, 0.5)
-    score, truth = severity(model, x[held] if held.any() else x), y[held] if held.any() else y
-    cuts = np.linspace(0.1, 1.5, 57)
-    f1 = [2 * (truth & (score >= c)).sum() / max(1, truth.sum() + (score >= c).sum()) for c in cuts]
-    best = np.flatnonzero(np.array(f1) >= max(f1) - 1e-9)
-    return model._replace(reject=float(cuts[best[len(best) // 2]]))
-
-
-def _row(counts: dict[int, int], n_words: int, size: int) -> np.ndarray:
-    x = np.zeros(size + 1)
-    for k, c in counts.items():
-        x[k] = log1p(c)
-    x[size] = log(1 + n_words) / 10
-    return x
+    known = [r for r, h in zip(fitted, held, strict=True) if not h]
+    evidence = evidence_of(known, y[~held] > 0)
+    weights, thresholds = fit_ordinal([(k, weighed(k, v, evidence)) for k, v in known], y[~held], SPACE)
+    model = Model(evidence.astype(np.float32), weights.astype(np.float32), thresholds, 0.5)
+    judged = held if held.any() else ~held
+    score = severity(model, np.array([weighed(k, v, evidence) @ weights[k] for (k, v), j in zip(fitted, judged, strict=True) if j]))
+    truth = y[judged] > 0
+    cuts = np.unique(np.concatenate([score, [0.5]]))
+    f1 = np.array([2 * (truth & (score >= c)).sum() / max(1, truth.sum() + (score >= c).sum()) for c in cuts])
+    best = np.flatnonzero(f1 >= f1.max() - 1e-9)
+    # Halfway between the scores that the best cuts separate.
+    low = cuts[best[0] - 1] if best[0] else 0.0
+    return model._replace(reject=float((low + cuts[best[-1]]) / 2))
+
+
+def judged(model: Model, texts: Iterator[str | None], places: Places) -> tuple[np.ndarray, np.ndarray]:
+    """Severity and verdict of each text."""
+    z, some = [], []
+    for text in texts:
+        k, v = sparse(text, places)
+        z.append(float(weighed(k, v, model.evidence) @ model.weights[k]))
+        some.append(len(k) > 0)
+    s = severity(model, np.array(z, float))
+    return s, (s >= model.reject) & np.array(some, bool)
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,14 +188,13 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     if model is None:
         return narrow.select("id", "same", F.lit(0.0).alias("severity"), F.lit(False).alias("rejected"))
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, tuple[int, ...]] = {}
+        places = Places()
         for b in batches:
-            found = [counted(text, model.index, cache) for text in b.column(2).to_pylist()]
-            x = np.array([_row(c, n, len(model.index)) for c, n in found]).reshape(len(found), -1)
-            s = severity(model, x) if len(found) else np.zeros(0)
-            hit = np.array([bool(c) for c, _ in found], bool)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= model.reject) & hit)], names=["id", "same", "severity", "rejected"])
+            s, bad = judged(shared.value, b.column(2).to_pylist(), places)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array(bad)], names=["id", "same", "severity", "rejected"])
 
     return narrow.mapInArrow(of_batches, f"id {narrow.schema['id'].dataType.simpleString()}, same long, severity double, rejected boolean")
 
@@ -178,15 +203,12 @@ def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text") ->
     """The rows of ``docs`` that the model does not reject, with all columns: a filter inside the scan's stage."""
     if model is None:
         return docs
-    place = docs.columns.index(text_col)
+    place, shared = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(model)
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, tuple[int, ...]] = {}
+        places = Places()
         for b in batches:
-            found = [counted(text, model.index, cache) for text in b.column(place).to_pylist()]
-            x = np.array([_row(c, n, len(model.index)) for c, n in found]).reshape(len(found), -1)
-            bad = (severity(model, x) >= model.reject) & np.array([bool(c) for c, _ in found], bool) if found else np.zeros(0, bool)
-            yield b.filter(pa.array(~bad))
+            yield b.filter(pa.array(~judged(shared.value, b.column(place).to_pylist(), places)[1]))
 
     return docs.mapInArrow(of_batches, docs.schema)
 

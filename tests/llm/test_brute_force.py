@@ -345,10 +345,34 @@ def test_language_accuracy(spark):
 
 def test_ordinal_fit():
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(3000, 3))
-    z = x @ np.array([2.0, -1.0, 0.0]) + rng.logistic(size=3000)
-    w, t = toxicity.fit_ordinal(x, (z > -0.5).astype(int) + (z > 1.5), decay=0.0)
-    assert w == pytest.approx([2, -1, 0], abs=0.2) and t == pytest.approx([-0.5, 1.5], abs=0.2)
+    x = rng.normal(size=(6000, 3))
+    z = x @ np.array([2.0, -1.0, 0.0]) + rng.logistic(size=6000)
+    w, t = toxicity.fit_ordinal([(np.arange(3), r) for r in x], (z > -0.5).astype(int) + (z > 1.5), 3, epochs=10, decay=0.0)
+    assert w == pytest.approx([2, -1, 0], abs=0.25) and t == pytest.approx([-0.5, 1.5], abs=0.25)
+
+
+def test_sparse_features():
+    for text in ("Bad bad badly, good!", "", None, "1 2", "word " * 3):
+        k, v = toxicity.sparse(text, toxicity.Places())
+        c = Counter(xxhash.xxh64_intdigest(f) % toxicity.SPACE for w in re.findall("[a-z]+", (text or "").lower()) for f in toxicity.features_of(w))
+        assert dict(zip(k.tolist(), v.tolist(), strict=True)) == pytest.approx({f: math.log(1 + n) for f, n in c.items()})
+    whole, chunk = toxicity.sparse("a b a c " * 9, toxicity.Places()), toxicity._CHUNK
+    toxicity._CHUNK = 5
+    try:
+        parts = toxicity.sparse("a b a c " * 9, toxicity.Places())
+    finally:
+        toxicity._CHUNK = chunk
+    assert (whole[0] == parts[0]).all() and whole[1] == pytest.approx(parts[1])
+
+
+def test_three_grades(spark):
+    words = [["calm", "quiet", "tea"], ["rude", "mean", "tea"], ["vile", "hate", "tea"]]
+    rng = np.random.default_rng(1)
+    rows = [(f"d{k}", " ".join(rng.choice(words[k % 3], 12)), k % 3) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, toxic int")
+    out = toxicity.score(docs, toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))).toPandas()
+    grade = out.id.str[1:].astype(int) % 3
+    assert (out.severity.round() == grade).mean() > 0.95 and (out.rejected == (grade > 0)).mean() > 0.95
 
 
 def test_toxicity_accuracy(spark):

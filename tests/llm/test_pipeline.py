@@ -22,9 +22,8 @@ def clean_of_toxic(spark, docs):
     model = toxicity.train(spark.read.parquet(f"{DIR}/documents.parquet"), spark.read.parquet(f"{DIR}/labels.parquet"))
     out = {}
     for i, r in docs.items():
-        counts, n = toxicity.counted(r["text"], model.index, {})
-        x = toxicity._row(counts, n, len(model.index))[None, :]
-        if not counts or toxicity.severity(model, x)[0] < model.reject:
+        k, v = toxicity.sparse(r["text"], toxicity.Places())
+        if not len(k) or toxicity.severity(model, np.array([toxicity.weighed(k, v, model.evidence) @ model.weights[k]]))[0] < model.reject:
             out[i] = r
     return out
 
