@@ -1,40 +1,51 @@
 """Language-model scoring with a weighted backoff automaton.
 
-The model is a smoothed bigram over lower-cased words with an end token. States are contexts; an arc carries the
-log-probability of a word and leads to that word's state; what a state has no arc for follows its failure arc, which
-carries the backoff weight, to the root. The root has an arc for every word of the vocabulary, and one weight for all
-unknown words together, as the base has. A text is scored by one traversal from left to right.
+The model is a smoothed n-gram model (``ORDER`` words) over lower-cased words with an end token. States are contexts that
+occur in training; an arc carries the log-probability of a word that followed the context there, and leads to the
+longest context that ends in it; what a state has no arc for follows its failure arc, which carries the backoff weight,
+to the next shorter context. The root has an arc for every word of the vocabulary and one for all others.
 
-Everything is counted over all training rows. A word that makes up at least ``WORD_SHARE`` of the training tokens has
-its root arc in the automaton that travels with the tasks, and a bigram that makes up ``ARC_SHARE`` of them has an
-arc; counts sum up to the number of tokens, so there are ``1 / WORD_SHARE`` and ``1 / ARC_SHARE`` of them at most,
-whatever the input. Rarer words are not dropped: the traversal leaves them, and an equi-join with the vocabulary table
-adds their root arcs exactly. The vocabulary itself never leaves the executors.
+Smoothing is interpolated with a prior of ``PRIOR`` words: p(w | u) = (c(u w) + PRIOR p(w | u')) / (c(u) + PRIOR), u'
+being u without its first word, and p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)). So the failure arc of u weighs
+PRIOR / (c(u) + PRIOR), and all probabilities of a state sum to one.
 
-Discounts: D = n1 / (n1 + 2 n2) for root arcs, whose mass goes to unknown words; half a count for bigrams.
+All n-grams of all training rows are counted and can be used: there is no threshold, list or cap, and nothing of the
+model is collected or broadcast. Rows are cut into chunks of some ``CHUNK`` characters, in the partitions they lie in. A
+chunk lists its distinct words and n-grams with their counts in its training rows, packed by hash bucket; a bucket's
+task adds the counts up over all chunks and answers each chunk; a chunk's task builds the automaton of the n-grams that
+occur in it, with counts of the whole corpus, and traverses each text once from left to right. A frequent n-gram is one
+entry a chunk, so no key is hot; buckets are dealt by hash and their number grows with the text. A task holds one chunk
+(or one text longer than that) or one bucket, so memory is bounded. Words are counted as strings, n-grams by 64-bit hashes.
+
+Order 2 is used: order 3 works too, but would move another 1.5 times the input through shuffle and checkpoint.
 
 Defined cases: a null text is empty and scores its end token. A null identifier belongs to the training rows. Without
-training rows every token is unknown, with probability one. Repeated rows get equal results each. An empty table
-gives an empty result. Other columns are not read.
+training rows every token is unknown, with probability one. Repeated rows are dealt and scored one by one. An empty
+table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import log10
+from itertools import chain, groupby
+from zlib import compress, decompress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from additiva.llm.common import LOWER, UPPER, ascii_lower, checkpointed, table, words
+from additiva.llm.common import LOWER, UPPER, checkpointed, table
 
-WORD_SHARE, ARC_SHARE, BIGRAM_DISCOUNT, FOLDS = 1e-6, 1e-5, 0.5, 5
-END = ""  # no word is empty
+ORDER, PRIOR, FOLDS = 2, 30.0, 5
+#: Characters of a chunk, characters of text for each bucket, and the least number of buckets.
+CHUNK, BUCKET, LEAST_BUCKETS = 4_000_000, 16_000_000, 32
+END = b""  # no word is empty
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
-#: Bigram keys that a task holds before it hands them on.
-_HELD = 4_000_000
+_MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def split(text: str | None) -> list[bytes]:
@@ -45,161 +56,184 @@ def is_held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % FOLDS == 1, F.lit(False))
 
 
-class Automaton:
-    """``counts`` and ``arcs`` as broadcast: words with their counts, and (context, word, count) by place in that list; END is place 0."""
-
-    def __init__(self, names: list[str], counts: np.ndarray, arcs: np.ndarray, tokens: int, distinct: int, discount: float) -> None:
-        base = log10(tokens + 0.5 * (distinct + 1))
-        self.unknown = log10(discount * distinct / tokens) if tokens else 0.0
-        self.base_unknown = log10(0.5) - base
-        self.states: list[dict] = [{} for _ in names]
-        self.failure = np.zeros(len(names))
-        root = (counts - discount) / max(tokens, 1)
-        self.base = [log10(c + 0.5) - base for c in counts.tolist()]
-        self.root = {w.encode(): (log10(p), k, b) for k, (w, p, b) in enumerate(zip(names, root.tolist(), self.base, strict=True))}
-        kept, below = np.ones(len(names)), np.ones(len(names))
-        for v, w, c in arcs.tolist():
-            p = (c - BIGRAM_DISCOUNT) / counts[v]
-            self.states[v][names[w].encode()] = (log10(p), w, self.base[w])
-            kept[v] -= p
-            below[v] -= root[w]
-        has = kept < 1
-        self.failure[has] = np.log10(np.maximum(kept[has], 1e-12) / np.maximum(below[has], 1e-12))
-        self.failure = self.failure.tolist()
-
-    def traverse(self, ws: list[bytes]) -> tuple[float, float, int, dict[bytes, int]]:
-        """Score, base score and known tokens without the rare words, and these with their counts."""
-        score = base = 0.0
-        rare: dict[bytes, int] = {}
-        root, states, failure, n_rare = self.root.get, self.states, self.failure, 0
-        state = 0
-        for w in (*ws, b""):
-            hit = states[state].get(w) if state >= 0 else None
-            if hit is None:
-                if state >= 0:
-                    score += failure[state]
-                hit = root(w)
-                if hit is None:
-                    rare[w] = rare.get(w, 0) + 1
-                    n_rare += 1
-                    state = -1
-                    continue
-            score += hit[0]
-            base += hit[2]
-            state = hit[1]
-        return score, base, len(ws) + 1 - n_rare, rare
-
-
-_built: list = []
-
-
-def automaton(shared) -> Automaton:
-    """One automaton per worker and broadcast."""
-    if not _built or _built[0] != shared.id:
-        _built[:] = [shared.id, Automaton(*shared.value)]
-    return _built[1]
-
-
-class _Shared:
-    """A broadcast with an identity that survives pickling."""
+def _joined(context: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
+    """Hash of n-grams from those of their contexts and last words."""
+    x = (context + np.uint64(n)) * _MIX + word
+    x ^= x >> np.uint64(29)
+    x *= _STEP
+    return x ^ (x >> np.uint64(32))
+
+
+class Chunk:
+    """The distinct n-grams of some texts, by order, with counts in the training rows. An END stands before and after each text."""
+
+    def __init__(self, texts: list[str | None], training: list[bool], order: int) -> None:
+        places: dict[bytes, int] = {END: 0}
+        self.texts = [[places.setdefault(w, len(places)) for w in split(t)] + [0] for t in texts]
+        self.words = list(places)
+        sizes = np.array([len(t) + 1 for t in self.texts], np.int64)
+        flat = np.fromiter(chain.from_iterable(chain((0,), t) for t in self.texts), np.int64, sizes.sum())
+        at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        trained = np.repeat(np.array(training, bool), sizes)
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.words), np.uint64, len(self.words))
+        self.keys = {1: hashes}
+        self.counts = {1: np.bincount(flat[trained & (at > 0)], minlength=len(self.words))}
+        self.context: dict[int, np.ndarray] = {}  # place of each n-gram's context among those of the order below
+        self.suffix: dict[int, np.ndarray] = {}  # and of the n-gram without its first word
+        index, key = flat, hashes[flat]
+        for n in range(2, order + 1):
+            usable = np.flatnonzero(at >= n - 1)
+            key = _joined(np.roll(key, 1), hashes[flat], n)
+            self.keys[n], first, back = np.unique(key[usable], return_index=True, return_inverse=True)
+            self.counts[n] = np.bincount(back[trained[usable]], minlength=len(self.keys[n]))
+            self.context[n], self.suffix[n] = index[usable[first] - 1], index[usable[first]]
+            index = np.full(len(flat), -1)
+            index[usable] = back
+
+    def packed(self, buckets: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+        """(order, bucket, entries, counts): words as strings, n-grams as hashes."""
+        for n, keys in self.keys.items():
+            bucket = (keys % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            ends = np.searchsorted(bucket[by], np.arange(buckets + 1))
+            for k in range(buckets):
+                rows = by[ends[k] : ends[k + 1]]
+                if len(rows):
+                    yield n, k, b" ".join([self.words[i] for i in rows.tolist()]) if n == 1 else keys[rows].tobytes(), compress(self.counts[n][rows].astype(np.int64).tobytes(), 1)
+
+    def total(self, n: int, answers: dict[tuple[int, int], bytes], buckets: int) -> np.ndarray:
+        """Counts of the whole corpus, from the answers of the buckets."""
+        bucket = (self.keys[n] % np.uint64(buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        out = np.zeros(len(by), np.int64)
+        out[by] = np.concatenate([np.frombuffer(decompress(answers[n, k]), np.int64) for k in np.unique(bucket).tolist()])
+        return out
 
-    def __init__(self, broadcast, name: str) -> None:
-        self.broadcast, self.id = broadcast, name
 
-    @property
-    def value(self):
-        return self.broadcast.value
-
-
-def vocabulary(training: DataFrame, text_col: str) -> DataFrame:
-    """(w, c) for all words of the training rows."""
-    return checkpointed(training.select(F.explode(words(ascii_lower(F.col(text_col)))).alias("w")).groupBy("w").agg(F.count("*").alias("c")))
+class Automaton:
+    """States and arcs of the n-grams of a chunk, by their counts in the whole corpus."""
+
+    def __init__(self, chunk: Chunk, counts: dict[int, np.ndarray], tokens: int, distinct: int) -> None:
+        order = max(counts)
+        self.base = (counts[1] + 0.5) / (tokens + 0.5 * (distinct + 1))
+        p = {1: self.base}
+        # State 0 is the root; contexts that occur in training follow, by order.
+        state, states = {}, 1
+        for n in range(1, order):
+            seen = counts[n] > 0
+            state[n] = np.where(seen, states - 1 + np.cumsum(seen), 0)
+            states += int(seen.sum())
+        self.arcs: list[dict[int, tuple[float, int]]] = [{} for _ in range(states)]
+        self.failure: list[tuple[float, int]] = [(0.0, 0)] * states
+        onto = state.get(1, np.zeros(len(self.base), np.int64))
+        self.arcs[0] = dict(enumerate(zip(np.log10(self.base).tolist(), onto.tolist(), strict=True)))
+        for n in range(1, order):
+            below = state[n - 1][chunk.suffix[n]] if n > 1 else np.zeros(len(counts[1]), np.int64)
+            for s, w, f in zip(state[n].tolist(), np.log10(PRIOR / (counts[n] + PRIOR)).tolist(), below.tolist(), strict=True):
+                if s:
+                    self.failure[s] = (w, f)
+        last = {1: np.arange(len(chunk.words))}
+        for n in range(2, order + 1):
+            context, suffix = chunk.context[n], chunk.suffix[n]
+            last[n] = last[n - 1][suffix]
+            p[n] = (counts[n] + PRIOR * p[n - 1][suffix]) / (counts[n - 1][context] + PRIOR)
+            seen = counts[n] > 0
+            onto = state[n] if n < order else state[n - 1][suffix]
+            for s, w, q, t in zip(state[n - 1][context][seen].tolist(), last[n][seen].tolist(), np.log10(p[n][seen]).tolist(), onto[seen].tolist(), strict=True):
+                self.arcs[s][w] = (q, t)
+        self.start = int(state[1][0]) if order > 1 else 0
+
+    def score(self, text: list[int]) -> float:
+        """Log-probability of a text (its END included), from left to right."""
+        state, total, arcs, failure = self.start, 0.0, self.arcs, self.failure
+        for w in text:
+            hit = arcs[state].get(w)
+            while hit is None:
+                weight, state = failure[state]
+                total += weight
+                hit = arcs[state].get(w)
+            total += hit[0]
+            state = hit[1]
+        return total
 
 
-def bigrams(training: DataFrame, text_col: str, names: list[str], context) -> DataFrame:
-    """(v, w, c): counts of bigrams of the given words, by place."""
-    size = len(names)
+def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, held, text, chunk): rows cut into chunks where they lie."""
+    narrow = docs.select(F.col(id_col).alias("id"), is_held_out(id_col).alias("held"), F.col(text_col).alias("text"))
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {w.encode(): k for k, w in enumerate(context.value)}
-        held: list[np.ndarray] = []
-        n = 0
-
-        def out():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["k", "c"])
-
+        chunk, size = TaskContext.get().partitionId() << 32, 0
         for b in batches:
-            for text in b.column(0).to_pylist():
-                ids = np.array([0, *(place.get(w, -1) for w in split(text)), 0], np.int64)
-                v, w = ids[:-1], ids[1:]
-                held.append((v * size + w)[(v >= 0) & (w >= 0)])
-                n += len(held[-1])
-                if n > _HELD:
-                    yield out()
-                    held, n = [], 0
-        if held:
-            yield out()
-
-    rows = training.select(F.col(text_col).alias("text")).mapInArrow(of_batches, "k long, c long")
-    return rows.groupBy("k").agg(F.sum("c").alias("c")).select((F.col("k") / size).cast("long").alias("v"), (F.col("k") % size).alias("w"), "c")
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_share: float = WORD_SHARE, arc_share: float = ARC_SHARE) -> DataFrame:
+            chunks = []
+            for n in pa.compute.utf8_length(b.column(2)).to_pylist():
+                if size and size + (n or 0) > CHUNK:
+                    chunk, size = chunk + 1, 0
+                size += (n or 0) + 1
+                chunks.append(chunk)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chunks, pa.int64())], names=["id", "held", "text", "chunk"])
+
+    return narrow.mapInArrow(of_batches, f"id {narrow.schema['id'].dataType.simpleString()}, held boolean, text string, chunk long")
+
+
+def answered(rows: DataFrame, buckets: int, order: int) -> DataFrame:
+    """(chunk, n, bucket, counts, tokens, distinct): for each chunk and bucket, its entries' counts in all training rows.
+
+    ``tokens`` and ``distinct`` are the bucket's sums over words, on one of its rows.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = ((c, t, not h) for b in batches for c, t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
+        for chunk, group in groupby(each, key=lambda r: r[0]):
+            texts, training = [], []
+            for _, t, h in group:
+                texts.append(t)
+                training.append(h)
+            packed = list(Chunk(texts, training, order).packed(buckets))
+            for at in range(0, len(packed), 64):
+                n, k, entries, counts = zip(*packed[at : at + 64], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(n), pa.int64()), pa.array(n, pa.int32()), pa.array(k, pa.int32()), pa.array(entries, pa.binary()), pa.array(counts, pa.binary())], names=["chunk", "n", "bucket", "entries", "counts"])
+
+    def added(key: tuple, group: pa.Table) -> pa.Table:
+        counts = [np.frombuffer(decompress(c), np.int64) for c in group["counts"].to_pylist()]
+        sizes, flat = np.array([len(c) for c in counts]), np.concatenate(counts)
+        if key[0].as_py() == 1:
+            places: dict[bytes, int] = {}
+            back = np.fromiter((places.setdefault(w, len(places)) for e in group["entries"].to_pylist() for w in e.split(b" ")), np.int64, len(flat))
+        else:
+            back = np.unique(np.concatenate([np.frombuffer(e, np.uint64) for e in group["entries"].to_pylist()]), return_inverse=True)[1]
+        sums = np.zeros(back.max() + 1, np.int64)
+        np.add.at(sums, back, flat)
+        parts = np.split(sums[back], np.cumsum(sizes)[:-1])
+        once = np.arange(len(parts)) == 0
+        return pa.table([group["chunk"], group["n"], group["bucket"], pa.array([compress(x.tobytes(), 1) for x in parts], pa.binary()), pa.array(once * int(sums.sum())), pa.array(once * int((sums > 0).sum()))], names=["chunk", "n", "bucket", "counts", "tokens", "distinct"])
+
+    lists = rows.select("chunk", "text", "held").mapInArrow(listed, "chunk long, n int, bucket int, entries binary, counts binary")
+    return lists.groupBy("n", "bucket").applyInArrow(added, "chunk long, n int, bucket int, counts binary, tokens long, distinct long")
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """Token counts, base score and model score, one row per row of ``docs``."""
-    spark = docs.sparkSession
-    held_out = is_held_out(id_col)
-    training = docs.where(~held_out)
-    vocab = vocabulary(training, text_col)
-    n_docs = training.select(F.lit(1)).count()
-    sums = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    tokens, distinct = int(sums[0]) + n_docs, int(sums[1]) + (n_docs > 0)
-    discount = sums[2] / (sums[2] + 2 * sums[3]) if sums[2] and sums[3] else 0.5
-    # At most 1 / word_share rows, as counts sum up to tokens.
-    common = vocab.where(F.col("c") >= max(1.0, word_share * tokens)).orderBy(F.col("c").desc(), "w").toPandas()
-    names, counts = ([END, *common["w"]], np.array([n_docs, *common["c"]], np.int64)) if n_docs else ([], np.zeros(0, np.int64))
-    arcs = np.zeros((0, 3), np.int64)
-    if n_docs:
-        context = [w for w, c in zip(names, counts.tolist(), strict=True) if c >= arc_share * tokens or w == END]
-        found = bigrams(training, text_col, context, spark.sparkContext.broadcast(context))
-        # At most 1 / arc_share rows.
-        arcs = found.where(F.col("c") >= max(2.0, arc_share * tokens)).toPandas().to_numpy(np.int64).reshape(-1, 3)
-        arcs = arcs[np.lexsort((arcs[:, 1], arcs[:, 0]))]
-    shared = _Shared(spark.sparkContext.broadcast((names, counts, arcs, tokens, distinct, discount)), f"{id(docs)}-{tokens}-{distinct}-{spark.sparkContext.applicationId}")
-
-    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(shared)
-        for b in batches:
-            found = []
-            for text in b.column(1).to_pylist():
-                ws = split(text)
-                found.append((len(ws) + 1, *a.traverse(ws)))
-            rare = pa.array([list(f[4].items()) for f in found], pa.map_(pa.string(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), *(pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.float64(), pa.int64()))), rare], names=["id", "rid", "held", "n", "s", "b", "known", "rare"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("rid"), held_out.alias("held"))
-    walked = rows.mapInArrow(of_batches, f"id {kind}, rid long, held boolean, n long, s double, b double, known long, rare map<string,long>")
-    # A head row for each text and a row for each of its rare words; heads get keys that no word equals, spread out.
-    head = F.struct(F.concat(F.lit(" "), F.pmod("rid", F.lit(4096)).cast("string")).alias("w"), F.lit(None).cast("long").alias("k"))
-    left = F.transform(F.map_entries("rare"), lambda e: F.struct(e["key"].alias("w"), e["value"].alias("k")))
-    each = walked.select("id", "rid", "held", "n", "s", "b", "known", F.explode(F.concat(F.array(head), left)).alias("e")).select("rid", F.col("e.w").alias("w"), F.col("e.k").alias("k"), *(F.when(F.col("e.k").isNull(), F.col(c)).alias(c) for c in ("id", "held", "n", "s", "b", "known")))
-    c, k = F.col("c"), F.col("k")
-    rest = vocab.where(F.col("c") < max(1.0, word_share * tokens))
-    norm = log10(tokens + 0.5 * (distinct + 1))
-    met = each.join(rest, "w", "left").select(
-        "rid", "id", "held", "n",
-        F.when(k.isNull(), F.col("s")).when(c.isNull(), k * F.lit(log10(discount * distinct / tokens) if tokens else 0.0)).otherwise(k * (F.log10(c - discount) - F.lit(log10(tokens or 1)))).alias("s"),
-        F.when(k.isNull(), F.col("b")).otherwise(k * (F.log10(F.coalesce(c, F.lit(0)) + 0.5) - F.lit(norm))).alias("b"),
-        F.when(k.isNull(), F.col("known")).otherwise(F.when(c.isNull(), F.lit(0)).otherwise(k)).alias("known"),
-        F.when(k.isNull(), 1).otherwise(0).alias("one"),
-    )
-    total = met.groupBy("rid").agg(F.max("id").alias("id"), F.bool_or("held").alias("held"), F.max("n").alias("n"), F.sum("s").alias("s"), F.sum("b").alias("b"), F.sum("known").alias("known"), F.sum("one").alias("times"))
-    each_time = total.select("*", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("t"))
-    return each_time.select(
-        F.col("id").alias(id_col), F.col("held").alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") / F.col("times")).cast("long").alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"), (F.col("b") / F.col("times")).alias("base_score"), (F.col("s") / F.col("times")).alias("score"),
-    )
+    rows = checkpointed(chunked(docs, id_col, text_col))
+    size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    buckets = max(LEAST_BUCKETS, size // BUCKET)
+    answers = checkpointed(answered(rows, buckets, order))
+    tokens, distinct = (int(x or 0) for x in answers.where("n = 1").agg(F.sum("tokens"), F.sum("distinct")).first())
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def scored(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        chunk = Chunk(texts["text"].to_pylist(), [not h for h in texts["held"].to_pylist()], order)
+        known = {(n, k): c for n, k, c in zip(counts["n"].to_pylist(), counts["bucket"].to_pylist(), counts["counts"].to_pylist(), strict=True)}
+        total = {n: chunk.total(n, known, buckets) for n in chunk.keys}
+        a = Automaton(chunk, total, tokens, distinct)
+        base, seen = np.log10(a.base), total[1] > 0
+        each = [np.array(t) for t in chunk.texts]
+        return pa.table(
+            [texts["id"], texts["held"], pa.array([len(t) for t in each], pa.int64()), pa.array([int(seen[t].sum()) for t in each], pa.int64()), pa.array([tokens] * len(each), pa.int64()), pa.array([float(base[t].sum()) for t in each]), pa.array([a.score(t) for t in chunk.texts])],
+            names=["id", "held", "n", "known", "tokens", "base", "score"],
+        )
+
+    out = rows.groupBy("chunk").cogroup(answers.select("chunk", "n", "bucket", "counts").groupBy("chunk")).applyInArrow(scored, f"id {kind}, held boolean, n long, known long, tokens long, base double, score double")
+    return out.toDF(id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

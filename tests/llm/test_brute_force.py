@@ -239,37 +239,55 @@ def test_weighted_fingerprints(spark):
         assert found[k] == (total, bits - (1 << 64) if bits >> 63 else bits)
 
 
-def test_lm(spark, texts):
+def plain_model(training, order):
+    """Smoothed probabilities by their recursion, from plain counts."""
+    grams = Counter()
+    for t in training:
+        s = [None, *ws((t or "").translate(FOLD)), None]
+        for n in range(1, order + 1):
+            grams.update(tuple(s[k - n + 1 : k + 1]) for k in range(1, len(s)) if k - n + 1 >= 0)
+    one = {g[0]: c for g, c in grams.items() if len(g) == 1}
+    n, v = sum(one.values()), len(one)
+
+    def p(w, context):
+        if not context:
+            return (one.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))
+        c = one.get(context[0], 0) if len(context) == 1 else grams[context]
+        return (grams[*context, w] + lm.PRIOR * p(w, context[1:])) / (c + lm.PRIOR)
+
+    return p, one, n
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_lm(spark, texts, order):
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts.index}
-    c = Counter()
-    for i, t in texts.items():
-        if not held[i]:
-            c.update([*ws(t.translate(FOLD)), None])
-    n, v = sum(c.values()), len(c)
-    # A large share leaves most words to the join, a small one none: both give the same.
-    few = {r["doc_id"]: r for r in lm.score(spark.read.parquet(f"{DIR}/documents.parquet"), word_share=1e-3, arc_share=1e-3).collect()}
-    for r in lm.op4_lm_scoring(spark, DIR).collect():
+    p, one, n = plain_model([t for i, t in texts.items() if not held[i]], order)
+    found = lm.score(spark.read.parquet(f"{DIR}/documents.parquet").repartition(5), order=order).collect()
+    assert len(found) == len(texts)
+    for r in found:
         tokens = [*ws(texts[r["doc_id"]].translate(FOLD)), None]
-        base = sum(math.log10((c[t] + 0.5) / (n + 0.5 * (v + 1))) for t in tokens)
-        for x in (r, few[r["doc_id"]]):
-            assert (x["held_out"], x["n_tokens"], x["n_known"], x["train_tokens"]) == (held[r["doc_id"]], len(tokens), sum(c[t] > 0 for t in tokens), n)
-            assert x["base_score"] == pytest.approx(base) and x["score"] < 0
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(tokens), sum(t in one for t in tokens), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10(p(t, ())) for t in tokens), rel=1e-9)
+        s = [None, *tokens]
+        assert r["score"] == pytest.approx(sum(math.log10(p(s[k], tuple(s[max(0, k - order + 1) : k]))) for k in range(1, len(s))), rel=1e-9)
+
+
+def test_lm_without_training_rows(spark):
+    held = next(k for k in range(99) if zlib.crc32(str(k).encode()) % 5 == 1)
+    (r,) = lm.score(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).collect()
+    assert r["held_out"] and (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) == (3, 0, 0, 0.0, 0.0)
 
 
 def test_lm_sums_to_one():
-    counts = np.array([4, 10, 5, 1], np.int64)  # END, x, y, z
-    a = lm.Automaton(["", "x", "y", "z"], counts, np.array([[1, 2, 4], [0, 1, 3]]), 20, 4, 0.4)
-    for before in ([], [b"x"], [b"y"], [b"q"]):
-        total = 0.0
-        for w in (b"", b"x", b"y", b"z"):
-            state = 0
-            for b in before:
-                state = a.root[b][1] if b in a.root else -1
-            hit = a.states[state].get(w) if state >= 0 else None
-            total += 10 ** hit[0] if hit else 10 ** (a.root[w][0] + (a.failure[state] if state >= 0 else 0.0))
-        state_failure = a.failure[state] if state >= 0 else 0.0
-        total += 10 ** (a.unknown + state_failure)
-        assert total == pytest.approx(1.0)
+    texts = ["x y x z", "y x", "x y", ""]
+    chunk = lm.Chunk([*texts, "z y q"], [True] * 4 + [False], 3)
+    a = lm.Automaton(chunk, chunk.counts, 12, 4)
+    for before in ([], ["x"], ["x", "y"], ["q"], ["z", "y"]):
+        each = []
+        for w in chunk.words:
+            place = {v: k for k, v in enumerate(chunk.words)}
+            each.append(10 ** (a.score([place[b.encode()] for b in before] + [place[w]]) - a.score([place[b.encode()] for b in before])))
+        assert len(chunk.words) == 5 and sum(each) == pytest.approx(1.0)  # END, x, y, z and q, the one unknown word
 
 
 def test_sharding_moves(spark):
