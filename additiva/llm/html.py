@@ -1,25 +1,30 @@
 """Main text of web pages by tag-path ratios.
 
-Each text node of a page has a path of tags from the root. Per path, the text length and the punctuation are summed
-and divided by the number of nodes; both ratios are fused, discounted by the share of link text, spread to neighbouring
-nodes in page order (smoothing), and paths above a share of the page's mean are content. Marks that say what an
-element is (navigation, header, footer, aside, form, script; classes and ids of adverts, notices, comments and the
-like) take nodes out beforehand. The element that holds most of the content weight is the article: short blocks inside
-it, such as headings, stay although their own path is weak.
+Each text block of a page (with the inline elements inside it) has a path of block tags from the root. Per path, text
+length and punctuation are summed and divided by the number of blocks. Both ratios are fused (length, raised by
+punctuation, lowered by the share of link text, on a log scale), then smoothed over neighbouring blocks in page order,
+and the smoothed ratios are averaged by path. Paths that reach ``SHARE`` of the page's typical ratio (the mean over its
+text, each letter counting once) are content, and the blocks on content paths are the page's text: menus and lists of
+links fail by their ratios, headings pass by those of their neighbours.
+
+Marks that say what an element is (navigation, header, footer, aside, form, script; classes and ids of sidebars,
+adverts, notices, comments and the like) take nodes out beforehand, and if ``article`` or ``main`` elements hold most of
+the content, blocks outside all of them are no content.
 
 Defined cases: a null or empty page, and one without content, gives the empty text. Text nodes that no element
 encloses count as children of the root. Broken markup is read as far as it goes: an end tag without a start is
 ignored, open elements end with their parents, a new paragraph, list item, row or cell ends the one before. Nothing is
-cut however long a page is. Repeated rows are extracted row by row; an empty table gives an empty result; columns
-other than identifier, address and page are not read.
+cut however long or deeply nested a page is. Repeated rows are extracted row by row; an empty table gives an empty
+result; columns other than identifier, address and page are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from math import log1p
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -60,18 +65,13 @@ def _is_noise(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class _Element:
-    __slots__ = ("noise", "parent", "path", "tag", "link", "depth")
+    __slots__ = ("tag", "path", "noise", "link", "article")
 
-    def __init__(self, tag: str, parent: _Element | None, noise: bool) -> None:
-        self.tag, self.parent = tag, parent
-        self.path = f"{parent.path}/{tag}" if parent else tag
-        self.depth = parent.depth + 1 if parent else 0
+    def __init__(self, tag: str, parent: _Element | None, path: int, noise: bool) -> None:
+        self.tag, self.path = tag, path
         self.noise = noise or bool(parent and parent.noise)
         self.link = tag == "a" or bool(parent and parent.link)
-
-
-#: Open elements beyond which new ones are not nested further, as browsers do.
-_DEEPEST = 512
+        self.article = tag in ARTICLES or bool(parent and parent.article)
 
 
 class Page(HTMLParser):
@@ -79,14 +79,16 @@ class Page(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open = [_Element("", None, False)]
+        self.open = [_Element("", None, 0, False)]
+        self.count: Counter[str] = Counter()  # open elements by tag
+        self.paths: dict[tuple[int, str], int] = {}
         self.nodes: list[tuple[_Element, int, str]] = []
         self.block = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self.block += 1
-            if tag not in ("li", "tr") and any(e.tag == "p" for e in self.open) and tag != "p":
+            if tag not in ("li", "tr", "p"):
                 self._end({"p"})
         if tag == "br":
             self.nodes.append((self.open[-1], self.block, " "))
@@ -96,84 +98,81 @@ class Page(HTMLParser):
             self._end(ENDS[tag])
         if tag in ("td", "th"):
             self.nodes.append((self.open[-1], self.block, " "))
-        if len(self.open) < _DEEPEST:
-            self.open.append(_Element(tag, self.open[-1], _is_noise(tag, attrs)))
+        parent = self.open[-1]
+        path = self.paths.setdefault((parent.path, tag), len(self.paths) + 1) if tag in BLOCKS else parent.path
+        self.open.append(_Element(tag, parent, path, _is_noise(tag, attrs)))
+        self.count[tag] += 1
+
+    def _close(self, k: int) -> None:
+        """Ends the open elements from place k on."""
+        for e in self.open[k:]:
+            self.count[e.tag] -= 1
+        del self.open[k:]
 
     def _end(self, tags: set[str]) -> None:
         """Ends the nearest open element of the group, unless a list, table or the like stands between."""
+        if not any(self.count[t] for t in tags):
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag in tags:
-                del self.open[k:]
-                return
+                return self._close(k)
             if self.open[k].tag in SCOPES:
                 return
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.block += 1
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
+        if self.count[tag]:
+            k = len(self.open) - 1
+            while self.open[k].tag != tag:
+                k -= 1
+            self._close(k)
 
     def handle_data(self, data: str) -> None:
         self.nodes.append((self.open[-1], self.block, data))
 
 
-def extract(html: str | None) -> str:
+def content_paths(blocks: list[tuple[int, float, str]], share: float = SHARE) -> set[int]:
+    """The paths that hold content, from the blocks (path, share of link text, text) in page order."""
+    length, marks, links, count = (defaultdict(float) for _ in range(4))
+    for path, linked, t in blocks:
+        length[path] += len(t)
+        marks[path] += len(PUNCTUATION.findall(t))
+        links[path] += linked * len(t)
+        count[path] += 1
+    ratio = {p: log1p(length[p] / count[p] * (1 + marks[p] / count[p]) * (1 - links[p] / length[p])) for p in length}
+    raw = [ratio[path] for path, _, _ in blocks]
+    smooth = [sum(w * raw[min(max(k + d, 0), len(raw) - 1)] for d, w in zip((-1, 0, 1), SMOOTH, strict=True)) for k in range(len(raw))]
+    total: dict[int, float] = defaultdict(float)
+    for (path, _, _), s in zip(blocks, smooth, strict=True):
+        total[path] += s
+    typical = sum(ratio[p] * length[p] for p in length) / sum(length.values())
+    return {p for p in length if total[p] / count[p] >= share * typical and total[p] > 0}
+
+
+def extract(html: str | None, share: float = SHARE) -> str:
     page = Page()
     page.feed(html or "")
     page.close()
-    nodes = [n for n in page.nodes if not n[0].noise]
-    texts = [n for n in nodes if n[2].strip()]
-    if not texts:
-        return ""
-    length, marks, links, count = (defaultdict(float) for _ in range(4))
-    for e, _, t in texts:
-        size = len(t.strip())
-        length[e.path] += size
-        marks[e.path] += len(PUNCTUATION.findall(t))
-        links[e.path] += size if e.link else 0
-        count[e.path] += 1
-    # Fused ratio of each path: letters a node, raised by its punctuation, lowered by its links.
-    ratio = {p: length[p] / count[p] * (1 + marks[p] / count[p]) * (1 - links[p] / length[p]) for p in length}
-    raw = [ratio[e.path] for e, _, _ in texts]
-    smooth = [sum(w * raw[min(max(k + d, 0), len(raw) - 1)] for d, w in zip((-1, 0, 1), SMOOTH, strict=True)) for k in range(len(raw))]
-    weight: dict[str, float] = defaultdict(float)
-    for (e, _, _), s in zip(texts, smooth, strict=True):
-        weight[e.path] += s / count[e.path]
-    least = SHARE * sum(smooth) / len(smooth)
-    content = {p for p, w in weight.items() if w >= least and ratio[p] > 0}
-    # The article: marked as such or not, the lowest element that holds most of the content's text.
-    held: dict[int, float] = defaultdict(float)
-    known: dict[int, _Element] = {}
-    total = 0.0
-    for e, _, t in texts:
-        if e.path in content:
-            size = len(t.strip())
-            total += size
-            up: _Element | None = e
-            while up:
-                held[id(up)] += size
-                known[id(up)] = up
-                up = up.parent
-    if not total:
+    gathered: dict[int, list[tuple[_Element, str]]] = {}
+    for e, block, t in page.nodes:
+        if not e.noise:
+            gathered.setdefault(block, []).append((e, t))
+    blocks: list[tuple[int, float, str]] = []
+    inside: list[bool] = []
+    for nodes in gathered.values():
+        text = " ".join("".join(t for _, t in nodes).split())
+        if text:
+            named = [(e, len(t.strip())) for e, t in nodes if t.strip()]
+            blocks.append((named[0][0].path, sum(n for e, n in named if e.link) / sum(n for _, n in named), text))
+            inside.append(named[0][0].article)
+    if not blocks:
         return ""
-    marked = [k for k in held if known[k].tag in ARTICLES and held[k] >= 0.4 * total]
-    inside = [k for k in held if held[k] >= 0.6 * total and (known[k].tag in BLOCKS or not known[k].parent)]
-    best = max(marked or inside, key=lambda k: (known[k].depth, held[k]) if not marked else (held[k], known[k].depth))
-    article = known[best]
-    if not marked and article.parent and article.tag in ("p", "li", "tr", "h1", "h2", "h3"):
-        article = article.parent
-    blocks: dict[int, list[str]] = {}
-    for e, block, t in nodes:
-        up = e
-        while up and up is not article:
-            up = up.parent
-        if up:
-            blocks.setdefault(block, []).append(t)
-    lines = (" ".join("".join(parts).split()) for _, parts in sorted(blocks.items()))
-    return "\n".join(line for line in lines if line)
+    content = content_paths(blocks, share)
+    kept = [(t, a) for (path, _, t), a in zip(blocks, inside, strict=True) if path in content]
+    marked = sum(len(t) for t, a in kept if a)
+    only = 0 < marked >= 0.4 * sum(len(t) for t, _ in kept)
+    return "\n".join(t for t, a in kept if a or not only)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
