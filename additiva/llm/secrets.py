@@ -3,11 +3,13 @@
 Base findings are regular expressions over the whole text (``KINDS``). The method adds a broader kind, ``token``
 (random-looking strings of mixed case and digits), which alone would flag documentation examples. So every candidate's
 hash is aggregated over the corpus by distinct repositories and distinct owners: a value that ``EXAMPLE_OWNERS`` or
-more owners have is a widely copied example, one that stays with fewer owners is live-looking. Added candidates are
-reported if live-looking; base findings always stay and are counted by class. A document is taken as a repository of
-the owner in ``source``.
+more owners have, or that two share over ``EXAMPLE_REPOS`` or more repositories, is a widely copied example; one that
+stays with fewer is live-looking (however many repositories of one owner have it). Added candidates are reported if
+live-looking; base findings always stay and are counted by class. A document is taken as a repository of the owner in
+``source``.
 
-Everything is DataFrame functions. Offsets are code points and come from the pieces between matches. Counts are
+Everything is DataFrame functions. Offsets are code points and come from the pieces between matches, added up in blocks
+of ``BLOCK``, so that a text with n matches costs some n * (n / BLOCK + BLOCK) small steps and not n squared copies. Counts are
 pre-aggregated by (hash, owner, repository), then (hash, owner), then hash, so a value in a third of all rows meets
 no single task; the class is joined back with plain equi-joins that adaptive execution may split.
 
@@ -28,27 +30,40 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 #: kind, pattern, group whose value is the secret. In the order in which spans of one start are listed.
 KINDS = (("assign", ASSIGN, 2), ("access", r"(AKIA[A-Z0-9]{16,})", 1), ("hex", r"([0-9a-f]{24,})", 1))
 ADDED = ("token", r"(?<![A-Za-z0-9+/_=-])((?=[A-Za-z+/_=-]*[0-9])(?=[a-z0-9+/_=-]*[A-Z])(?=[A-Z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]{20,})", 1)
-LEAST_VALUE, LEAST_DISTINCT, EXAMPLE_OWNERS = 6, 10, 3
+LEAST_VALUE, LEAST_DISTINCT, EXAMPLE_OWNERS, EXAMPLE_REPOS, BLOCK = 6, 10, 3, 10, 128
 #: Spans and rows with spans up to which they are broadcast to the texts.
 BROADCAST_SPANS = 500_000
 NONE = "array<struct<start:int,rank:int,kind:string,end:int,hash:bigint>>"
 
 
+def _in_blocks(xs: Column) -> Column:
+    """The array cut into arrays of ``BLOCK``."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(xs) - 1) / BLOCK), F.lit(0)).cast("int")), lambda k: F.slice(xs, k * BLOCK + 1, BLOCK))
+
+
+def _running(xs: Column) -> Column:
+    """Sums of the numbers before each element."""
+    return F.aggregate(xs, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+
+
 def _found(text: Column, rank: int, kind: str, pattern: str, group: int, least: int) -> Column:
     """Matches of one kind: leftmost, not overlapping, dropped afterwards if the value is too short."""
     whole, values, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.split(text, pattern, -1)
-    steps = F.arrays_zip(F.transform(between, F.length).alias("gap"), F.transform(whole, F.length).alias("size"), values.alias("value"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(NONE).alias("out"))
-
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (start + x["size"]).alias("end"), F.xxhash64(x["value"]).alias("hash"))
-        keep = F.length(x["value"]) >= least
+    each = F.zip_with(F.zip_with(between, whole, lambda g, w: F.struct(F.length(g).alias("gap"), F.length(w).alias("size"))), values, lambda s, v: F.struct(s["gap"].alias("gap"), s["size"].alias("size"), v.alias("value")))
+    # The last piece has no match after it.
+    blocks = _in_blocks(F.slice(each, 1, F.size(whole)))
+    before = _running(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["gap"] + x["size"])))
+
+    def spans(block, start):
+        inside = _running(F.transform(block, lambda x: x["gap"] + x["size"]))
+        keep = lambda s: F.length(s["value"]) >= least
         if kind == ADDED[0]:
-            keep = keep & (F.size(F.array_distinct(F.split(x["value"], ""))) >= LEAST_DISTINCT)
-        return F.struct((start + F.coalesce(x["size"], F.lit(0))).alias("at"), F.when(x["value"].isNotNull() & keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+            keep = lambda s: F.size(F.array_distinct(F.split(s["value"], ""))) >= LEAST_DISTINCT
+        at = lambda x, i: start + i + x["gap"]
+        placed = F.zip_with(block, inside, lambda x, i: F.struct(at(x, i).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (at(x, i) + x["size"]).alias("end"), x["value"].alias("value")))
+        return F.transform(F.filter(placed, keep), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"), F.xxhash64(s["value"]).alias("hash")))
 
-    return F.when(text.rlike(pattern), F.aggregate(steps, zero, step)["out"]).otherwise(F.array().cast(NONE))
+    return F.when(text.rlike(pattern), F.flatten(F.zip_with(blocks, before, spans))).otherwise(F.array().cast(NONE))
 
 
 def with_candidates(docs: DataFrame, text_col: str, base: str, added: str) -> DataFrame:
@@ -56,8 +71,13 @@ def with_candidates(docs: DataFrame, text_col: str, base: str, added: str) -> Da
     text = F.coalesce(F.col(text_col), F.lit(""))
     every = [_found(text, k, kind, pattern, group, LEAST_VALUE if kind == "assign" else 1) for k, (kind, pattern, group) in enumerate(KINDS)]
     df = docs.withColumn(base, F.concat(*every)).withColumn(added, _found(text, len(KINDS), *ADDED, 1))
-    apart = F.filter(F.col(added), lambda c: ~F.exists(F.col(base), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return df.withColumn(added, F.when(F.size(added) > 0, apart).otherwise(F.col(added)))
+    # Sorted base spans in blocks with their bounds: a candidate looks into the blocks that it meets only.
+    blocks = unused("__blocks", df)
+    bounds = F.transform(_in_blocks(F.sort_array(F.col(base))), lambda b: F.struct(F.get(b, 0)["start"].alias("start"), F.array_max(F.transform(b, lambda s: s["end"])).alias("end"), b.alias("spans")))
+    df = df.withColumn(blocks, F.when((F.size(added) > 0) & (F.size(base) > 0), bounds))
+    meets = lambda x, c: (x["start"] < c["end"]) & (c["start"] < x["end"])
+    apart = F.filter(F.col(added), lambda c: ~F.exists(F.col(blocks), lambda b: meets(b, c) & F.exists(b["spans"], lambda s: meets(s, c))))
+    return df.withColumn(added, F.when(F.col(blocks).isNotNull(), apart).otherwise(F.col(added))).drop(blocks)
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -66,6 +86,10 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
+def is_example(owners: Column, repos: Column) -> Column:
+    return (owners >= EXAMPLE_OWNERS) | ((owners > 1) & (repos >= EXAMPLE_REPOS))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
     """Candidates of each row, without texts, in the checkpoint folder: (id, same, owner, base, added)."""
     narrow = docs.select(F.col(id_col).alias("id"), F.col(owner_col).cast("string").alias("owner"), F.col(text_col).alias("text"))
@@ -77,7 +101,7 @@ def classified(rows: DataFrame) -> DataFrame:
     found = rows.select("id", "same", F.coalesce("owner", F.lit("")).alias("owner"), F.explode(F.concat("base", "added")).alias("s")).select("id", "same", "owner", "s.*")
     wide = ownership(found.select("hash", "owner", F.col("id").alias("repo")))
     each = found.select("id", "same", "start", "rank", "kind", "end", "hash").distinct().join(wide, "hash")
-    each = each.withColumn("live", F.col("n_owners") < EXAMPLE_OWNERS).where(F.col("live") | (F.col("rank") < len(KINDS)))
+    each = each.withColumn("live", ~is_example(F.col("n_owners"), F.col("n_repos"))).where(F.col("live") | (F.col("rank") < len(KINDS)))
     return each.groupBy("id", "same").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "end", "live"))).alias("spans"))
 
 
@@ -143,8 +167,8 @@ p AS (SELECT doc_id, owner, r, kind, v[i] AS v, length(m[i]) AS n,
 q AS (SELECT *, a + n AS z FROM p WHERE CASE r WHEN 0 THEN length(v) >= {LEAST_VALUE} WHEN {len(KINDS)} THEN
   regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND len(list_distinct(string_split(v, ''))) >= {LEAST_DISTINCT} ELSE true END),
 c AS (SELECT * FROM q WHERE r < {len(KINDS)} UNION ALL SELECT * FROM q x WHERE r = {len(KINDS)} AND NOT EXISTS (SELECT 1 FROM q y WHERE y.r < {len(KINDS)} AND y.doc_id = x.doc_id AND y.a < x.z AND x.a < y.z)),
-o AS (SELECT v, count(DISTINCT owner) AS owners FROM c GROUP BY v),
-s AS (SELECT c.*, owners < {EXAMPLE_OWNERS} AS live, kind || ':' || a || ':' || z AS span FROM c JOIN o USING (v) WHERE r < {len(KINDS)} OR owners < {EXAMPLE_OWNERS}),
+o AS (SELECT v, NOT (owners >= {EXAMPLE_OWNERS} OR owners > 1 AND repos >= {EXAMPLE_REPOS}) AS live FROM (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT (owner, doc_id)) AS repos FROM c GROUP BY v)),
+s AS (SELECT c.*, live, kind || ':' || a || ':' || z AS span FROM c JOIN o USING (v) WHERE r < {len(KINDS)} OR live),
 g AS (SELECT doc_id, {count}, string_agg(span, ',' ORDER BY a, r) FILTER (r < {len(KINDS)}) AS base, string_agg(span, ',' ORDER BY a, r) AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM s GROUP BY doc_id)
 SELECT doc_id, {", ".join(f"CAST(coalesce(n_{kind}, 0) AS BIGINT) AS n_{kind}" for kind, _, _ in KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
   CAST(coalesce(n_live, 0) AS BIGINT) AS n_live, CAST(coalesce(n_example, 0) AS BIGINT) AS n_example
