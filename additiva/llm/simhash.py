@@ -19,6 +19,13 @@ of them carries unchanged. The rest differs in e <= 3 - d bits. If e <= 2 both e
 one bit (for e = 2) or one of them (e <= 1); if e = 3 (d = 0) their parities differ and the odd one emits two bits.
 Either way one of them that carries the key unchanged is within one bit of z, so a centre exists and both get a star.
 
+That first level prunes while halves of 32 bits seldom meet by chance. From ``DIRECT_FROM`` distinct fingerprints on
+they would, so the balls are emitted directly (counted, not guessed; both ways give the same components): a
+fingerprint of even parity emits its 65 variants within one bit; one of odd parity these and its 992 variants whose two
+flipped bits lie in one half. Two fingerprints at distance 3 differ in parity and two of the three bits lie in one
+half, so the odd one flips these and the even one the third; at distance 2 both meet in the middle. That is 561 rows a
+fingerprint at any size.
+
 Components come from alternating large-star and small-star rounds on the distinct fingerprints, each written to the
 checkpoint folder; the number of rounds grows with the logarithm of the longest chain.
 
@@ -43,6 +50,8 @@ from additiva.llm.common import LOWER, UPPER, broadcast_if_small, checkpointed,
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
+#: Distinct fingerprints from which variants of whole fingerprints are emitted at once.
+DIRECT_FROM = 1 << 26
 #: Hashes whose bits are counted at once; bounds the memory that a very long text takes.
 _CHUNK = 1 << 16
 
@@ -77,8 +86,28 @@ def _flips(value, bits: int = 32):
     return F.concat(F.array(value), F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: value.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
 
 
-def links(fps: DataFrame) -> DataFrame:
+def _stars(points: DataFrame, at: list[str]) -> DataFrame:
+    """Links (a, b) from the least centre to all that emitted the same point: rows (*at, fp, near), ``near`` if fp is within a bit of it."""
+    centre = F.when(F.col("near"), F.col("fp"))
+    stars = points.groupBy(*at).agg(F.min(centre).alias("centre"), F.collect_set("fp").alias("members")).where("centre IS NOT NULL AND size(members) > 1")
+    found = stars.select("centre", F.explode("members").alias("fp")).where("fp <> centre").select(F.greatest("fp", "centre").alias("a"), F.least("fp", "centre").alias("b")).distinct()
+    return found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
+
+
+def direct_links(fps: DataFrame) -> DataFrame:
+    """Star links from variants of whole fingerprints."""
+    fp = F.col("fp")
+    one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    half = lambda base: F.flatten(F.transform(F.sequence(F.lit(base), F.lit(base + 30)), lambda i: F.transform(F.sequence(i + 1, F.lit(base + 31)), lambda j: fp.bitwiseXOR(one(i)).bitwiseXOR(one(j)))))
+    ball = _flips(fp, 64)
+    points = fps.select("fp", F.posexplode(F.when(F.bit_count("fp") % 2 == 1, F.concat(ball, half(0), half(32))).otherwise(ball)).alias("k", "z"))
+    return _stars(points.select("z", "fp", (F.col("k") <= 64).alias("near")), ["z"])
+
+
+def links(fps: DataFrame, direct: bool = False) -> DataFrame:
     """Star links (a, b), a > b as signed longs, among the distinct values of ``fp`` that keep components."""
+    if direct:
+        return direct_links(fps)
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
     halves = fps.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("side"), high.alias("key"), low.alias("rest")), F.struct(F.lit(1).alias("side"), low.alias("key"), high.alias("rest")))).alias("h")).select("fp", "h.*")
     even = F.bit_count("key") % 2 == 0
@@ -93,18 +122,19 @@ def links(fps: DataFrame) -> DataFrame:
     ball = F.concat(F.array(rest), F.transform(bits, lambda i: rest.bitwiseXOR(one(i))))
     wide = (F.col("off") == 0) & (F.bit_count("rest") % 2 == 1)
     points = met.select("fp", "side", "key", "off", F.posexplode(F.when(wide, F.concat(ball, two)).otherwise(ball)).alias("k", "z"))
-    centre = F.when((F.col("off") == 0) & (F.col("k") <= 32), F.col("fp"))
-    stars = points.groupBy("side", "key", "z").agg(F.min(centre).alias("centre"), F.collect_set("fp").alias("members")).where("centre IS NOT NULL AND size(members) > 1")
-    found = stars.select("centre", F.explode("members").alias("fp")).where("fp <> centre").select(F.greatest("fp", "centre").alias("a"), F.least("fp", "centre").alias("b")).distinct()
-    return found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
+    near = (F.col("off") == 0) & (F.col("k") <= 32)
+    return _stars(points.select("side", "key", "z", "fp", near.alias("near")), ["side", "key", "z"])
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for all nodes of ``edges`` (a, b), a > b, except roots; the root is the smallest node reachable."""
+    """(node, root) for all nodes of ``edges`` (a, b), a > b, except roots; the root is the smallest node reachable.
+
+    Rounds grow with the logarithm of the longest chain; should ``most_rounds`` not do, that is an error and no result.
+    """
     edges = checkpointed(edges)
-    size = edges.count()
+    finished = edges.isEmpty()
     for _ in range(most_rounds):
-        if not size:
+        if finished:
             break
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -117,17 +147,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # Stable once every node has one parent and no parent has a parent.
         roots = after.groupBy("a").count().agg(F.max("count")).first()[0] or 0
         chained = after.join(after.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
-        edges = after
-        if roots <= 1 and chained:
-            break
+        edges, finished = after, roots <= 1 and chained
+    if not finished:
+        raise RuntimeError(f"components are unfinished after {most_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
     """(id, same, fp, component, chosen), one row per row of ``docs``; ``chosen`` is the text hash of the component's least row."""
     rows = checkpointed(with_fingerprints(docs, id_col, text_col, shingle))
-    nodes = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "same")).alias("least"))
-    found = components(links(nodes.select("fp")))
+    nodes = checkpointed(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "same")).alias("least")))
+    found = components(links(nodes.select("fp"), nodes.count() >= DIRECT_FROM))
     rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("first")).select("root", F.col("first.id").alias("component"), F.col("first.same").alias("chosen"))
     return rows.join(rooted.join(least, "root").select("fp", "component", "chosen"), "fp").select("id", "same", "fp", "component", "chosen")
