@@ -2,8 +2,9 @@
 
 A text's letter n-grams (1 to 4 letters, words padded by a space, other characters dropped) are hashed into
 ``BUCKETS`` embeddings; their average goes through a linear softmax. Both layers are trained by stochastic gradient
-descent in numpy on the driver, from a bounded sample: ``PER_LANGUAGE`` training rows of each language in expectation,
-taken by a hash of the identifier. A fifth of the sample is held out to fit a temperature for the probabilities and
+descent in numpy on the driver, from a bounded sample: ``PER_LANGUAGE`` training rows of each language in expectation
+(fewer if there are so many languages that the sample would pass ``SAMPLE`` rows), taken by a hash of the identifier
+and kept as sparse rows. A fifth of the sample is held out to fit a temperature for the probabilities and
 the least probability at which accepted texts reach ``ACCURACY``; less sure ones are marked ``rejected``.
 
 Prediction uses the whole text and nothing else. The model that travels with the tasks has a fixed size.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from additiva.llm.common import table
 
-BUCKETS, DIM, PER_LANGUAGE, FOLDS, ACCURACY = 8192, 16, 500, 3, 0.99
+BUCKETS, DIM, PER_LANGUAGE, SAMPLE, FOLDS, ACCURACY = 8192, 16, 500, 20_000, 3, 0.99
 _PRIMES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 #: Characters whose n-grams are counted at once.
 _CHUNK = 1 << 20
@@ -70,8 +71,21 @@ def counts(text: str | None) -> np.ndarray | None:
     return out
 
 
-def _probabilities(model: Model, x: np.ndarray) -> np.ndarray:
-    z = ((x @ model.embeddings) @ model.weights + model.bias) / model.temperature
+def dense(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """A few sparse rows (places, shares) as a matrix."""
+    x = np.zeros((len(rows), BUCKETS), np.float32)
+    for row, (k, v) in zip(x, rows, strict=True):
+        row[k] = v
+    return x
+
+
+def averages(model: Model, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    return np.array([v @ model.embeddings[k] for k, v in rows])
+
+
+def _probabilities(model: Model, h: np.ndarray) -> np.ndarray:
+    """Of each language, from rows of averaged embeddings."""
+    z = (h @ model.weights + model.bias) / model.temperature
     z = np.exp(z - z.max(axis=1, keepdims=True))
     return z / z.sum(axis=1, keepdims=True)
 
@@ -80,32 +94,33 @@ def is_held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % FOLDS == 1, F.lit(False))
 
 
-def fit(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 30, rate: float = 4.0, batch: int = 32, seed: int = 7) -> Model:
-    """Stochastic gradient descent on rows of averaged n-grams."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, languages: list[str], epochs: int = 30, rate: float = 4.0, batch: int = 32, seed: int = 7) -> Model:
+    """Stochastic gradient descent on sparse rows of n-gram shares."""
     rng = np.random.default_rng(seed)
     e, w, b = rng.normal(0, 0.3, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.1, (DIM, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32)
     held = np.arange(len(y)) % 5 == 4
     train = np.flatnonzero(~held)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
-        for rows in np.array_split(rng.permutation(train), max(1, len(train) // batch)):
-            h = x[rows] @ e
+        for some in np.array_split(rng.permutation(train), max(1, len(train) // batch)):
+            x = dense([rows[k] for k in some])
+            h = x @ e
             z = h @ w + b
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(rows)), y[rows]] -= 1
-            p /= len(rows)
+            p[np.arange(len(some)), y[some]] -= 1
+            p /= len(some)
             dh = p @ w.T
             w -= step * (h.T @ p)
             b -= step * p.sum(axis=0)
-            e -= step * 20 * (x[rows].T @ dh)
+            e -= step * 20 * (x.T @ dh)
     model = Model(languages, e, w, b, 1.0, 0.0)
     if held.any():
-        truth = y[held]
+        truth, h = y[held], averages(model, [rows[k] for k in np.flatnonzero(held)])
         models = [model._replace(temperature=float(t)) for t in np.geomspace(0.1, 4, 40)]
-        loss = [-np.log(np.maximum(_probabilities(m, x[held])[np.arange(len(truth)), truth], 1e-9)).mean() for m in models]
+        loss = [-np.log(np.maximum(_probabilities(m, h)[np.arange(len(truth)), truth], 1e-9)).mean() for m in models]
         model = models[int(np.argmin(loss))]
-        p = _probabilities(model, x[held])
+        p = _probabilities(model, h)
         sure, right = p.max(axis=1), p.argmax(axis=1) == truth
         order = np.argsort(-sure)
         fine = np.flatnonzero(np.cumsum(right[order]) / np.arange(1, len(order) + 1) >= ACCURACY)
@@ -119,6 +134,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not sizes:
         return None
     languages = sorted(sizes)
+    per_language = min(per_language, max(1, SAMPLE // len(languages)))
     share = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(1e6 * per_language / n)) for lang, n in sizes.items()))
     sample = rows.where(F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1_000_000)) < share)
 
@@ -134,10 +150,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     data = sample.select("id", "lang", "text").mapInArrow(of_batches, "id string, lang string, k array<int>, c array<int>").toPandas().sort_values("id", kind="stable")
     if data.empty:
         return None
-    x = np.zeros((len(data), BUCKETS), np.float32)
-    for row, k, c in zip(x, data["k"], data["c"], strict=True):
-        row[np.asarray(k)] = np.asarray(c) / np.sum(c)
-    return fit(x, np.array([languages.index(lang) for lang in data["lang"]]), languages)
+    rows = [(np.asarray(k), (np.asarray(c) / np.sum(c)).astype(np.float32)) for k, c in zip(data["k"], data["c"], strict=True)]
+    return fit(rows, np.array([languages.index(lang) for lang in data["lang"]]), languages)
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
