@@ -23,8 +23,10 @@ STOP_WORDS = {
     "es": "de la que el en y a los del se las por un para con no una su al lo como más pero sus le ya o este".split(),
 }
 SYMBOLS = "#*$%&|<>"
+LETTER, CAPITALS = r"\p{L}", r"^\P{Ll}*\p{Lu}\P{Ll}*$"
 
-#: The threshold table: metric, least, most (None: open). A text is kept if every metric is inside its bounds.
+#: The threshold table: metric, least, most (None: open). A text is kept if every metric is inside its bounds. Lengths,
+#: symbols, stop words, repeated lines and the shares of words with a letter and all in capitals follow published rules for web text.
 RULES = (
     ("n_words", 50, None),
     ("repeat_word_percent", None, 50),
@@ -32,7 +34,8 @@ RULES = (
     ("symbol_ratio", None, 0.3),
     ("stop_word_ratio", 0.02, None),
     ("dup_line_ratio", None, 0.5),
-    ("marked_word_ratio", None, 0.5),
+    ("letter_word_ratio", 0.8, None),
+    ("caps_word_ratio", None, 0.5),
 )
 
 
@@ -74,7 +77,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         "n_repeat_words",
         F.size("__l").cast("long").alias("n_lines"),
         F.size(F.filter(ws, lambda w: F.lower(w).isin(stops))).cast("long").alias("n_stop_words"),
-        F.size(F.filter(ws, lambda w: w.endswith("!!") | (w == "|"))).cast("long").alias("n_marked_words"),
+        F.size(F.filter(ws, lambda w: w.rlike(LETTER))).cast("long").alias("n_letter_words"),
+        F.size(F.filter(ws, lambda w: w.rlike(CAPITALS))).cast("long").alias("n_caps_words"),
     )
 
 
@@ -87,7 +91,8 @@ def metrics() -> dict[str, Column]:
         "symbol_ratio": F.col("n_symbols") / n,
         "stop_word_ratio": F.col("n_stop_words") / n,
         "dup_line_ratio": F.col("n_dup_lines") / lines,
-        "marked_word_ratio": F.col("n_marked_words") / n,
+        "letter_word_ratio": F.col("n_letter_words") / n,
+        "caps_word_ratio": F.col("n_caps_words") / n,
     }
 
 
@@ -129,11 +134,12 @@ m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
              CAST(coalesce(r.n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
              CAST(len(ls) AS BIGINT) AS n_lines,
              CAST(len(list_filter(ws, lambda x: lower(x) IN ({_STOPS}))) AS BIGINT) AS n_stop_words,
-             CAST(len(list_filter(ws, lambda x: x LIKE '%!!' OR x = '|')) AS BIGINT) AS n_marked_words
+             CAST(len(list_filter(ws, lambda x: regexp_matches(x, '\p{{L}}'))) AS BIGINT) AS n_letter_words,
+             CAST(len(list_filter(ws, lambda x: regexp_matches(x, '^\P{{Ll}}*\p{{Lu}}\P{{Ll}}*$'))) AS BIGINT) AS n_caps_words
       FROM w LEFT JOIN r USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT *, NOT base_failed AND word_chars >= 1.5 * n_words AND word_chars <= 15 * n_words AND n_symbols <= 0.3 * n_words
-          AND n_stop_words >= 0.02 * n_words AND n_dup_lines <= 0.5 * n_lines AND n_marked_words <= 0.5 * n_words AS kept
+          AND n_stop_words >= 0.02 * n_words AND n_dup_lines <= 0.5 * n_lines AND n_letter_words >= 0.8 * n_words AND n_caps_words <= 0.5 * n_words AS kept
 FROM f
 """
 QUERIES = {"op9_quality_rules": op9_quality_rules}
