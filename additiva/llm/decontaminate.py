@@ -30,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from additiva.llm.common import ascii_lower, broadcast_if_small, checkpointed, table, unused, words
+from additiva.llm.common import BROADCAST_ROWS, ascii_lower, broadcast_if_small, checkpointed, table, unused, words
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 7
 
@@ -113,7 +113,9 @@ def windows(docs: DataFrame, items: DataFrame, counts: DataFrame, sizes: list[in
     shared = F.aggregate("hits", F.lit(0), lambda t, x: t + F.when(x["p"] <= F.col("start") + F.col("span"), x["c"]).otherwise(0))
     # All starts of a document travel together, so that its words are found once.
     starts = near.where(shared >= F.col("need")).groupBy("id", "same").agg(F.collect_set(F.struct("key", "m", "start")).alias("starts")).toDF("i", "t", "starts")
-    starts = broadcast_if_small(checkpointed(starts), 50_000)
+    starts = checkpointed(starts)
+    if (starts.agg(F.sum(F.size("starts") + 2)).first()[0] or 0) <= BROADCAST_ROWS:
+        starts = F.broadcast(starts)
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("same"), F.col(text_col).alias("text"))
     again = texts.join(starts, F.col("id").eqNullSafe(F.col("i")) & (F.col("same") == F.col("t")))
     again = again.dropDuplicates(["id", "same"]).select("id", "same", words(ascii_lower(F.col("text"))).alias("w"), "starts")
