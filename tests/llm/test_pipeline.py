@@ -73,15 +73,16 @@ def redacted(docs):
                     continue
                 spans.append((m.start(), k, m.end(), v))
         found[i] = sorted(spans)
-    owners = {}
+    owners, repos = {}, {}
     for i, spans in found.items():
         for *_, v in spans:
             owners.setdefault(v, set()).add(docs[i]["source"])
+            repos.setdefault(v, set()).add((docs[i]["source"], i))
     out = {}
     for i, r in docs.items():
         at, text = 0, ""
         for a, k, b, v in found[i]:
-            live = len(owners[v]) < 3
+            live = len(owners[v]) < 2 or len(owners[v]) < 3 and len(repos[v]) < 10
             if k == 3 and not live:
                 continue
             if a >= at:
