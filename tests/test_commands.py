@@ -12,6 +12,7 @@ from additiva.plans import commands as c
 from additiva.sinks.writers import Progress
 from additiva.sources import inputs
 
+# The golden inputs and results of FIXTURES.md, cases G1 to G21, as the results must match them.
 VCF = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\ts3\ts4\n"
 V1 = "1\t100\tv1\tA\tG\t.\tPASS\t.\tGT\t0/0\t0/1\t1/1\t./.\n"
 V2 = "2\t200\tv2\tC\tT\t.\tPASS\t.\tGT\t1/1\t1/1\t0/1\t1/1\n"

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 import pytest
 
@@ -41,21 +43,26 @@ def test_fragment_quality(spark):
     assert (a["target_available_weight_count"], a["reference_abs_weight"], a["reference_squared_weight"]) == (2, 6, 20)
 
 
-def test_split_equals_combined(spark):
-    """Sparse form with a common dosage and missing calls, exact, and equal when split by variants."""
-    n = 5000
-    calls = [(0, s, None if s == 17 else 1.0) for s in range(512)] + [(1, s, None if s == 16 else float((s + 1) % 3)) for s in range(n) if (s + 1) % 3 != 2 or s == 16]
-    calls = spark.createDataFrame(calls, "ordinal long, sample_idx long, dosage double")
-    common = spark.createDataFrame([(0, 0.0), (1, 2.0)], "ordinal long, common double")
-    edges = spark.createDataFrame([(0, 0, 2.875, 0.0, 0.25), (0, 1, -3.5, 7.0, 0.75), (1, 0, -4.0, 8.0, 0.25), (1, 1, -1.0, 0.0, 0.75)], "score_idx long, ordinal long, beta double, intercept double, mean double")
-    samples, scores = spark.range(n).toDF("sample_idx"), spark.range(2).toDF("score_idx")
-    x1 = [0.25 if s == 17 else float(s < 512) for s in range(n)]
-    x2 = [0.75 if s == 16 else float((s + 1) % 3) for s in range(n)]
-    want = {(0, s): 2.875 * x1[s] + 3.5 * (2 - x2[s]) for s in range(n)} | {(1, s): 4 * (2 - x1[s]) - x2[s] for s in range(n)}
-    whole = {(r[0], r[1]): r[2] for r in scoring.evaluate(edges, calls, samples, scores, common, "ordinal").collect()}
-    assert whole == want
-    tiled = {(r[0], r[1]): r[2] for r in scoring.evaluate(edges, calls, samples, scores, common, "ordinal", F.col("ordinal")).collect()}
-    assert tiled == want
-    parts = [scoring.evaluate(edges.where(f"ordinal = {k}"), calls, samples, scores, common, "ordinal") for k in range(2)]
-    both = parts[0].union(parts[1]).groupBy("score_idx", "sample_idx").agg(F.sum("score"))
-    assert {(r[0], r[1]): r[2] for r in both.collect()} == want
+def test_sparse_form_equals_the_dense_sum(spark):
+    """Random dyadic cohorts: common dosages, missing calls, both orientations, tiles and splits give the plain sum exactly."""
+    rng = random.Random(11)
+    n_samples, n_variants, n_scores = 60, 14, 3
+    common = {v: float(rng.choice([0, 0, 1, 2])) for v in range(n_variants)}
+    mean = {v: rng.randrange(33) / 16 for v in range(n_variants)}
+    dosage = {(v, s): rng.choice([None, 0.0, 1.0, 2.0, 0.5]) if rng.random() < 0.2 else common[v] for v in range(n_variants) for s in range(n_samples)}
+    weights = [(k, v, rng.randrange(-16, 17) / 8, rng.random() < 0.5) for k in range(n_scores) for v in range(n_variants) if rng.random() < 0.7]
+    want = {(k, s): 0.0 for k in range(n_scores) for s in range(n_samples)}
+    for k, v, w, ref in weights:
+        for s in range(n_samples):
+            x = mean[v] if dosage[v, s] is None else dosage[v, s]
+            want[k, s] += w * (2 - x) if ref else w * x
+    calls = spark.createDataFrame([(v, s, x) for (v, s), x in dosage.items() if x != common[v]], "ordinal long, sample_idx long, dosage double")
+    edges = spark.createDataFrame([(k, v, -w if ref else w, 2 * w if ref else 0.0, mean[v]) for k, v, w, ref in weights], "score_idx long, ordinal long, beta double, intercept double, mean double")
+    usual = spark.createDataFrame(list(common.items()), "ordinal long, common double")
+    samples, scores = spark.range(n_samples).toDF("sample_idx"), spark.range(n_scores).toDF("score_idx")
+    plain = lambda df: {(r[0], r[1]): r[2] for r in df.select("score_idx", "sample_idx", "score").collect()}
+    assert plain(scoring.evaluate(edges, calls, samples, scores, usual, "ordinal")) == want
+    assert plain(scoring.evaluate(edges, calls, samples, scores, usual, "ordinal", F.floor(F.col("ordinal") / 4))) == want
+    parts = [scoring.evaluate(edges.where(f"ordinal % 3 = {k}"), calls, samples, scores, usual, "ordinal") for k in range(3)]
+    both = parts[0].union(parts[1]).union(parts[2]).groupBy("score_idx", "sample_idx").agg(F.sum("score").alias("score"))
+    assert plain(both) == want
