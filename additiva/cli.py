@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from additiva.operators.checks import InputError
@@ -70,8 +71,8 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("additiva").getOrCreate()
     try:
         run(spark, a)
-    except (InputError, ValueError) as e:
-        print(f"error: {e}", file=sys.stderr)
+    except (InputError, ValueError, AnalysisException) as e:
+        print(f"error: {str(e).splitlines()[0]}", file=sys.stderr)
         return 1
     return 0
 

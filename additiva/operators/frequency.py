@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from additiva.functions.values import allele_value, ascii_upper, is_missing, number
 from additiva.operators.checks import InputError, require_empty, require_unique
-from additiva.sources.text import header_of, read_table
+from additiva.sources.text import read_table
 
 
 def normalise(rows: DataFrame) -> DataFrame:
     """(id, ref, alt, alt_dosage_mean) of the usable rows of a table with upper-case string columns.
 
     A missing value or no observations make a row unusable, which is not an error; a negative count, a mean outside
-    0 to 2 or a malformed number is one.
+    0 to 2, a malformed number, a named value that is missing (``T=NA``), or a blank allele or several ALT alleles are one.
     """
     names = set(rows.columns)
     alt_name = next((c for c in ("ALT", "ALT1") if c in names), None)
@@ -27,6 +27,7 @@ def normalise(rows: DataFrame) -> DataFrame:
     first = lambda *options: next((c for c in options if c in names), None)
     df = rows.withColumn("_ref", ascii_upper(F.col("REF"))).withColumn("_alt", ascii_upper(F.col(alt_name)))
     alt = F.col("_alt")
+    require_empty(df.where((F.col("_ref") == "") | (alt == "") | alt.contains(",")).select("ID", "REF", alt_name), "not biallelic")
     observed = F.col("OBS_CT") if "OBS_CT" in names else F.lit(None).cast("string")
     if c := first("ALT_DOSAGE_MEAN"):
         text, scale, counted = F.col(c), F.lit(1.0), False
@@ -46,7 +47,7 @@ def normalise(rows: DataFrame) -> DataFrame:
         share = (F.col("_obs") - F.col("_value")) if c == "REF_CT" else F.col("_value")
         mean = F.try_divide(scale * share, F.col("_obs"))
     else:
-        skip, bad, mean = is_missing(F.coalesce(F.col("_text"), F.col("_raw"))), F.col("_value").isNull(), scale * F.col("_value")
+        skip, bad, mean = is_missing(F.col("_raw")), F.col("_value").isNull(), scale * F.col("_value")
     used = df.where(~F.coalesce(skip, F.lit(False)))
     require_empty(used.where(F.coalesce(bad, F.lit(True))).select("ID", "_raw", "_obs_text"), "invalid frequency value")
     out = used.select(F.col("ID").alias("id"), F.col("_ref").alias("ref"), alt.alias("alt"), mean.alias("alt_dosage_mean"))
@@ -57,11 +58,13 @@ def normalise(rows: DataFrame) -> DataFrame:
 def read_frequencies(spark: SparkSession, path: str, ids: DataFrame | None = None) -> DataFrame:
     """Usable rows of a frequency file, limited to ``ids`` if given; a second usable row of an ID is an error."""
     known = ["ALT", "ALT1", "ALT_DOSAGE_MEAN", "ALT_FREQS", "ALT1_FREQ", "ALT_CTS", "ALT1_CT", "REF_CT", "OBS_CT"]
-    header_of(spark, path)
     rows = read_table(spark, path, ["ID", "REF"], known, upper_header=True)
     if ids is not None:
         rows = rows.join(ids.select(F.col("id").alias("ID")).distinct(), "ID", "left_semi")
-    return require_unique(normalise(rows), ["id"], "two frequency rows of one ID")
+    found = require_unique(normalise(rows), ["id"], "two frequency rows of one ID")
+    if ids is None and found.isEmpty():
+        raise InputError(f"{path} has no frequency rows")
+    return found
 
 
 def indexed(frequencies: DataFrame, aliases: DataFrame, variants: DataFrame) -> DataFrame:

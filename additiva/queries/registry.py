@@ -103,16 +103,20 @@ def score_tiled(d: Domain) -> DataFrame:
     return scoring.evaluate(ordinal_edges(d), d.calls, d.samples, d.scores, key="ordinal", tile=tile_of(F.col("ordinal"), BLOCK))
 
 
-@query(OMIT_SQL + PLAIN)
+COMMON_SQL = """
+, j AS (SELECT *, freq AS mean, CASE WHEN ordinal % 3 = 0 THEN 2 ELSE 0 END AS common FROM joined WHERE p_size >= 5),
+base AS (SELECT score_idx, sum(CASE WHEN ref_effect THEN 2 * weight - weight * common ELSE weight * common END) AS base FROM j GROUP BY score_idx),
+upd AS (SELECT j.score_idx, c.sample_idx, sum((CASE WHEN ref_effect THEN -weight ELSE weight END) * (coalesce(c.dosage, j.mean) - common)) AS upd
+  FROM j JOIN calls c USING (ordinal) GROUP BY ALL)
+SELECT g.score_idx, g.sample_idx, coalesce(base, 0) + coalesce(upd, 0) AS score FROM grid g LEFT JOIN base USING (score_idx) LEFT JOIN upd USING (score_idx, sample_idx)
+"""
+
+
+@query(COMMON_SQL)
 def score_common_dosage(d: Domain) -> DataFrame:
-    """The same with explicit common dosages: those of every third variant are stored against 2."""
-    listed = d.calls.join(F.broadcast(d.variant_list.where("ordinal % 400 = 0").select("ordinal")), "ordinal", "left_semi")
-    grid = d.variant_list.where("ordinal % 400 = 0").select("ordinal", F.col("target_id").alias("id")).crossJoin(d.samples.select("sample_idx"))
-    full = grid.join(listed.select("ordinal", "sample_idx", "dosage", F.lit(True).alias("listed")), ["ordinal", "sample_idx"], "left")
-    turned = full.select("id", "sample_idx", F.when(F.col("listed"), F.col("dosage")).otherwise(F.lit(0.0)).alias("dosage")).where("dosage IS NULL OR dosage <> 2")
-    calls = d.calls.where("ordinal % 400 <> 0").select("id", "sample_idx", "dosage").unionByName(turned)
-    common = d.variant_list.where("ordinal % 400 = 0").select(F.col("target_id").alias("id"), F.lit(2.0).alias("common"))
-    return scoring.evaluate(omit_edges(d), calls, d.samples, d.scores, common)
+    """Explicit common dosages: samples that a variant does not list have dosage 2 at every third variant."""
+    common = d.variant_list.where("ordinal % 3 = 0").select(F.col("target_id").alias("id"), F.lit(2.0).alias("common"))
+    return scoring.evaluate(omit_edges(d), d.calls, d.samples, d.scores, common)
 
 
 @query(OMIT_SQL + PLAIN)
@@ -172,12 +176,11 @@ def catalog_compile(d: Domain) -> DataFrame:
 
 
 @query("""
-SELECT source_id, list_sort(list(CAST(weight AS DOUBLE))) AS weights FROM weights JOIN variants USING (ordinal) WHERE weight <> 0 AND p_size < 3 GROUP BY source_id
+SELECT source_id, list_sort(list(CAST(weight AS DOUBLE))) AS weights FROM weights JOIN variants USING (ordinal) WHERE weight <> 0 GROUP BY source_id
 """)
 def catalog_by_variant(d: Domain) -> DataFrame:
     """Variant-major form: a variant's weights as one sorted list."""
-    few = d.variant_list.where("p_size < 3").select(F.col("target_id").alias("source_id"), F.col("source_id").alias("s"))
-    met = d.catalog.join(few, "source_id")
+    met = d.catalog.join(d.variant_list.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("s")), "source_id")
     return met.groupBy(F.col("s").alias("source_id")).agg(F.sort_array(F.collect_list("weight")).alias("weights"))
 
 
@@ -349,9 +352,11 @@ def run_statistics(d: Domain) -> DataFrame:
     return edges.crossJoin(imputed)
 
 
-@query("SELECT score_idx, sum(CASE WHEN ref_effect THEN 2 * weight ELSE 0 END) AS base, count(DISTINCT ordinal) / 2000.0 AS density FROM joined GROUP BY score_idx")
+@query("SELECT score_idx, sum(CASE WHEN ref_effect THEN 2 * weight ELSE 0 END) AS base, count(DISTINCT ordinal) / (SELECT count(*) FROM variants) AS density FROM joined GROUP BY score_idx")
 def score_baselines(d: Domain) -> DataFrame:
     e = scoring.combined(d.edges)
-    return e.groupBy("score_idx").agg(F.sum("intercept").alias("base"), fraction(F.count("*"), F.lit(2000)).alias("density"))
+    total = d.index.agg(F.count("*").alias("total"))  # one row
+    sums = e.groupBy("score_idx").agg(F.sum("intercept").alias("base"), F.count("*").alias("n"))
+    return sums.crossJoin(total).select("score_idx", "base", fraction(F.col("n"), F.col("total")).alias("density"))
 
 

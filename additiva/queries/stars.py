@@ -59,7 +59,7 @@ class Domain:
 
     @cached_property
     def weights(self) -> DataFrame:
-        rows = self.table("lineitem").where("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus")
+        rows = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus")
         k, is_ref = F.col("l_partkey") % 4, F.col("l_linestatus") == "O"
         pick = lambda *xs: F.when(k == 0, xs[0]).when(k == 1, xs[1]).when(k == 2, xs[2]).otherwise(xs[3])
         ref, alt = pick("A", "C", "G", "T"), pick("G", "T", "A", "C")
@@ -104,7 +104,7 @@ variants AS (SELECT p_partkey AS ordinal, 's' || p_partkey AS source_id, 'v' ||
   CASE p_partkey % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'C' WHEN 2 THEN 'G' ELSE 'T' END AS ref,
   CASE p_partkey % 4 WHEN 0 THEN 'G' WHEN 1 THEN 'T' WHEN 2 THEN 'A' ELSE 'C' END AS alt FROM part),
 weights AS (SELECT l_suppkey % 16 AS score_idx, l_orderkey * 8 + l_linenumber AS row_seq, l_partkey AS ordinal, 'v' || l_partkey AS snp,
-  (l_linenumber - 4) / 8.0 AS weight, l_linestatus = 'O' AS ref_effect FROM lineitem WHERE l_orderkey % 10 = 0),
+  (l_linenumber - 4) / 8.0 AS weight, l_linestatus = 'O' AS ref_effect FROM lineitem),
 calls AS (SELECT l_partkey AS ordinal, o_custkey AS sample_idx, CASE WHEN NOT bool_or(l_discount >= 0.09) THEN max(l_quantity % 3) END AS dosage, true AS listed
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
 scores AS (SELECT CAST(range AS BIGINT) AS score_idx FROM range(16)),

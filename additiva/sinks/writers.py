@@ -12,6 +12,7 @@ import resource
 import time
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,6 +64,23 @@ def score_major_rows(scores: DataFrame) -> DataFrame:
     return chunked.groupBy("score_idx", "first").applyInPandas(pack, "score_idx long, first long, bytes binary")
 
 
+def from_score_major_rows(packed: DataFrame, samples: DataFrame) -> DataFrame:
+    """(score_idx, sample_idx, score) from the packed matrix, for the samples of the cohort in their order."""
+    numbers = samples.select("sample_idx", F.floor(F.col("sample_idx") / 65536).cast("long").alias("part"))
+    dealt = numbers.groupBy("part").agg(F.array_sort(F.collect_list("sample_idx")).alias("ids"))  # at most 65,536 a part
+    joined = packed.withColumn("part", (F.col("first") / 65536).cast("long")).join(dealt, "part").select("score_idx", "ids", "bytes")
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k, ids, data in zip(b["score_idx"], b["ids"], b["bytes"], strict=True):
+                values = np.frombuffer(data, "<f8")
+                if len(values) != len(ids):
+                    raise ValueError(f"score {k} has {len(values)} values for {len(ids)} samples")
+                yield pd.DataFrame({"score_idx": k, "sample_idx": ids, "score": values})
+
+    return joined.mapInPandas(unpack, "score_idx long, sample_idx long, score double")
+
+
 def write_wide_parquet(wide: DataFrame, path: str, names: list[str], mode: str = OVERWRITE, row_group_bytes: int = 4096 * 1024) -> None:
     """Sample rows with named score columns, zstd, dictionary only on the ID columns."""
     ids = ["fid", "iid"] if not wide.where("fid IS NOT NULL").isEmpty() else ["iid"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from additiva.functions.values import number
 from additiva.operators.checks import InputError, require, require_empty, require_unique
-from additiva.sources.text import header_of, read_list, read_table, resolve
+from additiva.sources.text import header_of, read_list, read_table, read_tables, resolve
 
 
 def read_pvar(spark: SparkSession, path: str, ids: DataFrame | None = None) -> DataFrame:
@@ -67,16 +67,11 @@ def read_manifest(spark: SparkSession, path: str, form: str = "catalog") -> Data
 def read_weights(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """(score_idx, row_seq, snp, effect, other, weight) of all weight files of a manifest.
 
-    A file under several scores is read once and fans out. A malformed number is an error on any row.
+    All files are one read; one under several scores fans out. A malformed number is an error on any row.
     """
     columns = ["SNP", "EFFECT_ALLELE", "OTHER_ALLELE", "EFFECT_ALLELE_WEIGHT"]
-    parts = []
-    for path in sorted({r["path"] for r in manifest.select("path").collect()}):
-        rows = read_table(spark, path, columns, numbered="row_seq")
-        parts.append(rows.select(F.lit(path).alias("path"), "row_seq", F.col("SNP").alias("snp"), F.col("EFFECT_ALLELE").alias("effect"), F.col("OTHER_ALLELE").alias("other"), F.col("EFFECT_ALLELE_WEIGHT").alias("text")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    paths = sorted({r["path"] for r in manifest.select("path").collect()})
+    rows = read_tables(spark, paths, columns, numbered="row_seq", file="path").toDF("path", "row_seq", "snp", "effect", "other", "text")
     rows = rows.withColumn("weight", number(F.col("text")))
     require_empty(rows.where("weight IS NULL").select("path", "row_seq", "text"), "invalid EFFECT_ALLELE_WEIGHT")
     return rows.join(F.broadcast(manifest.select("score_idx", "path")), "path").select("score_idx", "row_seq", "snp", "effect", "other", "weight")

@@ -1,68 +1,107 @@
 """Tab-separated text with named headers.
 
 Headers are free in order, may start with ``#`` and may have columns that nobody asked for; fields are never quoted.
-The codec follows from the suffix (plain, ``.gz``, ``.zst``). Rows keep their number in the file where asked for.
+The codec follows from the suffix (plain, ``.gz``, ``.zst``). Only a file's first line is its header, whatever other
+rows look like. Rows have their number in the file: Spark numbers rows inside each block of a file, and a count of the
+blocks says how many rows come before. Many files are one read, each with its own header.
 """
 
 from __future__ import annotations
 
 import posixpath
+import re
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from additiva.operators.checks import InputError, require_empty
 
 
+def _plain(path: str) -> str:
+    """A path without scheme and authority, as file metadata may spell it."""
+    return posixpath.normpath(unquote(re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path)))
+
+
+def numbered_lines(spark: SparkSession, paths: list[str], skip_meta: bool = False) -> tuple[DataFrame, dict[str, str]]:
+    """(file, number, line): lines that are not blank (nor start with ``##``), numbered from 0 in each file; and the first lines.
+
+    One job counts the lines of each block of a file (a row a block on the driver); all later reads are narrow.
+    """
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("line"))
+    lines = lines.where(F.col("line") != "")
+    if skip_meta:
+        lines = lines.where(~F.col("line").startswith("##"))
+    lines = lines.withColumn("at", F.monotonically_increasing_id())
+    blocks = lines.groupBy("file", "block").agg(F.min(F.struct("at", "line")).alias("first"), F.count("*").alias("n")).collect()
+    before, rows, first = {}, [], {}
+    for b in sorted(blocks, key=lambda b: (b["file"], b["block"])):
+        first.setdefault(b["file"], b["first"]["line"])
+        rows.append((b["file"], b["block"], before.get(b["file"], 0) - b["first"]["at"]))
+        before[b["file"]] = before.get(b["file"], 0) + b["n"]
+    table = spark.createDataFrame(rows, "file string, block long, shift long")
+    return lines.join(F.broadcast(table), ["file", "block"]).select("file", (F.col("at") + F.col("shift")).alias("number"), "line"), first
+
+
+def _names(line: str, path: str) -> list[str]:
+    names = [n.removeprefix("#") for n in line.split("\t")]
+    if len(set(names)) < len(names):
+        raise InputError(f"{path} has a column twice")
+    return names
+
+
 def header_of(spark: SparkSession, path: str, skip_meta: bool = False) -> list[str]:
     lines = spark.read.text(path)
     if skip_meta:
-        lines = lines.where(~F.col("value").startswith("##"))
-    first = lines.where(F.length(F.rtrim("value")) > 0).first() if skip_meta else lines.first()
+        lines = lines.where(~F.col("value").startswith("##") & (F.length(F.rtrim("value")) > 0))
+    first = lines.first()
     if first is None:
         raise InputError(f"{path} is empty")
-    names = [n.removeprefix("#") for n in first["value"].rstrip("\r").split("\t")]
-    if len(set(names)) < len(names):
-        raise InputError(f"{path} has a column twice")
-    return names
+    return _names(first["value"].rstrip("\r"), path)
 
 
-def read_table(spark: SparkSession, path: str, required: list[str], optional: list[str] = (), *, numbered: str | None = None, skip_meta: bool = False, upper_header: bool = False) -> DataFrame:
-    """Required columns and those optional ones that exist, as strings; ``numbered`` adds the row number in the file.
+def read_tables(spark: SparkSession, paths: list[str], required: list[str], optional: list[str] = (), *, numbered: str | None = None, skip_meta: bool = False, upper_header: bool = False, file: str | None = None) -> DataFrame:
+    """Required columns, and those optional ones that all files have, as strings, of all files in one read.
 
-    Row numbers count all data rows, before any filter. Without them the read stays one narrow projection.
+    ``numbered`` adds the row number in the file, which counts all data rows before any filter; ``file`` the path as given.
     """
-    raw = header_of(spark, path, skip_meta)
-    names = [n.upper() if n.isascii() else n for n in raw] if upper_header else raw
-    if len(set(names)) < len(names):
-        raise InputError(f"{path} has a column twice")
-    for name in required:
-        if name not in names:
-            raise InputError(f"{path} lacks column {name}")
-    wanted = [*required, *(c for c in optional if c in names)]
-    lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("line"))
-    if skip_meta:
-        lines = lines.where(~F.col("line").startswith("##"))
-    lines = lines.where(F.col("line") != "")
-    plain = "\t".join(raw)
-    is_header = F.regexp_replace(F.regexp_replace("line", "^#", ""), "\t#", "\t") == plain
-    if numbered:
-        # The only way to number rows across the parts of a text file; it counts per partition, nothing is collected.
-        schema = T.StructType([T.StructField("line", T.StringType()), T.StructField(numbered, T.LongType())])
-        lines = spark.createDataFrame(lines.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] - 1)), schema).where(F.col(numbered) >= 0)
+    given = {_plain(p): p for p in paths}
+    lines, first = numbered_lines(spark, paths, skip_meta)
+    heads = {_plain(file): (file, line) for file, line in first.items()}
+    places = []
+    wanted = [*required, *optional]
+    for plain, path in given.items():
+        if plain not in heads:
+            raise InputError(f"{path} is empty")
+        names = _names(heads[plain][1], path)
+        if upper_header:
+            names = _names("\t".join(n.upper() if n.isascii() else n for n in names), path)
+        for name in required:
+            if name not in names:
+                raise InputError(f"{path} lacks column {name}")
+        places.append((heads[plain][0], path, [names.index(c) if c in names else -1 for c in wanted]))
+    wanted = [c for k, c in enumerate(wanted) if all(x[2][k] >= 0 for x in places)]
+    kept = [(f, path, [at[[*required, *optional].index(c)] for c in wanted]) for f, path, at in places]
+    parsed = lines.where("number > 0").withColumn("f", F.split("line", "\t", -1))
+    if len(kept) == 1:
+        at = [F.lit(k) for k in kept[0][2]]
+        parsed = parsed.withColumn("path", F.lit(kept[0][1]))
     else:
-        lines = lines.where(~is_header)
-    fields = F.split("line", "\t", -1)
-    least = max(names.index(c) for c in wanted) + 1
-    parsed = lines.withColumn("f", fields)
-    require_empty(parsed.where(F.size("f") < least).select("line"), f"{path} has a short row")
-    return parsed.select(*([numbered] if numbered else []), *(F.col("f")[names.index(c)].alias(c) for c in wanted))
+        parsed = parsed.join(F.broadcast(spark.createDataFrame(kept, "file string, path string, at array<int>")), "file")
+        at = [F.col("at")[k] for k in range(len(wanted))]
+    require_empty(parsed.where(F.size("f") <= F.greatest(*at, F.lit(0), F.lit(0))).select("path", "line"), "short row")
+    extra = ([F.col("path").alias(file)] if file else []) + ([(F.col("number") - 1).alias(numbered)] if numbered else [])
+    return parsed.select(*extra, *(F.get(F.col("f"), k).alias(c) for k, c in zip(at, wanted, strict=True)))
+
+
+def read_table(spark: SparkSession, path: str, required: list[str], optional: list[str] = (), **options) -> DataFrame:
+    """The same for one file."""
+    return read_tables(spark, [path], required, optional, **options)
 
 
 def resolve(base: str, path: str) -> str:
     """``path``, or if relative, beside the file ``base``."""
-    return path if path.startswith("/") or "://" in path else posixpath.normpath(posixpath.join(posixpath.dirname(base), path))
+    return path if re.match(r"([A-Za-z][A-Za-z0-9+.-]*:)?/", path) else posixpath.normpath(posixpath.join(posixpath.dirname(base), path))
 
 
 def read_list(spark: SparkSession, path: str, columns: list[str], what: str) -> list[dict[str, str]]:
