@@ -17,7 +17,11 @@ from additiva.operators.scoring import combined
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share; a temporary one only where none is configured."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shards-")
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: shards need a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="shards-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
