@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from additiva.operators.checks import InputError, require_empty
 
 
+#: Blocks up to which their row numbers are part of the expression.
+FEW_BLOCKS = 64
+
+
 def _plain(path: str) -> str:
     """A path without scheme and authority, as file metadata may spell it."""
     return posixpath.normpath(unquote(re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path)))
@@ -39,6 +43,10 @@ def numbered_lines(spark: SparkSession, paths: list[str], skip_meta: bool = Fals
         first.setdefault(b["file"], b["first"]["line"])
         rows.append((b["file"], b["block"], before.get(b["file"], 0) - b["first"]["at"]))
         before[b["file"]] = before.get(b["file"], 0) + b["n"]
+    if len(rows) <= FEW_BLOCKS:
+        # Spelled out in the projection; a join only where that would be long.
+        shift = F.coalesce(*(F.when((F.col("file") == f) & (F.col("block") == b), F.lit(n)) for f, b, n in rows), F.lit(0).cast("long"))
+        return lines.select("file", (F.col("at") + shift).alias("number"), "line"), first
     table = spark.createDataFrame(rows, "file string, block long, shift long")
     return lines.join(F.broadcast(table), ["file", "block"]).select("file", (F.col("at") + F.col("shift")).alias("number"), "line"), first
 
