@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs a re-read and not a recomputation.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, single machine) a
-    temporary folder is made.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset a local session (tests) gets a temporary
+    folder and a cluster an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir is not set: checkpoints need a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
 
 
@@ -54,3 +61,12 @@ BROADCAST_ROWS = 400_000
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it is counted to have at most ``rows`` rows. Meant for materialised tables."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def list_rows(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The rows of a list column without nulls, as views of its values."""
+    rows: list[np.ndarray] = []
+    for part in column.chunks:
+        values, ends = part.values.to_numpy(zero_copy_only=False), part.offsets.to_numpy()
+        rows += [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return rows

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from additiva.llm.common import table
+from additiva.llm.common import list_rows, table
 
 BUCKETS, DIM, PER_LANGUAGE, SAMPLE, FOLDS, ACCURACY = 8192, 16, 500, 20_000, 3, 0.99
 _PRIMES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -147,11 +147,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 names=["id", "lang", "k", "c"],
             )
 
-    data = sample.select("id", "lang", "text").mapInArrow(of_batches, "id string, lang string, k array<int>, c array<int>").toPandas().sort_values("id", kind="stable")
-    if data.empty:
+    data = sample.select("id", "lang", "text").mapInArrow(of_batches, "id string, lang string, k array<int>, c array<int>").toArrow().sort_by("id")
+    if not data.num_rows:
         return None
-    rows = [(np.asarray(k), (np.asarray(c) / np.sum(c)).astype(np.float32)) for k, c in zip(data["k"], data["c"], strict=True)]
-    return fit(rows, np.array([languages.index(lang) for lang in data["lang"]]), languages)
+    rows = [(k, (c / c.sum()).astype(np.float32)) for k, c in zip(list_rows(data["k"]), list_rows(data["c"]), strict=True)]
+    return fit(rows, np.array([languages.index(lang) for lang in data["lang"].to_pylist()]), languages)
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from additiva.llm.common import broadcast_if_small, checkpointed, table
+from additiva.llm.common import broadcast_if_small, checkpointed, list_rows, table
 
 SAMPLE, SPACE, HELD_OUT, SURE = 4000, 1 << 18, 5, 2.0
 PREFIXES = range(3, 8)
@@ -148,12 +148,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     # ``chosen`` has twice ``sample`` rows in expectation; documents that share an identifier are taken with one of their rows.
     rows = texts.join(broadcast_if_small(chosen, 8 * sample), "id").groupBy("id", "y", "fold").agg(F.min("text").alias("text"))
-    data = rows.mapInArrow(of_batches, "id string, y int, fold long, k array<int>, v array<float>").toPandas().sort_values("id", kind="stable")
-    y = np.unique(data["y"], return_inverse=True)[1] if len(data) else np.zeros(0, int)
-    if not len(y) or data["y"].min() > 0 or not y.max():
+    data = rows.mapInArrow(of_batches, "id string, y int, fold long, k array<int>, v array<float>").toArrow().sort_by("id")
+    grades = data["y"].to_numpy()
+    y = np.unique(grades, return_inverse=True)[1]
+    if not len(y) or grades.min() > 0 or not y.max():
         return None
-    fitted = [(np.asarray(k, np.int64), np.asarray(v, np.float64)) for k, v in zip(data["k"], data["v"], strict=True)]
-    held = (data["fold"] == 0).to_numpy()
+    fitted = list(zip(list_rows(data["k"]), list_rows(data["v"]), strict=True))
+    held = data["fold"].to_numpy() == 0
     if not (held & (y > 0)).any() or not (held & (y == 0)).any() or len(np.unique(y[~held])) <= y.max():
         held = np.zeros(len(y), bool)
     known = [r for r, h in zip(fitted, held, strict=True) if not h]
