@@ -299,15 +299,21 @@ def test_lm_without_training_rows(spark):
 
 
 def test_lm_sums_to_one():
-    texts = ["x y x z", "y x", "x y", ""]
-    chunk = lm.Chunk([*texts, "z y q"], [True] * 4 + [False], 3)
+    words, flat, sizes = lm.tokenised(["x y x z", "y x", "x y", "", "z y q"])
+    chunk = lm.Chunk(words, flat.astype(np.int64), sizes, np.array([True] * 4 + [False]), 3)
     a = lm.Automaton(chunk, chunk.counts, 12, 4)
+    place = {v.decode(): k for k, v in enumerate(words)}
+    assert len(words) == 5  # END, x, y, z and q, the one unknown word
     for before in ([], ["x"], ["x", "y"], ["q"], ["z", "y"]):
-        each = []
-        for w in chunk.words:
-            place = {v: k for k, v in enumerate(chunk.words)}
-            each.append(10 ** (a.score([place[b.encode()] for b in before] + [place[w]]) - a.score([place[b.encode()] for b in before])))
-        assert len(chunk.words) == 5 and sum(each) == pytest.approx(1.0)  # END, x, y, z and q, the one unknown word
+        path = [place[b] for b in before]
+        assert sum(10 ** (a.score([*path, w]) - a.score(path)) for w in range(5)) == pytest.approx(1.0)
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 2**48 - 1), min_size=1, max_size=300))
+def test_packed_keys(keys):
+    keys = np.unique(np.array(keys, np.uint64))
+    assert (lm.rising(lm.deltas(keys)) == keys).all()
 
 
 def test_sharding_moves(spark):
