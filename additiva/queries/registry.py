@@ -53,18 +53,18 @@ def score_fixed_freq_omit(d: Domain) -> DataFrame:
     return flagship(d)
 
 
-@query(MEANS_SQL + ", j AS (SELECT joined.*, cohort AS mean FROM joined LEFT JOIN means USING (ordinal))" + SCORE_SQL + "SELECT score_idx, sample_idx, round(score, 6) AS score FROM result")
+@query(MEANS_SQL + ", j AS (SELECT joined.*, cohort AS mean FROM joined LEFT JOIN means USING (ordinal))" + SCORE_SQL + "SELECT score_idx, sample_idx, round(score, 6) + 0.0 AS score FROM result")
 def score_cohort_mean(d: Domain) -> DataFrame:
     means = scoring.cohort_means(d.calls, _n(d))
     out = scoring.evaluate(scoring.with_means(d.edges, None, means), d.calls, d.samples, d.scores)
-    return out.withColumn("score", F.round("score", 6))
+    return out.withColumn("score", F.round("score", 6) + 0.0)  # no negative zero
 
 
-@query(MEANS_SQL + ", j AS (SELECT joined.*, CASE WHEN p_size >= 5 THEN freq ELSE cohort END AS mean FROM joined LEFT JOIN means USING (ordinal))" + SCORE_SQL + "SELECT score_idx, sample_idx, round(score, 6) AS score FROM result")
+@query(MEANS_SQL + ", j AS (SELECT joined.*, CASE WHEN p_size >= 5 THEN freq ELSE cohort END AS mean FROM joined LEFT JOIN means USING (ordinal))" + SCORE_SQL + "SELECT score_idx, sample_idx, round(score, 6) + 0.0 AS score FROM result")
 def score_freq_fallback_cohort(d: Domain) -> DataFrame:
     means = scoring.cohort_means(d.calls, _n(d))
     out = scoring.evaluate(scoring.with_means(d.edges, d.frequencies, means, "cohort"), d.calls, d.samples, d.scores)
-    return out.withColumn("score", F.round("score", 6))
+    return out.withColumn("score", F.round("score", 6) + 0.0)  # no negative zero
 
 
 @query(MEANS_SQL + " SELECT 'v' || ordinal AS id, round(cohort, 6) AS cohort_mean FROM means")
