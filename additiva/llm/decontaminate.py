@@ -8,7 +8,7 @@ over sum of the larger multiplicities of five-word shingles, a shingle weighing
 2. Fingerprints. Distinct windows and items get a 64-bit SimHash of the same weighted shingles that the similarity uses.
 3. Multi-index blocks. Cut into ``RADIUS + 1`` blocks, two fingerprints within ``RADIUS`` bits agree on one block at
    least, so an equi-join on (words, block, value) finds all of them. Blocks of 8 bits keep that join selective.
-4. The rest. No radius holds all pairs of similarity 0.8 (they differ in some 10 bits on average, in over 20 at times,
+4. The rest. No radius holds all pairs of similarity 0.8 (they differ in some 10 bits on average, in 17 in a test,
    and blocks for such a radius would meet nearly every item). So pairs of step 1 beyond the radius are verified as well.
 5. Verification. Shingle counts of windows and items are joined and the similarity is computed exactly, once for each
    distinct window (shingles are told apart by 64-bit hashes, windows by MD5).
