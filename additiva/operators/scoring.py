@@ -6,12 +6,13 @@ meet samples, so the rows of the big join are (weights of a variant) x (exceptio
 combined map-side. Every sample gets a row for every score.
 
 Genotypes: ``calls`` (variant, sample_idx, dosage), dosage null where missing, one row for each exception, and
-``common`` (variant, common), the dosage of all samples without a row; a variant without a row there has common 0.
+``common`` (variant, common), the dosage of all samples without a row, null if they are missing; a variant without a row
+there has common 0.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from additiva.operators.checks import InputError, require_empty
@@ -25,10 +26,11 @@ def cohort_means(calls: DataFrame, n_samples: int, common: DataFrame | None = No
     """(key, cohort_mean): mean over all samples that are not missing, the unlisted ones included; null if all are missing."""
     sums = calls.groupBy(key).agg(F.sum("dosage").alias("s"), F.count("dosage").alias("n"), F.count("*").alias("listed"))
     if common is not None:
-        sums = sums.join(common, key, "full")
+        sums = sums.join(common.select(key, "common", F.col("common").isNull().alias("unknown")), key, "full")
     else:
-        sums = sums.withColumn("common", F.lit(0.0))
-    rest = F.lit(n_samples) - F.coalesce("listed", F.lit(0))
+        sums = sums.withColumn("common", F.lit(0.0)).withColumn("unknown", F.lit(False))
+    # Unlisted samples have the common dosage; where that is null they are missing.
+    rest = F.when(F.coalesce("unknown", F.lit(False)), F.lit(0)).otherwise(F.lit(n_samples) - F.coalesce("listed", F.lit(0)))
     known = F.coalesce("n", F.lit(0)) + rest
     total = F.coalesce("s", F.lit(0.0)) + F.coalesce("common", F.lit(0.0)) * rest
     return sums.select(key, F.try_divide(total, known.cast("double")).alias("cohort_mean"))
@@ -59,32 +61,35 @@ def combined(edges: DataFrame, key: str = "id") -> DataFrame:
     return edges.groupBy("score_idx", key).agg(F.sum("beta").alias("beta"), F.sum("intercept").alias("intercept"), *extra)
 
 
-def evaluate(edges: DataFrame, calls: DataFrame, samples: DataFrame, scores: DataFrame, common: DataFrame | None = None, key: str = "id", tile: Column | None = None) -> DataFrame:
-    """(score_idx, sample_idx, score). ``edges`` are (score_idx, key, beta, intercept, mean).
+def with_common(edges: DataFrame, common: DataFrame | None, key: str = "id") -> DataFrame:
+    """Adds the dosage of unlisted samples: 0 for a variant without a row in ``common``, its mean where the row has null."""
+    if common is None:
+        return edges.withColumn("common", F.lit(0.0))
+    known = common.select(key, "common", F.lit(True).alias("_common"))
+    return edges.join(known, key, "left").withColumn("common", F.when(F.col("_common"), F.coalesce("common", "mean")).otherwise(F.lit(0.0))).drop("_common")
 
-    With ``tile`` (an expression over ``key``) both sides are dealt out by tile, so a tile's weights and calls meet in
-    one partition and the sums of a tile are combined before the second shuffle.
-    """
-    def with_common(df: DataFrame) -> DataFrame:
-        return df.join(common, key, "left").withColumn("common", F.coalesce("common", F.lit(0.0))) if common is not None else df.withColumn("common", F.lit(0.0))
 
-    # The baseline needs no grouping by variant: its sums by score are combined map-side right after the edges are made.
-    base = with_common(edges).groupBy("score_idx").agg(F.sum(F.col("intercept") + F.col("beta") * F.col("common")).alias("base"))
-    base = scores.select("score_idx").join(base, "score_idx", "left").select("score_idx", F.coalesce("base", F.lit(0.0)).alias("base"))
+def baselines(edges: DataFrame, scores: DataFrame, common: DataFrame | None = None, key: str = "id") -> DataFrame:
+    """(score_idx, base) of all scores. Needs no grouping by variant: sums by score are combined map-side right after the edges are made."""
+    base = with_common(edges, common, key).groupBy("score_idx").agg(F.sum(F.col("intercept") + F.col("beta") * F.col("common")).alias("base"))
+    return scores.select("score_idx").join(base, "score_idx", "left").select("score_idx", F.coalesce("base", F.lit(0.0)).alias("base"))
+
+
+def on_grid(base: DataFrame, scores: DataFrame, samples: DataFrame, updates: DataFrame) -> DataFrame:
+    """Every score meets every sample: that is the result's size. The side of scores is broadcast if counted small."""
     few = scores.limit(MOST_SCORES + 1).count() <= MOST_SCORES
-    e = with_common(combined(edges, key))
-    c = calls.select(key, "sample_idx", "dosage")
-    on = [key]
-    if tile is not None:
-        e, c, on = e.withColumn("tile_idx", tile), c.withColumn("tile_idx", tile), ["tile_idx", key]
-        e, c = e.repartition("tile_idx"), c.repartition("tile_idx")
-    x = F.coalesce("dosage", "mean") - F.col("common")
-    updates = c.join(e.select(*on, "score_idx", "beta", "mean", "common"), on).groupBy("score_idx", "sample_idx").agg(F.sum(F.col("beta") * x).alias("upd"))
-    # Every score meets every sample: that is the result's size. The side of scores is broadcast if counted small.
     grid = samples.select("sample_idx").crossJoin(F.broadcast(base) if few else base)
     return grid.join(updates, ["score_idx", "sample_idx"], "left").select("score_idx", "sample_idx", (F.col("base") + F.coalesce("upd", F.lit(0.0))).alias("score"))
 
 
+def evaluate(edges: DataFrame, calls: DataFrame, samples: DataFrame, scores: DataFrame, common: DataFrame | None = None, key: str = "id") -> DataFrame:
+    """(score_idx, sample_idx, score). ``edges`` are (score_idx, key, beta, intercept, mean). ``blocked`` has the form for many calls a variant."""
+    e = with_common(combined(edges, key), common, key)
+    x = F.coalesce("dosage", "mean") - F.col("common")
+    updates = calls.select(key, "sample_idx", "dosage").join(e.select(key, "score_idx", "beta", "mean", "common"), key).groupBy("score_idx", "sample_idx").agg(F.sum(F.col("beta") * x).alias("upd"))
+    return on_grid(baselines(edges, scores, common, key), scores, samples, updates)
+
+
 def require_means(edges: DataFrame, calls: DataFrame, key: str = "id") -> None:
     """All calls missing and no frequency: there is nothing to impute with."""
     missing = calls.where("dosage IS NULL").select(key).distinct()

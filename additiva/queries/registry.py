@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from additiva.functions.values import fraction, tile_of
-from additiva.operators import fragments, frequency, scoring, support, variants, weights
+from additiva.operators import blocked, dense, fragments, frequency, scoring, support, variants, weights
 from additiva.queries.stars import BLOCK, N_SCORES, SQL as STAR, Domain
 from additiva.streaming.shards import score_stream_to_table
 
@@ -38,6 +38,15 @@ result AS (SELECT g.score_idx, g.sample_idx, coalesce(base, 0) + coalesce(upd, 0
 OMIT_SQL = ", j AS (SELECT *, freq AS mean FROM joined WHERE p_size >= 5)" + SCORE_SQL
 MEANS_SQL = ", means AS (SELECT ordinal, sum(dosage) / ((SELECT count(*) FROM customer) - count_if(dosage IS NULL)) AS cohort FROM calls GROUP BY ordinal)"
 PLAIN = "SELECT score_idx, sample_idx, score FROM result"
+#: Sums with cohort means depend on order in the last bits. Dyadic parts end in 00, 25, 50 or 75 at the seventh and eighth
+#: digit, so with this offset no sum lies between two numbers of six digits, where those bits would decide.
+OFFSET = 1.3e-7
+ROUNDED = f"SELECT score_idx, sample_idx, round(score + {OFFSET}, 6) + 0.0 AS score FROM result"
+
+
+def rounded(scores: DataFrame) -> DataFrame:
+    """Six digits, without negative zeros."""
+    return scores.withColumn("score", F.round(F.col("score") + OFFSET, 6) + 0.0)
 
 
 def omit_edges(d: Domain) -> DataFrame:
@@ -53,18 +62,18 @@ def score_fixed_freq_omit(d: Domain) -> DataFrame:
     return flagship(d)
 
 
-@query(MEANS_SQL + ", j AS (SELECT joined.*, cohort AS mean FROM joined LEFT JOIN means USING (ordinal))" + SCORE_SQL + "SELECT score_idx, sample_idx, round(score, 6) + 0.0 AS score FROM result")
+@query(MEANS_SQL + ", j AS (SELECT joined.*, cohort AS mean FROM joined LEFT JOIN means USING (ordinal))" + SCORE_SQL + ROUNDED)
 def score_cohort_mean(d: Domain) -> DataFrame:
     means = scoring.cohort_means(d.calls, _n(d))
     out = scoring.evaluate(scoring.with_means(d.edges, None, means), d.calls, d.samples, d.scores)
-    return out.withColumn("score", F.round("score", 6) + 0.0)  # no negative zero
+    return rounded(out)
 
 
-@query(MEANS_SQL + ", j AS (SELECT joined.*, CASE WHEN p_size >= 5 THEN freq ELSE cohort END AS mean FROM joined LEFT JOIN means USING (ordinal))" + SCORE_SQL + "SELECT score_idx, sample_idx, round(score, 6) + 0.0 AS score FROM result")
+@query(MEANS_SQL + ", j AS (SELECT joined.*, CASE WHEN p_size >= 5 THEN freq ELSE cohort END AS mean FROM joined LEFT JOIN means USING (ordinal))" + SCORE_SQL + ROUNDED)
 def score_freq_fallback_cohort(d: Domain) -> DataFrame:
     means = scoring.cohort_means(d.calls, _n(d))
     out = scoring.evaluate(scoring.with_means(d.edges, d.frequencies, means, "cohort"), d.calls, d.samples, d.scores)
-    return out.withColumn("score", F.round("score", 6) + 0.0)  # no negative zero
+    return rounded(out)
 
 
 @query(MEANS_SQL + " SELECT 'v' || ordinal AS id, round(cohort, 6) AS cohort_mean FROM means")
@@ -100,7 +109,8 @@ def score_fragments(d: Domain) -> DataFrame:
 
 @query(OMIT_SQL + PLAIN)
 def score_tiled(d: Domain) -> DataFrame:
-    return scoring.evaluate(ordinal_edges(d), d.calls, d.samples, d.scores, key="ordinal", tile=tile_of(F.col("ordinal"), BLOCK))
+    """The blocked product: tiles of variants by blocks of samples and scores."""
+    return blocked.evaluate_blocked(ordinal_edges(d), d.calls, d.samples, d.scores, tile_of(F.col("ordinal"), BLOCK))
 
 
 COMMON_SQL = """
@@ -119,6 +129,49 @@ def score_common_dosage(d: Domain) -> DataFrame:
     return scoring.evaluate(omit_edges(d), d.calls, d.samples, d.scores, common)
 
 
+#: Nations as samples: each has lines of most parts, so calls are dense. Null where a line is without discount.
+NATION_SQL = """
+, nd AS (SELECT l_partkey AS ordinal, c_nationkey AS sample_idx, CASE WHEN min(l_discount) > 0 THEN CAST(max(l_linenumber) >= 6 AS INTEGER) + CAST(max(l_linenumber) >= 4 AS INTEGER) END AS dosage
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+full_ AS (SELECT v.ordinal, n_nationkey AS sample_idx, CASE WHEN nd.ordinal IS NULL THEN 0 ELSE dosage END AS dosage FROM (SELECT DISTINCT ordinal FROM nd) v, nation LEFT JOIN nd ON nd.ordinal = v.ordinal AND nd.sample_idx = n_nationkey)
+"""
+
+
+def nation_calls(d: Domain) -> DataFrame:
+    lines = d.table("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_discount").join(d.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    by = lines.join(d.table("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").groupBy("l_partkey", "c_nationkey").agg(F.max("l_linenumber").alias("n"), F.min("l_discount").alias("m"))
+    dosage = (F.col("n") >= 6).cast("int") + (F.col("n") >= 4).cast("int")
+    return by.select(F.concat(F.lit("v"), F.col("l_partkey").cast("string")).alias("id"), F.col("l_partkey").alias("ordinal"), F.col("c_nationkey").cast("long").alias("sample_idx"), F.when(F.col("m") > 0, dosage).alias("dosage"))
+
+
+def nations(d: Domain) -> DataFrame:
+    return d.table("nation").select(F.col("n_nationkey").cast("long").alias("sample_idx"))
+
+
+@query(NATION_SQL + """
+, c AS (SELECT ordinal, dosage, count(*) AS n FROM full_ GROUP BY ALL), t AS (SELECT count(*) AS samples FROM nation),
+m AS (SELECT ordinal, arg_max(coalesce(dosage, 9), (n, -coalesce(dosage, 9))) AS best, max(n) AS most FROM c GROUP BY ALL)
+SELECT ordinal, CASE WHEN dense THEN 0.0 WHEN best < 9 THEN CAST(best AS DOUBLE) END AS common, NOT dense AND best = 9 AS missing, exceptions, dense
+FROM (SELECT *, samples - most AS exceptions, samples = 1 OR samples - most > least(samples - 1, greatest(1, 3 * (samples // 8))) AS dense FROM m, t)
+""")
+def common_dosages(d: Domain) -> DataFrame:
+    """The most frequent dosage of each variant, found in dense calls, and whether its sparse form is worth it."""
+    return dense.common_dosages(nation_calls(d), nations(d).count(), "ordinal").select("ordinal", "common", "missing", F.col("exceptions").cast("long").alias("exceptions"), "dense")
+
+
+@query(NATION_SQL + """
+, j AS (SELECT *, freq AS mean FROM joined WHERE p_size >= 5 AND ordinal IN (SELECT ordinal FROM nd)),
+s AS (SELECT j.score_idx, f.sample_idx, sum(CASE WHEN ref_effect THEN weight * (2 - coalesce(f.dosage, j.mean)) ELSE weight * coalesce(f.dosage, j.mean) END) AS score FROM j JOIN full_ f USING (ordinal) GROUP BY ALL)
+SELECT g.score_idx, CAST(n_nationkey AS BIGINT) AS sample_idx, coalesce(score, 0.0) AS score FROM (SELECT * FROM scores, nation) g LEFT JOIN s ON s.score_idx = g.score_idx AND s.sample_idx = n_nationkey
+""")
+def score_sparse_from_dense(d: Domain) -> DataFrame:
+    """Dense calls in sparse form, with each variant's own common dosage; equals the dense sum."""
+    calls = nation_calls(d).select("id", "sample_idx", "dosage")
+    sparse, common = dense.sparse_form(calls, nations(d))
+    edges = omit_edges(d).join(calls.select("id").distinct(), "id", "left_semi")
+    return scoring.evaluate(edges, sparse, nations(d), d.scores, common)
+
+
 @query(OMIT_SQL + PLAIN)
 def score_sharded_union(d: Domain) -> DataFrame:
     """Two shards of variants, scored apart and added: scores are additive over variants."""

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 import pytest
 
 from additiva.functions import values as v
-from additiva.operators import fragments, scoring
+from additiva.operators import blocked, dense, fragments, scoring
 from additiva.operators.variants import aliases_of, build_index
 
 
@@ -27,7 +27,7 @@ def test_small_rules(spark):
 
 
 def test_fragment_quality(spark):
-    """Counts and masses worked out by hand."""
+    """The rows and totals of case G14 in FIXTURES.md."""
     index = build_index(spark.createDataFrame([(0, "s1", "v1", "A", "G"), (1, "s2", "v2", "C", "T"), (2, "s3", "v3", "G", "A")], "ordinal long, source_id string, target_id string, ref string, alt string"), block=2)
     support = spark.createDataFrame([(0, 2), (1, 1), (2, 0)], "ordinal long, state int")
     w = [(0, 0, "v1", "G", "A", 2.0), (0, 1, "v2", "C", "T", 3.0), (0, 2, "outside", "C", "T", 5.0), (0, 3, "s1", "G", "A", 4.0), (1, 0, "v3", "G", "A", -1.0), (1, 1, "v2", "C", "T", 0.0)]
@@ -62,7 +62,56 @@ def test_sparse_form_equals_the_dense_sum(spark):
     samples, scores = spark.range(n_samples).toDF("sample_idx"), spark.range(n_scores).toDF("score_idx")
     plain = lambda df: {(r[0], r[1]): r[2] for r in df.select("score_idx", "sample_idx", "score").collect()}
     assert plain(scoring.evaluate(edges, calls, samples, scores, usual, "ordinal")) == want
-    assert plain(scoring.evaluate(edges, calls, samples, scores, usual, "ordinal", F.floor(F.col("ordinal") / 4))) == want
+    assert plain(blocked.evaluate_blocked(edges, calls, samples, scores, F.floor(F.col("ordinal") / 4), usual)) == want
     parts = [scoring.evaluate(edges.where(f"ordinal % 3 = {k}"), calls, samples, scores, usual, "ordinal") for k in range(3)]
     both = parts[0].union(parts[1]).union(parts[2]).groupBy("score_idx", "sample_idx").agg(F.sum("score").alias("score"))
     assert plain(both) == want
+
+
+def test_blocks_split_variants_and_scores(spark):
+    """Samples and scores beyond one block, a variant called in every sample, one in every score."""
+    rng = random.Random(4)
+    n_samples, n_scores = 2 * blocked.SAMPLES + 3, blocked.SCORES + 2
+    calls = [(0, s, rng.choice([None, 1.0, 2.0])) for s in range(n_samples)] + [(1, s, 1.0) for s in range(0, n_samples, 999)]
+    weights = [(k, 1, 0.5 * (k % 5) - 1) for k in range(n_scores)] + [(k, 0, 0.25) for k in (0, n_scores - 1)]
+    c = spark.createDataFrame(calls, "ordinal long, sample_idx long, dosage double")
+    edges = spark.createDataFrame([(k, v, w, 0.0, 0.5) for k, v, w in weights], "score_idx long, ordinal long, beta double, intercept double, mean double")
+    updates = blocked.products(edges.withColumn("common", F.lit(0.0)), c, n_scores, n_samples - 1, F.lit(0).cast("long"))
+    found = {(r[0], r[1]): r[2] for r in updates.collect()}
+    want = {}
+    for k, v, w in weights:
+        for u, s, x in calls:
+            if u == v:
+                want[k, s] = want.get((k, s), 0.0) + w * (0.5 if x is None else x)
+    assert found == want
+
+
+def test_sparse_form_of_dense_calls(spark):
+    """Common dosages of any kind, missing ones too, from dense and from part-dense calls; scores equal the plain sums."""
+    rng = random.Random(8)
+    n, variants = 24, 40
+    kinds = [0.0, 1.0, 2.0, None, 0.5]
+    plain = {}
+    for v in range(variants):
+        usual, noise = rng.choice(kinds), rng.choice([0.02, 0.2, 0.6])
+        for s in range(n):
+            plain[v, s] = rng.choice(kinds) if rng.random() < noise else usual
+    samples, scores = spark.range(n).toDF("sample_idx"), spark.range(2).toDF("score_idx")
+    edges = spark.createDataFrame([(k, v, (v % 7 - 3) / 4, 0.5, 0.75) for k in range(2) for v in range(variants)], "score_idx long, id long, beta double, intercept double, mean double")
+    want = {(k, s): sum((v % 7 - 3) / 4 * (0.75 if plain[v, s] is None else plain[v, s]) + 0.5 for v in range(variants)) for k in range(2) for s in range(n)}
+    for listed in (plain, {k: x for k, x in plain.items() if x != 0}):
+        calls = spark.createDataFrame([(v, s, x) for (v, s), x in listed.items()], "id long, sample_idx long, dosage double")
+        sparse, common = dense.sparse_form(calls, samples)
+        found = {(r[0], r[1]): r[2] for r in scoring.evaluate(edges, sparse, samples, scores, common).collect()}
+        assert found == want
+        rows = {r["id"]: r for r in dense.common_dosages(calls, n).collect()}
+        left = {r["id"]: r["count"] for r in sparse.groupBy("id").count().collect()}
+        for v, r in rows.items():
+            column = [plain[v, s] for s in range(n)]
+            most = max(map(column.count, kinds))
+            assert r["dense"] == (n - most > dense.most_exceptions(n)) and r["exceptions"] == n - most
+            assert left.get(v, 0) == (n - column.count(0.0) if r["dense"] else n - most)
+        means = {r["id"]: r["cohort_mean"] for r in scoring.cohort_means(sparse, n, common).collect()}
+        for v in rows:
+            known = [plain[v, s] for s in range(n) if plain[v, s] is not None]
+            assert means[v] == pytest.approx(sum(known) / len(known))
