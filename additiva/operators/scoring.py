@@ -96,11 +96,17 @@ def require_means(edges: DataFrame, calls: DataFrame, key: str = "id") -> None:
     require_empty(edges.where("mean IS NULL").select(key).distinct().join(missing, key, "left_semi"), "all samples missing and no frequency")
 
 
+def arrays(scores: DataFrame, order: list[int], samples: DataFrame) -> DataFrame:
+    """The columns of ``samples`` and ``scores``, an array of its scores in the order given: a plan of the same size for any number of scores."""
+    places = scores.sparkSession.createDataFrame(list(enumerate(order)), "_place int, score_idx long")
+    rows = scores.join(F.broadcast(places), "score_idx").groupBy("sample_idx").agg(F.array_sort(F.collect_list(F.struct("_place", "score"))).alias("_rows"))
+    return samples.join(rows.select("sample_idx", F.col("_rows.score").alias("scores")), "sample_idx", "left")
+
+
 def wide(scores: DataFrame, names: list[tuple[int, str]], samples: DataFrame) -> DataFrame:
     """One row a sample in the order of the cohort, one column a score in the order given."""
-    pivot = scores.groupBy("sample_idx").pivot("score_idx", [k for k, _ in names]).agg(F.first("score"))
-    named = pivot.select("sample_idx", *(F.col(f"`{k}`").alias(name) for k, name in names))
-    return samples.join(named, "sample_idx", "left")
+    rows = arrays(scores, [k for k, _ in names], samples)
+    return rows.select(*samples.columns, *(F.get("scores", k).alias(name) for k, (_, name) in enumerate(names)))
 
 
 def strict_sum(terms: DataFrame) -> DataFrame:

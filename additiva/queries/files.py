@@ -5,29 +5,21 @@ Row numbers of the readers, header rules, sinks and refusals are compared with S
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from additiva.functions.shared import new_folder
 from additiva.operators import frequency, scoring
 from additiva.operators.checks import InputError
-from additiva.queries.registry import OMIT_SQL, PLAIN, flagship, query
-from additiva.queries.stars import Domain
-from additiva.sinks import writers
-from additiva.sources import inputs, text
+from additiva.queries.registry import OMIT_SQL, PLAIN, flagship, ordinal_edges, query
+from additiva.queries.stars import N_SCORES, Domain
+from additiva.sinks import matrix, writers
+from additiva.sources import inputs, pgen, text
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder in the session's shared checkpoint folder; a temporary one only on a single machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set")
-        shared = tempfile.mkdtemp(prefix="files-")
-    return f"{shared}/files-{uuid.uuid4().hex}"
+    return new_folder(spark, "files")
 
 
 def put(df: DataFrame, order: str, header: str, path: str) -> str:
@@ -102,7 +94,7 @@ def text_frequencies_indexed(d: Domain) -> DataFrame:
 def sink_wide_text(d: Domain) -> DataFrame:
     """Two scores as gzip-compressed wide text, read back as numbers: 17 digits keep every double."""
     path = folder(d.spark)
-    writers.write_wide_text(scoring.wide(flagship(d).where("score_idx < 2"), [(0, "a"), (1, "b")], d.samples), path, ["a", "b"])
+    writers.write_wide_text(scoring.arrays(flagship(d).where("score_idx < 2"), [0, 1], d.samples), path, ["a", "b"])
     files = [r[0] for r in d.spark.read.text(path).select("_metadata.file_path").distinct().collect()]
     back = text.read_tables(d.spark, files, ["FID", "IID", "a", "b"])
     return back.select(F.col("FID").alias("fid"), F.col("IID").alias("iid"), F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"))
@@ -118,14 +110,44 @@ def sink_score_major(d: Domain) -> DataFrame:
 @query(OMIT_SQL + "SELECT CAST(c_custkey AS VARCHAR) AS IID, CAST(c_nationkey AS VARCHAR) AS FID, max(CASE WHEN score_idx = 3 THEN score END) AS third FROM customer JOIN result ON c_custkey = sample_idx GROUP BY ALL")
 def sink_wide_parquet(d: Domain) -> DataFrame:
     path = folder(d.spark)
-    writers.write_wide_parquet(scoring.wide(flagship(d).where("score_idx = 3"), [(3, "third")], d.samples), path, ["third"])
+    writers.write_wide_parquet(scoring.arrays(flagship(d).where("score_idx = 3"), [3], d.samples), path, ["third"])
     return d.spark.read.parquet(path)
 
 
 @query(OMIT_SQL + PLAIN)
 def sink_score_major_bytes(d: Domain) -> DataFrame:
-    """The matrix as little-endian doubles, unpacked again."""
-    return writers.from_score_major_rows(writers.score_major_rows(flagship(d)), d.samples)
+    """The matrix as little-endian doubles in part files, read back by byte ranges and named again."""
+    path = folder(d.spark)
+    matrix.write_matrix(flagship(d), [(k, f"score{k}") for k in range(N_SCORES)], d.samples, path)
+    cells, samples, names, _ = matrix.read_matrix(d.spark, path, range_bytes=1 << 20)
+    order = d.spark.createDataFrame([(k, int(n.removeprefix("score"))) for k, n in enumerate(names)], "column long, score_idx long")
+    return cells.join(F.broadcast(order), "column").join(samples.select("row", F.col("IID").cast("long").alias("sample_idx")), "row").select("score_idx", "sample_idx", "score")
+
+
+def containers(d: Domain) -> tuple[DataFrame, int]:
+    """All calls written as container shards by tasks and read back in sparse form by byte ranges, with the number of samples."""
+    n, path = d.samples.count(), folder(d.spark)
+    calls = d.calls.select(F.col("ordinal").alias("pgen_variant_idx"), "sample_idx", "dosage")
+    pgen.write_pgen(calls, d.variant_list.select(F.col("ordinal").alias("pgen_variant_idx")), n, path)
+    if pgen.counts_of(path) != (d.variant_list.count(), n):
+        raise InputError("variant or sample counts differ")
+    return pgen.read_pgen(d.spark, path, range_bytes=1 << 16), n
+
+
+@query("SELECT ordinal, c_custkey AS sample_idx, CAST(dosage AS DOUBLE) AS dosage FROM calls JOIN customer ON c_custkey = sample_idx WHERE dosage IS NULL OR dosage <> 0")
+def pgen_calls(d: Domain) -> DataFrame:
+    """Exceptions from the common dosage, which is 0 as most samples are not listed."""
+    calls, common = pgen.calls_and_common(containers(d)[0])
+    usual = calls.join(common.where("common = 0"), "pgen_variant_idx")
+    return usual.select(F.col("pgen_variant_idx").alias("ordinal"), "sample_idx", "dosage")
+
+
+@query(OMIT_SQL + PLAIN)
+def score_pgen(d: Domain) -> DataFrame:
+    """Scores of a cohort in containers: common dosages from the reader, exceptions joined."""
+    calls, common = pgen.calls_and_common(containers(d)[0])
+    ordinal = F.col("pgen_variant_idx").alias("ordinal")
+    return scoring.evaluate(ordinal_edges(d), calls.select(ordinal, "sample_idx", "dosage"), d.samples, d.scores, common.select(ordinal, "common"), "ordinal")
 
 
 #: What the readers and operators must refuse: name, and the lines of the file or the action.

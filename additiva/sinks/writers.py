@@ -12,10 +12,8 @@ import resource
 import time
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from additiva.functions.values import general17
 
@@ -27,25 +25,27 @@ def write_table(df: DataFrame, path: str, mode: str = REFUSE, parts: int | None
     (df.coalesce(parts) if parts else df).write.mode(mode).option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(path)
 
 
-def formatted(df: DataFrame, digits17: list[str]) -> DataFrame:
-    """Double columns as text of 17 significant digits at most; the one place where rows pass through Python."""
+def write_wide_text(rows: DataFrame, path: str, names: list[str], mode: str = OVERWRITE) -> None:
+    """[FID] IID and one column a score, in the cohort's order, gzip-compressed; FID only if some sample has one.
 
-    def of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for c in digits17:
-                b[c] = [None if pd.isna(x) else general17(x) for x in b[c]]
-            yield b
-
-    schema = ", ".join(f"`{f.name}` {'string' if f.name in digits17 else f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInPandas(of_batches, schema)
+    ``rows`` have an array ``scores`` in the order of ``names`` (``scoring.arrays``). Range partitions keep the order over the
+    part files without a single task; numbers of 17 digits are spelled in Python, as Spark spells them otherwise.
+    """
+    ids = ["fid", "iid"] if not rows.where("fid IS NOT NULL").isEmpty() else ["iid"]
+    header = "\t".join([*(c.upper() for c in ids), *names])
 
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = [header]
+        for b in batches:
+            texts = [["" if x is None else x for x in b.column(k).to_pylist()] for k in range(len(ids))]
+            numbers = (["" if x is None else general17(x) for x in row or [None] * len(names)] for row in b.column(len(ids)).to_pylist())
+            out = ["\t".join([*who, *row]) for *who, row in zip(*texts, numbers, strict=True)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(first + out, pa.string())], names=["value"])
+                first = []
 
-def write_wide_text(wide: DataFrame, path: str, names: list[str], mode: str = OVERWRITE) -> None:
-    """[FID] IID and one column a score, in the cohort's order, gzip-compressed. FID only if some sample has one."""
-    ids = [F.col("fid").alias("FID")] if not wide.where("fid IS NOT NULL").isEmpty() else []
-    # Range partitions keep the order over the part files without a single task.
-    ordered = formatted(wide.repartitionByRange("sample_idx").sortWithinPartitions("sample_idx"), names)
-    ordered.select(*ids, F.col("iid").alias("IID"), *(F.col(f"`{n}`") for n in names)).write.mode(mode).option("sep", "\t").option("header", True).option("compression", "gzip").csv(path)
+    ordered = rows.repartitionByRange("sample_idx").sortWithinPartitions("sample_idx").select(*ids, "scores")
+    ordered.mapInArrow(lines, "value string").write.mode(mode).option("compression", "gzip").text(path)
 
 
 def write_score_major(scores: DataFrame, path: str, mode: str = OVERWRITE) -> None:
@@ -53,39 +53,19 @@ def write_score_major(scores: DataFrame, path: str, mode: str = OVERWRITE) -> No
     scores.repartitionByRange("score_idx", "sample_idx").sortWithinPartitions("score_idx", "sample_idx").write.mode(mode).parquet(path)
 
 
-def score_major_rows(scores: DataFrame) -> DataFrame:
-    """(score_idx, first, bytes): the matrix as little-endian doubles, in chunks of a score's consecutive samples."""
-    chunked = scores.withColumn("first", F.floor(F.col("sample_idx") / 65536) * 65536)
-
-    def pack(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("sample_idx")
-        return pd.DataFrame({"score_idx": [b["score_idx"].iloc[0]], "first": [b["first"].iloc[0]], "bytes": [b["score"].to_numpy("<f8").tobytes()]})
-
-    return chunked.groupBy("score_idx", "first").applyInPandas(pack, "score_idx long, first long, bytes binary")
+def write_wide_parquet(rows: DataFrame, path: str, names: list[str], mode: str = OVERWRITE, row_group_bytes: int = 4096 * 1024) -> None:
+    """Sample rows with named score columns, zstd, dictionary only on the ID columns. Arrays become columns inside tasks."""
+    ids = ["fid", "iid"] if not rows.where("fid IS NOT NULL").isEmpty() else ["iid"]
 
-
-def from_score_major_rows(packed: DataFrame, samples: DataFrame) -> DataFrame:
-    """(score_idx, sample_idx, score) from the packed matrix, for the samples of the cohort in their order."""
-    numbers = samples.select("sample_idx", F.floor(F.col("sample_idx") / 65536).cast("long").alias("part"))
-    dealt = numbers.groupBy("part").agg(F.array_sort(F.collect_list("sample_idx")).alias("ids"))  # at most 65,536 a part
-    joined = packed.withColumn("part", (F.col("first") / 65536).cast("long")).join(dealt, "part").select("score_idx", "ids", "bytes")
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, ids, data in zip(b["score_idx"], b["ids"], b["bytes"], strict=True):
-                values = np.frombuffer(data, "<f8")
-                if len(values) != len(ids):
-                    raise ValueError(f"score {k} has {len(values)} values for {len(ids)} samples")
-                yield pd.DataFrame({"score_idx": k, "sample_idx": ids, "score": values})
-
-    return joined.mapInPandas(unpack, "score_idx long, sample_idx long, score double")
-
+            numbers = b.column(len(ids)).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(ids))), *(pa.array(numbers[:, k].copy()) for k in range(len(names)))], names=[*(c.upper() for c in ids), *names])
 
-def write_wide_parquet(wide: DataFrame, path: str, names: list[str], mode: str = OVERWRITE, row_group_bytes: int = 4096 * 1024) -> None:
-    """Sample rows with named score columns, zstd, dictionary only on the ID columns."""
-    ids = ["fid", "iid"] if not wide.where("fid IS NOT NULL").isEmpty() else ["iid"]
-    w = wide.repartitionByRange("sample_idx").sortWithinPartitions("sample_idx").select(*(F.col(c).alias(c.upper()) for c in ids), *(F.col(f"`{n}`") for n in names))
-    out = w.write.mode(mode).option("compression", "zstd").option("parquet.compression.codec.zstd.level", "3").option("parquet.block.size", row_group_bytes).option("parquet.enable.dictionary", "false")
+    quoted = lambda n: "`" + n.replace("`", "``") + "`"
+    schema = ", ".join([*(f"{c.upper()} string" for c in ids), *(f"{quoted(n)} double" for n in names)])
+    ordered = rows.repartitionByRange("sample_idx").sortWithinPartitions("sample_idx").select(*ids, "scores").mapInArrow(columns, schema)
+    out = ordered.write.mode(mode).option("compression", "zstd").option("parquet.compression.codec.zstd.level", "3").option("parquet.block.size", row_group_bytes).option("parquet.enable.dictionary", "false")
     for c in ids:
         out = out.option(f"parquet.enable.dictionary#{c.upper()}", "true")
     out.parquet(path)

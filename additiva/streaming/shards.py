@@ -6,25 +6,13 @@ sums of (score, sample) as state; output mode ``complete`` gives the scores so f
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from additiva.functions.shared import new_folder
 from additiva.operators.scoring import combined
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a temporary one only where none is configured."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: shards need a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="shards-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def stream_updates(spark: SparkSession, folder: str, edges: DataFrame, key: str = "id", files_per_batch: int = 1) -> DataFrame:
     """Streaming (score_idx, sample_idx, upd) over call files with common dosage 0 that arrive in ``folder``."""
     calls = spark.readStream.schema(f"{key} {edges.schema[key].dataType.simpleString()}, sample_idx long, dosage double").option("maxFilesPerTrigger", files_per_batch).parquet(folder)
@@ -34,7 +22,7 @@ def stream_updates(spark: SparkSession, folder: str, edges: DataFrame, key: str
 
 def score_stream_to_table(spark: SparkSession, edges: DataFrame, calls: DataFrame, samples: DataFrame, scores: DataFrame, shards: int = 3, key: str = "id") -> DataFrame:
     """Writes ``calls`` as shard files, streams them to the end and gives the scores of the final state."""
-    folder = shared_folder(spark)
+    folder = new_folder(spark, "stream")
     calls.select(key, "sample_idx", F.col("dosage").cast("double").alias("dosage")).repartition(shards).write.parquet(f"{folder}/calls")
     out = f"{folder}/scores"
 
