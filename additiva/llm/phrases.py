@@ -73,7 +73,8 @@ def dealt(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     bucket = (hashes % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     kinds, at = np.unique(bucket[by], return_index=True)
-    yield from zip(kinds.tolist(), np.split(by, at[1:]), strict=True)
+    if len(kinds):
+        yield from zip(kinds.tolist(), np.split(by, at[1:]), strict=True)
 
 
 def undealt(hashes: np.ndarray, buckets: int, answers: list[np.ndarray]) -> np.ndarray:
