@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,28 @@ def require(df: DataFrame, rule: Column, message: str, show: Iterable[str] = ())
     return df
 
 
+def checked(value: Column, bad: Column, message: str, *shown: Column) -> Column:
+    """``value``, or an error where ``bad`` holds: a rule inside the scan that uses the value, without a job of its own."""
+    text = F.concat_ws(", ", F.lit(f"{BROKEN}{message}:"), *(s.cast("string") for s in shown))
+    return F.when(F.coalesce(bad, F.lit(False)), F.raise_error(text)).otherwise(value)
+
+
+#: Marks errors of ``checked`` among those of Spark.
+BROKEN = "broken rule: "
+
+
+@contextmanager
+def as_input_errors() -> Iterator[None]:
+    """Errors of ``checked`` that come up while a job runs, as ``InputError``."""
+    try:
+        yield
+    except PySparkException as e:
+        found = re.search(f"{BROKEN}([^\\n]*)", str(e))
+        if not found:
+            raise
+        raise InputError(found[1].split(" SQLSTATE")[0]) from e
+
+
 def require_unique(df: DataFrame, keys: list[str], message: str) -> DataFrame:
     require_empty(df.groupBy(*keys).count().where("count > 1").select(*keys), message)
     return df

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from additiva.functions.shared import stored
 from additiva.functions.values import allele_value, ascii_upper, is_missing, number
 from additiva.operators.checks import InputError, require_empty, require_unique
 from additiva.sources.text import read_table
@@ -55,12 +56,17 @@ def normalise(rows: DataFrame) -> DataFrame:
     return out
 
 
-def read_frequencies(spark: SparkSession, path: str, ids: DataFrame | None = None) -> DataFrame:
-    """Usable rows of a frequency file, limited to ``ids`` if given; a second usable row of an ID is an error."""
+def read_frequencies(spark: SparkSession, path: str, ids: DataFrame | None = None, once: bool = False) -> DataFrame:
+    """Usable rows of a frequency file, limited to ``ids`` if given; a second usable row of an ID is an error.
+
+    With ``once`` the text is read once, into a table that the checks and later steps read.
+    """
     known = ["ALT", "ALT1", "ALT_DOSAGE_MEAN", "ALT_FREQS", "ALT1_FREQ", "ALT_CTS", "ALT1_CT", "REF_CT", "OBS_CT"]
-    rows = read_table(spark, path, ["ID", "REF"], known, upper_header=True)
+    rows = read_table(spark, path, ["ID", "REF"], known, upper_header=True, fused=once)
     if ids is not None:
         rows = rows.join(ids.select(F.col("id").alias("ID")).distinct(), "ID", "left_semi")
+    if once:
+        rows = stored(rows)
     found = require_unique(normalise(rows), ["id"], "two frequency rows of one ID")
     if ids is None and found.isEmpty():
         raise InputError(f"{path} has no frequency rows")

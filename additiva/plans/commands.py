@@ -12,26 +12,15 @@ from pyspark.sql import functions as F
 from additiva.functions.values import BLOCK
 from additiva.operators import fragments as fr
 from additiva.operators import frequency, scoring
-from additiva.operators.checks import InputError, require_empty, require_same
+from additiva.operators.checks import InputError
 from additiva.operators.support import build_support, summary
 from additiva.operators.variants import aliases_of, build_index, locate, signature
-from additiva.operators.weights import bind, bound_counts, compile_catalog
-from additiva.sinks.writers import OVERWRITE, REFUSE, Progress, write_metadata, write_score_major, write_table, write_wide_parquet, write_wide_text
+from additiva.operators.weights import compile_catalog
+from additiva.plans.artefacts import eligible_scores, index_of, meta_of, quality_of, rows_of, same_lineage
+from additiva.plans.score import score  # noqa: F401  one of the commands
+from additiva.sinks.matrix import read_matrix
+from additiva.sinks.writers import REFUSE, Progress, write_metadata, write_table, write_wide_parquet
 from additiva.sources import inputs
-from additiva.sources.genotypes import read_calls
-
-
-def _meta(spark: SparkSession, path: str) -> dict:
-    import json
-
-    return json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/metadata", wholetext=True).collect()))
-
-
-def _same_lineage(spark: SparkSession, *paths: str) -> str:
-    found = {_meta(spark, p)["signature"] for p in paths}
-    if len(found) != 1:
-        raise InputError("index, support and fragments come from different variant lists")
-    return found.pop()
 
 
 def build_variant_index(spark: SparkSession, variant_list: str, out: str, *, source: str = "SOURCE_ID", target: str = "TARGET_ID", strip_prefix: str = "", ref: str = "REF", alt: str = "ALT", block: int = BLOCK, progress: Progress | None = None) -> None:
@@ -46,16 +35,12 @@ def build_variant_index(spark: SparkSession, variant_list: str, out: str, *, sou
     log.event("complete", variants=n)
 
 
-def _index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/variants"), spark.read.parquet(f"{path}/aliases")
-
-
 def build_support_index(spark: SparkSession, index_path: str, frequency_path: str, out: str, *, pvar: str | None = None, pvar_list: str | None = None, progress: Progress | None = None) -> None:
     if (pvar is None) == (pvar_list is None):
         raise InputError("give exactly one of pvar and pvar_list")
     log = progress or Progress("support_index")
     log.event("start")
-    index, aliases = _index(spark, index_path)
+    index, aliases = index_of(spark, index_path)
     paths = [pvar] if pvar else inputs.read_pvar_list(spark, pvar_list)
     located = locate(_shards([inputs.read_indexed_pvar(spark, p) for p in paths]), aliases, index)
     log.event("pvar_loaded", files=len(paths))
@@ -63,7 +48,7 @@ def build_support_index(spark: SparkSession, index_path: str, frequency_path: st
     log.event("frequencies_loaded")
     build_support(index, located, means).write.mode(REFUSE).parquet(f"{out}/states")
     counts = {str(r["state"]): r["n_variants"] for r in summary(spark.read.parquet(f"{out}/states")).collect()}
-    write_metadata(spark, {"signature": _meta(spark, index_path)["signature"], "states": counts}, f"{out}/metadata", REFUSE)
+    write_metadata(spark, {"signature": meta_of(spark, index_path)["signature"], "states": counts}, f"{out}/metadata", REFUSE)
     log.event("complete", **{f"state_{k}": v for k, v in counts.items()})
 
 
@@ -96,11 +81,11 @@ def compile_score_fragment(spark: SparkSession, manifest: str, index_path: str,
         raise InputError("a minimum fraction needs a support index")
     log = progress or Progress("fragment")
     log.event("start")
-    lineage = _same_lineage(spark, index_path, *([support_path] if support_path else []))
-    index, aliases = _index(spark, index_path)
+    lineage = same_lineage(spark, index_path, *([support_path] if support_path else []))
+    index, aliases = index_of(spark, index_path)
     support = spark.read.parquet(f"{support_path}/states") if support_path else None
     scores = inputs.read_manifest(spark, manifest, "fragment")
-    block = _meta(spark, index_path)["block_size"]
+    block = meta_of(spark, index_path)["block_size"]
     rows, qc = fr.compile_fragment(inputs.read_weights(spark, scores), aliases, index, support, minimum, block)
     ids = F.broadcast(scores.select("score_idx", "score_id", "column_name", "path"))
     fr.laid_out(rows.join(ids.select("score_idx", "score_id"), "score_idx")).write.mode(REFUSE).partitionBy("tile_idx").parquet(f"{out}/rows")
@@ -111,15 +96,6 @@ def compile_score_fragment(spark: SparkSession, manifest: str, index_path: str,
     log.event("complete")
 
 
-def rows_of(spark: SparkSession, fragment: str) -> DataFrame:
-    schema = "score_idx int, ordinal long, row_seq long, weight double, ref_effect boolean, score_id string, tile_idx long"
-    return spark.read.schema(schema).parquet(f"{fragment}/rows")
-
-
-def quality_of(spark: SparkSession, fragment: str) -> DataFrame:
-    return spark.read.parquet(f"{fragment}/quality")
-
-
 def write_quality(spark: SparkSession, fragment: str, out: str) -> None:
     """The quality table as text: all scores, the excluded ones too."""
     q = quality_of(spark, fragment).drop("score_idx")
@@ -128,145 +104,36 @@ def write_quality(spark: SparkSession, fragment: str, out: str) -> None:
 
 def merge_variant_bits(spark: SparkSession, listing: str, out: str) -> int:
     paths = inputs.read_bitset_list(spark, listing)
-    lineage = _same_lineage(spark, *paths)
+    lineage = same_lineage(spark, *paths)
     fr.merge_bits([spark.read.parquet(f"{p}/bits") for p in paths]).write.mode(REFUSE).parquet(f"{out}/bits")
     write_metadata(spark, {"signature": lineage}, f"{out}/metadata", REFUSE)
     return spark.read.parquet(f"{out}/bits").count()
 
 
 def report_fragment_support(spark: SparkSession, fragment: str, support_path: str, out: str) -> DataFrame:
-    _same_lineage(spark, fragment, support_path)
+    same_lineage(spark, fragment, support_path)
     found = fr.availability(rows_of(spark, fragment), spark.read.parquet(f"{support_path}/states"))
-    names = quality_of(spark, fragment).where("status = 'eligible'").select("score_idx", "score_id", "column_name")
+    names = eligible_scores(spark, fragment).select("score_idx", "score_id", "column_name")
     report = names.join(found, "score_idx", "left").na.fill(0).drop("score_idx")
     write_table(report.toDF(*(c.upper() for c in report.columns)), out, REFUSE)
     return report
 
 
-def read_filesets(spark: SparkSession, filesets: list[dict[str, str]], indexed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(samples, pvar with input_idx, calls with input_idx) of one or several shards of one cohort."""
-    samples = inputs.read_psam(spark, filesets[0]["PSAM"])
-    for f in filesets[1:]:
-        require_same(samples, inputs.read_psam(spark, f["PSAM"]), "sample_idx", ["fid", "iid"], "samples differ between filesets")
-    read = inputs.read_indexed_pvar if indexed else inputs.read_pvar
-    pvar = _shards([read(spark, f["PVAR"]) for f in filesets])
-    parts = []
-    for k, f in enumerate(filesets):
-        calls = read_calls(spark, f["PGEN"])
-        if "pgen_variant_idx" not in calls.columns:
-            ids = pvar.where(F.col("input_idx") == k).select("id", "pgen_variant_idx")
-            calls = calls.join(ids, "id")
-        parts.append(calls.select("pgen_variant_idx", "sample_idx", "dosage"))
-    calls = _shards(parts)
-    require_empty(calls.select("input_idx", "pgen_variant_idx").distinct().join(pvar, ["input_idx", "pgen_variant_idx"], "left_anti"), "genotypes of a variant that the PVAR lacks")
-    require_empty(calls.join(samples, "sample_idx", "left_anti").select("sample_idx"), "genotypes of a sample that the PSAM lacks")
-    return samples, pvar, calls
-
-
-def _finish(spark: SparkSession, scores: DataFrame, names: list[tuple[int, str]], samples: DataFrame, metadata: DataFrame, out: str, form: str, run: dict) -> None:
-    if form == "score-major":
-        write_score_major(scores, f"{out}/scores")
-    else:
-        table = scoring.wide(scores, names, samples)
-        (write_wide_text if form == "wide" else write_wide_parquet)(table, f"{out}/scores", [n for _, n in names], OVERWRITE)
-    samples.write.mode(OVERWRITE).parquet(f"{out}/samples")
-    metadata.write.mode(OVERWRITE).parquet(f"{out}/score_metadata")
-    write_metadata(spark, run, f"{out}/metadata")
-
-
-FORMS = ("wide", "parquet", "score-major")
-
-
-def score(
-    spark: SparkSession, out: str, filesets: list[dict[str, str]], *, manifest: str | None = None, catalog: str | None = None, fragment_list: str | None = None, index_path: str | None = None,
-    frequency_path: str | None = None, variant_map: str | None = None, score_schema: str | None = None, policy: str = "cohort", form: str = "wide", progress: Progress | None = None,
-) -> DataFrame:
-    """Scores of a cohort from a manifest, a compiled catalog or compiled fragments; gives (score_idx, sample_idx, score)."""
-    if sum(x is not None for x in (manifest, catalog, fragment_list)) != 1:
-        raise InputError("give exactly one of manifest, catalog and fragment_list")
-    if fragment_list is None and (index_path or score_schema):
-        raise InputError("index and score schema need a fragment list")
-    if fragment_list is not None and variant_map:
-        raise InputError("fragments are matched by the index, not by a variant map")
-    if fragment_list is not None and not index_path:
-        raise InputError("a fragment list needs an index")
-    if policy not in scoring.POLICIES or policy != "cohort" and not frequency_path:
-        raise InputError(f"policy {policy} is unknown or needs frequencies")
-    if form not in FORMS:
-        raise InputError(f"unknown output form {form}")
-    log = progress or Progress("score")
-    log.event("start")
-    log.event("pfile_inputs_loaded", files=len(filesets))
-    samples, pvar, calls = read_filesets(spark, filesets, fragment_list is not None)
-    n_samples = samples.count()
-    log.event("samples_loaded", samples=n_samples)
-    if fragment_list is not None:
-        edges, names, metadata, calls, freq, key = _fragment_edges(spark, fragment_list, index_path, frequency_path, score_schema, pvar, calls)
-    else:
-        edges, names, metadata, calls, freq, key = _catalog_edges(spark, manifest, catalog, frequency_path, variant_map, pvar, calls)
-    log.event("frequencies_loaded")
-    calls = calls.join(edges.select(key).distinct(), key, "left_semi")
-    means = None
-    if policy == "cohort":
-        means = edges.select(key).distinct().join(scoring.cohort_means(calls, n_samples, None, key), key, "left").withColumn("cohort_mean", F.when(F.col("cohort_mean").isNotNull(), F.col("cohort_mean")))
-    ready = scoring.with_means(edges, freq, means, policy, key)
-    scoring.require_means(ready, calls, key)
-    scores = scoring.evaluate(ready, calls, samples, names.select("score_idx"), key=key)
-    ordered = [(r["score_idx"], r["column_name"]) for r in names.orderBy("score_idx").collect()]
-    log.event("write_scores")
-    n_edges = edges.count()
-    _finish(spark, scores, ordered, samples, metadata, out, form, {"scores": len(ordered), "samples": n_samples, "edges": n_edges, "policy": policy, "output_format": form})
-    log.event("scores_written", scores=len(ordered))
-    log.event("complete", edges=n_edges)
-    return scores
-
-
-def _catalog_edges(spark, manifest, catalog, frequency_path, variant_map, pvar, calls):
-    if catalog is not None:
-        weights, counts, scores = (spark.read.parquet(f"{catalog}/{t}") for t in ("weights", "counts", "scores"))
-    else:
-        scores = inputs.read_manifest(spark, manifest)
-        weights, counts = compile_catalog(inputs.read_weights(spark, scores))
-    mapped = inputs.read_variant_map(spark, variant_map) if variant_map else None
-    wanted = weights.select(F.col("source_id")).distinct()
-    ids = wanted.join(mapped, "source_id").select(F.col("target_id").alias("id")) if mapped is not None else wanted.select(F.col("source_id").alias("id"))
-    pvar = pvar.join(ids, "id", "left_semi")
-    bound = bind(weights, pvar, mapped)
-    freq = None
-    if frequency_path:
-        freq = frequency.read_frequencies(spark, frequency_path, pvar.select("id"))
-        alleles = pvar.select("id", F.col("ref").alias("v_ref"), F.col("alt").alias("v_alt"))
-        scored = bound.where("status = 'matched'").select("id").distinct()
-        require_empty(freq.join(alleles, "id").join(scored, "id", "left_semi").where("ref <> v_ref OR alt <> v_alt").select("id", "ref", "alt", "v_ref", "v_alt"), "frequency alleles disagree with the PVAR")
-    calls = calls.join(pvar.select("input_idx", "pgen_variant_idx", "id"), ["input_idx", "pgen_variant_idx"]).select("id", "sample_idx", "dosage")
-    names = scores.select("score_idx", "column_name")
-    metadata = names.join(counts, "score_idx", "left").join(bound_counts(bound), "score_idx", "left")
-    return bound.where("status = 'matched'").select("score_idx", "id", "beta", "intercept"), names, metadata, calls, freq, "id"
-
-
-def _fragment_edges(spark, fragment_list, index_path, frequency_path, score_schema, pvar, calls):
-    paths = inputs.read_fragment_list(spark, fragment_list)
-    _same_lineage(spark, index_path, *paths)
-    index, aliases = _index(spark, index_path)
-    schema = inputs.read_score_schema(spark, score_schema) if score_schema else None
-    eligible = [quality_of(spark, p).where("status = 'eligible'") for p in paths]
-    rows, names = fr.merge_fragments([(rows_of(spark, p), q.select("score_id", "column_name")) for p, q in zip(paths, eligible, strict=True)], schema)
-    located = locate(pvar, aliases, index)
-    freq = frequency.indexed(frequency.read_frequencies(spark, frequency_path), aliases, index) if frequency_path else None
-    calls = calls.join(located, ["input_idx", "pgen_variant_idx"]).select("ordinal", "sample_idx", "dosage")
-    met = rows.join(located.select("ordinal"), "ordinal", "left_semi")
-    missing = rows.join(located.select("ordinal"), "ordinal", "left_anti").groupBy("score_idx").agg(F.count("*").alias("scoring_missing_variants"))
-    quality = eligible[0]
-    for q in eligible[1:]:
-        quality = quality.unionByName(q)
-    metadata = names.join(quality.drop("score_idx", "column_name"), "score_id").join(missing, "score_idx", "left").na.fill(0, ["scoring_missing_variants"])
-    return fr.edges_of(met), names, metadata, calls, freq, "ordinal"
-
-
 def convert_to_parquet(spark: SparkSession, scored: str, out: str) -> None:
-    """A score-major result to the wide Parquet form."""
-    scores, samples, meta = (spark.read.parquet(f"{scored}/{t}") for t in ("scores", "samples", "score_metadata"))
-    names = [(r["score_idx"], r["column_name"]) for r in meta.select("score_idx", "column_name").orderBy("score_idx").collect()]
+    """A score-major result, Parquet or binary, to the wide Parquet form."""
+    form = meta_of(spark, scored).get("output_format")
+    if form == "binary":
+        cells, samples, columns, _ = read_matrix(spark, f"{scored}/scores")
+        scores = cells.select(F.col("column").alias("score_idx"), F.col("row").alias("sample_idx"), "score")
+        samples = samples.toDF(*(c.lower() for c in samples.columns)).withColumnRenamed("row", "sample_idx")
+        if "fid" not in samples.columns:
+            samples = samples.withColumn("fid", F.lit(None).cast("string"))
+        names = list(enumerate(columns))
+    elif form == "score-major":
+        scores, samples, meta = (spark.read.parquet(f"{scored}/{t}") for t in ("scores", "samples", "score_metadata"))
+        names = [(r["score_idx"], r["column_name"]) for r in meta.select("score_idx", "column_name").orderBy("score_idx").collect()]
+    else:
+        raise InputError(f"{scored} is no score-major result")
     if len({n for _, n in names}) < len(names):
         raise InputError("score names are not unique")
-    write_wide_parquet(scoring.wide(scores, names, samples), out, [n for _, n in names], REFUSE)
+    write_wide_parquet(scoring.arrays(scores, [k for k, _ in names], samples), out, [n for _, n in names], REFUSE)

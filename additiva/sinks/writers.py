@@ -9,11 +9,13 @@ from __future__ import annotations
 import json
 import os
 import resource
+import threading
 import time
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from additiva.functions.values import general17
 
@@ -81,7 +83,8 @@ def write_metadata(spark, values: dict, path: str, mode: str = OVERWRITE) -> Non
 
 
 class Progress:
-    """JSON lines with a contiguous sequence. ``maybe`` writes only if the interval has passed since the last line."""
+    """JSON lines with a contiguous sequence. ``maybe`` writes only if the interval has passed since the last line; ``watching``
+    does so from the status of running jobs."""
 
     def __init__(self, operation: str, path: str | None = None, interval: float = 30.0) -> None:
         if interval <= 0:
@@ -89,8 +92,13 @@ class Progress:
         self.operation, self.interval, self.sequence, self.began, self.last = operation, interval, 0, time.time(), 0.0
         self.file = open(path, "w", encoding="utf-8") if path else None  # noqa: SIM115
         self.lines: list[dict] = []
+        self.lock = threading.Lock()
 
     def event(self, phase: str, **details) -> None:
+        with self.lock:
+            self._write(phase, details)
+
+    def _write(self, phase: str, details: dict) -> None:
         now = time.time()
         peak = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024
         line = {"schema_version": 1, "sequence": self.sequence, "timestamp_unix_ms": int(now * 1000), "elapsed_ms": int((now - self.began) * 1000), "operation": self.operation, "phase": phase, "pid": os.getpid(), "rss_bytes": peak, "peak_rss_bytes": peak, **details}
@@ -105,6 +113,25 @@ class Progress:
         if time.time() - self.last >= self.interval:
             self.event(phase, **details)
 
+    @contextmanager
+    def watching(self, spark: SparkSession, phase: str) -> Iterator[None]:
+        """While the body runs, a line an interval with the running stages and their tasks, unless other lines came."""
+        done = threading.Event()
+
+        def watch() -> None:
+            tracker = spark.sparkContext.statusTracker()
+            while not done.wait(self.interval):
+                stages = [i for k in tracker.getActiveStageIds() if (i := tracker.getStageInfo(k))]
+                self.maybe(phase, stages=len(stages), tasks=sum(i.numTasks for i in stages), tasks_done=sum(i.numCompletedTasks for i in stages), tasks_running=sum(i.numActiveTasks for i in stages))
+
+        thread = threading.Thread(target=watch, daemon=True)
+        thread.start()
+        try:
+            yield
+        finally:
+            done.set()
+            thread.join()
+
     def close(self) -> None:
         if self.file:
             self.file.close()

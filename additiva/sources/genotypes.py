@@ -1,9 +1,8 @@
 """Genotype sources.
 
-The engine works on exceptions from a common dosage (see ``operators.scoring``). Two sources give them: Parquet tables
-of that shape, and text in the public VCF layout, read as lines and expanded in the plan. The compressed container
-that the genotype toolkit writes is outside this repository: its codec is a separate project; ``register`` is the seam
-where a reader for it (a Spark Python data source with row ranges as partitions) plugs in.
+The engine works on exceptions from a common dosage (see ``operators.scoring``). Containers of the fixed-width layouts
+(``sources.pgen``) give both; Parquet tables of calls and text in the public VCF layout, read as lines and expanded in the plan,
+give exceptions from 0. ``register`` is the seam for other readers.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from additiva.functions.values import DOSAGE_UNIT, dosage
-from additiva.operators.checks import InputError
+from additiva.sources import pgen
 from additiva.sources.text import header_of
 
 _READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,24 +44,29 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(f[names.index("ID")].alias("id"), f[names.index("REF")].alias("ref"), f[names.index("ALT")].alias("alt"), F.explode(kept).alias("c")).select("id", "ref", "alt", "c.sample_idx", "c.dosage")
 
 
-def vcf_samples(spark: SparkSession, path: str) -> DataFrame:
-    names = header_of(spark, path, skip_meta=True)
-    return spark.createDataFrame([(k, None, n) for k, n in enumerate(names[names.index("FORMAT") + 1 :])], "sample_idx long, fid string, iid string")
-
-
 def fixed_point(calls: DataFrame, column: str = "dosage16") -> DataFrame:
     """Stored fixed-point dosages to numbers; the code 65535 is missing."""
     value = F.col(column)
     return calls.withColumn("dosage", F.when((value >= 0) & (value <= 2 * DOSAGE_UNIT), dosage(value))).drop(column)
 
 
+def header_counts(path: str, n_samples: int | None = None) -> tuple[int, int] | None:
+    """(variants, samples) that a container states itself."""
+    return pgen.counts_of(path, n_samples if pgen.mode_of(path) == 1 else None) if path.endswith(".pgen") else None
+
+
+def read_genotypes(spark: SparkSession, path: str, n_samples: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(calls, common dosages) of a path by its suffix; without common dosages, samples without a call have dosage 0."""
+    if path.endswith(".pgen") and ".pgen" not in _READERS:
+        return pgen.calls_and_common(pgen.read_pgen(spark, path, n_samples))
+    return read_calls(spark, path), None
+
+
 def read_calls(spark: SparkSession, path: str) -> DataFrame:
     """Calls of a path by its suffix; without a known one, a Parquet table of exceptions."""
     for suffix, reader in _READERS.items():
         if path.endswith(suffix):
             return reader(spark, path)
-    if path.endswith(".pgen"):
-        raise InputError(f"no reader is registered for {path}; convert it to Parquet or VCF, or register one")
     if any(path.endswith(s) for s in (".vcf", ".vcf.gz", ".vcf.zst")):
         return read_vcf(spark, path)
     calls = spark.read.parquet(path)

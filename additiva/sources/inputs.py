@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from additiva.functions.values import number
-from additiva.operators.checks import InputError, require, require_empty, require_unique
+from additiva.operators.checks import InputError, checked, require, require_empty, require_unique
 from additiva.sources.text import header_of, read_list, read_table, read_tables, resolve
 
 
-def read_pvar(spark: SparkSession, path: str, ids: DataFrame | None = None) -> DataFrame:
+def read_pvar(spark: SparkSession, path: str, ids: DataFrame | None = None, fused: bool = False) -> DataFrame:
     """(pgen_variant_idx, chrom, id, ref, alt); the index counts all rows, also those that the ID filter drops."""
-    df = read_table(spark, path, ["CHROM", "ID", "REF", "ALT"], numbered="pgen_variant_idx", skip_meta=True).toDF("pgen_variant_idx", "chrom", "id", "ref", "alt")
+    df = read_table(spark, path, ["CHROM", "ID", "REF", "ALT"], numbered="pgen_variant_idx", skip_meta=True, fused=fused).toDF("pgen_variant_idx", "chrom", "id", "ref", "alt")
     return df.join(ids.select("id").distinct(), "id", "left_semi").select(df.columns) if ids is not None else df
 
 
-def read_indexed_pvar(spark: SparkSession, path: str) -> DataFrame:
+def read_indexed_pvar(spark: SparkSession, path: str, fused: bool = False) -> DataFrame:
     """(pgen_variant_idx, id, ref, alt): no chromosome is needed where variants are found by alias."""
-    return read_table(spark, path, ["ID", "REF", "ALT"], numbered="pgen_variant_idx", skip_meta=True).toDF("pgen_variant_idx", "id", "ref", "alt")
+    return read_table(spark, path, ["ID", "REF", "ALT"], numbered="pgen_variant_idx", skip_meta=True, fused=fused).toDF("pgen_variant_idx", "id", "ref", "alt")
 
 
 def read_psam(spark: SparkSession, path: str) -> DataFrame:
@@ -64,16 +64,20 @@ def read_manifest(spark: SparkSession, path: str, form: str = "catalog") -> Data
     return spark.createDataFrame(out, "score_idx int, score_id string, column_name string, display_name string, path string")
 
 
-def read_weights(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+def read_weights(spark: SparkSession, manifest: DataFrame, fused: bool = False) -> DataFrame:
     """(score_idx, row_seq, snp, effect, other, weight) of all weight files of a manifest.
 
-    All files are one read; one under several scores fans out. A malformed number is an error on any row.
+    All files are one read; one under several scores fans out. A malformed number is an error on any row: at once, or if
+    ``fused``, when a job reads it.
     """
     columns = ["SNP", "EFFECT_ALLELE", "OTHER_ALLELE", "EFFECT_ALLELE_WEIGHT"]
     paths = sorted({r["path"] for r in manifest.select("path").collect()})
-    rows = read_tables(spark, paths, columns, numbered="row_seq", file="path").toDF("path", "row_seq", "snp", "effect", "other", "text")
+    rows = read_tables(spark, paths, columns, numbered="row_seq", file="path", fused=fused).toDF("path", "row_seq", "snp", "effect", "other", "text")
     rows = rows.withColumn("weight", number(F.col("text")))
-    require_empty(rows.where("weight IS NULL").select("path", "row_seq", "text"), "invalid EFFECT_ALLELE_WEIGHT")
+    if fused:
+        rows = rows.withColumn("weight", checked(F.col("weight"), F.col("weight").isNull(), "invalid EFFECT_ALLELE_WEIGHT", F.col("path"), F.col("row_seq"), F.col("text")))
+    else:
+        require_empty(rows.where("weight IS NULL").select("path", "row_seq", "text"), "invalid EFFECT_ALLELE_WEIGHT")
     return rows.join(F.broadcast(manifest.select("score_idx", "path")), "path").select("score_idx", "row_seq", "snp", "effect", "other", "weight")
 
 

@@ -245,6 +245,15 @@ def read_pgen(spark: SparkSession, path: str, samples: int | None = None, range_
     return spark.read.format("pgen").options(**options).load()
 
 
+def mode_of(path: str) -> int:
+    system, place = _place(path)
+    if system.get_file_info(place).type == fs.FileType.Directory:
+        return 2
+    with system.open_input_file(place) as f:
+        head = f.read(3)
+    return head[2] if len(head) == 3 else 0
+
+
 def counts_of(path: str, samples: int | None = None) -> tuple[int, int]:
     """(variants, samples), from the headers."""
     files = layouts(path, samples)

@@ -15,7 +15,7 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from additiva.operators.checks import InputError, require_empty
+from additiva.operators.checks import InputError, checked, require_empty
 
 
 #: Blocks up to which their row numbers are part of the expression.
@@ -68,10 +68,11 @@ def header_of(spark: SparkSession, path: str, skip_meta: bool = False) -> list[s
     return _names(first["value"].rstrip("\r"), path)
 
 
-def read_tables(spark: SparkSession, paths: list[str], required: list[str], optional: list[str] = (), *, numbered: str | None = None, skip_meta: bool = False, upper_header: bool = False, file: str | None = None) -> DataFrame:
+def read_tables(spark: SparkSession, paths: list[str], required: list[str], optional: list[str] = (), *, numbered: str | None = None, skip_meta: bool = False, upper_header: bool = False, file: str | None = None, fused: bool = False) -> DataFrame:
     """Required columns, and those optional ones that all files have, as strings, of all files in one read.
 
     ``numbered`` adds the row number in the file, which counts all data rows before any filter; ``file`` the path as given.
+    Short rows are an error at once, or if ``fused``, when a job reads the row.
     """
     given = {_plain(p): p for p in paths}
     lines, first = numbered_lines(spark, paths, skip_meta)
@@ -97,7 +98,11 @@ def read_tables(spark: SparkSession, paths: list[str], required: list[str], opti
     else:
         parsed = parsed.join(F.broadcast(spark.createDataFrame(kept, "file string, path string, at array<int>")), "file")
         at = [F.col("at")[k] for k in range(len(wanted))]
-    require_empty(parsed.where(F.size("f") <= F.greatest(*at, F.lit(0), F.lit(0))).select("path", "line"), "short row")
+    short = F.size("f") <= F.greatest(*at, F.lit(0), F.lit(0))
+    if fused:
+        parsed = parsed.withColumn("f", checked(F.col("f"), short, "short row", F.col("path"), F.col("line")))
+    else:
+        require_empty(parsed.where(short).select("path", "line"), "short row")
     extra = ([F.col("path").alias(file)] if file else []) + ([(F.col("number") - 1).alias(numbered)] if numbered else [])
     return parsed.select(*extra, *(F.get(F.col("f"), k).alias(c) for k, c in zip(at, wanted, strict=True)))
 
