@@ -2,16 +2,16 @@
 
 A plain relational plan. Regexp matches are exploded once and counted by (lang, source, term), together with the number of
 documents; terms in ``LEAST_DOCUMENTS`` documents of a language are its kept vocabulary. Groups (lang, source) are crossed
-with the vocabulary of their language, so that zeros are rows too; each row gets its smoothed share p in billionths.
+with the vocabulary of their language, so that zeros are rows too; each gets its smoothed share p in billionths.
 The pair part joins those rows with themselves on (lang, term) and adds up the divergence of each pair of sources; the
 term part compares a group with its language and ranks by window.
 
-How it is dealt out. Occurrences are summed map-side before their one shuffle. The sides by language (totals, groups,
-sizes of vocabularies) are broadcast if counted small; else the crossing is dealt out by ``SALTS`` parts of a language,
-as a language may hold a third of everything. The self-join is by (lang, term), which no group is large in: a term has
-a row a source. Its sums are combined map-side. The term part keeps ``TERMS`` rows a group by a rank in each of ``SALTS``
-parts of the group's terms before the rank over all, so no task sorts a whole group. Counts and the dense rows are
-checkpointed: each is read several times.
+How it is dealt out. Occurrences are summed map-side before their first shuffle; the second brings the counts of a
+(lang, term) together as one row, which has an entry a source. That row is written to the shared folder, and crossing and
+self-join happen inside it, without another shuffle: the sources of the language are joined to it (broadcast if
+counted small; else dealt out by ``SALTS`` parts of a language, as a language may hold a third of everything), and its
+entries are exploded twice. Sums of pairs are combined map-side. The term part keeps ``TERMS`` rows a group by a rank
+in each of ``SALTS`` parts of the group's terms before the rank over all, so no task sorts a whole group.
 
 All arithmetic is on integers; products that may pass 64 bits are decimals of 38 digits.
 
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from additiva.llm.common import ascii_lower, broadcast_if_small, checkpointed, table
+from additiva.llm.common import BROADCAST_ROWS, ascii_lower, broadcast_if_small, checkpointed, stored, table
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCUMENTS, TERMS, UNIT, SALTS = 3, 200, 1_000_000_000, 64
@@ -40,9 +40,9 @@ def counted(docs: DataFrame) -> DataFrame:
     return placed.select("lang", "source", "term", first.cast("int").alias("first")).groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum("first").alias("docs"))
 
 
-def shares(df: DataFrame, count: str, total: str, size: str, name: str) -> DataFrame:
-    """Adds the smoothed share 1 + floor(UNIT * (count + 1) / (total + size))."""
-    return df.withColumn(name, F.expr(f"1 + (cast({UNIT} as decimal(10,0)) * cast({count} + 1 as decimal(19,0))) div cast({total} + {size} as decimal(19,0))"))
+def share(count: str, total: str) -> str:
+    """1 + floor(UNIT * (count + 1) / total), exactly."""
+    return f"1 + (cast({UNIT} as decimal(10,0)) * cast({count} + 1 as decimal(19,0))) div cast({total} as decimal(19,0))"
 
 
 def departure(p: str, q: str) -> Column:
@@ -50,11 +50,10 @@ def departure(p: str, q: str) -> Column:
     return F.expr(f"(({p} - {q}) * ({p} - {q})) div {q}")
 
 
-def by_language(side: DataFrame, other: DataFrame) -> DataFrame:
-    """The equi-join on lang of a large side with one that is usually small: broadcast if counted so, else by parts of a language."""
-    small = broadcast_if_small(other)
-    if small is not other:
-        return side.join(small, "lang")
+def by_language(side: DataFrame, other: DataFrame, entries: int) -> DataFrame:
+    """The equi-join on lang with a row for each language of ``entries`` entries in all: broadcast if few, else by parts of a language."""
+    if entries <= BROADCAST_ROWS:
+        return side.join(F.broadcast(other), "lang")
     dealt = other.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return side.withColumn("_part", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int")).join(dealt, ["lang", "_part"]).drop("_part")
 
@@ -63,24 +62,26 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     """(lang, source, part, item, value, rank)."""
     named = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
     groups = checkpointed(named.select("lang", "source").distinct())
-    counts = checkpointed(counted(named))
-    overall = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= LEAST_DOCUMENTS).drop("docs")
-    kept = checkpointed(overall)
+    n_groups = groups.count()
+    met = counted(named).groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"), F.collect_list(F.struct("source", "n")).alias("by"))
+    kept = stored(met.where(F.col("docs") >= LEAST_DOCUMENTS).select("lang", "term", "lang_n", "by"))
     sizes = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
-    occurring = counts.join(kept, ["lang", "term"], "left_semi")
-    totals = groups.join(occurring.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").na.fill(0, ["total"])
-    totals = checkpointed(totals.join(sizes, "lang"))
-    dense = by_language(kept, totals).join(occurring.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left").na.fill(0, ["n"])
-    dense = checkpointed(shares(dense, "n", "total", "v", "p").select("lang", "source", "term", "n", "p", "lang_n", "lang_total", "v"))
-
-    left, right = dense.select("lang", "term", "source", "p"), dense.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"))
-    sums = left.join(right, ["lang", "term"]).where("source <> item").groupBy("lang", "source", "item").agg(F.sum(departure("p", "q")).alias("value"))
+    totals = groups.join(kept.select("lang", F.explode("by").alias("x")).groupBy("lang", "x.source").agg(F.sum("x.n").alias("total")), ["lang", "source"], "left").na.fill(0, ["total"])
+    sides = checkpointed(totals.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "total"))).alias("sources")).join(sizes, "lang"))
+    count = "coalesce(try_element_at(counts, s.source), 0L)"
+    row = f"transform(sources, s -> struct(s.source as source, {count} as n, {share(count, 's.total + v')} as p))"
+    dense = by_language(kept, sides, n_groups).withColumn("counts", F.map_from_entries("by")).select("lang", "term", F.expr(row).alias("row"), F.expr(share("lang_n", "lang_total + v")).alias("q"))
+
+    twice = dense.select("lang", F.posexplode(F.expr("transform(row, x -> x.p)")).alias("i", "p"), "row").select("lang", "i", "p", F.posexplode(F.expr("transform(row, x -> x.p)")).alias("j", "q"))
+    sums = twice.where("i <> j").groupBy("lang", "i", "j").agg(F.sum(departure("p", "q")).alias("value"))
+    places = sides.select("lang", F.posexplode("sources").alias("i", "s")).select("lang", "i", F.col("s.source").alias("source"))
+    sums = sums.join(places, ["lang", "i"]).join(places.toDF("lang", "j", "item"), ["lang", "j"]).select("lang", "source", "item", "value")
     others = groups.join(broadcast_if_small(groups.withColumnRenamed("source", "item")), "lang").where("source <> item")
     pairs = others.join(sums, ["lang", "source", "item"], "left").na.fill(0, ["value"])
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
     pair_part = ranked.select("lang", "source", F.lit("pair").alias("part"), "item", "value", "rank")
 
-    above = shares(dense.where("n > 0"), "lang_n", "lang_total", "v", "q").where("p > q").select("lang", "source", F.col("term").alias("item"), departure("p", "q").alias("value"))
+    above = dense.select("lang", "term", "q", F.explode("row").alias("x")).where("x.n > 0 AND x.p > q").select("lang", "x.source", F.col("term").alias("item"), departure("x.p", "q").alias("value"))
     order = (F.desc("value"), F.asc("item"))
     first = above.withColumn("_part", F.pmod(F.xxhash64("item"), F.lit(SALTS))).withColumn("_r", F.row_number().over(Window.partitionBy("lang", "source", "_part").orderBy(*order))).where(F.col("_r") <= terms)
     term_part = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(*order))).where(F.col("rank") <= terms).select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
