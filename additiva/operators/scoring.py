@@ -82,12 +82,16 @@ def on_grid(base: DataFrame, scores: DataFrame, samples: DataFrame, updates: Dat
     return grid.join(updates, ["score_idx", "sample_idx"], "left").select("score_idx", "sample_idx", (F.col("base") + F.coalesce("upd", F.lit(0.0))).alias("score"))
 
 
+def updates(edges: DataFrame, calls: DataFrame, key: str = "id", common: DataFrame | None = None) -> DataFrame:
+    """(score_idx, sample_idx, upd) of edges with one row a (score, variant)."""
+    e = with_common(edges, common, key)
+    x = F.coalesce("dosage", "mean") - F.col("common")
+    return calls.select(key, "sample_idx", "dosage").join(e.select(key, "score_idx", "beta", "mean", "common"), key).groupBy("score_idx", "sample_idx").agg(F.sum(F.col("beta") * x).alias("upd"))
+
+
 def evaluate(edges: DataFrame, calls: DataFrame, samples: DataFrame, scores: DataFrame, common: DataFrame | None = None, key: str = "id") -> DataFrame:
     """(score_idx, sample_idx, score). ``edges`` are (score_idx, key, beta, intercept, mean). ``blocked`` has the form for many calls a variant."""
-    e = with_common(combined(edges, key), common, key)
-    x = F.coalesce("dosage", "mean") - F.col("common")
-    updates = calls.select(key, "sample_idx", "dosage").join(e.select(key, "score_idx", "beta", "mean", "common"), key).groupBy("score_idx", "sample_idx").agg(F.sum(F.col("beta") * x).alias("upd"))
-    return on_grid(baselines(edges, scores, common, key), scores, samples, updates)
+    return on_grid(baselines(edges, scores, common, key), scores, samples, updates(combined(edges, key), calls, key, common))
 
 
 def require_means(edges: DataFrame, calls: DataFrame, key: str = "id") -> None:

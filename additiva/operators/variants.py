@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from additiva.functions.values import BLOCK, stripped, tile_of, tile_size
-from additiva.operators.checks import require, require_empty, require_unique
+from additiva.operators.checks import InputError, require, require_empty, require_unique
 
 
 def build_index(variant_list: DataFrame, strip_prefix: str = "", block: int = BLOCK) -> DataFrame:
@@ -20,6 +20,7 @@ def build_index(variant_list: DataFrame, strip_prefix: str = "", block: int = BL
     for c in ("source_id", "target_id", "ref", "alt"):
         filled = filled & F.coalesce(F.col(c) != "", F.lit(False))
     require(df, filled & (F.col("ref") != F.col("alt")), "blank field or equal alleles in the variant list")
+    require(df, F.col("ordinal") < 1 << FAN_BITS * LEVELS, "too many rows in the variant list")
     return df.select("ordinal", "source_id", "target_id", "ref", "alt", F.floor(F.col("ordinal") / block).cast("long").alias("block"), tile_of(F.col("ordinal"), block).alias("tile_idx"))
 
 
@@ -29,12 +30,29 @@ def aliases_of(index: DataFrame, check: bool = True) -> DataFrame:
     return require_unique(both, ["alias"], "alias of two variants") if check else both
 
 
+#: Digests that one digest covers, and levels of digests: 256^4 rows at most.
+FAN_BITS, LEVELS = 8, 4
+
+
+def lineage(index: DataFrame) -> DataFrame:
+    """(signature): SHA-256 over all rows in order, as a tree, in one row.
+
+    A row's digest covers its fields with their lengths. ``2 ** FAN_BITS`` neighbours' digests are joined in order and digested, level by
+    level, so a task holds that many; the last one covers the number of rows too.
+    """
+    field = lambda c: F.concat(F.octet_length(c).cast("string"), F.lit(":"), F.col(c))
+    rows = index.select(F.col("ordinal").cast("long").alias("at"), F.lit(1).cast("long").alias("n"), F.sha2(F.concat(*(field(c) for c in ("source_id", "target_id", "ref", "alt"))), 256).alias("h"))
+    for _ in range(LEVELS):
+        joined = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]))
+        rows = rows.groupBy(F.shiftright("at", FAN_BITS).alias("at")).agg(F.sum("n").alias("n"), F.sha2(joined, 256).alias("h"))
+    return rows.select(F.sha2(F.concat(F.col("n").cast("string"), F.lit(":"), F.col("h")), 256).alias("signature"))
+
+
 def signature(index: DataFrame) -> str:
-    """Order-sensitive digest of the whole index in one pass: rows are hashed with their ordinal and combined commutatively."""
-    h = F.xxhash64("ordinal", "source_id", "target_id", "ref", "alt")
-    other = F.hash("ordinal", "source_id", "target_id", "ref", "alt").cast("long")
-    row = index.agg(F.count("*"), F.coalesce(F.bit_xor(h), F.lit(0)), F.coalesce(F.sum(other), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64(h, other)), F.lit(0))).first()
-    return "-".join(f"{int(v) & (1 << 64) - 1:016x}" for v in row)
+    row = lineage(index).first()
+    if row is None:
+        raise InputError("the variant list is empty")
+    return row[0]
 
 
 def locate(pvar: DataFrame, aliases: DataFrame, index: DataFrame) -> DataFrame:

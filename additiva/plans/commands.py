@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from additiva.functions.values import BLOCK
 from additiva.operators import fragments as fr
 from additiva.operators import frequency, scoring
-from additiva.operators.checks import InputError
+from additiva.operators.checks import InputError, require_empty
 from additiva.operators.support import build_support, summary
 from additiva.operators.variants import aliases_of, build_index, locate, signature
 from additiva.operators.weights import compile_catalog
@@ -90,6 +90,8 @@ def compile_score_fragment(spark: SparkSession, manifest: str, index_path: str,
     ids = F.broadcast(scores.select("score_idx", "score_id", "column_name", "path"))
     fr.laid_out(rows.join(ids.select("score_idx", "score_id"), "score_idx")).write.mode(REFUSE).partitionBy("tile_idx").parquet(f"{out}/rows")
     ids.join(qc, "score_idx", "left").orderBy("score_idx").write.mode(REFUSE).parquet(f"{out}/quality")
+    sums = F.col("reference_supported_weights") + F.col("reference_missing_variant_weights") + F.col("reference_missing_frequency_weights")
+    require_empty(quality_of(spark, out).where(sums != F.col("catalog_weights")).select("score_id", "catalog_weights"), "weight counts do not add up")
     stored = rows_of(spark, out)
     fr.variant_bits(stored).write.mode(REFUSE).parquet(f"{out}/bits")
     write_metadata(spark, {"signature": lineage, "weights": stored.count(), "minimum_fraction": minimum}, f"{out}/metadata", REFUSE)
@@ -114,6 +116,11 @@ def report_fragment_support(spark: SparkSession, fragment: str, support_path: st
     same_lineage(spark, fragment, support_path)
     found = fr.availability(rows_of(spark, fragment), spark.read.parquet(f"{support_path}/states"))
     names = eligible_scores(spark, fragment).select("score_idx", "score_id", "column_name")
+    masses = quality_of(spark, fragment).select("score_idx", "reference_supported_weights", "reference_supported_weight_l1", "reference_supported_weight_l2_squared")
+    met = names.join(found, "score_idx", "left").na.fill(0).join(masses, "score_idx")
+    apart = lambda a, b: F.abs(F.col(a) - F.col(b)) > 1e-10 * F.greatest(F.lit(1.0), F.abs(F.col(b)))
+    differ = (F.col("reference_weight_count") != F.col("reference_supported_weights")) | apart("reference_abs_weight", "reference_supported_weight_l1") | apart("reference_squared_weight", "reference_supported_weight_l2_squared")
+    require_empty(met.where(differ).select("score_id", "reference_weight_count", "reference_supported_weights"), "stored rows and stored sums of a score differ")
     report = names.join(found, "score_idx", "left").na.fill(0).drop("score_idx")
     write_table(report.toDF(*(c.upper() for c in report.columns)), out, REFUSE)
     return report

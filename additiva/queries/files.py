@@ -5,15 +5,21 @@ Row numbers of the readers, header rules, sinks and refusals are compared with S
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from additiva.functions.shared import new_folder
-from additiva.operators import frequency, scoring
+from additiva.functions.values import tile_of
+from additiva.operators import fragments, frequency, scoring, stored
 from additiva.operators.checks import InputError
+from additiva.operators.support import USABLE
+from additiva.operators.variants import aliases_of, build_index, locate
+from additiva.operators.weights import compile_catalog
 from additiva.queries.registry import OMIT_SQL, PLAIN, flagship, ordinal_edges, query
-from additiva.queries.stars import N_SCORES, Domain
+from additiva.queries.stars import BLOCK, N_SCORES, Domain
 from additiva.sinks import matrix, writers
 from additiva.sources import inputs, pgen, text
 
@@ -22,18 +28,29 @@ def folder(spark: SparkSession) -> str:
     return new_folder(spark, "files")
 
 
-def put(df: DataFrame, order: str, header: str, path: str) -> str:
-    """Writes the string columns of ``df`` in order as one text file with a header; gives the file's path."""
-    spark = df.sparkSession
+def put(df: DataFrame, order: str, header: str, path: str, parts: int = 4) -> str:
+    """Writes the string columns of ``df`` in order as part files, each with the header; gives the folder."""
     columns = [c for c in df.columns if c != order]
-    rows = df.select(F.col(order).cast("long").alias("at"), F.concat_ws("\t", *(F.col(c).cast("string") for c in columns)).alias("value"))
-    first = spark.createDataFrame([(-(1 << 62), header)], "at long, value string")
-    first.unionByName(rows).repartition(1).sortWithinPartitions("at").select("value").write.text(path)
-    return spark.read.text(path).select("_metadata.file_path").first()[0]
+    rows = df.select(F.col(order).cast("long").alias("at"), F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)).alias("value"))
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = header.split("\n")
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(first + b.column(0).to_pylist(), pa.string())], names=["value"])
+                first = []
+
+    if rows.isEmpty():
+        listed(df.sparkSession, header.split("\n"), path)
+        return path
+    rows.repartitionByRange(parts, "at").sortWithinPartitions("at").select("value").mapInArrow(headed, "value string").write.text(path)
+    return path
 
 
 def listed(spark: SparkSession, lines: list[str], path: str) -> str:
-    return put(spark.createDataFrame([(k, x) for k, x in enumerate(lines[1:])], "at long, value string"), "at", lines[0], path)
+    """A short list of files, as one file."""
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
+    return spark.read.text(path).select("_metadata.file_path").first()[0]
 
 
 @query("SELECT row_number() OVER (ORDER BY ordinal) - 1 AS ordinal, source_id, target_id, ref, alt FROM variants")
@@ -150,45 +167,82 @@ def score_pgen(d: Domain) -> DataFrame:
     return scoring.evaluate(ordinal_edges(d), calls.select(ordinal, "sample_idx", "dosage"), d.samples, d.scores, common.select(ordinal, "common"), "ordinal")
 
 
-#: What the readers and operators must refuse: name, and the lines of the file or the action.
-REFUSALS = ["blank_map_id", "empty_manifest", "frequency_multiallelic", "frequency_named_missing", "frequency_none", "frequency_outside", "frequency_twice", "header_twice", "lacks_column", "list_twice", "map_target_twice", "output_exists", "short_row", "weight_not_a_number"]
+def refusal_cases(d: Domain) -> dict:
+    """Whole tables with a fault each, most in one row, and what must refuse them."""
+    spark, base, v = d.spark, folder(d.spark), d.variant_list
+    last = F.col("ordinal") == v.agg(F.max("ordinal")).first()[0]
+    faulty = lambda good, bad: F.when(last, bad).otherwise(good)
+    mapped = lambda n, source, target: put(v.select("ordinal", source.alias("s"), target.alias("t")), "ordinal", "SOURCE_ID\tTARGET_ID", f"{base}/{n}")
+    freq = lambda n, value, alt=F.col("alt"): frequency.read_frequencies(spark, put(v.select("ordinal", "target_id", "ref", alt.alias("a"), value.alias("f")), "ordinal", "ID\tREF\tALT\tALT_FREQS", f"{base}/{n}"))
+    share = (F.col("p_size") / 64.0).cast("string")
+
+    def weights_of(n: str, value: Column) -> None:
+        rows = d.weights.select("row_seq", "snp", "effect", "other", value.alias("w"))
+        path = put(rows, "row_seq", "SNP\tEFFECT_ALLELE\tOTHER_ALLELE\tEFFECT_ALLELE_WEIGHT", f"{base}/{n}")
+        inputs.read_weights(spark, inputs.read_manifest(spark, listed(spark, ["SCORE\tPATH", f"s\t{path}"], f"{base}/m{n}")))
+
+    def list_of(n: str, *columns: Column) -> None:
+        lines = v.select("ordinal", F.concat_ws("\t", *columns).alias("line"))
+        inputs.read_variant_list(spark, put(lines, "ordinal", "SOURCE_ID\tTARGET_ID\tREF\tALT", f"{base}/{n}"))
+
+    short = F.when(~last, F.col("alt"))
+    return {
+        "blank_map_id": lambda n: inputs.read_variant_map(spark, mapped(n, F.col("source_id"), faulty(F.col("target_id"), ""))),
+        "map_source_twice": lambda n: inputs.read_variant_map(spark, mapped(n, faulty(F.col("source_id"), "s0"), F.col("target_id"))),
+        "map_target_twice": lambda n: inputs.read_variant_map(spark, mapped(n, F.col("source_id"), faulty(F.col("target_id"), "v0"))),
+        "frequency_multiallelic": lambda n: freq(n, share, faulty(F.col("alt"), "C,G")),
+        "frequency_named_missing": lambda n: freq(n, faulty(share, F.concat("alt", F.lit("=NA")))),
+        "frequency_outside": lambda n: freq(n, faulty(share, "1.5")),
+        "frequency_not_a_number": lambda n: freq(n, faulty(share, "1d")),
+        "short_row": lambda n: list_of(n, F.col("source_id"), F.col("target_id"), F.col("ref"), short),
+        "weight_not_a_number": lambda n: weights_of(n, F.when(F.col("row_seq") % 1000 == 1, "much").otherwise(F.col("weight").cast("string"))),
+        "index_equal_alleles": lambda n: build_index(v.drop("p_size").withColumn("alt", faulty(F.col("alt"), F.col("ref"))), block=BLOCK),
+        "index_blank_field": lambda n: build_index(v.drop("p_size").withColumn("source_id", faulty(F.col("source_id"), "")), block=BLOCK),
+        "alias_of_two_variants": lambda n: aliases_of(build_index(v.drop("p_size").withColumn("target_id", faulty(F.col("target_id"), "s0")), block=BLOCK)),
+        "index_alleles_swapped": lambda n: locate(d.pvar.select("pgen_variant_idx", "id", F.col("alt").alias("ref"), F.col("ref").alias("alt")), d.aliases, d.index),
+        "pvar_variant_twice": lambda n: locate(d.pvar.unionByName(d.pvar.limit(1)), d.aliases, d.index),
+        "no_frequency": lambda n: scoring.with_means(d.edges, d.frequencies, None, "error"),
+        "weights_of_two_pairs": lambda n: compile_catalog(d.weights.withColumn("other", F.when(F.col("row_seq") % 1000 == 1, "N").otherwise(F.col("other")))),
+        "all_fit": lambda n: inputs.read_variant_map(spark, mapped(n, F.col("source_id"), F.col("target_id"))),
+    }
+
+
+REFUSALS = "alias_of_two_variants blank_map_id frequency_multiallelic frequency_named_missing frequency_not_a_number frequency_outside index_alleles_swapped index_blank_field index_equal_alleles map_source_twice map_target_twice no_frequency pvar_variant_twice short_row weight_not_a_number weights_of_two_pairs".split()
 
 
-@query("SELECT name, true AS refused FROM (VALUES " + ", ".join(f"('{n}')" for n in REFUSALS) + ") v(name)")
+@query("SELECT name, (SELECT count(*) FROM variants) > 1 AND (SELECT count(*) FROM weights) > 0 AS refused FROM (VALUES " + ", ".join(f"('{n}')" for n in REFUSALS) + ") v(name) UNION ALL SELECT 'all_fit', false")
 def refusals(d: Domain) -> DataFrame:
-    """Malformed inputs, each of which must end in an error."""
-    spark, base = d.spark, folder(d.spark)
-    file = lambda name, *lines: listed(spark, list(lines), f"{base}/{name}")
-    freq, weight = "ID\tREF\tALT\tALT_FREQS", "SNP\tEFFECT_ALLELE\tOTHER_ALLELE\tEFFECT_ALLELE_WEIGHT"
-
-    def weights_of(path: str) -> DataFrame:
-        return inputs.read_weights(spark, inputs.read_manifest(spark, file("m" + path.split("/")[-2], "SCORE\tPATH", f"s\t{path}")))
-
-    def twice() -> None:
-        for _ in range(2):
-            writers.write_table(spark.range(1), f"{base}/again")
-
-    cases = {
-        "blank_map_id": lambda n: inputs.read_variant_map(spark, file(n, "SOURCE_ID\tTARGET_ID", "a\t")),
-        "empty_manifest": lambda n: inputs.read_manifest(spark, file(n, "SCORE\tPATH")),
-        "frequency_multiallelic": lambda n: frequency.read_frequencies(spark, file(n, freq, "v\tA\tC,G\t0.5")),
-        "frequency_named_missing": lambda n: frequency.read_frequencies(spark, file(n, freq, "v\tA\tT\tT=NA")),
-        "frequency_none": lambda n: frequency.read_frequencies(spark, file(n, freq, "v\tA\tT\tNA")),
-        "frequency_outside": lambda n: frequency.read_frequencies(spark, file(n, freq, "v\tA\tT\t1.5")),
-        "frequency_twice": lambda n: frequency.read_frequencies(spark, file(n, freq, "v\tA\tT\t0.5", "v\tA\tT\t0.5")),
-        "header_twice": lambda n: inputs.read_variant_list(spark, file(n, "SOURCE_ID\tTARGET_ID\tREF\tREF", "a\tb\tA\tC")),
-        "lacks_column": lambda n: inputs.read_psam(spark, file(n, "#FID", "f")),
-        "list_twice": lambda n: inputs.read_pvar_list(spark, file(n, "PVAR", "a.pvar", "a.pvar")),
-        "map_target_twice": lambda n: inputs.read_variant_map(spark, file(n, "SOURCE_ID\tTARGET_ID", "a\tc", "b\tc")),
-        "output_exists": lambda n: twice(),
-        "short_row": lambda n: inputs.read_variant_list(spark, file(n, "SOURCE_ID\tTARGET_ID\tREF\tALT", "a\tb\tA")),
-        "weight_not_a_number": lambda n: weights_of(file(n, weight, "v\tA\tC\tmuch")),
-    }
+    """Whole tables with a fault must end in an error, the last one without a fault must not."""
     found = []
-    for name, action in cases.items():
+    for name, action in refusal_cases(d).items():
         try:
             action(name)
             found.append((name, False))
-        except (InputError, AnalysisException):
+        except InputError:
             found.append((name, True))
-    return spark.createDataFrame(found, "name string, refused boolean")
+    return d.spark.createDataFrame(found, "name string, refused boolean")
+
+
+@query(OMIT_SQL + PLAIN)
+def score_stored_tiles(d: Domain) -> DataFrame:
+    """Index, support and fragment compiled and stored; fragment and genotypes read back by the tiles that the target supports, and scored."""
+    base, spark = folder(d.spark), d.spark
+    tile = tile_of(F.col("ordinal"), BLOCK).alias("tile_idx")
+    d.support.select("ordinal", "state", tile).write.parquet(f"{base}/support")
+    stored.store_by_tile(d.fragment()[0], f"{base}/rows")
+    stored.store_by_tile(d.calls.select("ordinal", "sample_idx", F.col("dosage").cast("double").alias("dosage"), tile), f"{base}/calls")
+    tiles = stored.tiles_of(spark.read.parquet(f"{base}/support"), F.col("state") == USABLE)
+    rows = stored.in_tiles(spark, f"{base}/rows", "score_idx long, ordinal long, row_seq long, weight double, ref_effect boolean", tiles)
+    calls = stored.in_tiles(spark, f"{base}/calls", "ordinal long, sample_idx long, dosage double", tiles)
+    means = d.variant_list.where("p_size >= 5").select("ordinal", (F.col("p_size") / 32.0).alias("alt_dosage_mean"))
+    return scoring.evaluate(scoring.with_means(fragments.edges_of(rows), means, None, "omit", "ordinal"), calls, d.samples, d.scores, key="ordinal")
+
+
+@query(OMIT_SQL + PLAIN)
+def score_bucketed(d: Domain) -> DataFrame:
+    """Edges and calls stored in buckets of variants, joined without a shuffle."""
+    base = folder(d.spark)
+    edges = stored.store_in_buckets(scoring.combined(ordinal_edges(d), "ordinal"), f"{base}/edges", "ordinal", 8)
+    calls = stored.store_in_buckets(d.calls.select("ordinal", "sample_idx", "dosage"), f"{base}/calls", "ordinal", 8)
+    updates = scoring.updates(edges, calls, "ordinal")
+    return scoring.on_grid(scoring.baselines(edges, d.scores, None, "ordinal"), d.scores, d.samples, updates)

@@ -219,6 +219,20 @@ def weight_qc_rollup(d: Domain) -> DataFrame:
     return weights.totals(qc(d))
 
 
+#: A whitelist: the variants that have a frequency.
+LISTED_SQL = """
+, w AS (SELECT w.*, v.p_size >= 5 AS listed FROM weights w JOIN variants v USING (ordinal)),
+k AS (SELECT score_idx, ordinal, count(*) AS n, count_if(weight = 0) AS z, count_if(weight <> 0 AND NOT listed) AS x, count_if(weight <> 0 AND listed) AS k FROM w GROUP BY ALL)
+SELECT score_idx, CAST(sum(n) AS BIGINT) AS input_weights, CAST(sum(z) AS BIGINT) AS zero_weights, CAST(sum(x) AS BIGINT) AS excluded_weights, CAST(sum(greatest(k - 1, 0)) AS BIGINT) AS duplicate_weights, CAST(sum(k) AS BIGINT) AS catalog_weights FROM k GROUP BY score_idx
+"""
+
+
+@query(LISTED_SQL)
+def weight_qc_whitelist(d: Domain) -> DataFrame:
+    """Counts of weights limited to a whitelist: what it lacks is excluded."""
+    return weights.compile_catalog(d.weights, d.frequencies)[1]
+
+
 @query("""
 SELECT snp AS source_id, least(ref, alt) AS allele0, greatest(ref, alt) AS allele1, score_idx, row_seq,
   CASE WHEN ref_effect THEN ref ELSE alt END AS effect, CASE WHEN ref_effect THEN alt ELSE ref END AS other, CAST(weight AS DOUBLE) AS weight
@@ -258,9 +272,16 @@ def variant_locations(d: Domain) -> DataFrame:
     return variants.locate(d.pvar, d.aliases, d.index)
 
 
-@query()
+@query("""
+, r AS (SELECT ordinal AS k, CAST(1 AS BIGINT) AS n, sha256(concat(strlen(source_id), ':', source_id, strlen(target_id), ':', target_id, strlen(ref), ':', ref, strlen(alt), ':', alt)) AS h FROM variants),
+a AS (SELECT k >> 8 AS k, sum(n) AS n, sha256(string_agg(h, '' ORDER BY k)) AS h FROM r GROUP BY k >> 8),
+b AS (SELECT k >> 8 AS k, sum(n) AS n, sha256(string_agg(h, '' ORDER BY k)) AS h FROM a GROUP BY k >> 8),
+c AS (SELECT k >> 8 AS k, sum(n) AS n, sha256(string_agg(h, '' ORDER BY k)) AS h FROM b GROUP BY k >> 8),
+e AS (SELECT k >> 8 AS k, sum(n) AS n, sha256(string_agg(h, '' ORDER BY k)) AS h FROM c GROUP BY k >> 8)
+SELECT sha256(n || ':' || h) AS signature FROM e
+""")
 def lineage_signature(d: Domain) -> DataFrame:
-    return d.spark.createDataFrame([(variants.signature(d.index),)], "signature string")
+    return variants.lineage(d.index)
 
 
 STATE_SQL = "CASE WHEN p_size = 7 THEN 0 WHEN p_size < 5 THEN 1 ELSE 2 END"
@@ -309,6 +330,18 @@ def fragment_qc_status(d: Domain) -> DataFrame:
     return d.fragment(SCREEN)[1]
 
 
+@query(FRAG_SQL.replace("FROM weights w JOIN variants v USING (ordinal))", "FROM weights w LEFT JOIN (SELECT * FROM variants WHERE p_size >= 5) v USING (ordinal))").replace(", w.ordinal,", ", CASE WHEN v.p_size IS NOT NULL THEN w.ordinal END AS ordinal,")
+  .replace("CAST(0 AS BIGINT) AS excluded_weights", "count_if(weight <> 0 AND ordinal IS NULL) AS excluded_weights").replace("count_if(weight <> 0) - count", "count_if(weight <> 0 AND ordinal IS NOT NULL) - count").replace("count_if(weight <> 0) AS catalog", "count_if(weight <> 0 AND ordinal IS NOT NULL) AS catalog")
+  .replace("state = ", "ordinal IS NOT NULL AND state = ").replace("sum(abs(weight)) AS catalog", "sum(CASE WHEN ordinal IS NOT NULL THEN abs(weight) ELSE 0 END) AS catalog").replace("sum(weight * weight) AS catalog", "sum(CASE WHEN ordinal IS NOT NULL THEN weight * weight ELSE 0 END) AS catalog")
+  + f"SELECT score_idx, {FRAG_INTS}, {', '.join(fragments.MASSES)} FROM qc")
+def fragment_qc_excluded(d: Domain) -> DataFrame:
+    """Weights compiled against an index that lacks the variants without a frequency: those are excluded."""
+    known = d.variant_list.where("p_size >= 5").drop("p_size")
+    index = variants.build_index(known, block=BLOCK)
+    _, counts = fragments.compile_fragment(d.weights, variants.aliases_of(index, check=False), index, d.support, block=BLOCK, validate=False)
+    return counts.select("score_idx", *fragments.COUNTS, *fragments.MASSES)
+
+
 @query(FRAG_SQL + """
 , f AS (SELECT *, ordinal % 3 <> 0 AS ok FROM w WHERE weight <> 0 AND state = 2),
 s AS (SELECT score_idx, count(*) AS n, count_if(ok) AS m, sum(abs(weight)) AS a, sum(CASE WHEN ok THEN abs(weight) ELSE 0 END) AS b, sum(weight * weight) AS c, sum(CASE WHEN ok THEN weight * weight ELSE 0 END) AS e FROM f GROUP BY score_idx)

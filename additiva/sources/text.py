@@ -3,7 +3,8 @@
 Headers are free in order, may start with ``#`` and may have columns that nobody asked for; fields are never quoted.
 The codec follows from the suffix (plain, ``.gz``, ``.zst``). Only a file's first line is its header, whatever other
 rows look like. Rows have their number in the file: Spark numbers rows inside each block of a file, and a count of the
-blocks says how many rows come before. Many files are one read, each with its own header.
+blocks says how many rows come before. Many files are one read, each with its own header. A folder of part files, a header
+in each, is read like one file.
 """
 
 from __future__ import annotations
@@ -28,9 +29,10 @@ def _plain(path: str) -> str:
 
 
 def numbered_lines(spark: SparkSession, paths: list[str], skip_meta: bool = False) -> tuple[DataFrame, dict[str, str]]:
-    """(file, number, line): lines that are not blank (nor start with ``##``), numbered from 0 in each file; and the first lines.
+    """(file, number, before, line) and the first lines: lines that are not blank (nor start with ``##``), numbered from 0 in each file.
 
-    One job counts the lines of each block of a file (a row a block on the driver); all later reads are narrow.
+    ``before`` is the number of data rows in the files that come before in the same folder, if a path is a folder of parts. One job
+    counts the lines of each block of a file (a row a block on the driver); all later reads are narrow.
     """
     lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("line"))
     lines = lines.where(F.col("line") != "")
@@ -38,17 +40,29 @@ def numbered_lines(spark: SparkSession, paths: list[str], skip_meta: bool = Fals
         lines = lines.where(~F.col("line").startswith("##"))
     lines = lines.withColumn("at", F.monotonically_increasing_id())
     blocks = lines.groupBy("file", "block").agg(F.min(F.struct("at", "line")).alias("first"), F.count("*").alias("n")).collect()
-    before, rows, first = {}, [], {}
+    inside, shifts, first = {}, [], {}
     for b in sorted(blocks, key=lambda b: (b["file"], b["block"])):
         first.setdefault(b["file"], b["first"]["line"])
-        rows.append((b["file"], b["block"], before.get(b["file"], 0) - b["first"]["at"]))
-        before[b["file"]] = before.get(b["file"], 0) + b["n"]
+        shifts.append((b["file"], b["block"], inside.get(b["file"], 0) - b["first"]["at"]))
+        inside[b["file"]] = inside.get(b["file"], 0) + b["n"]
+    given, before, start = {_plain(p) for p in paths}, {}, {}
+    for file in sorted(inside):
+        owner = owner_of(file, given)
+        start[file] = before.get(owner, 0)
+        before[owner] = start[file] + inside[file] - 1
+    rows = [(f, b, n, start[f]) for f, b, n in shifts]
     if len(rows) <= FEW_BLOCKS:
         # Spelled out in the projection; a join only where that would be long.
-        shift = F.coalesce(*(F.when((F.col("file") == f) & (F.col("block") == b), F.lit(n)) for f, b, n in rows), F.lit(0).cast("long"))
-        return lines.select("file", (F.col("at") + shift).alias("number"), "line"), first
-    table = spark.createDataFrame(rows, "file string, block long, shift long")
-    return lines.join(F.broadcast(table), ["file", "block"]).select("file", (F.col("at") + F.col("shift")).alias("number"), "line"), first
+        pick = lambda k: F.coalesce(*(F.when((F.col("file") == r[0]) & (F.col("block") == r[1]), F.lit(r[k])) for r in rows), F.lit(0)).cast("long")
+        return lines.select("file", (F.col("at") + pick(2)).alias("number"), pick(3).alias("before"), "line"), first
+    table = spark.createDataFrame(rows, "file string, block long, shift long, before long")
+    return lines.join(F.broadcast(table), ["file", "block"]).select("file", (F.col("at") + F.col("shift")).alias("number"), "before", "line"), first
+
+
+def owner_of(file: str, given: set[str]) -> str:
+    """The given path that a file is, or lies in."""
+    plain = _plain(file)
+    return plain if plain in given else posixpath.dirname(plain)
 
 
 def _names(line: str, path: str) -> list[str]:
@@ -76,19 +90,22 @@ def read_tables(spark: SparkSession, paths: list[str], required: list[str], opti
     """
     given = {_plain(p): p for p in paths}
     lines, first = numbered_lines(spark, paths, skip_meta)
-    heads = {_plain(file): (file, line) for file, line in first.items()}
+    heads: dict[str, list[tuple[str, str]]] = {}
+    for part, line in first.items():
+        heads.setdefault(owner_of(part, set(given)), []).append((part, line))
     places = []
     wanted = [*required, *optional]
     for plain, path in given.items():
         if plain not in heads:
             raise InputError(f"{path} is empty")
-        names = _names(heads[plain][1], path)
-        if upper_header:
-            names = _names("\t".join(n.upper() if n.isascii() else n for n in names), path)
-        for name in required:
-            if name not in names:
-                raise InputError(f"{path} lacks column {name}")
-        places.append((heads[plain][0], path, [names.index(c) if c in names else -1 for c in wanted]))
+        for part, line in heads[plain]:
+            names = _names(line, path)
+            if upper_header:
+                names = _names("\t".join(n.upper() if n.isascii() else n for n in names), path)
+            for name in required:
+                if name not in names:
+                    raise InputError(f"{path} lacks column {name}")
+            places.append((part, path, [names.index(c) if c in names else -1 for c in wanted]))
     wanted = [c for k, c in enumerate(wanted) if all(x[2][k] >= 0 for x in places)]
     kept = [(f, path, [at[[*required, *optional].index(c)] for c in wanted]) for f, path, at in places]
     parsed = lines.where("number > 0").withColumn("f", F.split("line", "\t", -1))
@@ -103,7 +120,7 @@ def read_tables(spark: SparkSession, paths: list[str], required: list[str], opti
         parsed = parsed.withColumn("f", checked(F.col("f"), short, "short row", F.col("path"), F.col("line")))
     else:
         require_empty(parsed.where(short).select("path", "line"), "short row")
-    extra = ([F.col("path").alias(file)] if file else []) + ([(F.col("number") - 1).alias(numbered)] if numbered else [])
+    extra = ([F.col("path").alias(file)] if file else []) + ([(F.col("before") + F.col("number") - 1).alias(numbered)] if numbered else [])
     return parsed.select(*extra, *(F.get(F.col("f"), k).alias(c) for k, c in zip(at, wanted, strict=True)))
 
 
