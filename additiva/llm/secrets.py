@@ -9,7 +9,8 @@ live-looking; base findings always stay and are counted by class. A document is
 ``source``.
 
 Everything is DataFrame functions. Offsets are code points and come from the pieces between matches, added up in blocks
-of ``BLOCK``, so that a text with n matches costs some n * (n / BLOCK + BLOCK) small steps and not n squared copies. Counts are
+of ``BLOCK``, so that a text with n matches costs some n * BLOCK small steps (and n / BLOCK squared for the sums of blocks), not n
+squared copies; each expression over a whole text is bound once and not evaluated again for its parts. Counts are
 pre-aggregated by (hash, owner, repository), then (hash, owner), then hash, so a value in a third of all rows meets
 no single task; the class is joined back with plain equi-joins that adaptive execution may split.
 
@@ -21,7 +22,7 @@ pass through untouched.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from additiva.llm.common import checkpointed, table, unused
@@ -31,6 +32,8 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 KINDS = (("assign", ASSIGN, 2), ("access", r"(AKIA[A-Z0-9]{16,})", 1), ("hex", r"([0-9a-f]{24,})", 1))
 ADDED = ("token", r"(?<![A-Za-z0-9+/_=-])((?=[A-Za-z+/_=-]*[0-9])(?=[a-z0-9+/_=-]*[A-Z])(?=[A-Z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]{20,})", 1)
 LEAST_VALUE, LEAST_DISTINCT, EXAMPLE_OWNERS, EXAMPLE_REPOS, BLOCK = 6, 10, 3, 10, 128
+#: Characters of a block of text that is cut apart.
+CHARS = 2048
 #: Spans and rows with spans up to which they are broadcast to the texts.
 BROADCAST_SPANS = 500_000
 NONE = "array<struct<start:int,rank:int,kind:string,end:int,hash:bigint>>"
@@ -46,13 +49,17 @@ def _running(xs: Column) -> Column:
     return F.aggregate(xs, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
 
 
+def _once(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once: lambdas evaluate what they name again for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _found(text: Column, rank: int, kind: str, pattern: str, group: int, least: int) -> Column:
     """Matches of one kind: leftmost, not overlapping, dropped afterwards if the value is too short."""
     whole, values, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.split(text, pattern, -1)
-    each = F.zip_with(F.zip_with(between, whole, lambda g, w: F.struct(F.length(g).alias("gap"), F.length(w).alias("size"))), values, lambda s, v: F.struct(s["gap"].alias("gap"), s["size"].alias("size"), v.alias("value")))
-    # The last piece has no match after it.
-    blocks = _in_blocks(F.slice(each, 1, F.size(whole)))
-    before = _running(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["gap"] + x["size"])))
+    # The last piece has no match after it: it meets null and goes.
+    sizes = F.filter(F.zip_with(between, whole, lambda g, w: F.struct(F.length(g).alias("gap"), F.length(w).alias("size"))), lambda x: x["size"].isNotNull())
+    each = F.zip_with(sizes, values, lambda s, v: F.struct(s["gap"].alias("gap"), s["size"].alias("size"), v.alias("value")))
 
     def spans(block, start):
         inside = _running(F.transform(block, lambda x: x["gap"] + x["size"]))
@@ -63,7 +70,11 @@ def _found(text: Column, rank: int, kind: str, pattern: str, group: int, least:
         placed = F.zip_with(block, inside, lambda x, i: F.struct(at(x, i).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (at(x, i) + x["size"]).alias("end"), x["value"].alias("value")))
         return F.transform(F.filter(placed, keep), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"), F.xxhash64(s["value"]).alias("hash")))
 
-    return F.when(text.rlike(pattern), F.flatten(F.zip_with(blocks, before, spans))).otherwise(F.array().cast(NONE))
+    def in_order(blocks):
+        before = _running(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["gap"] + x["size"])))
+        return F.flatten(F.zip_with(blocks, before, spans))
+
+    return F.when(text.rlike(pattern), _once(each, lambda xs: _once(_in_blocks(xs), in_order))).otherwise(F.array().cast(NONE))
 
 
 def with_candidates(docs: DataFrame, text_col: str, base: str, added: str) -> DataFrame:
@@ -72,12 +83,10 @@ def with_candidates(docs: DataFrame, text_col: str, base: str, added: str) -> Da
     every = [_found(text, k, kind, pattern, group, LEAST_VALUE if kind == "assign" else 1) for k, (kind, pattern, group) in enumerate(KINDS)]
     df = docs.withColumn(base, F.concat(*every)).withColumn(added, _found(text, len(KINDS), *ADDED, 1))
     # Sorted base spans in blocks with their bounds: a candidate looks into the blocks that it meets only.
-    blocks = unused("__blocks", df)
-    bounds = F.transform(_in_blocks(F.sort_array(F.col(base))), lambda b: F.struct(F.get(b, 0)["start"].alias("start"), F.array_max(F.transform(b, lambda s: s["end"])).alias("end"), b.alias("spans")))
-    df = df.withColumn(blocks, F.when((F.size(added) > 0) & (F.size(base) > 0), bounds))
+    bounds = lambda xs: F.transform(_in_blocks(xs), lambda b: F.struct(F.get(b, 0)["start"].alias("start"), F.array_max(F.transform(b, lambda s: s["end"])).alias("end"), b.alias("spans")))
     meets = lambda x, c: (x["start"] < c["end"]) & (c["start"] < x["end"])
-    apart = F.filter(F.col(added), lambda c: ~F.exists(F.col(blocks), lambda b: meets(b, c) & F.exists(b["spans"], lambda s: meets(s, c))))
-    return df.withColumn(added, F.when(F.col(blocks).isNotNull(), apart).otherwise(F.col(added))).drop(blocks)
+    apart = _once(F.sort_array(F.col(base)), lambda xs: _once(bounds(xs), lambda blocks: F.filter(F.col(added), lambda c: ~F.exists(blocks, lambda b: meets(b, c) & F.exists(b["spans"], lambda s: meets(s, c))))))
+    return df.withColumn(added, F.when((F.size(added) > 0) & (F.size(base) > 0), apart).otherwise(F.col(added)))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -96,13 +105,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     return checkpointed(with_candidates(narrow, "text", "base", "added").select("id", F.xxhash64("text").alias("same"), "owner", "base", "added"))
 
 
-def classified(rows: DataFrame) -> DataFrame:
-    """(id, same, spans) for rows with candidates: all reported spans in order, each with its class ``live``."""
+def reported(rows: DataFrame) -> DataFrame:
+    """(id, same, start, rank, kind, end, live): the reported spans of rows with candidates, equal rows once."""
     found = rows.select("id", "same", F.coalesce("owner", F.lit("")).alias("owner"), F.explode(F.concat("base", "added")).alias("s")).select("id", "same", "owner", "s.*")
     wide = ownership(found.select("hash", "owner", F.col("id").alias("repo")))
     each = found.select("id", "same", "start", "rank", "kind", "end", "hash").distinct().join(wide, "hash")
     each = each.withColumn("live", ~is_example(F.col("n_owners"), F.col("n_repos"))).where(F.col("live") | (F.col("rank") < len(KINDS)))
-    return each.groupBy("id", "same").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "end", "live"))).alias("spans"))
+    return each.select("id", "same", "start", "rank", "kind", "end", "live")
+
+
+def classified(rows: DataFrame) -> DataFrame:
+    """(id, same, spans) for rows with candidates: all reported spans in order, each with its class ``live``."""
+    return reported(rows).groupBy("id", "same").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "end", "live"))).alias("spans"))
 
 
 def _text(spans: Column) -> Column:
@@ -126,26 +140,43 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def cuts(rows: DataFrame) -> DataFrame:
+    """(id, same, cuts, tail): what replaces parts of a text, in order, as (start, since, live): the text from ``since`` to ``start`` stays
+    and a mark follows; the text from ``tail`` on stays. A span that begins inside an earlier one adds no mark."""
+    order = Window.partitionBy("id", "same").orderBy("start", "rank")
+    spans = reported(rows).withColumn("since", F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    kept = F.when(F.col("start") >= F.col("since"), F.struct("start", "since", "live"))
+    return spans.groupBy("id", "same").agg(F.sort_array(F.collect_list(kept)).alias("cuts"), F.max("end").alias("tail"))
+
+
+def _marked(text: Column, spans: Column, tail: Column) -> Column:
+    """The text with its marks. It is cut into blocks of ``CHARS`` characters once, so that a part costs its own length and two blocks."""
+
+    def part(blocks, at, end):
+        first = F.floor(at / CHARS).cast("int")
+        held = F.array_join(F.slice(blocks, first + 1, F.floor((end - 1) / CHARS).cast("int") - first + 1), "")
+        return F.when(end > at, F.substring(held, at - first * CHARS + 1, end - at)).otherwise(F.lit(""))
+
+    def joined(blocks):
+        pieces = F.transform(spans, lambda c: F.concat(part(blocks, c["since"], c["start"]), F.when(c["live"], "[SECRET]").otherwise("[EXAMPLE]")))
+        return F.concat(F.array_join(pieces, ""), part(blocks, tail, F.length(text)))
+
+    return _once(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHARS}}}"), F.lit(0)), joined)
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
     """All rows and columns of ``docs`` with every reported span replaced by ``[SECRET]`` (live-looking) or ``[EXAMPLE]``.
 
     The texts are searched once. Rows with spans are broadcast if their spans are counted to be few, so that texts
     stay where they are; beyond that the join is by shuffle.
     """
-    spans, same, key = (unused(c, docs) for c in ("__spans", "__same", "__key"))
-    known = checkpointed(classified(scan(docs, id_col, text_col, owner_col)).toDF(key, same, spans))
+    spans, same, key, tail = (unused(c, docs) for c in ("__spans", "__same", "__key", "__tail"))
+    known = checkpointed(cuts(scan(docs, id_col, text_col, owner_col)).toDF(key, same, spans, tail))
     total = known.agg(F.count("*") + F.coalesce(F.sum(F.size(spans)), F.lit(0))).first()[0]
     side = F.broadcast(known) if total <= BROADCAST_SPANS else known
     hit = docs.join(side, F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text_col) == F.col(same)), "left")
     text = F.col(text_col)
-
-    def step(acc, s):
-        mark = F.when(s["live"], "[SECRET]").otherwise("[EXAMPLE]")
-        put = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), mark)
-        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), put.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
-
-    done = F.aggregate(F.col(spans), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return hit.withColumn(text_col, F.when(F.size(spans) > 0, done).otherwise(text)).select(*docs.columns)
+    return hit.withColumn(text_col, F.when(F.size(spans) > 0, _marked(text, F.col(spans), F.col(tail))).otherwise(text)).select(*docs.columns)
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
