@@ -90,6 +90,8 @@ def compiled(pattern: str, last: int) -> re.Pattern:
         piece = m.group()
         if piece in classes:
             parts.append(classes[piece] if inside else f"[{classes[piece]}]")
+        elif piece == r"\S" and not inside:
+            parts.append(rf"[^{classes[r'\s']}]")
         elif re.fullmatch(r"\\[a-zA-Z]", piece):
             raise ValueError(f"unknown class {piece}")
         else:

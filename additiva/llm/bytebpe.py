@@ -26,16 +26,17 @@ import base64
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 from heapq import heappop, heappush
 from itertools import islice
+from re import Pattern
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from additiva.llm.bpe import compiled
 from additiva.llm.common import table
 
 #: Pieces of a block, pieces remembered in a generation, and characters of the longest one remembered.
@@ -176,6 +177,17 @@ def replay(spec: str) -> Replay:
     return Replay({base64.b64decode(parts[0]): int(parts[1]) for parts in lines if parts})
 
 
+class Split:
+    """A split pattern with the classes of the library's Unicode version."""
+
+    def __init__(self, pattern: str) -> None:
+        self.of_last = cache(lambda last: compiled(pattern, last))
+
+    def of(self, text: str) -> Pattern:
+        """The pattern for a text: a smaller one if it has no code point above U+FFFF."""
+        return self.of_last(0xFFFF if text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text) else 0x10FFFF)
+
+
 class Pieces:
     """Pieces with their number of tokens, ids as text and decoded bytes; encodes the new ones of a block together."""
 
@@ -215,7 +227,7 @@ class _Row:
             self.text.update(b"".join(data))
 
 
-def digests(texts: Iterable[str | None], pieces: Pieces, pattern: regex.Pattern) -> Iterator[tuple[int, str, str]]:
+def digests(texts: Iterable[str | None], pieces: Pieces, split: Split) -> Iterator[tuple[int, str, str]]:
     """(number of tokens, digest of the ids, digest of the decoded text) of each text, block by block."""
     held: list[tuple[_Row, list[str]]] = []
     size = 0
@@ -229,16 +241,18 @@ def digests(texts: Iterable[str | None], pieces: Pieces, pattern: regex.Pattern)
                 yield row.n, row.ids.hexdigest(), row.text.hexdigest()
 
     for text in texts:
-        row, found = _Row(), pattern.finditer(text or "")
+        text, row = text or "", _Row()
+        pattern = split.of(text)
+        found = pattern.finditer(text)
         while True:
-            part = [m.group() for m in islice(found, BLOCK)] if len(text or "") > BLOCK else pattern.findall(text or "")
+            part = [m.group() for m in islice(found, BLOCK)] if len(text) > BLOCK else pattern.findall(text)
             held.append((row, part))
             size += len(part)
             if size >= BLOCK:
                 yield from done()
                 # The last text may go on in the next block.
                 held, size = [(row, [])], 0
-            if len(text or "") <= BLOCK or len(part) < BLOCK:
+            if len(text) <= BLOCK or len(part) < BLOCK:
                 break
     if held:
         held.append((_Row(), []))
@@ -252,7 +266,7 @@ def round_trip(docs: DataFrame, spec: str, pattern: str, id_col: str = "doc_id",
     """
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, split = Pieces(replay(spec)), regex.compile(pattern)
+        pieces, split = Pieces(replay(spec)), Split(pattern)
         for b in batches:
             rows = list(digests((t.as_py() for t in b.column(1)), pieces, split))
             n, ids, text = zip(*rows, strict=True) if rows else ((), (), ())
