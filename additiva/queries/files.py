@@ -18,7 +18,9 @@ from additiva.operators.checks import InputError
 from additiva.operators.support import USABLE
 from additiva.operators.variants import aliases_of, build_index, locate
 from additiva.operators.weights import compile_catalog
-from additiva.queries.registry import OMIT_SQL, PLAIN, flagship, ordinal_edges, query
+from additiva.plans import commands
+from additiva.plans.score import MASSES, METADATA
+from additiva.queries.registry import OMIT_SQL, PLAIN, QC_SQL, flagship, ordinal_edges, query
 from additiva.queries.stars import BLOCK, N_SCORES, Domain
 from additiva.sinks import matrix, writers
 from additiva.sources import inputs, pgen, text
@@ -83,16 +85,52 @@ def text_variant_map(d: Domain) -> DataFrame:
     return inputs.read_variant_map(d.spark, put(d.variant_list.select("ordinal", "source_id", "target_id"), "ordinal", "SOURCE_ID\tTARGET_ID", folder(d.spark)))
 
 
-@query("SELECT score_idx, snp, CASE WHEN ref_effect THEN ref ELSE alt END AS effect, CASE WHEN ref_effect THEN alt ELSE ref END AS other, CAST(weight AS DOUBLE) AS weight FROM weights JOIN variants USING (ordinal)")
-def text_weights(d: Domain) -> DataFrame:
-    """Sixteen weight files and their manifest, read as one table; every other file has its columns in another order."""
-    base, lines = folder(d.spark), ["SCORE\tPATH"]
-    for k in range(16):
+def weight_files(d: Domain, base: str) -> str:
+    """The weights of each score as a file of its own; gives the manifest."""
+    lines = ["SCORE\tPATH"]
+    for k in range(N_SCORES):
         rows, first = d.weights.where(F.col("score_idx") == k), k % 2 == 0
         columns = ["snp", "effect", "other", "weight"] if first else ["weight", "other", "snp", "effect"]
         header = "SNP\tEFFECT_ALLELE\tOTHER_ALLELE\tEFFECT_ALLELE_WEIGHT" if first else "EFFECT_ALLELE_WEIGHT\tOTHER_ALLELE\tSNP\tEFFECT_ALLELE"
         lines.append(f"score{k}\t{put(rows.select('row_seq', *columns), 'row_seq', header, f'{base}/{k}')}")
-    return inputs.read_weights(d.spark, inputs.read_manifest(d.spark, listed(d.spark, lines, f"{base}/manifest"))).select(F.col("score_idx").cast("long").alias("score_idx"), "snp", "effect", "other", "weight")
+    return listed(d.spark, lines, f"{base}/manifest")
+
+
+def command_run(d: Domain) -> str:
+    """The command ``score`` over files of all tables under the policy ``omit``, with the binary matrix as output; gives its folder."""
+    base = folder(d.spark)
+    d.calls.select("id", "sample_idx", "dosage").write.parquet(f"{base}/calls")
+    pvar = put(d.pvar.select("pgen_variant_idx", "chrom", "id", "ref", "alt"), "pgen_variant_idx", "#CHROM\tID\tREF\tALT", f"{base}/pvar")
+    psam = put(d.samples, "sample_idx", "#FID\tIID", f"{base}/psam")
+    freq = put(d.frequencies.join(d.variant_list.select("ordinal", F.col("target_id").alias("id")), "id").select("ordinal", "id", "ref", "alt", "alt_dosage_mean"), "ordinal", "ID\tREF\tALT\tALT_DOSAGE_MEAN", f"{base}/freq")
+    commands.score(d.spark, f"{base}/out", [{"PGEN": f"{base}/calls", "PVAR": pvar, "PSAM": psam}], manifest=weight_files(d, f"{base}/weights"), frequency_path=freq, policy="omit", form="binary")
+    return f"{base}/out"
+
+
+@query(QC_SQL + """
+, f AS (SELECT score_idx, count_if(weight <> 0 AND p_size < 5) AS missing_frequencies, sum(CASE WHEN weight <> 0 AND p_size <> 7 AND p_size >= 5 AND ref_effect THEN 2 * weight ELSE 0 END) AS intercept FROM w GROUP BY score_idx)
+SELECT CAST(s.score_idx AS INTEGER) AS index, 'score' || s.score_idx AS score, """ + ", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in "input_weights zero_weights excluded_weights duplicate_weights catalog_weights matched_weights missing_variants missing_frequencies alt_effects ref_effects".split()) + """,
+  CAST(coalesce(matched_weights - missing_frequencies, 0) AS BIGINT) AS scored_weights, CAST(coalesce(intercept, 0) AS DOUBLE) AS ref_intercept, """ + ", ".join(f"CAST(0 AS DOUBLE) AS {c}" for c in MASSES) + """
+FROM scores s LEFT JOIN qc USING (score_idx) LEFT JOIN f USING (score_idx)
+""")
+def score_command_metadata(d: Domain) -> DataFrame:
+    """The 20 metadata columns that the command writes."""
+    return d.spark.read.parquet(f"{command_run(d)}/score_metadata").select(*METADATA)
+
+
+@query(OMIT_SQL + "SELECT CAST(c_nationkey AS VARCHAR) AS FID, CAST(c_custkey AS VARCHAR) AS IID, " + ", ".join(f"max(CASE WHEN score_idx = {k} THEN score END) AS score{k}" for k in range(N_SCORES)) + " FROM customer JOIN result ON c_custkey = sample_idx GROUP BY ALL")
+def score_command_converted(d: Domain) -> DataFrame:
+    """The command's binary matrix, converted to wide Parquet and read back."""
+    out = command_run(d)
+    commands.convert_to_parquet(d.spark, out, f"{out}/wide")
+    return d.spark.read.parquet(f"{out}/wide")
+
+
+@query("SELECT score_idx, snp, CASE WHEN ref_effect THEN ref ELSE alt END AS effect, CASE WHEN ref_effect THEN alt ELSE ref END AS other, CAST(weight AS DOUBLE) AS weight FROM weights JOIN variants USING (ordinal)")
+def text_weights(d: Domain) -> DataFrame:
+    """Sixteen weight files and their manifest, read as one table; every other file has its columns in another order."""
+    manifest = inputs.read_manifest(d.spark, weight_files(d, folder(d.spark)))
+    return inputs.read_weights(d.spark, manifest).select(F.col("score_idx").cast("long").alias("score_idx"), "snp", "effect", "other", "weight")
 
 
 @query("SELECT target_id AS id, ref, alt, p_size / 32.0 AS alt_dosage_mean FROM variants WHERE p_size >= 5")

@@ -1,7 +1,8 @@
 """Incremental scoring: scores are additive over variants, so shards of calls may arrive as a stream.
 
 The stream reads call files (variant, sample_idx, dosage), joins each micro-batch with the static edges and keeps the
-sums of (score, sample) as state; output mode ``complete`` gives the scores so far, ``update`` those that changed.
+sums of (score, sample) as state. Output mode ``update`` gives the sums that a batch changed: they are written with its number,
+and the last one of each (score, sample) is the sum so far, so no batch writes the whole state.
 """
 
 from __future__ import annotations
@@ -27,13 +28,13 @@ def score_stream_to_table(spark: SparkSession, edges: DataFrame, calls: DataFram
     out = f"{folder}/scores"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/{number}")
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/changed={number}")
 
     updates = stream_updates(spark, f"{folder}/calls", edges, key)
-    run = updates.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run = updates.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    last = run.lastProgress
-    state = spark.read.parquet(f"{out}/{last['batchId']}") if last else spark.createDataFrame([], "score_idx long, sample_idx long, upd double")
+    changed = spark.read.schema("score_idx long, sample_idx long, upd double, batch long").parquet(out) if run.lastProgress else spark.createDataFrame([], "score_idx long, sample_idx long, upd double, batch long")
+    state = changed.groupBy("score_idx", "sample_idx").agg(F.max_by("upd", "batch").alias("upd"))
     base = scores.select("score_idx").join(edges.groupBy("score_idx").agg(F.sum("intercept").alias("base")), "score_idx", "left")
     grid = samples.select("sample_idx").crossJoin(F.broadcast(base))
     return grid.join(state, ["score_idx", "sample_idx"], "left").select("score_idx", "sample_idx", (F.coalesce("base", F.lit(0.0)) + F.coalesce("upd", F.lit(0.0))).alias("score"))
