@@ -136,26 +136,25 @@ class Chunk:
             yield flat[at + 1 : at + n]
             at += n
 
-    def dealt(self, n: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the n-grams by bucket, and where each bucket begins and ends."""
+    def dealt(self, n: int, buckets: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+        """Places of the n-grams by bucket, all in a row and (bucket, places) of those buckets that have some."""
         bucket = ((self.keys[n] & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
-        return by, np.searchsorted(bucket[by], np.arange(buckets + 1))
+        kinds, at = np.unique(bucket[by], return_index=True)
+        return by, list(zip(kinds.tolist(), np.split(by, at[1:]), strict=True)) if len(by) else []
 
     def packed(self, buckets: int) -> Iterator[tuple[int, int, bytes, bytes]]:
         """(order, bucket, entries, counts): words as strings, n-grams as rising hashes."""
         for n, keys in self.keys.items():
-            by, ends = self.dealt(n, buckets)
-            for k in range(buckets):
-                rows = by[ends[k] : ends[k + 1]]
-                if len(rows):
-                    yield n, k, compress(b" ".join([self.words[i] for i in rows.tolist()])) if n == 1 else deltas(keys[rows] >> np.uint64(16)), compress(self.counts[n][rows].astype(np.int64).tobytes())
+            for k, rows in self.dealt(n, buckets)[1]:
+                yield n, k, compress(b" ".join([self.words[i] for i in rows.tolist()])) if n == 1 else deltas(keys[rows] >> np.uint64(16)), compress(self.counts[n][rows].astype(np.int64).tobytes())
 
     def total(self, n: int, answers: dict[tuple[int, int], bytes], buckets: int) -> np.ndarray:
         """Counts of the whole corpus, from the answers of the buckets."""
-        by, ends = self.dealt(n, buckets)
+        by, parts = self.dealt(n, buckets)
         out = np.zeros(len(by), np.int64)
-        out[by] = np.concatenate([np.frombuffer(decompress(answers[n, k]), np.int64) for k in range(buckets) if ends[k] < ends[k + 1]])
+        if parts:
+            out[by] = np.concatenate([np.frombuffer(decompress(answers[n, k]), np.int64) for k, _ in parts])
         return out
 
 
