@@ -25,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
         for o in optional.split():
             s.add_argument(f"--{o}")
         s.add_argument("--progress-log")
-        s.add_argument("--progress-interval", type=float, default=30.0)
+        s.add_argument("--progress-interval", type=float)
         return s
 
     add("build-variant-index", "variant-list out", "source-id-column target-id-column strip-target-id-prefix ref-column alt-column block-size")
@@ -40,7 +40,9 @@ def parser() -> argparse.ArgumentParser:
 
 
 def run(spark: SparkSession, a: argparse.Namespace) -> None:
-    log = Progress(a.command, a.progress_log, a.progress_interval)
+    if a.progress_interval is not None and not a.progress_log:
+        raise InputError("a progress interval needs a progress log")
+    log = Progress(a.command, a.progress_log, 30.0 if a.progress_interval is None else a.progress_interval)
     try:
         if a.command == "build-variant-index":
             named = {"source": a.source_id_column, "target": a.target_id_column, "strip_prefix": a.strip_target_id_prefix, "ref": a.ref_column, "alt": a.alt_column, "block": int(a.block_size) if a.block_size else None}

@@ -50,11 +50,6 @@ def allele_value(text: Column, alt: Column) -> Column:
     return F.when(text.contains(","), F.lit(None).cast("string")).when(text.contains("="), F.when((ascii_upper(name) == alt) & (F.size(F.split(text, "=")) == 2), rest)).otherwise(text)
 
 
-def pair(a: Column, b: Column) -> Column:
-    """The alleles in byte order."""
-    return F.struct(F.least(a, b).alias("allele0"), F.greatest(a, b).alias("allele1"))
-
-
 def beta_alt(weight: Column, effect: Column, alt: Column) -> Column:
     """Weight of the ALT dosage: a REF effect turns w * (2 - x) into 2w - w * x."""
     return F.when(effect == alt, weight).otherwise(-weight)

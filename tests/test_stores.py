@@ -264,6 +264,13 @@ def test_progress_between_phases(spark, tmp_path):
     assert [x["sequence"] for x in lines] == list(range(len(lines))) and sum(x["phase"] == "running" and x["tasks"] > 0 for x in lines) >= 2
 
 
+def test_an_interval_needs_a_log(spark):
+    from additiva import cli
+
+    with pytest.raises(InputError, match="interval"):
+        cli.run(spark, cli.parser().parse_args(["merge-variant-bits", "--variant-bits-list", "x", "--out", "y", "--progress-interval", "5"]))
+
+
 def test_folders_of_parts_are_one_file(spark, tmp_path):
     from additiva.sources import inputs
 
