@@ -18,7 +18,8 @@ memory of words met before. Decoding is incremental too: without a decoder in th
 space; a byte-level decoder goes through ``ByteText``, a UTF-8 state machine that carries an unfinished character from
 piece to piece and puts U+FFFD for what is no UTF-8.
 
-Letters, numbers and white space are those of the tokenizer library's Unicode version (16), lower case of version 17.
+Letters, numbers and white space are those of the tokenizer library's Unicode version (16), lower case of version 17, and NFC
+that of its older normalization tables.
 
 Defined cases: a null text is empty and gives no tokens; an empty table gives an empty result; repeated rows are
 encoded row by row; other columns are not read. Results hold for every text length: nothing is cut.
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 from additiva.llm.common import table
 
 #: Words whose tokens are remembered by a worker, and the longest such word; bounds its memory.
-CACHE_WORDS, CACHE_CHARS = 1 << 16, 64
+CACHE_WORDS, CACHE_CHARS = 1 << 18, 64
 
 #: Characters of a text that are looked at in one piece, and tokens of a long run that are handed on at once.
 PIECE, BLOCK = 1 << 16, 1 << 13
@@ -54,6 +55,12 @@ LETTERS_16 = "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85
 NUMBERS_16 = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
 #: Lower case of letters of versions 16 and 17: first and last capital, first small letter.
 LOWER_17 = "1C89-1C89:1C8A A7CB-A7CB:264 A7CC-A7CC:A7CD A7CE-A7CE:A7CF A7D2-A7D2:A7D3 A7D4-A7D4:A7D5 A7DA-A7DA:A7DB A7DC-A7DC:19B 10D50-10D65:10D70 16EA0-16EB8:16EBB"
+#: Marks that are newer than the library's normalization tables, which take them for characters without a class, and
+#: the second part of the one composition that is newer.
+LATE_MARKS = (
+    "7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070 1133B 1145E 11839-1183A 11930 1193D-1193E 11943 119E0 11A34 11A47 11A99 "
+    "11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
+)
 
 
 def _points(ranges: str) -> list[int]:
@@ -110,6 +117,31 @@ def lower(text: str) -> str:
     return text if text.isascii() or not _ANY_LATE.search(text) else text.translate(_LATE)
 
 
+def _basic(text: str) -> bool:
+    """No code point above U+FFFF."""
+    return text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)
+
+
+def _latin(text: str) -> bool:
+    """No code point above U+00FF."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+_LATE_MARK, _LATE_BASIC_MARK = (re.compile(f"([{_as_class(c for c in _points(LATE_MARKS) if c <= last)}])") for last in (0x10FFFF, 0xFFFF))
+
+
+def nfc(text: str) -> str:
+    """NFC by the library's tables: nothing is reordered or composed across a mark that they do not know."""
+    if _latin(text):
+        return text  # composed already
+    parts = (_LATE_BASIC_MARK if _basic(text) else _LATE_MARK).split(text)
+    return "".join(p if k % 2 else unicodedata.normalize("NFC", p) for k, p in enumerate(parts))
+
+
 def _joins(c: str) -> bool:
     """Whether a character may compose with one before it: marks, and vowels and finals of Hangul syllables and Kirat Rai."""
     return unicodedata.category(c)[0] == "M" or 0x1160 <= ord(c) <= 0x11FF or 0x16D40 <= ord(c) <= 0x16D6C
@@ -199,7 +231,7 @@ class Transducer:
         steps = []
         for s in (n or {}).get("normalizers", [n] if n else []):
             if s["type"] == "NFC":
-                steps.append(lambda x: unicodedata.normalize("NFC", x))
+                steps.append(nfc)
             elif s["type"] == "Lowercase":
                 steps.append(lower)
             elif s["type"] == "Replace" and (s["pattern"].get("Regex"), s["content"]) == (r"\s+", " "):
@@ -229,7 +261,7 @@ class Transducer:
 
     def pattern(self, text: str) -> re.Pattern:
         """The split pattern for the text: a smaller one if it has no code point above U+FFFF."""
-        return self._compiled(0xFFFF if text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else 0x10FFFF)[0]
+        return self._compiled(0xFFFF if _basic(text) else 0x10FFFF)[0]
 
     def _normal(self, text: str) -> str:
         for step in self.steps:
