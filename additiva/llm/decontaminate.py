@@ -6,12 +6,13 @@ over sum of the larger multiplicities of five-word shingles, a shingle weighing
 1. Windows. A window can reach the similarity only if the places where it has one of the item's shingles weigh that
    share of the item. Every start for which they do is a window, wherever it lies; no other can reach it.
 2. Fingerprints. Distinct windows and items get a 64-bit SimHash of their words, weighing their characters. Words are coarser than
-   shingles: an edited word changes one word and five shingles, so copies of similarity 0.8 differ in some 4 bits, by
-   shingles in some 10.
+   shingles: an edited word changes one word and five shingles, so long copies of similarity 0.8 differ in some 4 bits, by
+   shingles in some 10; short ones, in which a word weighs more, in up to 13.
 3. Multi-index blocks. Cut into ``RADIUS + 1`` blocks, two fingerprints within ``RADIUS`` bits agree on one block at
-   least, so an equi-join on (words, block, value) finds all of them. Blocks of 8 bits keep that join selective. This index is
-   the source of candidates; it finds nine in ten edited copies of similarity 0.8 to 0.95 at least (test).
-4. What escapes. A fingerprint can lie beyond any radius that keeps blocks selective. Pairs of step 1 that the index did not give are
+   least, so an equi-join on (words, block, value) finds all of them. Blocks are 4 bits, so a window meets some two thirds of the
+   items of its own number of words; windows are few, as step 1 has weighed them. This index is the source of candidates; it
+   finds nine in ten edited copies of similarity 0.8 to 0.95 at least (test).
+4. What escapes. A fingerprint can lie beyond any radius. Pairs of step 1 that the index did not give are
    further than ``RADIUS`` bits apart, and only those are verified besides; ``path`` says which way a pair came.
 5. Verification. Shingle counts of windows and items are joined and the similarity is computed exactly, once for each
    distinct window (shingles are told apart by 64-bit hashes, windows by MD5).
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from additiva.llm.common import BROADCAST_ROWS, ascii_lower, broadcast_if_small, checkpointed, table, unused, words
 
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 7
+SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 15
 
 
 def _run(ws: str, at: Column, g: int) -> tuple[Column, Column]:
