@@ -180,10 +180,11 @@ def sink_score_major_bytes(d: Domain) -> DataFrame:
 
 
 def containers(d: Domain) -> tuple[DataFrame, int]:
-    """All calls written as container shards by tasks and read back in sparse form by byte ranges, with the number of samples."""
+    """All calls written as container shards by tasks and read back in sparse form by byte ranges, with the number of samples. Records list
+    the samples that differ, so files and work grow with the calls, not with variants times samples."""
     n, path = d.samples.count(), folder(d.spark)
     calls = d.calls.select(F.col("ordinal").alias("pgen_variant_idx"), "sample_idx", "dosage")
-    pgen.write_pgen(calls, d.variant_list.select(F.col("ordinal").alias("pgen_variant_idx")), n, path)
+    pgen.write_pgen(calls, d.variant_list.select(F.col("ordinal").alias("pgen_variant_idx")), n, path, pgen.VARIABLE)
     if pgen.counts_of(path) != (d.variant_list.count(), n):
         raise InputError("variant or sample counts differ")
     return pgen.read_pgen(d.spark, path, range_bytes=1 << 16), n
@@ -192,8 +193,7 @@ def containers(d: Domain) -> tuple[DataFrame, int]:
 @query("SELECT ordinal, c_custkey AS sample_idx, CAST(dosage AS DOUBLE) AS dosage FROM calls JOIN customer ON c_custkey = sample_idx WHERE dosage IS NULL OR dosage <> 0")
 def pgen_calls(d: Domain) -> DataFrame:
     """Exceptions from the common dosage, which is 0 as most samples are not listed."""
-    calls, common = pgen.calls_and_common(containers(d)[0])
-    usual = calls.join(common.where("common = 0"), "pgen_variant_idx")
+    usual, _ = pgen.calls_and_common(containers(d)[0].where("common = 0"))
     return usual.select(F.col("pgen_variant_idx").alias("ordinal"), "sample_idx", "dosage")
 
 

@@ -280,3 +280,39 @@ def test_folders_of_parts_are_one_file(spark, tmp_path):
         (tmp_path / "v" / f"part-{k}").write_text(head + "".join(f"v{k}{j}\tA\tG\t1\n" if k == 1 else f"1\tv{k}{j}\tA\tG\n" for j in range(k + 1)))
     rows = inputs.read_pvar(spark, f"{tmp_path}/v").orderBy("pgen_variant_idx").collect()
     assert [(r["pgen_variant_idx"], r["id"], r["chrom"]) for r in rows] == [(0, "v00", "1"), (1, "v10", "1"), (2, "v11", "1"), (3, "v20", "1"), (4, "v21", "1"), (5, "v22", "1")]
+
+
+def test_listed_containers(spark, tmp_path):
+    """Records of their own widths: all codes and lists of one to many groups, against REF, ALT and missing; a file as large as its lists."""
+    rng = np.random.default_rng(7)
+    n = 30_000
+    dosages = np.zeros((40, n), np.int64)
+    for k in range(40):
+        base, listed = (0, 1, 2, 3)[k % 4], (0, 1, 64, 65, 700, n // 8, n // 8 + 1, n // 2)[k % 8 if k < 32 else 4]
+        dosages[k] = base
+        who = rng.choice(n, listed, replace=False)
+        dosages[k, who] = (base + rng.integers(1, 4, listed)) % 4
+    variants = spark.range(40).withColumnRenamed("id", "pgen_variant_idx")
+    at, who = np.nonzero(dosages)
+    table = [(int(v), int(s), None if dosages[v, s] == 3 else float(dosages[v, s])) for v, s in zip(at[:: 1], who, strict=True)]
+    import pandas as pd
+
+    calls = spark.createDataFrame(pd.DataFrame(table, columns=["pgen_variant_idx", "sample_idx", "dosage"])).replace(float("nan"), None)
+    path = str(tmp_path / "listed")
+    pgen.write_pgen(calls, variants, n, path, pgen.VARIABLE)
+    assert pgen.counts_of(path) == (40, n)
+    rows = pgen.read_pgen(spark, path, range_bytes=1 << 14)
+    assert rows.rdd.getNumPartitions() > 4
+    found = rows.collect()
+    assert np.array_equal(matrix_of(found, dosages.shape), np.where(dosages == 3, -9, dosages))
+    for r in found:
+        counts = np.bincount(dosages[r["pgen_variant_idx"]], minlength=4)
+        assert r["dense"] == (n - counts.max() > 3 * (n // 8))
+        assert len(r["exceptions"]) == n - (counts[0] if r["dense"] else counts.max())
+    # A list takes some bytes a listed sample: a thousand variants of a large cohort with one call each stay small.
+    few = spark.range(1000).select(F.col("id").alias("pgen_variant_idx"), (F.col("id") * 900).alias("sample_idx"), F.lit(1.0).alias("dosage"))
+    pgen.write_pgen(few, few.select("pgen_variant_idx"), 1_000_000, f"{path}2", pgen.VARIABLE)
+    assert sum(f.stat().st_size for f in (tmp_path / "listed2").glob("*.pgen")) < 20_000
+    assert sorted((r["pgen_variant_idx"], r["exceptions"][0]["sample_idx"]) for r in pgen.read_pgen(spark, f"{path}2").collect()) == [(k, 900 * k) for k in range(1000)]
+    with pytest.raises(InputError, match="type 0x2"):
+        pgen.record_list(2, np.zeros(9, np.uint8), 9)
