@@ -15,7 +15,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from additiva.functions.values import TILE
 from additiva.operators.checks import InputError, require_empty
 
 #: Scores up to which their baselines are broadcast to the samples.
@@ -112,13 +111,3 @@ def wide(scores: DataFrame, names: list[tuple[int, str]], samples: DataFrame) ->
     """One row a sample in the order of the cohort, one column a score in the order given."""
     rows = arrays(scores, [k for k, _ in names], samples)
     return rows.select(*samples.columns, *(F.get("scores", k).alias(name) for k, (_, name) in enumerate(names)))
-
-
-def strict_sum(terms: DataFrame) -> DataFrame:
-    """Sums of (score_idx, sample_idx, ordinal, row_seq, term) in stored order, the same bits on every run.
-
-    A tile's terms are added in order, then the tiles' sums in order: a task holds the terms of one tile or one sum a tile.
-    """
-    folded = lambda order: F.aggregate(F.array_sort(F.collect_list(order)), F.lit(0.0), lambda a, x: a + x["term"]).alias("term")
-    by_tile = terms.groupBy("score_idx", "sample_idx", F.floor(F.col("ordinal") / TILE).alias("tile")).agg(folded(F.struct("ordinal", "row_seq", "term")))
-    return by_tile.groupBy("score_idx", "sample_idx").agg(folded(F.struct("tile", "term"))).withColumnRenamed("term", "score")

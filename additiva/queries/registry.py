@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from additiva.functions.shared import stored
 from additiva.functions.values import fraction, tile_of
 from additiva.operators import blocked, dense, fragments, frequency, scoring, support, variants, weights
 from additiva.queries.stars import BLOCK, N_SCORES, SQL as STAR, Domain
@@ -188,8 +189,12 @@ def score_streamed_shards(d: Domain) -> DataFrame:
 @query(OMIT_SQL + "SELECT j.score_idx, c.sample_idx, sum((CASE WHEN ref_effect THEN -weight ELSE weight END) * coalesce(c.dosage, j.mean)) AS score FROM j JOIN calls c USING (ordinal) GROUP BY ALL")
 def score_strict_order(d: Domain) -> DataFrame:
     """Updates summed in stored order, for bit-identical repeats."""
-    rows = d.bound.where("status = 'matched'").join(d.frequencies.select("id", F.col("alt_dosage_mean").alias("mean")), "id").join(d.calls, "id")
-    return scoring.strict_sum(rows.select("score_idx", "sample_idx", "ordinal", "row_seq", (F.col("beta") * F.coalesce("dosage", "mean")).alias("term")))
+    means = d.variant_list.where("p_size >= 5").select(F.col("target_id").alias("id"), "ordinal", (F.col("p_size") / 32.0).alias("mean"))
+    rows = d.bound.where("status = 'matched'").join(means, "id").withColumn("common", F.lit(0.0))
+    last = d.samples.agg(F.max("sample_idx")).first()[0] or 0
+    calls = stored(d.calls.select("ordinal", "sample_idx", "dosage"))
+    updates = blocked.products(rows, calls, N_SCORES, last, tile_of(F.col("ordinal"), BLOCK), order="row_seq")
+    return updates.withColumnRenamed("upd", "score")
 
 
 QC_SQL = """

@@ -115,3 +115,16 @@ def test_sparse_form_of_dense_calls(spark):
         for v in rows:
             known = [plain[v, s] for s in range(n) if plain[v, s] is not None]
             assert means[v] == pytest.approx(sum(known) / len(known))
+
+
+def test_blocks_follow_scores_and_calls(spark):
+    """With few scores blocks are wider, with dense calls not; weights go only to blocks in which their tile has calls."""
+    few, many = blocked.span_of(16, 1000, 10**6), blocked.span_of(5000, 1000, 10**6)
+    assert few == 64 * blocked.SAMPLES and many == blocked.SAMPLES
+    assert blocked.span_of(16, 1000 * 10**6, 10**6 - 1) == blocked.SAMPLES and blocked.span_of(1, 10**7, 10**6) * 10**7 // 10**6 <= blocked.CALLS
+    # Repeated weights are added in their order: with these sizes another order gives another sum.
+    n = 3 * blocked.SAMPLES
+    edges = spark.createDataFrame([(0, 7, r, w, 0.5, 0.0) for r, w in ((3, -1e16), (1, 1e16), (2, 1.0), (4, 3.0))], "score_idx long, ordinal long, row_seq long, beta double, mean double, common double")
+    calls = spark.createDataFrame([(7, s, 1.0) for s in (0, n - 1)] + [(8, 5, 1.0)], "ordinal long, sample_idx long, dosage double")
+    found = {(r["score_idx"], r["sample_idx"]): r["upd"] for r in blocked.products(edges, calls, 1, n - 1, F.floor(F.col("ordinal") / 4), order="row_seq").collect()}
+    assert found == {(0, 0): ((1e16 + 1.0) - 1e16) + 3.0, (0, n - 1): ((1e16 + 1.0) - 1e16) + 3.0}
