@@ -2,8 +2,9 @@
 
 ``score[k, s] = sum of w x(v, s)`` over the weight rows of score k whose effect allele is ALT, and of ``w (2 - x(v, s))``
 for REF. The plan is the sparse form: a variant's common dosage goes into one number per score, and only exceptions
-meet samples, so the rows of the big join are (weights of a variant) x (exceptions of a variant) and their sums are
-combined map-side. Every sample gets a row for every score.
+meet samples. A variant's weights are one row of arrays, so a call is one row in the join and in the one shuffle after it, which is
+by sample; only there it becomes a product a score, added up in place. Every sample gets a row for every score: the scores'
+baselines are one more such row of every sample, so that no join of (score, sample) follows.
 
 Genotypes: ``calls`` (variant, sample_idx, dosage), dosage null where missing, one row for each exception, and
 ``common`` (variant, common), the dosage of all samples without a row, null if they are missing; a variant without a row
@@ -82,16 +83,41 @@ def on_grid(base: DataFrame, scores: DataFrame, samples: DataFrame, updates: Dat
     return grid.join(updates, ["score_idx", "sample_idx"], "left").select("score_idx", "sample_idx", (F.col("base") + F.coalesce("upd", F.lit(0.0))).alias("score"))
 
 
+def _packed(edges: DataFrame, calls: DataFrame, key: str, common: DataFrame | None) -> DataFrame:
+    """(sample_idx, x, scores, betas): a row a call of a scored variant."""
+    e = with_common(edges, common, key).groupBy(key).agg(F.first("mean").alias("mean"), F.first("common").alias("common"), F.collect_list(F.struct("score_idx", "beta")).alias("_w"))
+    e = e.select(key, "mean", "common", F.col("_w.score_idx").alias("scores"), F.col("_w.beta").alias("betas"))
+    x = F.coalesce("dosage", "mean") - F.col("common")
+    return calls.select(key, "sample_idx", "dosage").join(e, key).select("sample_idx", x.alias("x"), "scores", "betas")
+
+
+def _products(packed: DataFrame, *kept: str) -> DataFrame:
+    """A row a score of rows with ``scores`` and ``betas``, in the partition of its sample."""
+    rows = packed.repartition("sample_idx").select("sample_idx", *kept, F.explode(F.arrays_zip("scores", "betas")).alias("_w"))
+    return rows.select("sample_idx", *kept, F.col("_w.scores").alias("score_idx"), F.col("_w.betas").alias("beta"))
+
+
 def updates(edges: DataFrame, calls: DataFrame, key: str = "id", common: DataFrame | None = None) -> DataFrame:
     """(score_idx, sample_idx, upd) of edges with one row a (score, variant)."""
-    e = with_common(edges, common, key)
-    x = F.coalesce("dosage", "mean") - F.col("common")
-    return calls.select(key, "sample_idx", "dosage").join(e.select(key, "score_idx", "beta", "mean", "common"), key).groupBy("score_idx", "sample_idx").agg(F.sum(F.col("beta") * x).alias("upd"))
+    rows = _products(_packed(edges, calls, key, common), "x")
+    return rows.groupBy("sample_idx", "score_idx").agg(F.sum(F.col("beta") * F.col("x")).alias("upd")).select("score_idx", "sample_idx", "upd")
+
+
+def total(base: DataFrame, scores: DataFrame, samples: DataFrame, edges: DataFrame, calls: DataFrame, key: str = "id", common: DataFrame | None = None) -> DataFrame:
+    """(score_idx, sample_idx, score): ``base`` plus ``updates`` on the grid of all scores and samples."""
+    if scores.limit(MOST_SCORES + 1).count() > MOST_SCORES:
+        return on_grid(base, scores, samples, updates(edges, calls, key, common))
+    one = base.agg(F.collect_list(F.struct("score_idx", "base")).alias("_w")).select(F.col("_w.score_idx").alias("scores"), F.col("_w.base").alias("betas"))
+    grid = samples.select("sample_idx").crossJoin(F.broadcast(one)).select("sample_idx", F.lit(None).cast("double").alias("x"), "scores", "betas", F.lit(True).alias("known"))
+    # An update whose mean is null is null too and left out of the sum: only ``known`` tells baselines apart.
+    rows = _products(_packed(edges, calls, key, common).withColumn("known", F.lit(False)).unionByName(grid), "x", "known")
+    sums = rows.groupBy("sample_idx", "score_idx").agg(F.sum(F.col("beta") * F.col("x")).alias("upd"), F.max(F.when(F.col("known"), F.col("beta"))).alias("base"))
+    return sums.where("base IS NOT NULL").select("score_idx", "sample_idx", (F.col("base") + F.coalesce("upd", F.lit(0.0))).alias("score"))
 
 
 def evaluate(edges: DataFrame, calls: DataFrame, samples: DataFrame, scores: DataFrame, common: DataFrame | None = None, key: str = "id") -> DataFrame:
     """(score_idx, sample_idx, score). ``edges`` are (score_idx, key, beta, intercept, mean). ``blocked`` has the form for many calls a variant."""
-    return on_grid(baselines(edges, scores, common, key), scores, samples, updates(combined(edges, key), calls, key, common))
+    return total(baselines(edges, scores, common, key), scores, samples, combined(edges, key), calls, key, common)
 
 
 def require_means(edges: DataFrame, calls: DataFrame, key: str = "id") -> None:
