@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +27,15 @@ from additiva.sinks import matrix, writers
 from additiva.sources import inputs, pgen, text
 
 
+#: Lines of a bucket of ``score_bucketed``.
+BUCKET_LINES = 500_000
+
+
 def folder(spark: SparkSession) -> str:
     return new_folder(spark, "files")
 
 
-def put(df: DataFrame, order: str, header: str, path: str, parts: int = 4) -> str:
+def put(df: DataFrame, order: str, header: str, path: str) -> str:
     """Writes the string columns of ``df`` in order as part files, each with the header; gives the folder."""
     columns = [c for c in df.columns if c != order]
     rows = df.select(F.col(order).cast("long").alias("at"), F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)).alias("value"))
@@ -45,7 +50,7 @@ def put(df: DataFrame, order: str, header: str, path: str, parts: int = 4) -> st
     if rows.isEmpty():
         listed(df.sparkSession, header.split("\n"), path)
         return path
-    rows.repartitionByRange(parts, "at").sortWithinPartitions("at").select("value").mapInArrow(headed, "value string").write.text(path)
+    rows.repartitionByRange("at").sortWithinPartitions("at").select("value").mapInArrow(headed, "value string").write.text(path)
     return path
 
 
@@ -86,14 +91,28 @@ def text_variant_map(d: Domain) -> DataFrame:
 
 
 def weight_files(d: Domain, base: str) -> str:
-    """The weights of each score as a file of its own; gives the manifest."""
-    lines = ["SCORE\tPATH"]
-    for k in range(N_SCORES):
-        rows, first = d.weights.where(F.col("score_idx") == k), k % 2 == 0
-        columns = ["snp", "effect", "other", "weight"] if first else ["weight", "other", "snp", "effect"]
-        header = "SNP\tEFFECT_ALLELE\tOTHER_ALLELE\tEFFECT_ALLELE_WEIGHT" if first else "EFFECT_ALLELE_WEIGHT\tOTHER_ALLELE\tSNP\tEFFECT_ALLELE"
-        lines.append(f"score{k}\t{put(rows.select('row_seq', *columns), 'row_seq', header, f'{base}/{k}')}")
-    return listed(d.spark, lines, f"{base}/manifest")
+    """The weights of each score as a folder of part files, all written by one job in ranges of (score, row); gives the manifest."""
+    first = ["snp", "effect", "other", "weight"], "SNP\tEFFECT_ALLELE\tOTHER_ALLELE\tEFFECT_ALLELE_WEIGHT"
+    second = ["weight", "other", "snp", "effect"], "EFFECT_ALLELE_WEIGHT\tOTHER_ALLELE\tSNP\tEFFECT_ALLELE"
+    line = lambda columns: F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
+    rows = d.weights.select(F.col("score_idx").cast("long").alias("score"), F.col("row_seq").cast("long").alias("at"), F.when(F.col("score_idx") % 2 == 0, line(first[0])).otherwise(line(second[0])).alias("value"))
+    headers = {k: (first if k % 2 == 0 else second)[1] for k in range(N_SCORES)}
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A task's part of a score begins with the header: the sort puts it before all rows.
+        seen: set[int] = set()
+        for b in batches:
+            new = sorted(set(pc.unique(b.column(0)).to_pylist()) - seen)
+            seen.update(new)
+            yield pa.RecordBatch.from_arrays(b.columns, names=["score", "at", "value"])
+            if new:
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([-(1 << 63)] * len(new), pa.int64()), pa.array([headers[k] for k in new], pa.string())], names=["score", "at", "value"])
+
+    ordered = rows.repartitionByRange("score", "at").mapInArrow(headed, "score long, at long, value string").sortWithinPartitions("score", "at")
+    ordered.select("score", "value").write.partitionBy("score").text(f"{base}/files")
+    found = {r[0] for r in d.weights.select("score_idx").distinct().collect()}
+    paths = [f"{base}/files/score={k}" if k in found else listed(d.spark, [headers[k]], f"{base}/{k}") for k in range(N_SCORES)]
+    return listed(d.spark, ["SCORE\tPATH", *(f"score{k}\t{p}" for k, p in enumerate(paths))], f"{base}/manifest")
 
 
 def command_run(d: Domain) -> str:
@@ -278,9 +297,8 @@ def score_stored_tiles(d: Domain) -> DataFrame:
 
 @query(OMIT_SQL + PLAIN)
 def score_bucketed(d: Domain) -> DataFrame:
-    """Edges and calls stored in buckets of variants, joined without a shuffle."""
-    base = folder(d.spark)
-    edges = stored.store_in_buckets(scoring.combined(ordinal_edges(d), "ordinal"), f"{base}/edges", "ordinal", 8)
-    calls = stored.store_in_buckets(d.calls.select("ordinal", "sample_idx", "dosage"), f"{base}/calls", "ordinal", 8)
-    updates = scoring.updates(edges, calls, "ordinal")
-    return scoring.on_grid(scoring.baselines(edges, d.scores, None, "ordinal"), d.scores, d.samples, updates)
+    """Edges and calls stored in buckets of variants, joined without a shuffle. Buckets follow the lines, so that a task's does not grow."""
+    base, n = folder(d.spark), max(8, -(-d.table("lineitem").count() // BUCKET_LINES))
+    edges = stored.store_in_buckets(scoring.combined(ordinal_edges(d), "ordinal"), f"{base}/edges", "ordinal", n)
+    calls = stored.store_in_buckets(d.calls.select("ordinal", "sample_idx", "dosage"), f"{base}/calls", "ordinal", n)
+    return scoring.total(scoring.baselines(edges, d.scores, None, "ordinal"), d.scores, d.samples, edges, calls, "ordinal")
