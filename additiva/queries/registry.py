@@ -167,7 +167,7 @@ SELECT g.score_idx, CAST(n_nationkey AS BIGINT) AS sample_idx, coalesce(score, 0
 """)
 def score_sparse_from_dense(d: Domain) -> DataFrame:
     """Dense calls in sparse form, with each variant's own common dosage; equals the dense sum."""
-    calls = nation_calls(d).select("id", "sample_idx", "dosage")
+    calls = stored(nation_calls(d).select("id", "sample_idx", "dosage"))
     sparse, common = dense.sparse_form(calls, nations(d))
     edges = omit_edges(d).join(calls.select("id").distinct(), "id", "left_semi")
     return scoring.evaluate(edges, sparse, nations(d), d.scores, common)
