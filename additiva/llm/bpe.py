@@ -49,6 +49,9 @@ CACHE_WORDS, CACHE_CHARS = 1 << 16, 64
 #: Characters of a text that are looked at in one piece, and tokens of a long run that are handed on at once.
 PIECE, BLOCK = 1 << 16, 1 << 13
 
+#: Symbols up to which a word is merged by a search for its lowest rank, without a heap.
+FEW = 48
+
 #: White space of the Unicode standard, and the letters and numbers that its version 16.0 added to 15.1.
 WHITE_SPACE = "9-D 20 85 A0 1680 2000-200A 2028-2029 202F 205F 3000"
 LETTERS_16 = "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E 11390-113B5 113B7 113D1 113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0"
@@ -206,6 +209,12 @@ class Transducer:
         merges = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks = {m: k for k, m in enumerate(merges)}
         self.ids = model["vocab"]
+        # Short words are merged as numbers: of strings, and of pairs of them.
+        number: dict[str, int] = {}
+        of = lambda x: number.setdefault(x, len(number))
+        numbered = [(of(a), of(b), of(a + b)) for a, b in merges]
+        self.number, self.joined = number, [j for _, _, j in numbered]
+        self.pairs = {a << 32 | b: k for k, (a, b, _) in enumerate(numbered)}
         self.lookahead = sufficient_lookahead(merges, lambda s: len(s) - len(self.suffix) + 1 if self.suffix and s.endswith(self.suffix) else len(s))
         self.chars = byte_characters()
         added = {a["content"]: a for a in t.get("added_tokens") or []}
@@ -225,6 +234,7 @@ class Transducer:
             self.pieces = {k: bytes(values[c] for c in s) if all(c in values for c in s) else s.encode() for k, s in self.strings.items()}
         else:
             self.pieces = {k: b" " + s.encode() for k, s in self.strings.items()}
+        self.names = list(number)
         self.known = Words(self.encode_word)
 
     def _normalizers(self, n: dict | None) -> list:
@@ -337,7 +347,7 @@ class Transducer:
 
     def merge(self, parts: list[str]) -> list[str]:
         """The merges of lowest rank first, leftmost first."""
-        return self._merge_few(parts) if len(parts) <= 48 else self._merge_many(parts)
+        return self._merge_few(parts) if len(parts) <= FEW else self._merge_many(parts)
 
     def _merge_few(self, parts: list[str]) -> list[str]:
         """Ranks of neighbours are kept and mended around each merge."""
@@ -409,8 +419,32 @@ class Transducer:
         return ids, " ".join(map(str, ids)), b"".join(map(self.pieces.__getitem__, ids))
 
     def encode_word(self, word: str) -> tuple[tuple[int, ...], str, bytes]:
+        if len(word) <= FEW:
+            return self._triple(tuple(map(self.ids.__getitem__, self._merge_word(word))))
         return self._triple(tuple(map(self.ids.__getitem__, self.stream(self.symbols([word])))))
 
+    def _merge_word(self, word: str) -> list[str]:
+        """Tokens of a short word: the same merges as ``_merge_few``, on numbers."""
+        symbols = list(map(self.chars.__getitem__, word.encode())) if self.bytes_as_chars else list(word)
+        symbols[-1] += self.suffix
+        if len(symbols) > FEW:
+            return self.merge(symbols)
+        try:
+            parts = list(map(self.number.__getitem__, symbols))
+        except KeyError:
+            return self.merge(symbols)  # a symbol of no merge
+        rank, none, joined = self.pairs.get, len(self.joined), self.joined
+        ranks = [rank(a << 32 | b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
+            k = ranks.index(best)
+            parts[k] = new = joined[best]
+            del parts[k + 1], ranks[k]
+            if k:
+                ranks[k - 1] = rank(parts[k - 1] << 32 | new, none)
+            if k < len(ranks):
+                ranks[k] = rank(new << 32 | parts[k + 1], none)
+        return list(map(self.names.__getitem__, parts))
+
     def forget(self) -> None:
         """Gives back the memory of remembered words: a worker goes on to other tasks."""
         self.known = Words(self.encode_word)

@@ -606,3 +606,11 @@ def test_lm_many_buckets():
         for n in chunk.keys:
             assert np.array_equal(chunk.total(n, answers, buckets), chunk.counts[n])
         assert time.time() - began < 1
+
+
+def test_short_words_are_merged_as_numbers():
+    """The short form gives the tokens of the stream, also for symbols of no merge and words at its limit."""
+    t, rng = bpe.Transducer(bpe.tokenizer_spec()), random.Random(5)
+    words = ["".join(rng.choice("abcdeghilmnorstu" if k % 3 else "aé\u0301ßжя語🙂\u0000~") for _ in range(rng.randint(1, 60))) for k in range(3000)]
+    for w in [*words, "a" * 47, "a" * 48, "a" * 49]:
+        assert t._merge_word(w) == list(t.stream(t.symbols([w]))), w
