@@ -148,7 +148,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     # ``chosen`` has twice ``sample`` rows in expectation; documents that share an identifier are taken with one of their rows.
     rows = texts.join(broadcast_if_small(chosen, 8 * sample), "id").groupBy("id", "y", "fold").agg(F.min("text").alias("text"))
-    data = rows.mapInArrow(of_batches, "id string, y int, fold long, k array<int>, v array<float>").toArrow().sort_by("id")
+    data = rows.mapInArrow(of_batches, "id string, y int, fold long, k array<int>, v array<float>")
+    # The sample is bounded, so one task fits it: the driver gets the model only, not the features.
+    found = data.repartition(1).mapInArrow(_fitting, "evidence binary, weights binary, thresholds binary, reject double").collect()
+    if not found:
+        return None
+    return Model(np.frombuffer(found[0]["evidence"], np.float32), np.frombuffer(found[0]["weights"], np.float32), np.frombuffer(found[0]["thresholds"], np.float64), found[0]["reject"])
+
+
+def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of the sample as one row, none if it holds one side only."""
+    held = list(batches)
+    model = fitted_model(pa.Table.from_batches(held)) if held else None
+    if model is not None:
+        yield pa.RecordBatch.from_pylist([{"evidence": model.evidence.tobytes(), "weights": model.weights.tobytes(), "thresholds": model.thresholds.astype(np.float64).tobytes(), "reject": model.reject}])
+
+
+def fitted_model(data: pa.Table) -> Model | None:
+    """The model of (id, y, fold, k, v), in order of ``id``."""
+    data = data.sort_by("id")
     grades = data["y"].to_numpy()
     y = np.unique(grades, return_inverse=True)[1]
     if not len(y) or grades.min() > 0 or not y.max():

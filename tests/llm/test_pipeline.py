@@ -113,3 +113,18 @@ def test_pipeline(spark):
 def test_stages():
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and corpus_pipeline.ORACLE_SQL is None
     assert np.isin([n for n, _ in corpus_pipeline.STAGES], ["toxicity", "near_dedup", "decontamination", "secret_scans", "bpe"]).all()
+
+
+def test_toxicity_is_fitted_in_a_task(spark):
+    """The driver gets the model, whose size does not depend on the texts, and not their features."""
+    docs, labels = spark.read.parquet(f"{DIR}/documents.parquet"), spark.read.parquet(f"{DIR}/labels.parquet")
+    held = []
+    kinds = (type(spark.range(1)).toArrow, type(spark.range(1)).collect)
+    try:
+        type(docs).toArrow = lambda self: held.append("arrow") or kinds[0](self)
+        type(docs).collect = lambda self: held.append(self.columns) or kinds[1](self)
+        model = toxicity.train(docs, labels)
+    finally:
+        type(docs).toArrow, type(docs).collect = kinds
+    assert model is not None and len(model.weights) == toxicity.SPACE
+    assert "arrow" not in held and held[-1] == ["evidence", "weights", "thresholds", "reject"]
