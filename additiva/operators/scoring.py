@@ -21,6 +21,18 @@ from additiva.operators.checks import InputError, require_empty
 #: Scores up to which their baselines are broadcast to the samples.
 MOST_SCORES = 100_000
 POLICIES = ("cohort", "error", "omit")
+#: Weight rows or calls of one task, where a number of parts is asked for.
+PART_ROWS = 500_000
+
+
+def parts_of(rows: int) -> int:
+    """Parts that keep a task's share of so many rows bounded."""
+    return max(1, -(-rows // PART_ROWS))
+
+
+def dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` in ``parts`` parts, which adaptive execution does not merge; without a number as the session has it."""
+    return df.repartition(parts, *keys) if parts else df.repartition(*keys)
 
 
 def cohort_means(calls: DataFrame, n_samples: int, common: DataFrame | None = None, key: str = "id") -> DataFrame:
@@ -83,41 +95,47 @@ def on_grid(base: DataFrame, scores: DataFrame, samples: DataFrame, updates: Dat
     return grid.join(updates, ["score_idx", "sample_idx"], "left").select("score_idx", "sample_idx", (F.col("base") + F.coalesce("upd", F.lit(0.0))).alias("score"))
 
 
-def _packed(edges: DataFrame, calls: DataFrame, key: str, common: DataFrame | None) -> DataFrame:
+def _packed(edges: DataFrame, calls: DataFrame, key: str, common: DataFrame | None, parts: int | None) -> DataFrame:
     """(sample_idx, x, scores, betas): a row a call of a scored variant."""
+    calls = dealt(calls, parts, key) if parts else calls
     e = with_common(edges, common, key).groupBy(key).agg(F.first("mean").alias("mean"), F.first("common").alias("common"), F.collect_list(F.struct("score_idx", "beta")).alias("_w"))
     e = e.select(key, "mean", "common", F.col("_w.score_idx").alias("scores"), F.col("_w.beta").alias("betas"))
     x = F.coalesce("dosage", "mean") - F.col("common")
     return calls.select(key, "sample_idx", "dosage").join(e, key).select("sample_idx", x.alias("x"), "scores", "betas")
 
 
-def _products(packed: DataFrame, *kept: str) -> DataFrame:
+def _products(packed: DataFrame, parts: int | None, *kept: str) -> DataFrame:
     """A row a score of rows with ``scores`` and ``betas``, in the partition of its sample."""
-    rows = packed.repartition("sample_idx").select("sample_idx", *kept, F.explode(F.arrays_zip("scores", "betas")).alias("_w"))
+    rows = dealt(packed, parts, "sample_idx").select("sample_idx", *kept, F.explode(F.arrays_zip("scores", "betas")).alias("_w"))
     return rows.select("sample_idx", *kept, F.col("_w.scores").alias("score_idx"), F.col("_w.betas").alias("beta"))
 
 
-def updates(edges: DataFrame, calls: DataFrame, key: str = "id", common: DataFrame | None = None) -> DataFrame:
+def updates(edges: DataFrame, calls: DataFrame, key: str = "id", common: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """(score_idx, sample_idx, upd) of edges with one row a (score, variant)."""
-    rows = _products(_packed(edges, calls, key, common), "x")
+    rows = _products(_packed(edges, calls, key, common, parts), parts, "x")
     return rows.groupBy("sample_idx", "score_idx").agg(F.sum(F.col("beta") * F.col("x")).alias("upd")).select("score_idx", "sample_idx", "upd")
 
 
-def total(base: DataFrame, scores: DataFrame, samples: DataFrame, edges: DataFrame, calls: DataFrame, key: str = "id", common: DataFrame | None = None) -> DataFrame:
+def total(base: DataFrame, scores: DataFrame, samples: DataFrame, edges: DataFrame, calls: DataFrame, key: str = "id", common: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """(score_idx, sample_idx, score): ``base`` plus ``updates`` on the grid of all scores and samples."""
     if scores.limit(MOST_SCORES + 1).count() > MOST_SCORES:
-        return on_grid(base, scores, samples, updates(edges, calls, key, common))
+        return on_grid(base, scores, samples, updates(edges, calls, key, common, parts))
     one = base.agg(F.collect_list(F.struct("score_idx", "base")).alias("_w")).select(F.col("_w.score_idx").alias("scores"), F.col("_w.base").alias("betas"))
     grid = samples.select("sample_idx").crossJoin(F.broadcast(one)).select("sample_idx", F.lit(None).cast("double").alias("x"), "scores", "betas", F.lit(True).alias("known"))
     # An update whose mean is null is null too and left out of the sum: only ``known`` tells baselines apart.
-    rows = _products(_packed(edges, calls, key, common).withColumn("known", F.lit(False)).unionByName(grid), "x", "known")
+    rows = _products(_packed(edges, calls, key, common, parts).withColumn("known", F.lit(False)).unionByName(grid), parts, "x", "known")
     sums = rows.groupBy("sample_idx", "score_idx").agg(F.sum(F.col("beta") * F.col("x")).alias("upd"), F.max(F.when(F.col("known"), F.col("beta"))).alias("base"))
     return sums.where("base IS NOT NULL").select("score_idx", "sample_idx", (F.col("base") + F.coalesce("upd", F.lit(0.0))).alias("score"))
 
 
-def evaluate(edges: DataFrame, calls: DataFrame, samples: DataFrame, scores: DataFrame, common: DataFrame | None = None, key: str = "id") -> DataFrame:
-    """(score_idx, sample_idx, score). ``edges`` are (score_idx, key, beta, intercept, mean). ``blocked`` has the form for many calls a variant."""
-    return total(baselines(edges, scores, common, key), scores, samples, combined(edges, key), calls, key, common)
+def evaluate(edges: DataFrame, calls: DataFrame, samples: DataFrame, scores: DataFrame, common: DataFrame | None = None, key: str = "id", parts: int | None = None) -> DataFrame:
+    """(score_idx, sample_idx, score). ``edges`` are (score_idx, key, beta, intercept, mean). ``blocked`` has the form for many calls a variant.
+
+    With ``parts`` (``parts_of``), weights meet by variant in so many parts before they add up, and calls and samples likewise: the
+    rows of a task stay the same as the input grows. Calls that lie so already are not shuffled again.
+    """
+    met = dealt(edges, parts, key) if parts else edges
+    return total(baselines(edges, scores, common, key), scores, samples, combined(met, key), calls, key, common, parts)
 
 
 def require_means(edges: DataFrame, calls: DataFrame, key: str = "id") -> None:

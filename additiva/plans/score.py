@@ -208,7 +208,8 @@ def score(
         ready = used.join(means, key, "left").withColumn("mean", F.coalesce("alt_dosage_mean", "cohort_mean")).select("score_idx", key, "beta", "intercept", "mean") if policy == "cohort" else used.select("score_idx", key, "beta", "intercept", F.col("alt_dosage_mean").alias("mean"))
         if policy == "cohort":
             scoring.require_means(ready, calls, key)
-        scores = scoring.evaluate(ready, calls, samples, b.names.select("score_idx"), common, key)
+        parts = scoring.parts_of(max(called.get["calls"], weighed.get["edges"]))
+        scores = scoring.evaluate(ready, calls, samples, b.names.select("score_idx"), common, key, parts)
         ordered = [(r["score_idx"], r["column_name"]) for r in b.names.orderBy("score_idx").collect()]
         log.event("write_scores")
         names = [n for _, n in ordered]

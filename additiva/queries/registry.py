@@ -55,7 +55,7 @@ def omit_edges(d: Domain) -> DataFrame:
 
 
 def flagship(d: Domain) -> DataFrame:
-    return scoring.evaluate(omit_edges(d), d.calls, d.samples, d.scores)
+    return scoring.evaluate(omit_edges(d), d.calls, d.samples, d.scores, parts=d.parts)
 
 
 @query(OMIT_SQL + PLAIN)
@@ -66,14 +66,14 @@ def score_fixed_freq_omit(d: Domain) -> DataFrame:
 @query(MEANS_SQL + ", j AS (SELECT joined.*, cohort AS mean FROM joined LEFT JOIN means USING (ordinal))" + SCORE_SQL + ROUNDED)
 def score_cohort_mean(d: Domain) -> DataFrame:
     means = scoring.cohort_means(d.calls, _n(d))
-    out = scoring.evaluate(scoring.with_means(d.edges, None, means), d.calls, d.samples, d.scores)
+    out = scoring.evaluate(scoring.with_means(d.edges, None, means), d.calls, d.samples, d.scores, parts=d.parts)
     return rounded(out)
 
 
 @query(MEANS_SQL + ", j AS (SELECT joined.*, CASE WHEN p_size >= 5 THEN freq ELSE cohort END AS mean FROM joined LEFT JOIN means USING (ordinal))" + SCORE_SQL + ROUNDED)
 def score_freq_fallback_cohort(d: Domain) -> DataFrame:
     means = scoring.cohort_means(d.calls, _n(d))
-    out = scoring.evaluate(scoring.with_means(d.edges, d.frequencies, means, "cohort"), d.calls, d.samples, d.scores)
+    out = scoring.evaluate(scoring.with_means(d.edges, d.frequencies, means, "cohort"), d.calls, d.samples, d.scores, parts=d.parts)
     return rounded(out)
 
 
@@ -92,7 +92,7 @@ def score_schema_subset_reorder(d: Domain) -> DataFrame:
     """Two of the scores, in another order and under other names, selected before anything is joined."""
     schema = d.spark.createDataFrame([(0, 3, "third"), (1, 1, "first")], "output_idx long, score_idx long, column_name string")
     edges = omit_edges(d).join(F.broadcast(schema), "score_idx").select(F.col("output_idx").alias("score_idx"), "id", "beta", "intercept", "mean")
-    out = scoring.evaluate(edges, d.calls, d.samples, schema.select(F.col("output_idx").alias("score_idx")))
+    out = scoring.evaluate(edges, d.calls, d.samples, schema.select(F.col("output_idx").alias("score_idx")), parts=d.parts)
     return out.withColumnRenamed("score_idx", "output_idx").join(F.broadcast(schema.select("output_idx", "column_name")), "output_idx").select("output_idx", "column_name", "sample_idx", "score")
 
 
@@ -105,7 +105,7 @@ def ordinal_edges(d: Domain) -> DataFrame:
 @query(OMIT_SQL + PLAIN)
 def score_fragments(d: Domain) -> DataFrame:
     """Index, support, compile and score by ordinal; equals the direct form."""
-    return scoring.evaluate(ordinal_edges(d), d.calls, d.samples, d.scores, key="ordinal")
+    return scoring.evaluate(ordinal_edges(d), d.calls_by("ordinal"), d.samples, d.scores, key="ordinal", parts=d.parts)
 
 
 @query(OMIT_SQL + PLAIN)
@@ -127,7 +127,7 @@ SELECT g.score_idx, g.sample_idx, coalesce(base, 0) + coalesce(upd, 0) AS score
 def score_common_dosage(d: Domain) -> DataFrame:
     """Explicit common dosages: samples that a variant does not list have dosage 2 at every third variant."""
     common = d.variant_list.where("ordinal % 3 = 0").select(F.col("target_id").alias("id"), F.lit(2.0).alias("common"))
-    return scoring.evaluate(omit_edges(d), d.calls, d.samples, d.scores, common)
+    return scoring.evaluate(omit_edges(d), d.calls, d.samples, d.scores, common, parts=d.parts)
 
 
 #: Nations as samples: each has lines of most parts, so calls are dense. Null where a line is without discount.
@@ -176,7 +176,7 @@ def score_sparse_from_dense(d: Domain) -> DataFrame:
 @query(OMIT_SQL + PLAIN)
 def score_sharded_union(d: Domain) -> DataFrame:
     """Two shards of variants, scored apart and added: scores are additive over variants."""
-    parts = [scoring.evaluate(omit_edges(d).where(f"pmod(xxhash64(id), 2) = {k}"), d.calls, d.samples, d.scores) for k in range(2)]
+    parts = [scoring.evaluate(omit_edges(d).where(f"pmod(xxhash64(id), 2) = {k}"), d.calls, d.samples, d.scores, parts=d.parts) for k in range(2)]
     return parts[0].unionByName(parts[1]).groupBy("score_idx", "sample_idx").agg(F.sum("score").alias("score"))
 
 

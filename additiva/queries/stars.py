@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from additiva.operators.fragments import compile_fragment
+from additiva.operators.scoring import dealt, parts_of
 from additiva.operators.support import build_support
 from additiva.operators.variants import aliases_of, build_index
 from additiva.operators.weights import bind, compile_catalog
@@ -68,12 +69,23 @@ class Domain:
             F.when(is_ref, ref).otherwise(alt).alias("effect"), F.when(is_ref, alt).otherwise(ref).alias("other"), ((F.col("l_linenumber") - 4) / 8.0).alias("weight"),
         )
 
+    @cached_property
+    def parts(self) -> int:
+        """Parts for whatever grows with the lines."""
+        return parts_of(self.table("lineitem").count())
+
     @cached_property
     def calls(self) -> DataFrame:
-        """(id, sample_idx, dosage): exceptions from a common dosage of 0; null is missing."""
-        items = self.table("lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_discount").join(self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-        by = items.groupBy("o_custkey", "l_partkey").agg(F.max(F.col("l_quantity") % 3).alias("d"), F.bool_or(F.col("l_discount") >= 0.09).alias("m"))
-        return by.select(F.concat(F.lit("v"), F.col("l_partkey").cast("string")).alias("id"), F.col("l_partkey").alias("ordinal"), F.col("o_custkey").alias("sample_idx"), F.when(~F.col("m"), F.col("d")).alias("dosage"))
+        return self.calls_by("id")
+
+    def calls_by(self, key: str) -> DataFrame:
+        """(id, ordinal, sample_idx, dosage): exceptions from a common dosage of 0; null is missing. Dealt out by ``key``, "id" or "ordinal"."""
+        variant = F.concat(F.lit("v"), F.col("ordinal").cast("string")).alias("id")
+        orders = dealt(self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("sample_idx")), self.parts, "l_orderkey")
+        items = dealt(self.table("lineitem").select("l_orderkey", F.col("l_partkey").alias("ordinal"), "l_quantity", "l_discount"), self.parts, "l_orderkey").join(orders, "l_orderkey")
+        rows = items.select("sample_idx", "ordinal", *([variant] if key == "id" else []), (F.col("l_quantity") % 3).alias("d"), (F.col("l_discount") >= 0.09).alias("m"))
+        by = dealt(rows, self.parts, key).groupBy(*dict.fromkeys([key, "ordinal", "sample_idx"])).agg(F.max("d").alias("d"), F.bool_or("m").alias("m"))
+        return by.select("id" if key == "id" else variant, "ordinal", "sample_idx", F.when(~F.col("m"), F.col("d")).alias("dosage"))
 
     @cached_property
     def catalog(self) -> DataFrame:
