@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from additiva.functions.shared import checkpointed
+from additiva.operators import scoring
 from additiva.operators.checks import InputError
 from additiva.sources.pgen import _place
 
@@ -178,7 +179,11 @@ def write_matrix(scores: DataFrame, names: list[tuple[int, str]], samples: DataF
     placed = scores.join(F.broadcast(order), "score_idx").join(people.select("sample_idx", "row"), "sample_idx").select((F.col("column") * n + F.col("row")).alias("place"), "score")
     spark.dataSource.register(MatrixSource)
     clear(f"{path}/matrix")
-    placed.repartitionByRange("place").sortWithinPartitions("place").write.format("score-matrix").option("path", f"{path}/matrix").mode("append").save()
+    # Every place is there once, so equal ranges need no sample of the scores, which would compute them twice.
+    cells = n * len(names)
+    step = -(-cells // scoring.parts_of(cells)) or 1
+    parts = max(1, -(-cells // step))
+    placed.repartitionById(parts, F.floor(F.col("place") / step).cast("int")).sortWithinPartitions("place").write.format("score-matrix").option("path", f"{path}/matrix").mode("append").save()
     check_whole(f"{path}/matrix", n * len(names))
     people.sortWithinPartitions("row").select("row", *(F.col(c).alias(c.upper()) for c in ids)).write.mode("overwrite").parquet(f"{path}/samples")
     spark.createDataFrame([(k, x) for k, (_, x) in enumerate(names)], "column long, name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/names")

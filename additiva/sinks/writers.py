@@ -17,7 +17,9 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from additiva.functions.shared import stored
 from additiva.functions.values import general17
+from additiva.operators.scoring import parts_of
 
 REFUSE, OVERWRITE = "errorifexists", "overwrite"
 
@@ -51,8 +53,9 @@ def write_wide_text(rows: DataFrame, path: str, names: list[str], mode: str = OV
 
 
 def write_score_major(scores: DataFrame, path: str, mode: str = OVERWRITE) -> None:
-    """Long Parquet in (score, sample) order: a score's samples lie together."""
-    scores.repartitionByRange("score_idx", "sample_idx").sortWithinPartitions("score_idx", "sample_idx").write.mode(mode).parquet(path)
+    """Long Parquet in (score, sample) order: a score's samples lie together. The scores are stored first, as the ranges' bounds are sampled."""
+    once = stored(scores)
+    once.repartitionByRange(parts_of(once.count()), "score_idx", "sample_idx").sortWithinPartitions("score_idx", "sample_idx").write.mode(mode).parquet(path)
 
 
 def write_wide_parquet(rows: DataFrame, path: str, names: list[str], mode: str = OVERWRITE, row_group_bytes: int = 4096 * 1024) -> None:
