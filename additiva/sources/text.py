@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from additiva.operators.checks import InputError, checked, require_empty
 
 
-#: Blocks up to which their row numbers are part of the expression.
-FEW_BLOCKS = 64
+#: Blocks up to which their row numbers are part of the expression: each row compares paths with all of them until one fits.
+FEW_BLOCKS = 4
 
 
 def _plain(path: str) -> str:
