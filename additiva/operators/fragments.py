@@ -75,9 +75,9 @@ def compile_fragment(weights: DataFrame, aliases: DataFrame, index: DataFrame, s
     return rows, qc
 
 
-def laid_out(rows: DataFrame) -> DataFrame:
+def laid_out(rows: DataFrame, parts: int | None = None) -> DataFrame:
     """Rows in storage order: a tile in one place, sorted by score, ordinal and file order."""
-    return rows.repartitionByRange("tile_idx").sortWithinPartitions("tile_idx", "score_idx", "ordinal", "row_seq")
+    return (rows.repartitionByRange(parts, "tile_idx") if parts else rows.repartitionByRange("tile_idx")).sortWithinPartitions("tile_idx", "score_idx", "ordinal", "row_seq")
 
 
 def edges_of(rows: DataFrame) -> DataFrame:

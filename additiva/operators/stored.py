@@ -19,9 +19,10 @@ from additiva.operators.checks import broadcast_if_small
 from additiva.operators.fragments import laid_out
 
 
-def store_by_tile(rows: DataFrame, path: str) -> None:
-    """Fragment rows, or any table with ``tile_idx``, one folder a tile."""
-    ordered = laid_out(rows) if {"score_idx", "row_seq"} <= set(rows.columns) else rows.repartitionByRange("tile_idx", "ordinal").sortWithinPartitions("tile_idx", "ordinal")
+def store_by_tile(rows: DataFrame, path: str, parts: int | None = None) -> None:
+    """Fragment rows, or any table with ``tile_idx``, one folder a tile, written by ``parts`` tasks or as the session has it."""
+    ranges = lambda *keys: rows.repartitionByRange(parts, *keys) if parts else rows.repartitionByRange(*keys)
+    ordered = laid_out(rows, parts) if {"score_idx", "row_seq"} <= set(rows.columns) else ranges("tile_idx", "ordinal").sortWithinPartitions("tile_idx", "ordinal")
     ordered.write.partitionBy("tile_idx").parquet(path)
 
 

@@ -6,6 +6,7 @@ Row numbers of the readers, header rules, sinks and refusals are compared with S
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,8 +28,8 @@ from additiva.sinks import matrix, writers
 from additiva.sources import inputs, pgen, text
 
 
-#: Lines of a bucket of ``score_bucketed``.
-BUCKET_LINES = 500_000
+#: Cases of ``refusals`` that run at once.
+CASES = 4
 
 
 def folder(spark: SparkSession) -> str:
@@ -44,8 +45,10 @@ def put(df: DataFrame, order: str, header: str, path: str) -> str:
         first = header.split("\n")
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(first + b.column(0).to_pylist(), pa.string())], names=["value"])
-                first = []
+                if first:
+                    yield pa.RecordBatch.from_arrays([pa.array(first, pa.string())], names=["value"])
+                    first = []
+                yield pa.RecordBatch.from_arrays(b.columns, names=["value"])
 
     if rows.isEmpty():
         listed(df.sparkSession, header.split("\n"), path)
@@ -221,7 +224,7 @@ def score_pgen(d: Domain) -> DataFrame:
     """Scores of a cohort in containers: common dosages from the reader, exceptions joined."""
     calls, common = pgen.calls_and_common(containers(d)[0])
     ordinal = F.col("pgen_variant_idx").alias("ordinal")
-    return scoring.evaluate(ordinal_edges(d), calls.select(ordinal, "sample_idx", "dosage"), d.samples, d.scores, common.select(ordinal, "common"), "ordinal")
+    return scoring.evaluate(ordinal_edges(d), calls.select(ordinal, "sample_idx", "dosage"), d.samples, d.scores, common.select(ordinal, "common"), "ordinal", d.parts)
 
 
 def refusal_cases(d: Domain) -> dict:
@@ -269,14 +272,18 @@ REFUSALS = "alias_of_two_variants blank_map_id frequency_multiallelic frequency_
 
 @query("SELECT name, (SELECT count(*) FROM variants) > 1 AND (SELECT count(*) FROM weights) > 0 AS refused FROM (VALUES " + ", ".join(f"('{n}')" for n in REFUSALS) + ") v(name) UNION ALL SELECT 'all_fit', false")
 def refusals(d: Domain) -> DataFrame:
-    """Whole tables with a fault must end in an error, the last one without a fault must not."""
-    found = []
-    for name, action in refusal_cases(d).items():
+    """Whole tables with a fault must end in an error, the last one without a fault must not. The cases are separate jobs and run side by side."""
+
+    def refused(case: tuple) -> tuple[str, bool]:
+        name, action = case
         try:
             action(name)
-            found.append((name, False))
         except InputError:
-            found.append((name, True))
+            return name, True
+        return name, False
+
+    with ThreadPoolExecutor(CASES) as pool:
+        found = list(pool.map(refused, refusal_cases(d).items()))
     return d.spark.createDataFrame(found, "name string, refused boolean")
 
 
@@ -286,19 +293,19 @@ def score_stored_tiles(d: Domain) -> DataFrame:
     base, spark = folder(d.spark), d.spark
     tile = tile_of(F.col("ordinal"), BLOCK).alias("tile_idx")
     d.support.select("ordinal", "state", tile).write.parquet(f"{base}/support")
-    stored.store_by_tile(d.fragment()[0], f"{base}/rows")
-    stored.store_by_tile(d.calls.select("ordinal", "sample_idx", F.col("dosage").cast("double").alias("dosage"), tile), f"{base}/calls")
+    stored.store_by_tile(d.fragment()[0], f"{base}/rows", d.parts)
+    stored.store_by_tile(d.calls_by("ordinal").select("ordinal", "sample_idx", F.col("dosage").cast("double").alias("dosage"), tile), f"{base}/calls", d.parts)
     tiles = stored.tiles_of(spark.read.parquet(f"{base}/support"), F.col("state") == USABLE)
     rows = stored.in_tiles(spark, f"{base}/rows", "score_idx long, ordinal long, row_seq long, weight double, ref_effect boolean", tiles)
     calls = stored.in_tiles(spark, f"{base}/calls", "ordinal long, sample_idx long, dosage double", tiles)
     means = d.variant_list.where("p_size >= 5").select("ordinal", (F.col("p_size") / 32.0).alias("alt_dosage_mean"))
-    return scoring.evaluate(scoring.with_means(fragments.edges_of(rows), means, None, "omit", "ordinal"), calls, d.samples, d.scores, key="ordinal")
+    return scoring.evaluate(scoring.with_means(fragments.edges_of(rows), means, None, "omit", "ordinal"), calls, d.samples, d.scores, key="ordinal", parts=d.parts)
 
 
 @query(OMIT_SQL + PLAIN)
 def score_bucketed(d: Domain) -> DataFrame:
     """Edges and calls stored in buckets of variants, joined without a shuffle. Buckets follow the lines, so that a task's does not grow."""
-    base, n = folder(d.spark), max(8, -(-d.table("lineitem").count() // BUCKET_LINES))
-    edges = stored.store_in_buckets(scoring.combined(ordinal_edges(d), "ordinal"), f"{base}/edges", "ordinal", n)
-    calls = stored.store_in_buckets(d.calls.select("ordinal", "sample_idx", "dosage"), f"{base}/calls", "ordinal", n)
-    return scoring.total(scoring.baselines(edges, d.scores, None, "ordinal"), d.scores, d.samples, edges, calls, "ordinal")
+    base, n = folder(d.spark), max(8, d.parts)
+    edges = stored.store_in_buckets(scoring.combined(scoring.dealt(ordinal_edges(d), n, "ordinal"), "ordinal"), f"{base}/edges", "ordinal", n)
+    calls = stored.store_in_buckets(d.calls_by("ordinal").select("ordinal", "sample_idx", "dosage"), f"{base}/calls", "ordinal", n)
+    return scoring.total(scoring.baselines(edges, d.scores, None, "ordinal"), d.scores, d.samples, edges, calls, "ordinal", parts=n)
