@@ -13,8 +13,10 @@ weighted by the length of left parts. One pass over the list finds it.
 Text passes the tokenizer file's own steps (NFC, white space, lower case, split pattern, bytes as characters), with
 special tokens cut out first as the file says. Texts are taken in pieces of at most ``PIECE`` characters, cut before a
 character that composes with nothing before it; a run of letters or symbols that crosses pieces goes on symbol by
-symbol. So besides the text itself, as Arrow holds it, working memory is constant: one piece, the window and a bounded
-memory of words met before. Decoding is incremental too: without a decoder in the file token strings are joined by a
+symbol. Words of several texts, or of a part of one, are gathered in a block; its distinct words of up to ``FEW`` symbols
+fit the window as a whole and are merged together, one merge of each word at a time, longer ones go through the window
+singly. So besides the text itself, as Arrow holds it, working memory is constant: one piece, one block, the window and a
+bounded memory of long words met before. Decoding is incremental too: without a decoder in the file token strings are joined by a
 space; a byte-level decoder goes through ``ByteText``, a UTF-8 state machine that carries an unfinished character from
 piece to piece and puts U+FFFD for what is no UTF-8.
 
@@ -35,22 +37,27 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cache, lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import islice
+from itertools import islice, pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from additiva.llm.common import table
 
-#: Words whose tokens are remembered by a worker, and the longest such word; bounds its memory.
+#: Long words whose tokens are remembered by a worker, and the longest such word; bounds its memory.
 CACHE_WORDS, CACHE_CHARS = 1 << 16, 64
 
 #: Characters of a text that are looked at in one piece, and tokens of a long run that are handed on at once.
 PIECE, BLOCK = 1 << 16, 1 << 13
 
-#: Symbols up to which a word is merged by a search for its lowest rank, without a heap.
+#: Bytes of the words of a block, which are encoded together.
+BLOCK_BYTES = 1 << 24
+
+#: Symbols up to which a word is merged by a search for its lowest rank, without a heap; words of about the same length are merged together, so many at once.
 FEW = 48
+LENGTHS, TOGETHER = (0, 4, 6, 8, 10, 12, 16, 24, FEW), 1 << 15
 
 #: White space of the Unicode standard, and the letters and numbers that its version 16.0 added to 15.1.
 WHITE_SPACE = "9-D 20 85 A0 1680 2000-200A 2028-2029 202F 205F 3000"
@@ -182,7 +189,7 @@ class ByteText:
 
 
 class Words(dict):
-    """Words met before: (ids, ids as text, bytes of the decoded text). Two generations keep the frequent ones and bound the memory."""
+    """Tokens of words met before. Two generations keep the frequent ones and bound the memory."""
 
     def __init__(self, encode) -> None:
         self.encode, self.old = encode, {}
@@ -197,6 +204,25 @@ class Words(dict):
         return found
 
 
+class Pairs:
+    """Ranks of pairs of numbers (left << 32 | right), looked up together."""
+
+    def __init__(self, ranks: dict[int, int]) -> None:
+        keys, values = (np.fromiter(x, np.int64, len(ranks)) for x in (ranks, ranks.values()))
+        by = np.argsort(keys)
+        self.keys, self.values = np.append(keys[by], -1), np.append(values[by], 0).astype(np.int32)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray, none: int) -> np.ndarray:
+        """``none`` for what is no pair; numbers below 0 are in none."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.keys[:-1], key)
+        return np.where((self.keys[at] == key) & (right >= 0), self.values[at], np.int32(none))
+
+
+def _offsets(values: pa.BinaryArray) -> np.ndarray:
+    return np.frombuffer(values.buffers()[1], np.int32, len(values) + 1)
+
+
 class Transducer:
     """Encoder and decoder of one tokenizer file (its JSON text)."""
 
@@ -209,12 +235,16 @@ class Transducer:
         merges = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks = {m: k for k, m in enumerate(merges)}
         self.ids = model["vocab"]
-        # Short words are merged as numbers: of strings, and of pairs of them.
+        # Words are merged as numbers: of strings, and of pairs of them.
         number: dict[str, int] = {}
         of = lambda x: number.setdefault(x, len(number))
         numbered = [(of(a), of(b), of(a + b)) for a, b in merges]
         self.number, self.joined = number, [j for _, _, j in numbered]
         self.pairs = {a << 32 | b: k for k, (a, b, _) in enumerate(numbered)}
+        for s in self.ids:
+            of(s)
+        if missing := [s for s in number if s not in self.ids]:
+            raise ValueError(f"merges make {missing[0]!r}, which has no id")
         self.lookahead = sufficient_lookahead(merges, lambda s: len(s) - len(self.suffix) + 1 if self.suffix and s.endswith(self.suffix) else len(s))
         self.chars = byte_characters()
         added = {a["content"]: a for a in t.get("added_tokens") or []}
@@ -235,6 +265,15 @@ class Transducer:
         else:
             self.pieces = {k: b" " + s.encode() for k, s in self.strings.items()}
         self.names = list(number)
+        # By number, those of special tokens last: ids after a space, decoded bytes.
+        by_number = [*map(self.ids.__getitem__, self.names), *self.added.values()]
+        self.number_of = {i: k for k, i in enumerate(by_number)}
+        self.id_texts = pa.array([b" %d" % i for i in by_number], pa.binary())
+        self.decoded = pa.array(list(map(self.pieces.__getitem__, by_number)), pa.binary())
+        self.symbol, self.last_symbol = (np.array([number.get(self.chars[b] + end, -1) for b in range(256)], np.int32) for end in ("", self.suffix))
+        self.arrays = self.bytes_as_chars and self.symbol.min() >= 0 and self.last_symbol.min() >= 0
+        self.table = Pairs(self.pairs)
+        self.results = np.array(self.joined, np.int32)
         self.known = Words(self.encode_word)
 
     def _normalizers(self, n: dict | None) -> list:
@@ -415,13 +454,9 @@ class Transducer:
                 room *= 2  # cannot happen while a token is shorter than the room beyond the lookahead
             window = window[at:]
 
-    def _triple(self, ids: tuple[int, ...]) -> tuple[tuple[int, ...], str, bytes]:
-        return ids, " ".join(map(str, ids)), b"".join(map(self.pieces.__getitem__, ids))
-
-    def encode_word(self, word: str) -> tuple[tuple[int, ...], str, bytes]:
-        if len(word) <= FEW:
-            return self._triple(tuple(map(self.ids.__getitem__, self._merge_word(word))))
-        return self._triple(tuple(map(self.ids.__getitem__, self.stream(self.symbols([word])))))
+    def encode_word(self, word: str) -> list[int]:
+        """Numbers of the tokens of one word."""
+        return list(map(self.number.__getitem__, self._merge_word(word) if len(word) <= FEW else self.stream(self.symbols([word]))))
 
     def _merge_word(self, word: str) -> list[str]:
         """Tokens of a short word: the same merges as ``_merge_few``, on numbers."""
@@ -449,24 +484,115 @@ class Transducer:
         """Gives back the memory of remembered words: a worker goes on to other tasks."""
         self.known = Words(self.encode_word)
 
-    def blocks(self, text: str | None) -> Iterator[list[tuple[tuple[int, ...], str, bytes]]]:
-        """Blocks of (ids, ids as text, bytes of the decoded text)."""
-        known = self.known.__getitem__
-        for w in self.words(text or ""):
-            if isinstance(w, int):
-                yield [self._triple((w,))]
-            elif isinstance(w, list):
-                if w:
-                    yield list(map(known, w))
+    def _merge_together(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the tokens of short words, one after another, and how many each has: the merges of ``_merge_few``, each time one of every word.
+
+        A column holds a word's linked symbols, between two places without a symbol; a place's key is its pair's rank and the place.
+        """
+        n, place, none = len(sizes), np.arange(longest + 2, dtype=np.int32)[:, None], len(self.joined) << 6
+        column = np.arange(n)
+        symbols = data[np.minimum(starts + place - 1, len(data) - 1)]
+        parts = np.where((place > 0) & (place < sizes), self.symbol[symbols], np.int32(-1))
+        parts[sizes, column] = self.last_symbol[data[starts + sizes - 1]]
+        keys = np.full(parts.shape, none, np.int32)
+        keys[:-1] = self.table.ranks(parts[:-1], parts[1:], none >> 6) << 6 | place[:-1]
+        after, before = (np.repeat(x, n, axis=1).ravel() for x in (place + 1, place - 1))
+        flat, flat_keys = parts.ravel(), keys.ravel()
+        while True:
+            best = keys.min(axis=0)
+            live = np.flatnonzero(best < none)
+            if not live.size:
+                break
+            best = best[live]
+            rank, at = best >> 6, best & 63
+            here = at * n + live
+            gone = after[here] * n + live
+            right, left = after[gone], before[here]
+            to_right, to_left = right * n + live, left * n + live
+            new = self.results[rank]
+            flat[here], flat[gone], flat_keys[gone] = new, -1, none
+            after[here], before[to_right] = right, at
+            ranks = self.table.ranks(np.concatenate([flat[to_left], new]), np.concatenate([new, flat[to_right]]), none >> 6) << 6
+            flat_keys[to_left], flat_keys[here] = ranks[: live.size] | left, ranks[live.size :] | at
+        words = parts.T
+        there = words >= 0
+        return words[there], there.sum(axis=1)
+
+    def _tokens(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the tokens of distinct words, one word after another, how many each has, and each word's place in that order."""
+        ends, data = (np.frombuffer(b, t) if b else np.zeros(0, t) for b, t in zip(words.buffers()[1:], (np.int32, np.uint8), strict=True))
+        starts = ends[: len(words)].astype(np.int64)
+        sizes = np.diff(ends[: len(words) + 1])
+        together = (sizes > 0) & self.arrays
+        order, tokens, counts = [], [], []
+        for low, high in pairwise(LENGTHS):
+            alike = np.flatnonzero(together & (low < sizes) & (sizes <= high))
+            for k in range(0, alike.size, TOGETHER):
+                at = alike[k : k + TOGETHER]
+                found, many = self._merge_together(data, starts[at], sizes[at], high)
+                order, tokens, counts = [*order, at], [*tokens, found], [*counts, many]
+        rest = np.flatnonzero(~together | (sizes > FEW))
+        singly = [self.known[w] if w else [] for w in words.take(pa.array(rest)).to_pylist()]
+        order, tokens, counts = [*order, rest], [*tokens, *(np.array(x, np.int32) for x in singly)], [*counts, np.array(list(map(len, singly)), np.int64)]
+        place = np.empty(len(words), np.int32)
+        place[np.concatenate(order)] = np.arange(len(words))
+        return np.concatenate([np.zeros(0, np.int32), *tokens]), np.concatenate(counts), place
+
+    def _items(self, text: str) -> Iterator[list[str] | tuple[int, ...]]:
+        """In order: lists of words, and numbers of tokens that are known already."""
+        for w in self.words(text):
+            if isinstance(w, list):
+                yield w
+            elif isinstance(w, int):
+                yield (self.number_of[w],)
             else:
                 tokens = self.stream(self.symbols(w))
-                while ids := tuple(self.ids[t] for t in islice(tokens, BLOCK)):
-                    yield [self._triple(ids)]
+                while numbers := tuple(self.number[t] for t in islice(tokens, BLOCK)):
+                    yield numbers
+
+    def encoded(self, texts: Iterable[str | None]) -> Iterator[tuple[int, int, bytes, bytes]]:
+        """Parts of texts, in order: the text's place, its number of tokens, their ids with a space before each, their decoded bytes."""
+        held, fixed, ends, n, size = [], {}, [], 0, 0
+        for row, text in enumerate(texts):
+            for item in self._items(text or ""):
+                if isinstance(item, tuple):
+                    fixed[n] = item
+                held.append(pa.array([""] if isinstance(item, tuple) else item, pa.string()))
+                n += len(held[-1])
+                size += held[-1].nbytes + (8 * len(item) if isinstance(item, tuple) else 0)
+                if size >= BLOCK_BYTES:
+                    yield from self._block(held, fixed, [*ends, (row, n)])
+                    held, fixed, ends, n, size = [], {}, [], 0, 0
+            ends.append((row, n))
+        if held:
+            yield from self._block(held, fixed, ends)
+
+    def _block(self, held: list[pa.Array], fixed: dict[int, tuple[int, ...]], ends: list[tuple[int, int]]) -> Iterator[tuple[int, int, bytes, bytes]]:
+        """The parts of a block: its words, the tokens of those that are known already, and (text, end of its words)."""
+        words = pa.concat_arrays(held).dictionary_encode()
+        tokens, counts, place = self._tokens(words.dictionary)
+        index = place[words.indices.to_numpy()]
+        if fixed:
+            index[list(fixed)] = np.arange(len(counts), len(counts) + len(fixed))
+            tokens = np.concatenate([tokens, *(np.array(x, np.int32) for x in fixed.values())])
+            counts = np.append(counts, list(map(len, fixed.values())))
+        first = np.concatenate([[0], np.cumsum(counts)])
+        stops = np.array([0, *(end for _, end in ends)])
+        many = np.diff(np.concatenate([[0], np.cumsum(counts[index])])[stops])
+
+        def parts(of_tokens: pa.BinaryArray) -> Iterator[bytes]:
+            found = of_tokens.take(pa.array(tokens))
+            of_words = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(_offsets(found)[first]), found.buffers()[2]])
+            text = of_words.take(pa.array(index))
+            data = memoryview(text.buffers()[2] or b"")
+            yield from (bytes(data[a:b]) for a, b in pairwise(_offsets(text)[stops].tolist()))
+
+        yield from zip((row for row, _ in ends), many.tolist(), parts(self.id_texts), parts(self.decoded), strict=True)
 
     def encode(self, text: str | None) -> Iterator[list[int]]:
         """Ids in blocks."""
-        for block in self.blocks(text):
-            yield [i for ids, _, _ in block for i in ids]
+        for _, _, ids, _ in self.encoded([text]):
+            yield list(map(int, ids.split()))
 
     def decode(self, blocks: Iterable[list[int]]) -> Iterator[str]:
         """Text in chunks."""
@@ -482,6 +608,23 @@ class Transducer:
         yield state.end()
 
 
+class Row:
+    """Running count and digests of one text."""
+
+    def __init__(self, t: Transducer) -> None:
+        self.n, self.ids, self.text, self.bytes, self.spaced = 0, hashlib.sha256(), hashlib.sha256(), ByteText(), not t.byte_decoder
+
+    def add(self, n: int, ids: bytes, data: bytes) -> None:
+        # Nothing is put before a text's first token.
+        self.ids.update(ids if self.n else ids[1:])
+        self.text.update(self.bytes.feed(data[1:] if self.spaced and not self.n else data).encode())
+        self.n += n
+
+    def done(self) -> tuple[int, str, str]:
+        self.text.update(self.bytes.end().encode())
+        return self.n, self.ids.hexdigest(), self.text.hexdigest()
+
+
 @lru_cache(maxsize=2)
 def transducer(spec: str) -> Transducer:
     return Transducer(spec)
@@ -496,23 +639,10 @@ def round_trip(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(spec)
         for b in batches:
-            counts, id_sums, text_sums = [], [], []
-            for text in b.column(1).to_pylist():
-                n, id_sum, text_sum = 0, hashlib.sha256(), hashlib.sha256()
-
-                def decoded(blocks):
-                    nonlocal n
-                    for block in blocks:
-                        ids, numbers, data = zip(*block, strict=True)
-                        id_sum.update(((" " if n else "") + " ".join(numbers)).encode())  # noqa: B023
-                        n += sum(map(len, ids))
-                        yield b"".join(data)
-
-                for chunk in t.text_of(decoded(t.blocks(text))):
-                    text_sum.update(chunk.encode())
-                counts.append(n)
-                id_sums.append(id_sum.hexdigest())
-                text_sums.append(text_sum.hexdigest())
+            rows = [Row(t) for _ in range(b.num_rows)]
+            for k, n, ids, data in t.encoded(x.as_py() for x in b.column(1)):
+                rows[k].add(n, ids, data)
+            counts, id_sums, text_sums = zip(*(r.done() for r in rows), strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(id_sums, pa.string()), pa.array(text_sums, pa.string())], names=["id", "n", "a", "b"])
         t.forget()
 

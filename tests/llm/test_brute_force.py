@@ -614,3 +614,30 @@ def test_short_words_are_merged_as_numbers():
     words = ["".join(rng.choice("abcdeghilmnorstu" if k % 3 else "aé\u0301ßжя語🙂\u0000~") for _ in range(rng.randint(1, 60))) for k in range(3000)]
     for w in [*words, "a" * 47, "a" * 48, "a" * 49]:
         assert t._merge_word(w) == list(t.stream(t.symbols([w]))), w
+
+
+def test_short_words_are_merged_together(tokenizers_pair):
+    """Only words too long for it are encoded singly, and the ids are the library's."""
+    (_, theirs), rng, singly = tokenizers_pair, random.Random(6), []
+    t = bpe.Transducer(bpe.tokenizer_spec())
+    t.known = bpe.Words(lambda w: singly.append(w) or t.encode_word(w))
+    text = " ".join("".join(rng.choice("abcdeghilmnorstu" if k % 3 else "aéßжя語🙂~") for _ in range(rng.randint(1, 60))) for k in range(3000))
+    assert [i for b in t.encode(text) for i in b] == theirs.encode(text, add_special_tokens=False).ids
+    assert singly and all(len(w.encode()) > bpe.FEW for w in singly)
+
+
+@pytest.mark.parametrize(("size", "together"), [(1, 1), (300, 7), (5000, 64), (1 << 24, 1 << 15)])
+def test_bpe_blocks(tokenizers_pair, monkeypatch, texts, size, together):
+    """Texts that share blocks or go on in the next ones keep their own digests."""
+    (t, theirs), end = tokenizers_pair, "<|endoftext|>"
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", size)
+    monkeypatch.setattr(bpe, "TOGETHER", together)
+    rows = [None, "", " \n", end, *texts[:20], f"{end}the {end}{end} <|EndOfText|>", None, "ab " * 400, "x" * 70_000, "中文字" * 25_000, "it's " + "é" * 47 + " " + "e" * 48 + " " + "e" * 49, ""]
+    found = [bpe.Row(t) for _ in rows]
+    for k, n, ids, data in t.encoded(rows):
+        found[k].add(n, ids, data)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for text, row in zip(rows, found, strict=True):
+        ids = theirs.encode(text or "", add_special_tokens=False).ids
+        assert row.done() == (len(ids), sha(" ".join(map(str, ids))), sha(theirs.decode(ids, skip_special_tokens=False)))
+    assert not list(t.encoded([])) and not any(n or ids or data for _, n, ids, data in t.encoded([None, ""]))
