@@ -53,11 +53,11 @@ CACHE_WORDS, CACHE_CHARS = 1 << 16, 64
 PIECE, BLOCK = 1 << 16, 1 << 13
 
 #: Bytes of the words of a block, which are encoded together.
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 1 << 21
 
 #: Symbols up to which a word is merged by a search for its lowest rank, without a heap; words of about the same length are merged together, so many at once.
 FEW = 48
-LENGTHS, TOGETHER = (0, 4, 6, 8, 10, 12, 16, 24, FEW), 1 << 15
+LENGTHS, TOGETHER = (0, 4, 6, 8, 10, 12, 16, 24, FEW), 1 << 13
 
 #: White space of the Unicode standard, and the letters and numbers that its version 16.0 added to 15.1.
 WHITE_SPACE = "9-D 20 85 A0 1680 2000-200A 2028-2029 202F 205F 3000"
