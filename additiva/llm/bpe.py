@@ -35,7 +35,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import cache, lru_cache
+from functools import cache
 from heapq import heapify, heappop, heappush
 from itertools import islice, pairwise
 
@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from additiva.llm.common import table
+from additiva.llm.common import kept, table, text_parts
 
 #: Long words whose tokens are remembered by a worker, and the longest such word; bounds its memory.
 CACHE_WORDS, CACHE_CHARS = 1 << 16, 64
@@ -253,6 +253,7 @@ class Transducer:
         self.added = {s: a["id"] for s, a in added.items()}
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.strings = {k: s for s, k in self.ids.items()} | {k: s for s, k in self.added.items()}
+        self.patterns: dict[int, tuple[re.Pattern, list[re.Pattern]]] = {}
         self.split, self.bytes_as_chars = self._splitter(t.get("pre_tokenizer"))
         self.steps = self._normalizers(t.get("normalizer"))
         kind = (t.get("decoder") or {}).get("type")
@@ -303,10 +304,11 @@ class Transducer:
                 raise ValueError(f"unknown pre-tokenizer {s}")
         return pattern, as_chars
 
-    @lru_cache(maxsize=2)  # noqa: B019  the transducer itself is cached
     def _compiled(self, last: int) -> tuple[re.Pattern, list[re.Pattern]]:
         """The split pattern, and those of its alternatives that are runs of one class."""
-        return compiled(self.split, last), [compiled(r, last) for r in re.findall(r"\[[^\]]*\]\+", self.split)]
+        if last not in self.patterns:
+            self.patterns[last] = compiled(self.split, last), [compiled(r, last) for r in re.findall(r"\[[^\]]*\]\+", self.split)]
+        return self.patterns[last]
 
     def pattern(self, text: str) -> re.Pattern:
         """The split pattern for the text: a smaller one if it has no code point above U+FFFF."""
@@ -625,9 +627,8 @@ class Row:
         return self.n, self.ids.hexdigest(), self.text.hexdigest()
 
 
-@lru_cache(maxsize=2)
 def transducer(spec: str) -> Transducer:
-    return Transducer(spec)
+    return kept(("bpe", spec), lambda: Transducer(spec))
 
 
 def round_trip(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -638,7 +639,7 @@ def round_trip(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(spec)
-        for b in batches:
+        for b in text_parts(batches, 1, BLOCK_BYTES):
             rows = [Row(t) for _ in range(b.num_rows)]
             for k, n, ids, data in t.encoded(x.as_py() for x in b.column(1)):
                 rows[k].add(n, ids, data)

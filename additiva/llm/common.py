@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Callable, Hashable, Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +49,40 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Bytes of text that Python tasks take up at once.
+PART_BYTES = 1 << 20
+
+
+def text_parts(batches: Iterable[pa.RecordBatch], column: int, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches in views of about ``most`` bytes of a text column, one row at least: Python's texts and results are of a part, not of a batch."""
+    for b in batches:
+        # A row counts some bytes itself, so that parts of empty texts are bounded too.
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
+        ends = np.flatnonzero(np.diff(np.cumsum(sizes) // (most or PART_BYTES))) + 1
+        for start, end in zip([0, *ends.tolist()], [*ends.tolist(), b.num_rows], strict=True):
+            yield b.slice(start, end - start)
+
+
+_KEPT: dict[Hashable, object] = {}
+
+
+def kept[T](key: Hashable, build: Callable[[], T]) -> T:
+    """``build()``, kept by a Python worker for later tasks with this key. What another key left there goes first: a worker
+    outlives its tasks and serves all operators, so it holds the tables of one at a time."""
+    if key not in _KEPT:
+        forget()
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Gives back what a worker kept, also what refers to itself."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def list_rows(column: pa.ChunkedArray) -> list[np.ndarray]:
     """The rows of a list column without nulls, as views of its values."""
     rows: list[np.ndarray] = []

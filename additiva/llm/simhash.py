@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from additiva.llm.common import LOWER, UPPER, broadcast_if_small, checkpointed, table, unused
+from additiva.llm.common import LOWER, UPPER, broadcast_if_small, checkpointed, table, text_parts, unused
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -73,7 +73,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Identifier, ``same`` (a hash of the text) and ``fp`` (the fingerprint as a signed long), one row per row of ``docs``."""
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_parts(batches, 1):
             fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps)], names=["id", "same", "fp"])
 

@@ -19,18 +19,19 @@ columns pass through ``keep_clean`` untouched.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import chain
+from array import array
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from additiva.llm.common import broadcast_if_small, checkpointed, list_rows, table
+from additiva.llm.common import broadcast_if_small, checkpointed, forget, kept, list_rows, table, text_parts
 
 SAMPLE, SPACE, HELD_OUT, SURE = 4000, 1 << 18, 5, 2.0
 PREFIXES = range(3, 8)
@@ -51,12 +52,12 @@ def features_of(word: str) -> list[str]:
 
 
 class Places(dict):
-    """The places of a word's features, remembered."""
+    """The places of a word's features, remembered as the bytes of 32-bit numbers."""
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= _CACHE:
             self.clear()
-        found = self[word] = [xxhash.xxh64_intdigest(f) % SPACE for f in features_of(word)]
+        found = self[word] = array("i", [xxhash.xxh64_intdigest(f) % SPACE for f in features_of(word)]).tobytes()
         return found
 
 
@@ -65,11 +66,11 @@ def sparse(text: str | None, places: Places) -> tuple[np.ndarray, np.ndarray]:
     ws = _WORD.findall((text or "").lower())
     k, c = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for at in range(0, len(ws), _CHUNK):
-        more, n = np.unique(np.fromiter(chain.from_iterable(map(places.__getitem__, ws[at : at + _CHUNK])), np.int64), return_counts=True)
+        more, n = np.unique(np.frombuffer(b"".join(map(places.__getitem__, ws[at : at + _CHUNK])), np.int32), return_counts=True)
         if at:
             more, back = np.unique(np.concatenate([k, more]), return_inverse=True)
             n = np.bincount(back, weights=np.concatenate([c, n])).astype(np.int64)
-        k, c = more, n
+        k, c = more.astype(np.int64), n
     return k, np.log1p(c)
 
 
@@ -78,6 +79,20 @@ def weighed(k: np.ndarray, v: np.ndarray, evidence: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum() or 1.0)
 
 
+class Weighed(Sequence):
+    """Rows with their values weighed when they are asked for, so that no second copy of them is held."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], evidence: np.ndarray) -> None:
+        self.rows, self.evidence = rows, evidence
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        k, v = self.rows[i]
+        return k, weighed(k, v, self.evidence)
+
+
 def evidence_of(rows: list[tuple[np.ndarray, np.ndarray]], above: np.ndarray) -> np.ndarray:
     """Of each place, from how many rows above grade 0 and how many of grade 0 have it."""
     a, b = np.ones(SPACE), np.ones(SPACE)
@@ -92,7 +107,7 @@ def severity(model: Model, z: np.ndarray) -> np.ndarray:
     return (1 / (1 + np.exp(np.clip(model.thresholds[None, :] - z[:, None], -500, 500)))).sum(axis=1)
 
 
-def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, epochs: int = 6, rate: float = 0.1, decay: float = 1e-5, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: Sequence[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, epochs: int = 6, rate: float = 0.1, decay: float = 1e-5, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Weights and rising thresholds by stochastic gradient descent (steps scaled by each place's own gradients) on the cumulative-link likelihood."""
     cuts, rng = int(y.max()), np.random.default_rng(seed)
     w, seen = np.zeros(size), np.full(size, 1e-8)
@@ -138,8 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = Places()
-        for b in batches:
+        places = kept("toxicity", Places)
+        for b in text_parts(batches, 3):
             found = [sparse(text, places) for text in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).cast(pa.string()), b.column(1), b.column(2), pa.array([k.astype(np.int32) for k, _ in found], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in found], pa.list_(pa.float32()))],
@@ -158,6 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The model of the sample as one row, none if it holds one side only."""
+    forget()
     held = list(batches)
     model = fitted_model(pa.Table.from_batches(held)) if held else None
     if model is not None:
@@ -166,18 +182,20 @@ def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fitted_model(data: pa.Table) -> Model | None:
     """The model of (id, y, fold, k, v), in order of ``id``."""
-    data = data.sort_by("id")
-    grades = data["y"].to_numpy()
+    # Rows are put in order as views: the features themselves are not copied.
+    order = pc.sort_indices(data["id"])
+    grades = data["y"].take(order).to_numpy()
     y = np.unique(grades, return_inverse=True)[1]
     if not len(y) or grades.min() > 0 or not y.max():
         return None
-    fitted = list(zip(list_rows(data["k"]), list_rows(data["v"]), strict=True))
-    held = data["fold"].to_numpy() == 0
+    unordered = list(zip(list_rows(data["k"]), list_rows(data["v"]), strict=True))
+    fitted = [unordered[i] for i in order.to_pylist()]
+    held = data["fold"].take(order).to_numpy() == 0
     if not (held & (y > 0)).any() or not (held & (y == 0)).any() or len(np.unique(y[~held])) <= y.max():
         held = np.zeros(len(y), bool)
     known = [r for r, h in zip(fitted, held, strict=True) if not h]
     evidence = evidence_of(known, y[~held] > 0)
-    weights, thresholds = fit_ordinal([(k, weighed(k, v, evidence)) for k, v in known], y[~held], SPACE)
+    weights, thresholds = fit_ordinal(Weighed(known, evidence), y[~held], SPACE)
     model = Model(evidence.astype(np.float32), weights.astype(np.float32), thresholds, 0.5)
     judged = held if held.any() else ~held
     score = severity(model, np.array([weighed(k, v, evidence) @ weights[k] for (k, v), j in zip(fitted, judged, strict=True) if j]))
@@ -210,8 +228,8 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = Places()
-        for b in batches:
+        places = kept("toxicity", Places)
+        for b in text_parts(batches, 2):
             s, bad = judged(shared.value, b.column(2).to_pylist(), places)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array(bad)], names=["id", "same", "severity", "rejected"])
 
@@ -225,8 +243,8 @@ def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text") ->
     place, shared = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(model)
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = Places()
-        for b in batches:
+        places = kept("toxicity", Places)
+        for b in text_parts(batches, place):
             yield b.filter(pa.array(~judged(shared.value, b.column(place).to_pylist(), places)[1]))
 
     return docs.mapInArrow(of_batches, docs.schema)
