@@ -41,7 +41,7 @@ def test_fitting_copies_no_features():
         peak = tracemalloc.get_traced_memory()[1]
     finally:
         tracemalloc.stop()
-    assert peak < 8 * n * m and pa.total_allocated_bytes() - before < 1e6
+    assert peak < 5 * n * m and pa.total_allocated_bytes() - before < 1e6
 
 
 @pytest.mark.parametrize("most", [1, 100, 1 << 20])
