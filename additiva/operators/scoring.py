@@ -95,7 +95,7 @@ def on_grid(base: DataFrame, scores: DataFrame, samples: DataFrame, updates: Dat
     return grid.join(updates, ["score_idx", "sample_idx"], "left").select("score_idx", "sample_idx", (F.col("base") + F.coalesce("upd", F.lit(0.0))).alias("score"))
 
 
-def _packed(edges: DataFrame, calls: DataFrame, key: str, common: DataFrame | None, parts: int | None) -> DataFrame:
+def _packed(edges: DataFrame, calls: DataFrame, key: str, common: DataFrame | None, parts: int | None = None) -> DataFrame:
     """(sample_idx, x, scores, betas): a row a call of a scored variant."""
     calls = dealt(calls, parts, key) if parts else calls
     e = with_common(edges, common, key).groupBy(key).agg(F.first("mean").alias("mean"), F.first("common").alias("common"), F.collect_list(F.struct("score_idx", "beta")).alias("_w"))
