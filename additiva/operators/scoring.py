@@ -13,6 +13,10 @@ there has common 0.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +27,8 @@ MOST_SCORES = 100_000
 POLICIES = ("cohort", "error", "omit")
 #: Weight rows or calls of one task, where a number of parts is asked for.
 PART_ROWS = 500_000
+#: Products that a task adds up at a time, and sums that it keeps as a matrix of samples by scores, where the order is fixed.
+PRODUCTS, CELLS = 1 << 20, 1 << 22
 
 
 def parts_of(rows: int) -> int:
@@ -116,6 +122,58 @@ def updates(edges: DataFrame, calls: DataFrame, key: str = "id", common: DataFra
     return rows.groupBy("sample_idx", "score_idx").agg(F.sum(F.col("beta") * F.col("x")).alias("upd")).select("score_idx", "sample_idx", "upd")
 
 
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(score_idx, sample_idx, upd) of rows (sample_idx, x, scores, betas) sorted by sample: products are added one by one, as they come.
+    The sums of the last sample wait, as it may go on."""
+    names = ["score_idx", "sample_idx", "upd"]
+    person, held, sums = -1, np.zeros(0, np.int64), np.zeros(0)
+    for b in batches:
+        sample, x = b.column(0).to_numpy(), b.column(1).to_numpy()
+        scores, betas = b.column(2).flatten().to_numpy(), b.column(3).flatten().to_numpy()
+        ends = np.append(0, np.cumsum(b.column(2).value_lengths().to_numpy()))
+        first = 0
+        while first < len(sample):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + PRODUCTS, "right")) - 1)
+            if sample[first] != person:
+                if len(held):
+                    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(np.full(len(held), person)), pa.array(sums)], names=names)
+                person, held, sums = sample[first], held[:0], sums[:0]
+            at = np.cumsum(np.diff(sample[first:last], prepend=person) != 0)
+            row, some = np.repeat(np.arange(last - first), np.diff(ends[first : last + 1])), slice(ends[first], ends[last])
+            score = np.append(held, scores[some])
+            width = int(score.max(initial=0)) + 1
+            place = np.append(np.zeros(len(held), np.int64), at[row]) * width + score
+            found = None
+            if (at[-1] + 1) * width > CELLS:
+                found, place = np.unique(place, return_inverse=True)
+            # Adds up from the first to the last.
+            total = np.bincount(place, np.append(sums, betas[some] * x[first:last][row]))
+            if found is None:
+                found = np.flatnonzero(np.bincount(place))
+                total = total[found]
+            who, score, done = found // width, found % width, int(np.searchsorted(found, at[-1] * width))
+            people = sample[first:last][np.searchsorted(at, who[:done])]
+            yield pa.RecordBatch.from_arrays([pa.array(score[:done]), pa.array(people), pa.array(total[:done])], names=names)
+            person, held, sums, first = sample[last - 1], score[done:], total[done:], last
+    if len(held):
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(np.full(len(held), person)), pa.array(sums)], names=names)
+
+
+def ordered_updates(edges: DataFrame, calls: DataFrame, at: str, order: str, key: str = "id", parts: int | None = None) -> DataFrame:
+    """(score_idx, sample_idx, upd) of edges (score_idx, key, beta, mean, ``order``) with any number of rows a (score, variant), the same bits
+    on each run: a sample's calls are added up by ``at``, the number of their variant, and a variant's weights by ``order``.
+
+    A call meets its variant's weights as one row of arrays and goes once to the part of its sample; weights are not copied to blocks of
+    samples, so work follows calls times weights of a variant and not the number of samples. Without dosage and mean a call adds nothing.
+    """
+    e = dealt(edges.where("beta IS NOT NULL"), parts, key).groupBy(key).agg(F.first("mean").alias("mean"), F.sort_array(F.collect_list(F.struct(order, F.col("score_idx").cast("int").alias("score_idx"), F.col("beta").cast("double").alias("beta")))).alias("_w"))
+    e = e.select(key, "mean", F.col("_w.score_idx").alias("scores"), F.col("_w.beta").alias("betas"))
+    calls = dealt(calls.select(key, at, F.col("sample_idx").cast("long").alias("sample_idx"), "dosage"), parts, key) if parts else calls
+    met = calls.join(e, key).select("sample_idx", at, F.coalesce("dosage", "mean").cast("double").alias("x"), "scores", "betas").where("x IS NOT NULL")
+    rows = dealt(met, parts, "sample_idx").sortWithinPartitions("sample_idx", at).select("sample_idx", "x", "scores", "betas")
+    return rows.mapInArrow(_in_order, "score_idx long, sample_idx long, upd double")
+
+
 def total(base: DataFrame, scores: DataFrame, samples: DataFrame, edges: DataFrame, calls: DataFrame, key: str = "id", common: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """(score_idx, sample_idx, score): ``base`` plus ``updates`` on the grid of all scores and samples."""
     if scores.limit(MOST_SCORES + 1).count() > MOST_SCORES:

@@ -189,12 +189,9 @@ def score_streamed_shards(d: Domain) -> DataFrame:
 @query(OMIT_SQL + "SELECT j.score_idx, c.sample_idx, sum((CASE WHEN ref_effect THEN -weight ELSE weight END) * coalesce(c.dosage, j.mean)) AS score FROM j JOIN calls c USING (ordinal) GROUP BY ALL")
 def score_strict_order(d: Domain) -> DataFrame:
     """Updates summed in stored order, for bit-identical repeats."""
-    means = d.variant_list.where("p_size >= 5").select(F.col("target_id").alias("id"), "ordinal", (F.col("p_size") / 32.0).alias("mean"))
-    rows = d.bound.where("status = 'matched'").join(means, "id").withColumn("common", F.lit(0.0))
-    last = d.samples.agg(F.max("sample_idx")).first()[0] or 0
-    calls = stored(d.calls.select("ordinal", "sample_idx", "dosage"))
-    updates = blocked.products(rows, calls, N_SCORES, last, tile_of(F.col("ordinal"), BLOCK), order="row_seq")
-    return updates.withColumnRenamed("upd", "score")
+    means = d.frequencies.select("id", F.col("alt_dosage_mean").alias("mean"))
+    rows = d.bound.where("status = 'matched'").select("score_idx", "id", "row_seq", "beta").join(means, "id")
+    return scoring.ordered_updates(rows, d.calls, "ordinal", "row_seq", parts=d.parts).withColumnRenamed("upd", "score")
 
 
 QC_SQL = """
