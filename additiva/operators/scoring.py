@@ -101,13 +101,22 @@ def on_grid(base: DataFrame, scores: DataFrame, samples: DataFrame, updates: Dat
     return grid.join(updates, ["score_idx", "sample_idx"], "left").select("score_idx", "sample_idx", (F.col("base") + F.coalesce("upd", F.lit(0.0))).alias("score"))
 
 
-def _packed(edges: DataFrame, calls: DataFrame, key: str, common: DataFrame | None, parts: int | None = None) -> DataFrame:
-    """(sample_idx, x, scores, betas): a row a call of a scored variant."""
-    calls = dealt(calls, parts, key) if parts else calls
+def packed_edges(edges: DataFrame, key: str = "id", common: DataFrame | None = None) -> DataFrame:
+    """(key, mean, common, scores, betas): a row a variant."""
     e = with_common(edges, common, key).groupBy(key).agg(F.first("mean").alias("mean"), F.first("common").alias("common"), F.collect_list(F.struct("score_idx", "beta")).alias("_w"))
-    e = e.select(key, "mean", "common", F.col("_w.score_idx").alias("scores"), F.col("_w.beta").alias("betas"))
+    return e.select(key, "mean", "common", F.col("_w.score_idx").alias("scores"), F.col("_w.beta").alias("betas"))
+
+
+def _met(packed: DataFrame, calls: DataFrame, key: str, parts: int | None) -> DataFrame:
+    """(sample_idx, x, scores, betas): a row a call of a variant of ``packed_edges``."""
+    calls = dealt(calls, parts, key) if parts else calls
     x = F.coalesce("dosage", "mean") - F.col("common")
-    return calls.select(key, "sample_idx", "dosage").join(e, key).select("sample_idx", x.alias("x"), "scores", "betas")
+    return calls.select(key, "sample_idx", "dosage").join(packed, key).select("sample_idx", x.alias("x"), "scores", "betas")
+
+
+def _packed(edges: DataFrame, calls: DataFrame, key: str, common: DataFrame | None, parts: int | None = None) -> DataFrame:
+    """(sample_idx, x, scores, betas): a row a call of a scored variant."""
+    return _met(packed_edges(edges, key, common), calls, key, parts)
 
 
 def _products(packed: DataFrame, parts: int | None, *kept: str) -> DataFrame:
@@ -116,10 +125,15 @@ def _products(packed: DataFrame, parts: int | None, *kept: str) -> DataFrame:
     return rows.select("sample_idx", *kept, F.col("_w.scores").alias("score_idx"), F.col("_w.betas").alias("beta"))
 
 
+def packed_updates(packed: DataFrame, calls: DataFrame, key: str = "id", parts: int | None = None) -> DataFrame:
+    """(score_idx, sample_idx, upd) of ``packed_edges``, in the partition of their sample."""
+    rows = _products(_met(packed, calls, key, parts), parts, "x")
+    return rows.groupBy("sample_idx", "score_idx").agg(F.sum(F.col("beta") * F.col("x")).alias("upd")).select("score_idx", "sample_idx", "upd")
+
+
 def updates(edges: DataFrame, calls: DataFrame, key: str = "id", common: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """(score_idx, sample_idx, upd) of edges with one row a (score, variant)."""
-    rows = _products(_packed(edges, calls, key, common, parts), parts, "x")
-    return rows.groupBy("sample_idx", "score_idx").agg(F.sum(F.col("beta") * F.col("x")).alias("upd")).select("score_idx", "sample_idx", "upd")
+    return packed_updates(packed_edges(edges, key, common), calls, key, parts)
 
 
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

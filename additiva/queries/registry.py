@@ -182,8 +182,8 @@ def score_sharded_union(d: Domain) -> DataFrame:
 
 @query(OMIT_SQL + PLAIN)
 def score_streamed_shards(d: Domain) -> DataFrame:
-    """Shards as a file stream: each micro-batch adds its updates to the state of (score, sample)."""
-    return score_stream_to_table(d.spark, omit_edges(d), d.calls, d.samples, d.scores)
+    """Shards as a file stream: each micro-batch adds its updates to the sums of (score, sample)."""
+    return score_stream_to_table(d.spark, omit_edges(d), d.calls, d.samples, d.scores, parts=d.parts)
 
 
 @query(OMIT_SQL + "SELECT j.score_idx, c.sample_idx, sum((CASE WHEN ref_effect THEN -weight ELSE weight END) * coalesce(c.dosage, j.mean)) AS score FROM j JOIN calls c USING (ordinal) GROUP BY ALL")
