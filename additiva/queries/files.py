@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from additiva.functions.shared import new_folder
+from additiva.functions.shared import new_folder, stored as stored_table
 from additiva.functions.values import tile_of
 from additiva.operators import fragments, frequency, scoring, stored
 from additiva.operators.checks import InputError
@@ -202,14 +202,15 @@ def sink_score_major_bytes(d: Domain) -> DataFrame:
 
 
 def containers(d: Domain) -> tuple[DataFrame, int]:
-    """All calls written as container shards by tasks and read back in sparse form by byte ranges, with the number of samples. Records list
-    the samples that differ, so files and work grow with the calls, not with variants times samples."""
+    """All calls written as container shards by tasks and read back in sparse form, with the number of samples. Records list
+    the samples that differ, so files and work grow with the calls, not with variants times samples; shards follow the lines, and a
+    shard is read by one task, so that a task's rows and the driver's share of each stay the same."""
     n, path = d.samples.count(), folder(d.spark)
     calls = d.calls.select(F.col("ordinal").alias("pgen_variant_idx"), "sample_idx", "dosage")
-    pgen.write_pgen(calls, d.variant_list.select(F.col("ordinal").alias("pgen_variant_idx")), n, path, pgen.VARIABLE)
+    pgen.write_pgen(calls, d.variant_list.select(F.col("ordinal").alias("pgen_variant_idx")), n, path, pgen.VARIABLE, d.parts)
     if pgen.counts_of(path) != (d.variant_list.count(), n):
         raise InputError("variant or sample counts differ")
-    return pgen.read_pgen(d.spark, path, range_bytes=1 << 16), n
+    return pgen.read_pgen(d.spark, path), n
 
 
 @query("SELECT ordinal, c_custkey AS sample_idx, CAST(dosage AS DOUBLE) AS dosage FROM calls JOIN customer ON c_custkey = sample_idx WHERE dosage IS NULL OR dosage <> 0")
@@ -222,7 +223,8 @@ def pgen_calls(d: Domain) -> DataFrame:
 @query(OMIT_SQL + PLAIN)
 def score_pgen(d: Domain) -> DataFrame:
     """Scores of a cohort in containers: common dosages from the reader, exceptions joined."""
-    calls, common = pgen.calls_and_common(containers(d)[0])
+    # Calls are used once and common dosages twice, but containers are read once.
+    calls, common = pgen.calls_and_common(stored_table(containers(d)[0]))
     ordinal = F.col("pgen_variant_idx").alias("ordinal")
     return scoring.evaluate(ordinal_edges(d), calls.select(ordinal, "sample_idx", "dosage"), d.samples, d.scores, common.select(ordinal, "common"), "ordinal", d.parts)
 

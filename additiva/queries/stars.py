@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from additiva.operators.checks import BROADCAST_ROWS
 from additiva.operators.fragments import compile_fragment
 from additiva.operators.scoring import dealt, parts_of
 from additiva.operators.support import build_support
@@ -40,7 +41,9 @@ class Domain:
         k = F.col("p_partkey") % 4
         pick = lambda *xs: F.when(k == 0, xs[0]).when(k == 1, xs[1]).when(k == 2, xs[2]).otherwise(xs[3])
         key = F.col("p_partkey").cast("string")
-        return self.table("part").select(F.col("p_partkey").alias("ordinal"), F.concat(F.lit("s"), key).alias("source_id"), F.concat(F.lit("v"), key).alias("target_id"), pick("A", "C", "G", "T").alias("ref"), pick("G", "T", "A", "C").alias("alt"), "p_size")
+        rows = self.table("part").select(F.col("p_partkey").alias("ordinal"), F.concat(F.lit("s"), key).alias("source_id"), F.concat(F.lit("v"), key).alias("target_id"), pick("A", "C", "G", "T").alias("ref"), pick("G", "T", "A", "C").alias("alt"), "p_size")
+        # By the size of its compressed file Spark would send millions of variants through the driver, once for each table made from them.
+        return rows.hint("merge") if rows.count() > BROADCAST_ROWS else rows
 
     @cached_property
     def index(self) -> DataFrame:

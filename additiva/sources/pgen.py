@@ -41,8 +41,8 @@ OLD_CODES, CODES = (2 * DOSAGE_UNIT, MISSING, DOSAGE_UNIT, 0), (0, DOSAGE_UNIT,
 RANGE_BYTES, BLOCK_BYTES, SHARD_BYTES = 64 << 20, 8 << 20, 64 << 20
 #: Variable width: the mode, variants of a block, members of a group of a list, and the types of lists by the code they differ from.
 VARIABLE, BLOCK_VARIANTS, GROUP, LISTS = 0x10, 1 << 16, 64, {0: 4, 2: 6, 3: 7}
-#: Listed samples that a reading task gives out at a time.
-BATCH_LISTED = 1 << 20
+#: Records, and their bytes, that a reading task decodes and gives out at a time. A listed sample takes more than a byte.
+BATCH_RECORDS, BATCH_BYTES = 2048, 1 << 20
 SCHEMA = "pgen_variant_idx long, common double, dense boolean, exceptions array<struct<sample_idx: long, dosage: double>>"
 _ARROW = pa.schema([("pgen_variant_idx", pa.int64()), ("common", pa.float64()), ("dense", pa.bool_()), ("exceptions", pa.list_(pa.struct([("sample_idx", pa.int64()), ("dosage", pa.float64())])))])
 
@@ -230,6 +230,35 @@ def listed_record(who: np.ndarray, codes: np.ndarray, base: int, samples: int) -
     return LISTS[base], _spelled(np.array([n]))[0].tobytes() + firsts.tobytes() + sizes.astype(np.uint8).tobytes() + _quarters(codes) + steps.tobytes()
 
 
+def listed_records(counts: np.ndarray, who: np.ndarray, codes: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, ends) of ``listed_record`` against REF of many variants at once: ``counts`` samples of each one after the other, none with code 0."""
+    wide, groups, (head, head_width) = _sample_bytes(samples), -(-counts // GROUP), _spelled(counts)
+    variant = np.repeat(np.arange(len(counts)), counts)
+    at = np.arange(len(who)) - (np.cumsum(counts) - counts)[variant]
+    inner = at % GROUP > 0
+    steps, width = _spelled(np.diff(who, prepend=0)[inner])
+    of_steps = np.bincount(variant[inner], weights=width, minlength=len(counts)).astype(np.int64)
+    to_sizes = head_width + groups * wide
+    to_codes = to_sizes + np.maximum(groups - 1, 0)
+    to_steps = to_codes + (counts + 3) // 4
+    ends = np.append(0, np.cumsum(to_steps + of_steps))
+    starts, out = ends[:-1], np.zeros(ends[-1], np.uint8)
+    spread = lambda first, n: np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    out[spread(starts, head_width)] = head
+    first = np.flatnonzero(~inner)
+    for k in range(wide):
+        out[(starts + head_width)[variant[first]] + at[first] // GROUP * wide + k] = who[first] >> (8 * k) & 255
+    group = np.cumsum(~inner) - 1
+    sizes = np.bincount(group[inner], weights=width, minlength=len(first)).astype(np.int64) - (GROUP - 1)
+    whole = at[first] // GROUP < groups[variant[first]] - 1
+    out[(starts + to_sizes)[variant[first[whole]]] + at[first[whole]] // GROUP] = sizes[whole]
+    for k in range(4):
+        some = np.flatnonzero(at % 4 == k)
+        out[(starts + to_codes)[variant[some]] + at[some] // 4] |= (codes[some] << (2 * k)).astype(np.uint8)
+    out[spread(starts + to_steps, of_steps)] = steps
+    return out, ends
+
+
 def record_list(kind: int, data: np.ndarray, samples: int) -> tuple[int, np.ndarray, np.ndarray]:
     """(base, who, codes) of a record: samples that are not in ``who`` have the code ``base``."""
     if kind == 0:
@@ -272,6 +301,54 @@ def listed_row(kind: int, data: np.ndarray, samples: int) -> tuple[float | None,
     return None if common == 3 else float(common), dense, who[differ], codes[differ]
 
 
+def listed_rows(kinds: np.ndarray, data: np.ndarray, places: np.ndarray, samples: int) -> tuple[np.ndarray, ...] | None:
+    """(common code, dense, counts, samples, codes) of many records at once, as ``listed_row`` gives them one by one; None if one is no plain list against its most frequent code."""
+    base = np.full(256, -1)
+    base[list(LISTS.values())] = list(LISTS)
+    base, starts, ends = base[kinds], places[:-1], places[1:]
+    if (base < 0).any() or not len(data):
+        return None
+    n, head, more = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64), np.ones(len(kinds), bool)
+    for k in range(5):
+        byte = data[np.minimum(starts + k, len(data) - 1)].astype(np.int64)
+        n[more] |= (byte[more] & 127) << (7 * k)
+        head[more] += 1
+        more &= byte > 127
+    wide, groups = _sample_bytes(samples), -(-n // GROUP)
+    to_codes = starts + head + groups * wide + np.maximum(groups - 1, 0)
+    to_steps = np.where(n > 0, to_codes + (n + 3) // 4, ends)
+    if more.any() or (to_steps > ends).any():
+        return None
+    spread = lambda first, m: np.repeat(first - (np.cumsum(m) - m), m) + np.arange(m.sum())
+    steps = data[spread(to_steps, ends - to_steps)]
+    last = steps < 128
+    of_steps = np.bincount(np.repeat(np.arange(len(n)), ends - to_steps)[last], minlength=len(n))
+    if (of_steps != n - groups).any() or (data[ends[n > groups] - 1] > 127).any():
+        return None
+    variant = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(variant)) - (np.cumsum(n) - n)[variant]
+    first = np.flatnonzero(at % GROUP == 0)
+    begin = np.zeros(len(first), np.int64)
+    for k in range(wide):
+        begin |= data[(starts + head)[variant[first]] + at[first] // GROUP * wide + k].astype(np.int64) << (8 * k)
+    codes = data[to_codes[variant] + at // 4] >> (2 * (at % 4)).astype(np.uint8) & 3
+    step = np.zeros(len(variant), np.int64)
+    step[at % GROUP > 0] = _numbers(steps, int((n - groups).sum()))
+    total = np.cumsum(step)
+    who = total + np.repeat(begin - total[first], np.diff(np.append(first, len(variant))))
+    if (who >= samples).any() or ((np.diff(who) <= 0) & (np.diff(variant) == 0)).any():
+        raise InputError("the samples of a record are not in order")
+    counts = np.bincount(variant * 4 + codes, minlength=4 * len(n)).reshape(-1, 4)
+    counts[np.arange(len(n)), base] += samples - n
+    best = counts.argmax(axis=1)
+    dense = (samples - counts.max(axis=1) > most_exceptions(samples)) | (samples == 1)
+    common = np.where(dense, 0, best)
+    if ((common != base) & (n < samples)).any():
+        return None
+    kept = codes != common[variant]
+    return common, dense, np.bincount(variant[kept], minlength=len(n)), who[kept], codes[kept]
+
+
 def most_exceptions(samples: int) -> int:
     return min(samples - 1, max(1, 3 * (samples // 8)))
 
@@ -293,12 +370,10 @@ def sparse_rows(first: int, dosages: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
 
 
-def _listed_batch(first: int, rows: list[tuple]) -> pa.RecordBatch:
-    common, dense, who, codes = zip(*rows, strict=True)
-    value = np.concatenate(codes)
-    listed = pa.StructArray.from_arrays([pa.array(np.concatenate(who).astype(np.int64)), pa.array(value.astype(np.float64), mask=value == 3)], names=["sample_idx", "dosage"])
-    ends = np.append(0, np.cumsum([len(x) for x in who])).astype(np.int32)
-    columns = [pa.array(np.arange(first, first + len(rows))), pa.array(common, pa.float64()), pa.array(dense), pa.ListArray.from_arrays(pa.array(ends), listed)]
+def _listed_batch(first: int, common: np.ndarray, dense: np.ndarray, counts: np.ndarray, who: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+    listed = pa.StructArray.from_arrays([pa.array(who.astype(np.int64)), pa.array(codes.astype(np.float64), mask=codes == 3)], names=["sample_idx", "dosage"])
+    ends = np.append(0, np.cumsum(counts)).astype(np.int32)
+    columns = [pa.array(np.arange(first, first + len(common))), pa.array(common.astype(np.float64), mask=common == 3), pa.array(dense), pa.ListArray.from_arrays(pa.array(ends), listed)]
     return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
 
 
@@ -343,23 +418,20 @@ class _Reader(DataSourceReader):
     @staticmethod
     def _variable(f: pa.NativeFile, x: Layout, begin: int, end: int) -> Iterator[pa.RecordBatch]:
         kinds, places = _records(f, x, begin // BLOCK_VARIANTS)
-        origin, rows, listed, at = begin // BLOCK_VARIANTS * BLOCK_VARIANTS, [], 0, begin - begin // BLOCK_VARIANTS * BLOCK_VARIANTS
-        first, last = at, end - origin
+        kinds, places = _records(f, x, begin // BLOCK_VARIANTS)
+        origin = begin // BLOCK_VARIANTS * BLOCK_VARIANTS
+        at, last = begin - origin, end - origin
         while at < last:
-            # Some megabytes of records at once, one at least.
-            upto = max(at + 1, min(last, int(np.searchsorted(places, places[at] + BLOCK_BYTES, "right")) - 1))
+            # Some records at once, one at least.
+            upto = max(at + 1, min(last, at + BATCH_RECORDS, int(np.searchsorted(places, places[at] + BATCH_BYTES, "right")) - 1))
             f.seek(int(places[at]))
-            data = np.frombuffer(f.read(int(places[upto] - places[at])), np.uint8)
-            for k in range(at, upto):
-                row = listed_row(int(kinds[k]), data[places[k] - places[at] : places[k + 1] - places[at]], x.samples)
-                rows.append(row)
-                listed += len(row[2])
-                if listed >= BATCH_LISTED or len(rows) >= 8192:
-                    yield _listed_batch(x.first + origin + first, rows)
-                    first, rows, listed = k + 1, [], 0
+            data, ends = np.frombuffer(f.read(int(places[upto] - places[at])), np.uint8), places[at : upto + 1] - places[at]
+            found = listed_rows(kinds[at:upto], data, ends, x.samples)
+            if found is None:
+                common, dense, who, codes = zip(*(listed_row(int(kinds[at + k]), data[ends[k] : ends[k + 1]], x.samples) for k in range(upto - at)), strict=True)
+                found = np.array([3 if c is None else int(c) for c in common]), np.array(dense), np.array([len(w) for w in who]), np.concatenate(who), np.concatenate(codes)
+            yield _listed_batch(x.first + origin + at, *found)
             at = upto
-        if rows:
-            yield _listed_batch(x.first + origin + first, rows)
 
 
 @dataclass
@@ -479,24 +551,34 @@ def _listed_records(batches: Iterator[pa.RecordBatch], samples: int) -> Iterator
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def rows(variant: np.ndarray, who: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
-        out = []
-        cuts = np.append(0, np.flatnonzero(np.diff(variant)) + 1).tolist()
-        for a, b in zip(cuts, [*cuts[1:], len(variant)], strict=True):
-            if who[a] < 0:
-                real = slice(a + int(np.searchsorted(who[a:b], 0)), b)
-                if (np.diff(who[real]) <= 0).any():
-                    raise InputError(f"variant {variant[a]} lists a sample twice")
-                # The base is the most frequent code, that of the unlisted samples being 0.
-                counts = np.bincount(code[real], minlength=4)
-                counts[0] += samples - len(who[real])
-                best = int(np.argmax(counts))
-                if best and len(who[real]) < samples:
-                    whole = np.zeros(samples, np.uint8)
-                    whole[who[real]] = code[real]
-                    out.append((int(variant[a]), *listed_record(np.arange(samples), whole, best, samples)))
-                else:
-                    out.append((int(variant[a]), *listed_record(who[real], code[real], best, samples)))
-        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(list(zip(*out, strict=True)) or [()] * 3, schema, strict=True)], schema=schema)
+        cuts = np.append(0, np.flatnonzero(np.diff(variant)) + 1)
+        of = np.repeat(np.arange(len(cuts)), np.diff(np.append(cuts, len(variant))))
+        names = variant[cuts[who[cuts] < 0]]
+        # Numbers of the variants with a row of their own, and the calls of these.
+        number = np.cumsum(who[cuts] < 0) - 1
+        real = (who >= 0) & (who[cuts] < 0)[of]
+        of, who, code = number[of[real]], who[real], code[real]
+        twice = np.flatnonzero((np.diff(of) == 0) & (np.diff(who) <= 0))
+        if len(twice):
+            raise InputError(f"variant {names[of[twice[0]]]} lists a sample twice")
+        # The base is the most frequent code, that of the unlisted samples being 0.
+        counts = np.bincount(of * 4 + code, minlength=4 * len(names)).reshape(-1, 4)
+        listed = counts.sum(axis=1)
+        counts[:, 0] += samples - listed
+        best, ends = counts.argmax(axis=1), np.append(0, np.cumsum(listed))
+        plain = (best == 0) & (samples - counts[:, 0] <= samples // 8)
+        some = plain[of] & (code != 0)
+        data, places = listed_records(np.bincount(of[some], minlength=len(names))[plain], who[some], code[some], samples)
+        kinds, records = np.full(len(names), LISTS[0]), np.empty(len(names), object)
+        records[plain] = [data[a:b].tobytes() for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
+        for k in np.flatnonzero(~plain).tolist():
+            whose, codes = who[ends[k] : ends[k + 1]], code[ends[k] : ends[k + 1]]
+            if best[k] and listed[k] < samples:
+                whole = np.zeros(samples, np.uint8)
+                whole[whose] = codes
+                whose, codes = np.arange(samples), whole
+            kinds[k], records[k] = listed_record(whose, codes, int(best[k]), samples)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(kinds, pa.int32()), pa.array(records, pa.binary())], schema=schema)
 
     def whole() -> tuple[np.ndarray, ...]:
         return tuple(np.concatenate([h[k] for h in held]) for k in range(3))
@@ -518,11 +600,11 @@ def _listed_records(batches: Iterator[pa.RecordBatch], samples: int) -> Iterator
         yield rows(*whole())
 
 
-def write_pgen(calls: DataFrame, variants: DataFrame, samples: int, path: str, mode: int = 2) -> None:
+def write_pgen(calls: DataFrame, variants: DataFrame, samples: int, path: str, mode: int = 2, parts: int | None = None) -> None:
     """Shards of all ``variants`` (pgen_variant_idx), from calls (pgen_variant_idx, sample_idx from 0 on, dosage; null: missing); samples without a call have dosage 0.
 
     A task holds one variant's dosages at a time. Modes 2 and 3 take space for every sample of every variant, mode 0x10 (whole
-    dosages only) for the listed calls: those are sorted by variant and sample in ranges and encoded as they come.
+    dosages only) for the listed calls: those are sorted by variant and sample in ranges, ``parts`` of them or as the session has it, and encoded as they come.
     """
     if mode not in (2, 3, VARIABLE):
         raise InputError(f"mode {mode} is not written")
@@ -533,7 +615,7 @@ def write_pgen(calls: DataFrame, variants: DataFrame, samples: int, path: str, m
         cells = calls.select(F.col("pgen_variant_idx").cast("long").alias("pgen_variant_idx"), who.alias("sample_idx"), code.alias("code"))
         cells = cells.unionByName(variants.select(F.col("pgen_variant_idx").cast("long").alias("pgen_variant_idx"), F.lit(-1).cast("long").alias("sample_idx"), F.lit(0).cast("byte").alias("code")))
         calls.sparkSession.dataSource.register(PgenSource)
-        ordered = cells.repartitionByRange("pgen_variant_idx").sortWithinPartitions("pgen_variant_idx", "sample_idx")
+        ordered = (cells.repartitionByRange(parts, "pgen_variant_idx") if parts else cells.repartitionByRange("pgen_variant_idx")).sortWithinPartitions("pgen_variant_idx", "sample_idx")
         ordered.mapInArrow(partial(_listed_records, samples=samples), "pgen_variant_idx long, kind int, record binary").write.format("pgen").options(path=path, mode=str(mode), samples=str(samples)).mode("append").save()
         return
 
